@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("exact_dedup",)
+MODULES = ("warc", "exact_dedup", "mixing")
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in MODULES:
