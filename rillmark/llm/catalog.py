@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("warc", "exact_dedup", "mixing")
+MODULES = ("warc", "quality", "exact_dedup", "mixing", "packing")
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in MODULES:

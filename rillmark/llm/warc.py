@@ -149,7 +149,10 @@ class _Reader:
 def read_warc(index: DataFrame, payloads: bool = True) -> DataFrame:
     """The records that the rows of an index select, by coalesced byte ranges of sorted offsets; any filtered index will do."""
     chosen = index.select("file", "offset", "length", F.floor(F.col("offset") / BLOCK).alias("block"))
-    dealt = chosen.repartition("file", "block").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK))
+    # a stated number: index rows are few bytes, and adaptive execution would gather them in one task
+    dealt = chosen.repartition(tasks, "file", "block").sortWithinPartitions("file", "offset").select("file", "offset", "length")
     return map_arrow(dealt, _Reader(payloads), RECORD)
 
 
