@@ -45,6 +45,30 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def mark(text_col: str, *more: str):
+    """A hash of a row's text (and other columns): with its id it tells the row's content from others'."""
+    return F.xxhash64(*(F.col(c).cast("string") for c in (text_col, *more)))
+
+
+def keep_rows(docs: DataFrame, verdicts: DataFrame, id_col: str, marks) -> DataFrame:
+    """The rows of docs that verdicts (id, mark, kept) keep; a verdict for each row, equal rows in any order.
+
+    Where only some of several equal rows are kept, one of them is. What goes is broadcast if it is small, else both
+    sides are shuffled.
+    """
+    counted = written(verdicts.groupBy("id", "mark").agg(F.sum(F.col("kept").cast("long")).alias("k"), F.count(F.lit(1)).alias("n")), "verdicts")
+    named = lambda df: df.select(F.col("id").alias("__id"), F.col("mark").alias("__gone"))
+    on = lambda a, b: a["__mark"].eqNullSafe(b["__gone"]) & a[id_col].eqNullSafe(b["__id"])
+    marked = docs.withColumn("__mark", marks)
+    gone = small(named(counted.where("k = 0")))
+    out = marked.join(gone, on(marked, gone), "left_anti")
+    partly = named(counted.where("k > 0 AND k < n"))
+    if partly.limit(1).count():
+        partly = small(partly)
+        out = out.join(partly, on(out, partly), "left_anti").unionByName(out.join(partly, on(out, partly), "left_semi").dropDuplicates([id_col, "__mark"]))
+    return out.drop("__mark")
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

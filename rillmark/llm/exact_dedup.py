@@ -8,44 +8,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillmark.llm.common import group_winner, map_arrow, utf8, written
+from rillmark.llm.common import group_winner, keep_rows, map_arrow, mark, utf8, written
 
 
 def _digests(batches):
-    """(id, digest) of texts lower-cased in A-Z only: bytes.lower() touches no other letter."""
+    """(id, mark, digest) of texts lower-cased in A-Z only: bytes.lower() touches no other letter."""
     for batch in batches:
-        sha = [hashlib.sha256(x.lower()).digest() for x in utf8(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sha, pa.binary())], names=["id", "digest"])
+        sha = [hashlib.sha256(x.lower()).digest() for x in utf8(batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sha, pa.binary())], names=["id", "mark", "digest"])
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 1000) -> DataFrame:
-    """One row per row of docs: id, digest, keep_id, group_size, kept.
+    """One row per row of docs: id, mark, digest, keep_id, group_size, kept.
 
     Texts are equal when identical after lower-casing A-Z; a null text counts as empty. The row with the largest
     id stays (a null id is the smallest); of repeated rows that share it exactly one stays. Columns other than
     the two named are not read. An empty table gives an empty result.
     """
-    pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = map_arrow(pairs, _digests, "id long, digest binary").withColumn("row", F.monotonically_increasing_id())
+    pairs = docs.select(F.col(id_col).cast("long").alias("id"), mark(text_col).alias("mark"), F.col(text_col).cast("string").alias("text"))
+    rows = map_arrow(pairs, _digests, "id long, mark long, digest binary").withColumn("row", F.monotonically_increasing_id())
     rows = written(rows, "digests").withColumn("order", F.struct("id", "row"))  # written: row numbers stay as they are
     out = group_winner(rows, "digest", "order", k)
-    return out.select("id", "digest", F.col("winner.id").alias("keep_id"), "group_size", (F.col("row") == F.col("winner.row")).alias("kept"))
+    return out.select("id", "mark", "digest", F.col("winner.id").alias("keep_id"), "group_size", (F.col("row") == F.col("winner.row")).alias("kept"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 1000) -> DataFrame:
-    """docs without exact copies: all columns of the rows that stay.
-
-    Ids need not be unique: a row stays if its (id, text) won its group, and of several such rows one stays.
-    """
-    won = exact_groups(docs, id_col, text_col, k).where("kept").groupBy("id", "digest").count().drop("count")
-    digest = F.unhex(F.sha2(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256))
-    won = written(won.groupBy("id").agg(F.collect_set("digest").alias("__digests")).withColumnRenamed("id", "__id"), "kept")
-    counted = docs.groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
-    won = written(won.join(counted, won["__id"].eqNullSafe(counted["__id"])).select(won["__id"], "__digests", "__n"), "kept_counted")
-    joined = docs.join(won, docs[id_col].cast("long").eqNullSafe(won["__id"]), "inner")
-    once = joined.where(F.col("__n") == 1)
-    again = joined.where(F.col("__n") > 1).where(F.array_contains("__digests", digest)).withColumn("__d", digest).dropDuplicates(["__id", "__d"])
-    return once.select(*docs.columns).unionByName(again.select(*docs.columns))
+    """docs without exact copies: all columns of the rows that stay."""
+    return keep_rows(docs, exact_groups(docs, id_col, text_col, k), id_col, mark(text_col))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

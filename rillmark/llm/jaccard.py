@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rillmark.llm.common import group_winner, map_arrow, utf8, written
+from rillmark.llm.common import group_winner, keep_rows, map_arrow, mark, utf8, written
 from rillmark.llm.components import components
 
 #: Words of a shingle and the least similarity of a link.
@@ -88,7 +88,7 @@ def minhashes(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def _sketches(gram: int):
     def sketch(batches):
         for batch in batches:
-            words = [t.lower().split() for t in utf8(batch.column(2))]
+            words = [t.lower().split() for t in utf8(batch.column(3))]
             digests = [hashlib.sha256(b" ".join(own)).digest() for own in words]
             h, counts = shingles(words, gram)
             bands, signatures = [None] * len(words), [None] * len(words)
@@ -101,7 +101,7 @@ def _sketches(gram: int):
                 tail = (values[:, :SIGNATURE] & np.uint32(0xFFFF)).astype("<u2")
                 for k, i in enumerate(own):
                     bands[i], signatures[i] = keys[k], tail[k].tobytes()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())], names=["row", "id", "text", "digest", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())], names=["row", "id", "mark", "text", "digest", "bands", "sig"])
 
     return sketch
 
@@ -184,7 +184,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, gram: int, threshold: float) ->
 def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, links, labels) of the texts of docs.
 
-    members: row, id, rep (row of its representative: texts with equal words, A-Z lower-cased, have one); links: (a, b,
+    members: row, id, mark, rep (row of its representative: texts with equal words, A-Z lower-cased, have one); links: (a, b,
     similarity) of representatives; labels: (node, label) of the components of the links.
 
     Buckets of equal bands are not expanded into pairs. Every member is first compared with the bucket's smallest
@@ -195,10 +195,10 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRA
     """
     least = least_matches(threshold, tolerance)
     kind = docs.schema[id_col].dataType.simpleString()
-    picked = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = written(map_arrow(picked, _sketches(gram), f"row long, id {kind}, text string, digest binary, bands array<long>, sig binary"), "sketches")
-    keyed = sets.select("row", "id", "digest", F.struct(F.lit(0).alias("z"), (-F.col("row")).alias("r")).alias("order"))
-    members = written(group_winner(keyed, "digest", "order").select("row", "id", (-F.col("winner.r")).alias("rep")), "members")
+    picked = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), mark(text_col).alias("mark"), F.col(text_col).cast("string").alias("text"))
+    sets = written(map_arrow(picked, _sketches(gram), f"row long, id {kind}, mark long, text string, digest binary, bands array<long>, sig binary"), "sketches")
+    keyed = sets.select("row", "id", "mark", "digest", F.struct(F.lit(0).alias("z"), (-F.col("row")).alias("r")).alias("order"))
+    members = written(group_winner(keyed, "digest", "order").select("row", "id", "mark", (-F.col("winner.r")).alias("rep")), "members")
     reps = sets.where("sig IS NOT NULL").join(members.where("row = rep").select("row"), "row", "left_semi")
     bands = written(reps.select(F.col("row").alias("rep"), F.explode("bands").alias("key")), "bands")
     buckets = bands.groupBy("key").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -237,7 +237,7 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRA
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, class_id (smallest id of the class), kept, class_size, n_links, n_copies.
+    """One row per row of docs: id, mark, class_id (smallest id of the class), kept, class_size, n_links, n_copies.
 
     n_links counts the verified links of the row's word sequence to different ones, n_copies the other rows with its
     words. A class holds all rows that links and equal words connect; of its rows exactly one is kept: that with the
@@ -250,16 +250,21 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM
     reps = written(reps.select("rep", "n_copies", F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "reps")
     alone = reps.where("n_copies = 0").withColumnRenamed("rep", "row")
     # rows of texts with copies know their representative's figures by its number; such hot groups are split by AQE
-    lone = members.where("row = rep").join(alone, "row").select("row", "id", "label", "n_links", "n_copies")
-    rest = members.join(reps.where("n_copies > 0"), "rep").select("row", "id", "label", "n_links", "n_copies")
+    lone = members.where("row = rep").join(alone, "row").select("row", "id", "mark", "label", "n_links", "n_copies")
+    rest = members.join(reps.where("n_copies > 0"), "rep").select("row", "id", "mark", "label", "n_links", "n_copies")
     rows = lone.unionByName(rest).withColumn("digest", F.unhex(F.lpad(F.hex("label"), 16, "0")))
     rows = written(rows.withColumn("order", F.struct(F.col("id").isNotNull().alias("known"), (-F.col("id").cast("long")).alias("least"), (-F.col("row")).alias("row"))), "classed")
     out = group_winner(rows, "digest", "order")
-    return out.select("id", (-F.col("winner.least")).alias("class_id"), (F.col("winner.row") == -F.col("row")).alias("kept"), F.col("group_size").alias("class_size"), "n_links", "n_copies")
+    return out.select("id", "mark", (-F.col("winner.least")).alias("class_id"), (F.col("winner.row") == -F.col("row")).alias("kept"), F.col("group_size").alias("class_size"), "n_links", "n_copies")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each class of near duplicates."""
+    return keep_rows(docs, near_classes(docs, id_col=id_col, text_col=text_col), id_col, mark(text_col))
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
+    return near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("mark").withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {"op9_jaccard": op9_jaccard}

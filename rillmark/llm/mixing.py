@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rillmark.llm.common import small, written
+from rillmark.llm.common import mark, small, written
 
 #: A word is a run of other characters than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,7 +48,7 @@ def _ranked(sources: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: list[int], share: float = 1.5, epochs: float = 2.0, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, row, size, source_size, target, taken.
+    """One row per row of docs: id, mark, size, source_size, target, taken.
 
     A source's target is its water-filled part of `share` times all words. Every document of it is taken floor(r)
     times whole, r = target / source_size; what is left goes to documents in a seeded order, whole as long as it
@@ -58,7 +58,7 @@ def mix(docs: DataFrame, weights: list[int], share: float = 1.5, epochs: float =
     """
     text = F.col(text_col).cast("string")
     draw = F.xxhash64(F.col(id_col), text, F.lit(seed))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), draw.alias("draw"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), mark(text_col).alias("mark"), word_count(text).alias("size"), draw.alias("draw"), F.monotonically_increasing_id().alias("row"))
     rows = written(rows, "sizes")
     sources = _ranked(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
@@ -89,7 +89,27 @@ def mix(docs: DataFrame, weights: list[int], share: float = 1.5, epochs: float =
     # no edge: the words run out nowhere, which is only so if nothing is left over
     off = off.withColumn("extra", F.when(F.col("slot") < F.col("edge"), F.col("size")).otherwise(F.lit(0).cast("long")))
     out = off.unionByName(at)
-    return out.select("id", "row", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
+    return out.select("id", "mark", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights: list[int], share: float = 1.5, epochs: float = 2.0, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The mix itself: rows of docs, repeated as often as taken; a part of a text is its first words, joined by spaces.
+
+    Rows equal in id and text share what they take.
+    """
+    taken = mix(docs, weights, share, epochs, seed, id_col, source_col, text_col).groupBy("id", "mark")
+    taken = written(taken.agg(F.sum("taken").alias("__taken"), F.max("size").alias("__size"), F.count(F.lit(1)).alias("__n")).withColumnsRenamed({"id": "__id", "mark": "__m"}).where("__taken > 0"), "taken")
+    marked = docs.withColumn("__mark", mark(text_col))
+    joined = marked.join(taken, marked["__mark"].eqNullSafe(taken["__m"]) & marked[id_col].cast("long").eqNullSafe(taken["__id"]))
+    if taken.where("__n > 1").limit(1).count():
+        joined = joined.where("__n = 1").unionByName(joined.where("__n > 1").dropDuplicates(["__id", "__m"]))
+    each = joined.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("__taken") / F.col("__size")) - 1)))
+    words = F.least(F.col("__size"), F.col("__taken") - F.col("__i") * F.col("__size"))
+    part = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")
+    each = each.withColumn(text_col, F.when(words < F.col("__size"), part).otherwise(F.col(text_col)))
+    if "n_chars" in docs.columns:
+        each = each.withColumn("n_chars", F.when(words < F.col("__size"), F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return each.select(*docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rillmark.llm.common import map_arrow, small, written
+from rillmark.llm.common import keep_rows, map_arrow, mark, small, written
 
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
 WINDOW = 8
@@ -79,8 +79,8 @@ def text_stats(texts: list[str | None]) -> list[np.ndarray]:
 
 def _stats(batches):
     for batch in batches:
-        cols = [pa.array(x) for x in text_stats(batch.column(3).to_pylist())]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], names=["id", "lang", "source", *(x.split()[0] for x in STATS.split(", "))])
+        cols = [pa.array(x) for x in text_stats(batch.column(4).to_pylist())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *cols], names=["id", "mark", "lang", "source", *(x.split()[0] for x in STATS.split(", "))])
 
 
 def chi2_cdf(x: float, k: int) -> float:
@@ -165,16 +165,16 @@ def _start(rows: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, quantile: float = QUANTILE, steps: int = STEPS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """One row per row of docs: id, the statistics, base_failed, distance, kept.
+    """One row per row of docs: id, mark, the statistics, base_failed, distance, kept.
 
     base_failed: under 20 words, or over 30 % of the words in repeated 8-word windows. The other documents form
     groups of equal language and source (null is a value like others); sources with fewer than `least` documents are
     pooled within their language, and languages with fewer still are pooled together. A pool that is too small
     even then gets no estimate, and the plain limits alone decide. Null texts count as empty.
     """
-    picked = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
+    picked = docs.select(F.col(id_col).alias("id"), mark(text_col, lang_col, source_col).alias("mark"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    stats = map_arrow(picked, _stats, f"id {kind}, lang string, source string, {STATS}")
+    stats = map_arrow(picked, _stats, f"id {kind}, mark long, lang string, source string, {STATS}")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     quoted = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     rows = written(stats.withColumns({"base_failed": failed, "lang": quoted("lang"), "source": quoted("source")}), "stats")
@@ -192,7 +192,12 @@ def quality_rules(docs: DataFrame, quantile: float = QUANTILE, steps: int = STEP
         params = _step(fitted, params)
     judged = _features(rows).join(small(params), "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_quantile(quantile, P), F.lit(True))
-    return judged.withColumn("kept", kept).select("id", *(x.split()[0] for x in STATS.split(", ")), "base_failed", "distance", "kept")
+    return judged.withColumn("kept", kept).select("id", "mark", *(x.split()[0] for x in STATS.split(", ")), "base_failed", "distance", "kept")
+
+
+def keep_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """docs without the rows that the rules reject."""
+    return keep_rows(docs, quality_rules(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, source_col=source_col), id_col, mark(text_col, lang_col, source_col))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
