@@ -45,6 +45,14 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def private(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def mark(text_col: str, *more: str):
     """A hash of a row's text (and other columns): with its id it tells the row's content from others'."""
     return F.xxhash64(*(F.col(c).cast("string") for c in (text_col, *more)))
@@ -57,16 +65,17 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame, id_col: str, marks) -> DataF
     sides are shuffled.
     """
     counted = written(verdicts.groupBy("id", "mark").agg(F.sum(F.col("kept").cast("long")).alias("k"), F.count(F.lit(1)).alias("n")), "verdicts")
+    own = private(docs, "__mark")
     named = lambda df: df.select(F.col("id").alias("__id"), F.col("mark").alias("__gone"))
-    on = lambda a, b: a["__mark"].eqNullSafe(b["__gone"]) & a[id_col].eqNullSafe(b["__id"])
-    marked = docs.withColumn("__mark", marks)
+    on = lambda a, b: a[own].eqNullSafe(b["__gone"]) & a[id_col].eqNullSafe(b["__id"])
+    marked = docs.withColumn(own, marks)
     gone = small(named(counted.where("k = 0")))
     out = marked.join(gone, on(marked, gone), "left_anti")
     partly = named(counted.where("k > 0 AND k < n"))
     if partly.limit(1).count():
         partly = small(partly)
-        out = out.join(partly, on(out, partly), "left_anti").unionByName(out.join(partly, on(out, partly), "left_semi").dropDuplicates([id_col, "__mark"]))
-    return out.drop("__mark")
+        out = out.join(partly, on(out, partly), "left_anti").unionByName(out.join(partly, on(out, partly), "left_semi").dropDuplicates([id_col, own]))
+    return out.drop(own)
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rillmark.llm.common import mark, small, written
+from rillmark.llm.common import mark, private, small, written
 
 #: A word is a run of other characters than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -98,17 +98,18 @@ def mixed_rows(docs: DataFrame, weights: list[int], share: float = 1.5, epochs:
     Rows equal in id and text share what they take.
     """
     taken = mix(docs, weights, share, epochs, seed, id_col, source_col, text_col).groupBy("id", "mark")
-    taken = written(taken.agg(F.sum("taken").alias("__taken"), F.max("size").alias("__size"), F.count(F.lit(1)).alias("__n")).withColumnsRenamed({"id": "__id", "mark": "__m"}).where("__taken > 0"), "taken")
-    marked = docs.withColumn("__mark", mark(text_col))
-    joined = marked.join(taken, marked["__mark"].eqNullSafe(taken["__m"]) & marked[id_col].cast("long").eqNullSafe(taken["__id"]))
-    if taken.where("__n > 1").limit(1).count():
-        joined = joined.where("__n = 1").unionByName(joined.where("__n > 1").dropDuplicates(["__id", "__m"]))
-    each = joined.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("__taken") / F.col("__size")) - 1)))
-    words = F.least(F.col("__size"), F.col("__taken") - F.col("__i") * F.col("__size"))
+    got, size, n, i, key, m, own = (private(docs, f"__{x}") for x in ("taken", "size", "n", "i", "id", "m", "mark"))
+    taken = written(taken.agg(F.sum("taken").alias(got), F.max("size").alias(size), F.count(F.lit(1)).alias(n)).withColumnsRenamed({"id": key, "mark": m}).where(F.col(got) > 0), "taken")
+    marked = docs.withColumn(own, mark(text_col))
+    joined = marked.join(taken, marked[own].eqNullSafe(taken[m]) & marked[id_col].cast("long").eqNullSafe(taken[key]))
+    if taken.where(F.col(n) > 1).limit(1).count():
+        joined = joined.where(F.col(n) == 1).unionByName(joined.where(F.col(n) > 1).dropDuplicates([key, m]))
+    each = joined.withColumn(i, F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(got) / F.col(size)) - 1)))
+    words = F.least(F.col(size), F.col(got) - F.col(i) * F.col(size))
     part = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")
-    each = each.withColumn(text_col, F.when(words < F.col("__size"), part).otherwise(F.col(text_col)))
+    each = each.withColumn(text_col, F.when(words < F.col(size), part).otherwise(F.col(text_col)))
     if "n_chars" in docs.columns:
-        each = each.withColumn("n_chars", F.when(words < F.col("__size"), F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        each = each.withColumn("n_chars", F.when(words < F.col(size), F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return each.select(*docs.columns)
 
 
