@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("warc", "pii", "quality", "urls", "exact_dedup", "mixing", "packing", "jaccard", "ppm")
+MODULES = ("warc", "pii", "quality", "urls", "exact_dedup", "line_dedup", "mixing", "packing", "jaccard", "ppm")
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in MODULES:

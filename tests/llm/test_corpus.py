@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rillmark.llm import boosting, common, exact_dedup, jaccard, mixing, packing, pii, ppm, quality, urls, warc
+from rillmark.llm import boosting, common, exact_dedup, jaccard, line_dedup, mixing, packing, pii, ppm, quality, urls, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -428,3 +428,26 @@ def test_pipeline_stages(spark, docs):
         assert name == "source_mixing" or now.count() <= before.count()
     packed = pipeline.STAGES[-1][1](spark, now, "")
     assert packed.select("doc_id").distinct().count() == now.select("doc_id").distinct().count()
+
+
+# ---- lines
+
+
+def test_line_dedup(spark, nothing):
+    r = random.Random(8)
+    common_lines = [f"shared line {i}" for i in range(12)]
+    rows = [(i, "\n".join([" " + r.choice(common_lines) + "\t" if r.random() < 0.5 else f"own {r.randint(0, 400)}" for _ in range(r.randint(1, 8))] + ["", " "][: r.randint(0, 2)]), f"s{r.randint(0, 14)}" if i % 9 else None, "x") for i in range(200)]
+    rows += [(500, None, "s1", "x"), (501, "", "s1", "x"), (None, "shared line 1\nk", "s2", "x"), (3, *rows[3][1:]), (502, "own\n" * 3000, "s3", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, at string")
+    bare = lambda x: x.strip(" \t\x0b\x0c\r")
+    sites = defaultdict(set)
+    for _, t, s, _ in rows:
+        for line in (t or "").split("\n"):
+            sites[bare(line)].add(s)
+    bad = {x for x, s in sites.items() if x and len(s) >= 6}
+    assert bad
+    expected = Counter((i, None if t is None else "\n".join(x for x in t.split("\n") if bare(x) not in bad)) for i, t, *_ in rows)
+    got = line_dedup.drop_boilerplate(df, 6)
+    assert got.columns == df.columns
+    assert Counter((x["doc_id"], x["text"]) for x in got.collect()) == expected
+    assert line_dedup.drop_boilerplate(nothing, 6).count() == 0
