@@ -20,8 +20,8 @@ from rillmark.llm.components import components
 GRAM, THRESHOLD = 5, 0.8
 #: A pair is a candidate if all ROWS MinHash values of one of BANDS bands agree: 0.06 % of pairs at 0.8 are not.
 BANDS, ROWS = 40, 8
-#: MinHash values that pruning compares, STEP at a time; posterior probability of reaching the threshold below which it drops a pair.
-SIGNATURE, STEP, TOLERANCE = 128, 16, 1e-6
+#: MinHash values (their lowest bytes) that pruning compares, STEP at a time; posterior probability of reaching the threshold below which it drops a pair.
+SIGNATURE, STEP, TOLERANCE = BANDS * ROWS, 32, 1e-5
 #: Rows of one side that a pruning task compares at once; words whose hashes a worker keeps.
 CHUNK, CACHE = 1000, 400_000
 
@@ -78,11 +78,12 @@ def shingles(words: list[list[bytes]], gram: int) -> tuple[np.ndarray, np.ndarra
 def minhashes(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A row of BANDS * ROWS MinHash values for each text with shingles."""
     x = (h >> np.uint64(32)).astype(np.uint32)
-    starts = (np.cumsum(counts) - counts)[counts > 0]
-    out = np.empty((BANDS * ROWS, len(starts)), np.uint32)
-    for i in range(BANDS * ROWS):
-        out[i] = np.minimum.reduceat(x * _A[i] + _B[i], starts)
-    return out.T
+    sizes = counts[counts > 0]
+    out = np.full((len(sizes), BANDS * ROWS), 0xFFFFFFFF, np.uint32)
+    for own, end, n in zip(out, np.cumsum(sizes), sizes, strict=True):
+        for i in range(end - n, end, 512):  # blocks that stay in the processor's cache
+            np.minimum(own, (x[i : min(i + 512, end), None] * _A + _B).min(axis=0), out=own)
+    return out
 
 
 def _sketches(gram: int):
@@ -98,7 +99,7 @@ def _sketches(gram: int):
                 for r in range(ROWS):
                     keys = _mix(keys * _M1 + values[:, r::ROWS].astype(np.uint64))
                 keys = keys.view(np.int64)
-                tail = (values[:, :SIGNATURE] & np.uint32(0xFFFF)).astype("<u2")
+                tail = (values[:, :SIGNATURE] & np.uint32(0xFF)).astype(np.uint8)
                 for k, i in enumerate(own):
                     bands[i], signatures[i] = keys[k], tail[k].tobytes()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())], names=["row", "id", "mark", "text", "digest", "bands", "sig"])
@@ -106,21 +107,23 @@ def _sketches(gram: int):
     return sketch
 
 
-def survivors(left: np.ndarray, right: np.ndarray, least: dict[int, int]) -> np.ndarray:
-    """Of pairs of signatures (rows of both arrays), those that incremental comparison doesn't drop."""
-    alive = np.arange(len(left))
-    matches = np.zeros(len(left), np.int64)
+def survivors(left: np.ndarray, right: np.ndarray, least: dict[int, int], x: np.ndarray | None = None, y: np.ndarray | None = None) -> np.ndarray:
+    """Of pairs of signatures (rows x of left and y of right), the numbers of those that incremental comparison doesn't drop."""
+    x = np.arange(len(left)) if x is None else x
+    y = np.arange(len(right)) if y is None else y
+    alive = np.arange(len(x))
+    matches = np.zeros(len(x), np.int64)
     for k, m in least.items():
         if not alive.size:
             break
-        matches = matches + (left[alive, k - STEP : k] == right[alive, k - STEP : k]).sum(axis=1)
+        matches = matches + (left[x[alive], k - STEP : k] == right[y[alive], k - STEP : k]).sum(axis=1)
         keep = matches >= m
         alive, matches = alive[keep], matches[keep]
     return alive
 
 
 def _signatures(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "<u2").reshape(-1, SIGNATURE)
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, SIGNATURE)
 
 
 def _prune(least: dict[int, int]):
@@ -141,37 +144,74 @@ def _verify(gram: int, threshold: float):
             (h, n), (g, m) = shingles(left, gram), shingles(right, gram)
             ends, others = np.cumsum(n), np.cumsum(m)
             for i, (x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                one, two = np.unique(h[ends[i] - n[i] : ends[i]]), np.unique(g[others[i] - m[i] : others[i]])
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                if common and common >= threshold * (len(one) + len(two) - common) - 1e-9:
+                similarity = jaccard(np.unique(h[ends[i] - n[i] : ends[i]]), np.unique(g[others[i] - m[i] : others[i]]))
+                if similarity >= threshold - 1e-12:
                     a.append(x)
                     b.append(y)
-                    sims.append(common / (len(one) + len(two) - common))
+                    sims.append(similarity)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
 
     return verify
 
 
-def _blocks(least: dict[int, int]):
-    """Pairs of one block that are of different components and that pruning leaves; only these are returned."""
+class _Merged:
+    """Components that links found so far have merged."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            x = up
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.parent[self.find(x)] = self.find(y)
+
 
-    def pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
+def _blocks(least: dict[int, int], gram: int, threshold: float):
+    """Links between different components in one block: pairs that pruning leaves are verified here on whole texts, unless
+    links of the block have joined their components already. So a block returns fewer links than it has components."""
+
+    def links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         one, two = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        if key[1] < 0:  # a chunk against itself or another: each pair once
-            two = one if not len(two) else two
+        if key[1] < 0 and not len(two):  # a chunk against itself
+            two = one
+        out: list[tuple] = []
         if len(one) and len(two):
-            s, t = _signatures(one["sig"]), _signatures(two["sig"])
+            sets: dict[int, np.ndarray] = {}
+            texts = dict(zip(rows["rep"].tolist(), rows["text"].tolist(), strict=True))
+
+            def shingled(rep: int) -> np.ndarray:
+                if rep not in sets:
+                    sets[rep] = np.unique(shingles([texts[rep].encode().lower().split()], gram)[0])
+                return sets[rep]
+
+            s, t, merged = _signatures(one["sig"]), _signatures(two["sig"]), _Merged()
             c, d, p, q = (x.to_numpy() for x in (one["label"], two["label"], one["rep"], two["rep"]))
             for i in range(0, len(s), 64):
                 x, y = np.nonzero(c[i : i + 64, None] != d[None, :])
                 x += i
-                keep = survivors(s[x], t[y], least)
-                out.append(np.stack([np.minimum(p[x[keep]], q[y[keep]]), np.maximum(p[x[keep]], q[y[keep]])]))
-        found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-        return pd.DataFrame({"a": found[0], "b": found[1]})
+                keep = survivors(s, t, least, x, y)
+                for k in keep.tolist():
+                    u, v = int(x[k]), int(y[k])
+                    if merged.find(int(c[u])) != merged.find(int(d[v])):
+                        similarity = jaccard(shingled(int(p[u])), shingled(int(q[v])))
+                        if similarity >= threshold - 1e-12:
+                            merged.join(int(c[u]), int(d[v]))
+                            out.append((min(int(p[u]), int(q[v])), max(int(p[u]), int(q[v])), similarity))
+        return pd.DataFrame(out, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
+
+    return links
+
 
-    return pairs
+def jaccard(one: np.ndarray, two: np.ndarray) -> float:
+    """Similarity of two sorted arrays of different hashes."""
+    if not len(one) or not len(two):
+        return 0.0
+    at = np.minimum(np.searchsorted(one, two), len(one) - 1)
+    common = int((one[at] == two).sum())
+    return common / (len(one) + len(two) - common)
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, gram: int, threshold: float) -> DataFrame:
@@ -189,8 +229,8 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRA
 
     Buckets of equal bands are not expanded into pairs. Every member is first compared with the bucket's smallest
     representative. Where members of a bucket are then still in different components, all pairs across components are
-    pruned inside blocks of at most CHUNK by CHUNK rows, from which only what pruning leaves comes out; after this
-    each candidate pair is either in one component or was compared. Null texts count as empty; texts without words
+    pruned and verified inside blocks of at most CHUNK by CHUNK rows, from which only links come out; after this each
+    candidate pair is either in one component or known to be none. Null texts count as empty; texts without words
     are equal to each other and to nothing else.
     """
     least = least_matches(threshold, tolerance)
@@ -225,21 +265,20 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRA
     other = F.transform(upto("c1"), lambda i: cell(i, draw("c2"), 1))
     among = F.transform(upto("c2"), lambda j: F.when(j >= draw("c2"), cell(-1 - draw("c2"), j, 0)).otherwise(cell(-1 - j, draw("c2"), 1)))
     cells = mixed.withColumn("cell", F.explode(F.when(F.col("is_main"), main).otherwise(F.concat(other, among)))).select("key", "cell.i", "cell.j", "cell.side", "rep", "label")
-    cells = cells.join(sets.select(F.col("row").alias("rep"), "sig"), "rep")
-    more = cells.groupBy("key", "i", "j").applyInPandas(_blocks(least), "a long, b long").distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    if more.limit(1).count():
-        found = _checked(more, sets, gram, threshold)
+    cells = cells.join(sets.select(F.col("row").alias("rep"), "sig", "text"), "rep")
+    found = cells.groupBy("key", "i", "j").applyInPandas(_blocks(least, gram, threshold), "a long, b long, similarity double")
+    found = written(found.distinct(), "more-links")
+    if found.limit(1).count():
         links = links.unionByName(found)
-        if found.limit(1).count():
-            labels = written(components(links), "labels")
+        labels = written(components(links), "labels")
     return members, links, labels
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, mark, class_id (smallest id of the class), kept, class_size, n_links, n_copies.
 
-    n_links counts the verified links of the row's word sequence to different ones, n_copies the other rows with its
+    n_links counts the links kept between the row's word sequence and different ones (enough to connect its class; pairs
+    that others connect already are not all listed), n_copies the other rows with its
     words. A class holds all rows that links and equal words connect; of its rows exactly one is kept: that with the
     smallest id (a null id counts as the largest), the first of several. See jaccard_links for odd texts.
     """
