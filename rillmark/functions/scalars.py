@@ -115,7 +115,7 @@ def reciprocal_quad(a: str = "a", b: str = "b", m: str = "m", n: str = "n") -> C
 
 def shifted(ts: Column, seconds: Column) -> Column:
     """ts and a number of seconds, to the microsecond; time zones play no part."""
-    return F.timestamp_add("MICROSECOND", F.round(seconds * 1_000_000).cast("bigint"), ts)
+    return F.timestamp_add("MICROSECOND", F.round(seconds * F.lit(1e6)).cast("bigint"), ts)
 
 
 def seconds_between(start: Column, end: Column) -> Column:
