@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-SQL: dict = {}
+from rillmark.plans import basic, fields, timeseries
+
+QUERIES: dict = basic.QUERIES | timeseries.QUERIES | fields.QUERIES
+SQL: dict = basic.SQL | timeseries.SQL | fields.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    """Events by consensus of sensors."""
+    return timeseries.event_detect(spark, sf_dir)
