@@ -145,15 +145,15 @@ def per_pulse(spark, d):
     return survey.waveform_resistances(rows, ["quad"], 0.5, digits=6)
 
 
-@query(f"WITH {PS} SELECT quad, count(*) AS n, count(mean_resistance) AS n_r, round(sum(mean_voltage), 3) AS v, round(sum(mean_resistance), 3) AS r FROM ps GROUP BY 1")
+@query(f"WITH {PS} SELECT quad, count(*) AS n, count(mean_resistance) AS n_r, round(sum(mean_voltage) / 7, 6) AS v, round(sum(mean_resistance) / 7, 6) AS r FROM ps GROUP BY 1")
 def pulse_stats(spark, d):
-    return per_pulse(spark, d).groupBy("quad").agg(F.count(F.lit(1)).alias("n"), F.count("mean_resistance").alias("n_r"), F.round(F.sum("mean_voltage"), 3).alias("v"), F.round(F.sum("mean_resistance"), 3).alias("r"))
+    return per_pulse(spark, d).groupBy("quad").agg(F.count(F.lit(1)).alias("n"), F.count("mean_resistance").alias("n_r"), F.round(F.sum("mean_voltage") / 7, 6).alias("v"), F.round(F.sum("mean_resistance") / 7, 6).alias("r"))
 
 
 @query(f"""WITH {PS}, ds AS (SELECT DISTINCT * EXCLUDE (pulse, polarity) FROM ps)
-SELECT quad, round(avg(mean_voltage), 4) AS mean_voltage, round(stddev_samp(std_voltage), 4) AS std_voltage, round(median(median_voltage), 4) AS median_voltage, round(avg(mean_resistance), 4) AS mean_resistance FROM ds GROUP BY 1""")
+SELECT quad, round(avg(mean_voltage) / 7, 6) AS mean_voltage, round(stddev_samp(std_voltage) / 7, 6) AS std_voltage, round(median(median_voltage) / 7, 6) AS median_voltage, round(avg(mean_resistance) / 7, 6) AS mean_resistance FROM ds GROUP BY 1""")
 def waveform_summary(spark, d):
-    return survey.waveform_summary(per_pulse(spark, d), ["quad"]).select("quad", *(F.round(c, 4).alias(c) for c in ("mean_voltage", "std_voltage", "median_voltage", "mean_resistance")))
+    return survey.waveform_summary(per_pulse(spark, d), ["quad"]).select("quad", *(F.round(F.col(c) / 7, 6).alias(c) for c in ("mean_voltage", "std_voltage", "median_voltage", "mean_resistance")))
 
 
 @query(f"WITH {WAVE} SELECT quad, round(avg(voltage), 6) AS mean_voltage, round(stddev_samp(voltage), 6) AS std_voltage, round(median(voltage), 6) AS median_voltage FROM wf WHERE polarity <> 0 GROUP BY 1")
