@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +29,7 @@ _random = np.random.default_rng(20)
 _A = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _B = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_hashes: dict[bytes, int] = {}
+_PLACES = _random.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def least_matches(threshold: float, tolerance: float, step: int = STEP, n: int = SIGNATURE) -> dict[int, int]:
@@ -50,29 +50,37 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+class _Hashes(dict):
+    """64-bit hashes of words, kept by each worker."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > CACHE:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_hashes = _Hashes()
+
+
 def shingles(words: list[list[bytes]], gram: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all runs of `gram` words, and how many each text has; a shorter text with a word has one of all its words."""
-    if len(_hashes) > CACHE:
-        _hashes.clear()
-    known = _hashes
-    for own in words:
-        for w in own:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
     sizes = np.array([len(w) for w in words], np.int64)
-    flat = np.fromiter((known[w] for own in words for w in own), np.uint64, int(sizes.sum()))
-    ends = np.cumsum(sizes)
-    n = len(flat)
+    n = int(sizes.sum())
+    counts = np.where(sizes >= gram, sizes - gram + 1, np.minimum(sizes, 1))
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(words), np.int64)
+        return np.zeros(0, np.uint64), counts
+    flat = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(words)), np.uint64, n)
     padded = np.concatenate([flat, np.zeros(gram, np.uint64)])
     h = np.zeros(n, np.uint64)
-    left = np.repeat(ends, sizes) - np.arange(n)  # words from here to the text's end
-    for j in range(gram):
-        h = _mix(h * _M1 + np.where(left > j, padded[j : n + j], np.uint64(0)))
-    counts = np.where(sizes >= gram, sizes - gram + 1, np.minimum(sizes, 1))
+    for j in range(gram):  # a sum of word hashes times an odd number for each place
+        h += padded[j : n + j] * _PLACES[j]
+    ends = np.cumsum(sizes)
+    for i in np.flatnonzero((sizes > 0) & (sizes < gram)):  # what follows a short text isn't part of it
+        own = flat[ends[i] - sizes[i] : ends[i]]
+        h[ends[i] - sizes[i]] = (own * _PLACES[: len(own)]).sum(dtype=np.uint64)
     first = np.arange(n) - np.repeat(ends - sizes, sizes)
-    return h[first < np.repeat(counts, sizes)], counts
+    return _mix(h[first < np.repeat(counts, sizes)]), counts
 
 
 def minhashes(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -169,38 +177,56 @@ class _Merged:
         self.parent[self.find(x)] = self.find(y)
 
 
+def _block_links(key: tuple, rows: list[tuple], least: dict[int, int], gram: int, threshold: float) -> list[tuple]:
+    """Links between different components in one block of rows (side, rep, label, sig, text): pairs that pruning leaves are
+    verified here on whole texts, unless links of the block have joined their components already. So a block returns
+    fewer links than it has components."""
+    one, two = [r for r in rows if r[0] == 0], [r for r in rows if r[0] == 1]
+    if key[1] < 0 and not two:  # a chunk against itself
+        two = one
+    out: list[tuple] = []
+    if not one or not two or len({r[2] for r in rows}) < 2:
+        return out
+    sets: dict[int, np.ndarray] = {}
+
+    def shingled(row: tuple) -> np.ndarray:
+        if row[1] not in sets:
+            sets[row[1]] = np.unique(shingles([row[4].encode().lower().split()], gram)[0])
+        return sets[row[1]]
+
+    s, t, merged = _signatures([r[3] for r in one]), _signatures([r[3] for r in two]), _Merged()
+    c, d = np.array([r[2] for r in one]), np.array([r[2] for r in two])
+    for i in range(0, len(one), 64):
+        x, y = np.nonzero(c[i : i + 64, None] != d[None, :])
+        x += i
+        for k in survivors(s, t, least, x, y).tolist():
+            u, v = one[x[k]], two[y[k]]
+            if merged.find(u[2]) != merged.find(v[2]):
+                similarity = jaccard(shingled(u), shingled(v))
+                if similarity >= threshold - 1e-12:
+                    merged.join(u[2], v[2])
+                    out.append((min(u[1], v[1]), max(u[1], v[1]), similarity))
+    return out
+
+
 def _blocks(least: dict[int, int], gram: int, threshold: float):
-    """Links between different components in one block: pairs that pruning leaves are verified here on whole texts, unless
-    links of the block have joined their components already. So a block returns fewer links than it has components."""
-
-    def links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        one, two = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        if key[1] < 0 and not len(two):  # a chunk against itself
-            two = one
-        out: list[tuple] = []
-        if len(one) and len(two):
-            sets: dict[int, np.ndarray] = {}
-            texts = dict(zip(rows["rep"].tolist(), rows["text"].tolist(), strict=True))
-
-            def shingled(rep: int) -> np.ndarray:
-                if rep not in sets:
-                    sets[rep] = np.unique(shingles([texts[rep].encode().lower().split()], gram)[0])
-                return sets[rep]
-
-            s, t, merged = _signatures(one["sig"]), _signatures(two["sig"]), _Merged()
-            c, d, p, q = (x.to_numpy() for x in (one["label"], two["label"], one["rep"], two["rep"]))
-            for i in range(0, len(s), 64):
-                x, y = np.nonzero(c[i : i + 64, None] != d[None, :])
-                x += i
-                keep = survivors(s, t, least, x, y)
-                for k in keep.tolist():
-                    u, v = int(x[k]), int(y[k])
-                    if merged.find(int(c[u])) != merged.find(int(d[v])):
-                        similarity = jaccard(shingled(int(p[u])), shingled(int(q[v])))
-                        if similarity >= threshold - 1e-12:
-                            merged.join(int(c[u]), int(d[v]))
-                            out.append((min(int(p[u]), int(q[v])), max(int(p[u]), int(q[v])), similarity))
-        return pd.DataFrame(out, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
+    """Rows (key, i, j, side, rep, label, sig, text) sorted by block, block after block; a block may span batches."""
+
+    def links(batches):
+        key, rows = None, []
+        found: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != key:
+                    if len(rows) > 1:
+                        found += _block_links(key, rows, least, gram, threshold)
+                    key, rows = row[:3], []
+                rows.append(row[3:])
+        if len(rows) > 1:
+            found += _block_links(key, rows, least, gram, threshold)
+        found = sorted(set(found))
+        columns = list(zip(*found, strict=True)) or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "similarity"])
 
     return links
 
@@ -256,7 +282,7 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRA
     rank = F.row_number().over(of_key.orderBy(F.desc("own"), "label"))
     parts = parts.withColumns({"parts": F.count(F.lit(1)).over(of_key), "total": F.sum("own").over(of_key), "rank": rank}).where("parts > 1")
     parts = written(parts.groupBy("key").agg(F.max(F.when(F.col("rank") == 1, F.col("label"))).alias("main"), F.max(F.when(F.col("rank") == 1, F.col("own"))).alias("n_main"), F.max("total").alias("total")), "mixed")
-    mixed = crowd.join(parts, "key").select("key", "rep", "label", (F.col("label") == F.col("main")).alias("is_main"), F.ceil(F.col("n_main") / CHUNK).cast("int").alias("c1"), F.ceil((F.col("total") - F.col("n_main")) / CHUNK).cast("int").alias("c2"))
+    mixed = crowd.join(parts, "key").select("key", "rep", "label", (F.col("label") == F.col("main")).alias("is_main"), (F.col("total") - F.col("n_main")).alias("n_other"), F.ceil(F.col("n_main") / CHUNK).cast("int").alias("c1"), F.ceil((F.col("total") - F.col("n_main")) / CHUNK).cast("int").alias("c2"))
     # members of the largest component meet the others chunk by chunk; the others meet each other likewise
     draw = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     cell = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
@@ -264,9 +290,10 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRA
     main = F.transform(upto("c2"), lambda j: cell(draw("c1"), j, 0))
     other = F.transform(upto("c1"), lambda i: cell(i, draw("c2"), 1))
     among = F.transform(upto("c2"), lambda j: F.when(j >= draw("c2"), cell(-1 - draw("c2"), j, 0)).otherwise(cell(-1 - j, draw("c2"), 1)))
-    cells = mixed.withColumn("cell", F.explode(F.when(F.col("is_main"), main).otherwise(F.concat(other, among)))).select("key", "cell.i", "cell.j", "cell.side", "rep", "label")
+    cells = mixed.withColumn("cell", F.explode(F.when(F.col("is_main"), main).when(F.col("n_other") > 1, F.concat(other, among)).otherwise(other))).select("key", "cell.i", "cell.j", "cell.side", "rep", "label")
     cells = cells.join(sets.select(F.col("row").alias("rep"), "sig", "text"), "rep")
-    found = cells.groupBy("key", "i", "j").applyInPandas(_blocks(least, gram, threshold), "a long, b long, similarity double")
+    cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "side", "rep", "label", "sig", "text")
+    found = map_arrow(cells, _blocks(least, gram, threshold), "a long, b long, similarity double")
     found = written(found.distinct(), "more-links")
     if found.limit(1).count():
         links = links.unionByName(found)
