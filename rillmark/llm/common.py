@@ -21,7 +21,14 @@ def scratch(spark: SparkSession) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="rillmark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/rillmark"
+    return f"{base.rstrip('/')}/rillmark-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application has written to the scratch folder. Results not yet stored elsewhere go with it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rillmark.llm.common import group_winner, keep_rows, map_arrow, mark, utf8, written
+from rillmark.llm.common import group_winner, keep_rows, map_arrow, mark, small, utf8, written
 from rillmark.llm.components import components
 
 #: Words of a shingle and the least similarity of a link.
@@ -247,10 +247,86 @@ def _checked(pairs: DataFrame, sets: DataFrame, gram: int, threshold: float) ->
     return written(map_arrow(joined, _verify(gram, threshold), "a long, b long, similarity double"), "links")
 
 
-def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, links, labels) of the texts of docs.
+def _near_pairs(one: list[np.ndarray], two: list[np.ndarray], threshold: float, width: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the other side's sets each set is similar to. Common hashes are counted by products of 0/1 matrices over
+    the hashes that two sets at least have, a slice of them at a time."""
+    sizes, others = np.array([len(x) for x in one], np.int64), np.array([len(x) for x in two], np.int64)
+    common = np.zeros((len(one), len(two)), np.float32)
+    sides = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (one, two)]
+    shared = np.intersect1d(*sides)
+    rows = [np.repeat(np.arange(len(n)), n) for n in (sizes, others)]
+    places = []
+    for side, row in zip(sides, rows, strict=True):
+        at = np.minimum(np.searchsorted(shared, side), max(len(shared) - 1, 0))
+        hit = shared[at] == side if len(shared) else np.zeros(len(side), bool)
+        order = np.argsort(at[hit], kind="stable")
+        places.append((at[hit][order], row[hit][order]))
+    for start in range(0, len(shared), width):
+        slices = []
+        for (at, row), n in zip(places, (len(one), len(two)), strict=True):
+            a, b = np.searchsorted(at, (start, start + width))
+            matrix = np.zeros((n, width), np.float32)
+            matrix[row[a:b], at[a:b] - start] = 1
+            slices.append(matrix)
+        common += slices[0] @ slices[1].T
+    near = common >= (threshold - 1e-12) * (sizes[:, None] + others[None, :] - common)
+    return near.sum(axis=1), near.sum(axis=0)
+
+
+def _block_counts(key: tuple, rows: list[tuple], gram: int, threshold: float) -> list[tuple]:
+    """(row, n): similar texts that each text (side, row, text) has in one block of a component."""
+    found, counts = shingles([r[2].encode().lower().split() for r in rows], gram)
+    ends = np.cumsum(counts)
+    sets = [np.unique(found[e - n : e]) for e, n in zip(ends, counts, strict=True)]
+    if key[1] == key[2]:
+        n, _ = _near_pairs(sets, sets, threshold)
+        return [(r[1], int(k) - 1) for r, k in zip(rows, n, strict=True)]
+    one, two = [i for i, r in enumerate(rows) if r[0] == 0], [i for i, r in enumerate(rows) if r[0] == 1]
+    n, m = _near_pairs([sets[i] for i in one], [sets[i] for i in two], threshold)
+    return [(rows[i][1], int(k)) for i, k in (*zip(one, n, strict=True), *zip(two, m, strict=True))]
+
+
+def _counts(gram: int, threshold: float):
+    """Rows (label, i, j, side, row, text) sorted by block, block after block."""
+
+    def count(batches):
+        key, rows = None, []
+
+        def out():
+            got = _block_counts(key, rows, gram, threshold) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)], names=["rep", "n"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != key:
+                    yield out()
+                    key, rows = row[:3], []
+                rows.append(row[3:])
+        yield out()
+
+    return count
+
+
+def link_counts(sets: DataFrame, labels: DataFrame, gram: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """(rep, n_links): for each text (row, text) of a component, the different texts of at least the threshold's similarity.
+
+    Exact for any component: its texts are dealt into chunks of about CHUNK, and each pair of chunks is one block whose
+    common shingles are counted by matrix products; only counts leave it. That work is quadratic in the different texts
+    of a component, as the number of links is.
+    """
+    large = small(labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("c")).where("c > 1"))
+    rows = labels.join(large, "label", "left").withColumn("c", F.coalesce("c", F.lit(1))).withColumn("q", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
+    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    rows = rows.select("label", F.least("q", "x").alias("i"), F.greatest("q", "x").alias("j"), F.when(F.col("q") <= F.col("x"), 0).otherwise(1).alias("side"), F.col("node").alias("row"))
+    cells = rows.join(sets.select("row", "text"), "row").select("label", "i", "j", "side", "row", "text")
+    cells = cells.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+    return map_arrow(cells, _counts(gram, threshold), "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n_links"))
+
+
+def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(sets, members, links, labels) of the texts of docs.
 
-    members: row, id, mark, rep (row of its representative: texts with equal words, A-Z lower-cased, have one); links: (a, b,
+    sets: row, text and sketches; members: row, id, mark, rep (row of its representative: texts with equal words, A-Z lower-cased, have one); links: (a, b,
     similarity) of representatives; labels: (node, label) of the components of the links.
 
     Buckets of equal bands are not expanded into pairs. Every member is first compared with the bucket's smallest
@@ -298,22 +374,21 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRA
     if found.limit(1).count():
         links = links.unionByName(found)
         labels = written(components(links), "labels")
-    return members, links, labels
+    return sets, members, links, labels
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """One row per row of docs: id, mark, class_id (smallest id of the class), kept, class_size, n_links, n_copies.
 
-    n_links counts the links kept between the row's word sequence and different ones (enough to connect its class; pairs
-    that others connect already are not all listed), n_copies the other rows with its
+    n_links counts the different word sequences of its class that are similar to the row's (null without count_links), n_copies the other rows with its
     words. A class holds all rows that links and equal words connect; of its rows exactly one is kept: that with the
     smallest id (a null id counts as the largest), the first of several. See jaccard_links for odd texts.
     """
-    members, links, labels = jaccard_links(docs, threshold, gram, id_col=id_col, text_col=text_col)
-    ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    sets, members, _, labels = jaccard_links(docs, threshold, gram, id_col=id_col, text_col=text_col)
+    ends = link_counts(sets, labels, gram, threshold) if count_links else labels.select(F.col("node").alias("rep"), F.lit(None).cast("long").alias("n_links"))
     reps = members.groupBy("rep").agg((F.count(F.lit(1)) - 1).alias("n_copies"))
     reps = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(ends, "rep", "left")
-    reps = written(reps.select("rep", "n_copies", F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "reps")
+    reps = written(reps.select("rep", "n_copies", F.coalesce("label", "rep").alias("label"), (F.coalesce("n_links", F.lit(0)) if count_links else F.col("n_links")).cast("long").alias("n_links")), "reps")
     alone = reps.where("n_copies = 0").withColumnRenamed("rep", "row")
     # rows of texts with copies know their representative's figures by its number; such hot groups are split by AQE
     lone = members.where("row = rep").join(alone, "row").select("row", "id", "mark", "label", "n_links", "n_copies")
@@ -326,7 +401,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class of near duplicates."""
-    return keep_rows(docs, near_classes(docs, id_col=id_col, text_col=text_col), id_col, mark(text_col))
+    return keep_rows(docs, near_classes(docs, id_col=id_col, text_col=text_col, count_links=False), id_col, mark(text_col))
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

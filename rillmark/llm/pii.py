@@ -150,14 +150,15 @@ def _fitted(spark: SparkSession) -> tuple[Boosted, float]:
 
 
 def find_personal(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the column __spans, an array of (rank, start, end, kind, base, hit) in order of kind and start.
+    """docs with one more column, __spans (one of that name is replaced): an array of (rank, start, end, kind, base, hit) in order of kind and start.
 
     Base spans are those of the formats, checked (parts of an ip, digits and Luhn sum of a card, digits of a phone).
     Generators propose more; a proposal is taken if its calibrated score allows, it touches no base span, and no
     better proposal that it touches. Offsets count code points; a null text is empty; the whole text is read.
     """
     model, least = _fitted(docs.sparkSession)
-    out = docs.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rest = [c for c in docs.columns if c != "__spans"]  # packed, so that no name can clash with those used here
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("__row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"))
     for kind, pattern in KINDS.items():
         out = out.withColumn(f"__{kind}", _base(kind, pattern))
     out = out.withColumn("__base", F.concat(*(F.col(f"__{k}") for k in KINDS)))
@@ -169,7 +170,7 @@ def find_personal(docs: DataFrame, text_col: str = "text") -> DataFrame:
     better = lambda a, b: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & (F.struct(a["start"], a["rank"]) < F.struct(b["start"], b["rank"])))
     chosen = F.filter("__more", lambda s: ~F.exists("__more", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]) & better(b, s)))
     chosen = F.transform(chosen, lambda s: F.struct(*(s[c].alias(c) for c in ("rank", "start", "end", "kind", "base", "hit"))))
-    return out.withColumn("__spans", F.array_sort(F.concat("__base", chosen))).drop("__text", "__base", "__new", "__more", *(f"__{k}" for k in KINDS), *(f"__more_{k}" for k in GENERATORS))
+    return out.withColumn("__spans", F.array_sort(F.concat("__base", chosen))).select("__row.*", "__spans")
 
 
 def redacted(text: Column, spans: Column) -> Column:

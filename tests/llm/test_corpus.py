@@ -107,7 +107,7 @@ def test_pii_base_spans(spark):
     r = random.Random(1)
     parts = ["a@b.co", "x.y@z-w.org.", "@", "a@b", "1.2.3.4", "999.1.1.1", "001.2.3.255.7", "4111 1111 1111 1111", "4111111111111112", "+1 (555) 123-4567", "+49 30 1234", "é😀", " ", "\n", "5", "-", ".", "+", "12", "word"]
     texts = [None, ""] + ["".join(r.choice(parts) for _ in range(r.randint(1, 25))) for _ in range(150)] + ["a@" + "b." * 20000 + "c", "1" * 30000, "a" * 50000]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 AS start", "'k' AS kind")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 AS start", "'k' AS kind", "'t' AS __text", "2 AS __base")
     got = pii.find_personal(df)
     assert got.columns == [*df.columns, "__spans"]
     for row in got.collect():
@@ -190,7 +190,7 @@ def test_mcd_resists_contamination(spark):
 
 def test_url_rules(spark):
     cases = ["http://A.Example.com/en/x?y#z", "https://www.example.com/en/1", "x://b.net/es/", "http://c.org", None, "", "no scheme", "http://com/", "http://notcom/", "http://q.net/fr", "HTTP://a.net/fr/x", "a://b://c.com/d", "http://h.com?x=/", "http://é.com/ü"] + [f"http://s{i}.example.com/en/{i}" for i in range(60)] + [f"http://s{i}.shop.com/p/{i}" for i in range(60)]
-    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(cases)], "page_id int, url string, key string")
+    df = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(cases)], "page_id int, url string, key string, __url string")
     got = {r["page_id"]: r for r in urls.filter_urls(df, urls.RULES).collect()}
     for i, u in enumerate(cases):
         rest = u[u.find("://") + 3 :] if u and "://" in u else ""
@@ -329,6 +329,10 @@ def test_jaccard_classes_equal_brute_force(docs, nothing):
     expected = Counter((x, min((y for y in own if y is not None), default=None), len(own)) for own in classes.values() for x in own)
     assert Counter((r["id"], r["class_id"], r["class_size"]) for r in got) == expected
     assert sum(r["kept"] for r in got) == len(classes)
+    texts = {b" ".join(w): s for (_, w), s in zip(rows, sets, strict=True)}
+    links = {k: sum(bool(a and b) and j != k and len(a & b) >= 0.8 * len(a | b) for j, b in texts.items()) for k, a in texts.items()}
+    copies = Counter(b" ".join(w) for _, w in rows)
+    assert Counter((r["n_links"], r["n_copies"]) for r in got) == Counter((links[b" ".join(w)], copies[b" ".join(w)] - 1) for _, w in rows)
     assert jaccard.near_classes(nothing).count() == 0
     assert jaccard.near_dedup(docs).count() == len(classes)
 
@@ -345,6 +349,9 @@ def test_jaccard_finds_links_across_components(spark, monkeypatch):
     r.shuffle(texts)
     got = jaccard.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
     assert {x["class_id"] for x in got} == {0}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    links = [sum(len(a & b) >= 0.8 * len(a | b) for b in sets) - 1 for a in sets]
+    assert [x["n_links"] for x in sorted(got, key=lambda x: x["id"])] == links
 
 
 def test_pruning_table_and_recall():
@@ -419,6 +426,16 @@ def test_trie_equals_the_definition_and_sums_to_one():
 # ---- pipeline
 
 
+def test_scratch_is_cleared(spark):
+    path = common.scratch(spark)
+    kept = common.written(spark.range(3), "something")
+    assert kept.count() == 3 and path.split("://")[-1].startswith("/")
+    common.clear(spark)
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
 def test_pipeline_stages(spark, docs):
     pipeline = pytest.importorskip("corpus_pipeline")
     now = docs
