@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillmark.functions import scalars as S
-from rillmark.operators import events, fits, grid, reports, spectral
+from rillmark.operators import clean, events, fits, grid, reports, spectral
 from rillmark.plans.basic import r6, table
+from rillmark.sources import files
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -188,6 +189,26 @@ def exp_fit_grid(spark, d):
     return fits.grid_fit(tails(spark, d), ["event", "k"], TAUS).withColumns({"A": F.round("A", 4), "C": F.round("C", 4), "r2": F.round("r2", 6)})
 
 
+@query(f"""WITH {TAIL}, f AS (SELECT event, k, tau_h, regr_r2(value, exp(-t_h / tau_h)) AS r2 FROM tail, (VALUES (1.0::DOUBLE), (3.0), (10.0), (30.0), (100.0)) t(tau_h) GROUP BY 1, 2, 3),
+b AS (SELECT *, row_number() OVER (PARTITION BY event, k ORDER BY round(r2, 9) DESC, tau_h) AS i FROM f WHERE r2 IS NOT NULL)
+SELECT event, k, tau_h, round(r2, 6) AS r2 FROM b WHERE i = 1 AND r2 >= 0.01 AND tau_h BETWEEN 1 AND 50""")
+def good_fits(spark, d):
+    found = fits.grid_fit(tails(spark, d), ["event", "k"], TAUS)
+    return clean.good_fits(found, "r2", "tau_h", 0.01, 1.0, 50.0).select("event", "k", "tau_h", F.round("r2", 6).alias("r2"))
+
+
+@query("""SELECT DISTINCT 'S' || user_id % 30 AS sensor_id, CASE WHEN user_id % 2 = 0 THEN 'swale' ELSE 'control' END AS treatment, 'L' || user_id % 6 AS location FROM events WHERE user_id % 30 < 15""")
+def sensors_at_depth(spark, d):
+    u = F.col("user_id")
+    rows = table(spark, d, "events").select(F.concat(F.lit("S"), u % 30).alias("sensor_id"), F.when(u % 2 == 0, "swale").otherwise("control").alias("treatment"), F.concat(F.lit("L"), u % 6).alias("location"), F.when(u % 30 < 15, 10).otherwise(40).alias("depth_cm"))
+    return events.sensors_at_depth(rows, 10)
+
+
+@query()
+def cache_keys(spark, d):
+    return files.content_key(readings(spark, d), ["sensor"], "ts", "value", "welch-672")
+
+
 @query()
 def exp_pow_fit(spark, d):
     return fits.fit_tails(tails(spark, d), ["event", "k"])
