@@ -398,7 +398,7 @@ def topk_abs(spark, d):
     return table(spark, d, "supplier").orderBy(F.abs(F.col("s_acctbal") - 5000).desc(), "s_suppkey").limit(10).select("s_suppkey", "s_acctbal")
 
 
-@query("SELECT c_nationkey, c_custkey, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS k FROM customer) WHERE k <= 4")
+@query("SELECT c_nationkey, c_custkey, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS k FROM customer) WHERE k <= 4")
 def topk_per_group(spark, d):
     return windows.top_each(table(spark, d, "customer"), ["c_nationkey"], 4, F.desc_nulls_last("c_acctbal"), "c_custkey").select("c_nationkey", "c_custkey", "rank")
 

@@ -250,7 +250,7 @@ def electrode_noise(spark, d):
 
 
 @query(f"""WITH {SURVEY}, sg AS (SELECT quad, median(abs(vmn)) AS s FROM re GROUP BY 1), rk AS (SELECT quad, row_number() OVER (ORDER BY round(s, 6) DESC, quad) AS rank FROM sg),
-ce AS (SELECT quad, CAST(ts AS DATE) AS day, round(arg_max(least(recip_err_pct, 30), (ts, line)), 4) AS error FROM re WHERE recip_err_pct IS NOT NULL AND line = 'A' GROUP BY 1, 2) SELECT rank, quad, day, error FROM ce JOIN rk USING (quad)""")
+ce AS (SELECT quad, CAST(ts AS DATE) AS day, round(arg_max(least(recip_err_pct, 30), (ts, line)), 4) AS error FROM re WHERE recip_err_pct IS NOT NULL AND line = 'A' GROUP BY 1, 2) SELECT CAST(rank AS INTEGER) AS rank, quad, day, error FROM ce JOIN rk USING (quad)""")
 def error_heat(spark, d):
     rows = paired(spark, d).withColumnRenamed("ts", "timestamp").withColumn("vmn", F.col("vmn"))
     ranks = rows.groupBy("quad").agg(F.round(F.median(F.abs("vmn")), 6).alias("s"))
@@ -374,7 +374,7 @@ def crop(spark, d):
     return spatial.cropped(cells(spark, d), (0.0, 12.0, 0.0, 10.0), (3.4, 8.2, 2.0, 5.5), 12, 10).withColumns(r6("z"))
 
 
-@query(f"WITH {CELLS} SELECT round(-1 + (ix + 0.5) * 0.25, 6) AS x, round(2 + (iy + 0.5) * 0.5, 6) AS y, round(z, 6) AS z FROM grid")
+@query(f"WITH {CELLS} SELECT CAST(round(-1 + (ix + 0.5) * 0.25, 6) AS DOUBLE) AS x, CAST(round(2 + (iy + 0.5) * 0.5, 6) AS DOUBLE) AS y, round(z, 6) AS z FROM grid")
 def cell_centres(spark, d):
     return spatial.cell_centres(cells(spark, d), -1.0, 2.0, 0.25, 0.5).withColumns(r6("x", "y", "z"))
 
