@@ -39,6 +39,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df written to the scratch folder in hash buckets of key: later joins on key leave it where it lies."""
+    spark = df.sparkSession
+    n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"rillmark_{uuid.uuid4().hex}"
+    out = df.repartition(n, key).write.bucketBy(n, key).sortBy(key)
+    out.option("path", f"{scratch(spark)}/{name}-{table}").saveAsTable(table)
+    read = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # of the catalog's entry only: the files are at a path of their own
+    return read
+
+
 def map_arrow(df: DataFrame, func, schema: str) -> DataFrame:
     """df.mapInArrow in batches small enough for long texts."""
     conf = df.sparkSession.conf

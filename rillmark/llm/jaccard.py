@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rillmark.llm.common import group_winner, keep_rows, map_arrow, mark, small, utf8, written
+from rillmark.llm.common import bucketed, group_winner, keep_rows, map_arrow, mark, small, utf8, written
 from rillmark.llm.components import components
 
 #: Words of a shingle and the least similarity of a link.
@@ -240,11 +240,23 @@ def jaccard(one: np.ndarray, two: np.ndarray) -> float:
     return common / (len(one) + len(two) - common)
 
 
+def _attached(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """(a, b, one, two): pairs with a column of both members; a may be a hub of any number of pairs.
+
+    A hub's pairs are dealt over as many salts as they make chunks, and its value is repeated for each, so no task has
+    more than about a chunk of them. The table of sets stays in its buckets.
+    """
+    of = lambda c, name: sets.select(F.col("row").alias(c), F.col(column).alias(name))
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("salts"))
+    ones = hubs.join(of("a", "one"), "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    large = small(hubs.where("salts > 1"))
+    salted = pairs.join(large, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int"))
+    return salted.select("a", "b", "salt").join(of("b", "two"), "b").join(ones, ["a", "salt"]).select("a", "b", "one", "two")
+
+
 def _checked(pairs: DataFrame, sets: DataFrame, gram: int, threshold: float) -> DataFrame:
     """(a, b, similarity) of the pairs that whole texts confirm."""
-    text = lambda c: sets.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}"))
-    joined = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
-    return written(map_arrow(joined, _verify(gram, threshold), "a long, b long, similarity double"), "links")
+    return written(map_arrow(_attached(pairs, sets, "text"), _verify(gram, threshold), "a long, b long, similarity double"), "links")
 
 
 def _near_pairs(one: list[np.ndarray], two: list[np.ndarray], threshold: float, width: int = 4096) -> tuple[np.ndarray, np.ndarray]:
@@ -265,7 +277,7 @@ def _near_pairs(one: list[np.ndarray], two: list[np.ndarray], threshold: float,
         slices = []
         for (at, row), n in zip(places, (len(one), len(two)), strict=True):
             a, b = np.searchsorted(at, (start, start + width))
-            matrix = np.zeros((n, width), np.float32)
+            matrix = np.zeros((n, min(width, len(shared) - start)), np.float32)
             matrix[row[a:b], at[a:b] - start] = 1
             slices.append(matrix)
         common += slices[0] @ slices[1].T
@@ -338,17 +350,16 @@ def jaccard_links(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRA
     least = least_matches(threshold, tolerance)
     kind = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), mark(text_col).alias("mark"), F.col(text_col).cast("string").alias("text"))
-    sets = written(map_arrow(picked, _sketches(gram), f"row long, id {kind}, mark long, text string, digest binary, bands array<long>, sig binary"), "sketches")
+    # texts are moved once, here: the joins below that need some of them leave this table in its buckets
+    sets = bucketed(map_arrow(picked, _sketches(gram), f"row long, id {kind}, mark long, text string, digest binary, bands array<long>, sig binary"), "row", "sketches")
     keyed = sets.select("row", "id", "mark", "digest", F.struct(F.lit(0).alias("z"), (-F.col("row")).alias("r")).alias("order"))
     members = written(group_winner(keyed, "digest", "order").select("row", "id", "mark", (-F.col("winner.r")).alias("rep")), "members")
     reps = sets.where("sig IS NOT NULL").join(members.where("row = rep").select("row"), "row", "left_semi")
     bands = written(reps.select(F.col("row").alias("rep"), F.explode("bands").alias("key")), "bands")
     buckets = bands.groupBy("key").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     crowd = written(bands.join(buckets, "key").select("key", "rep", "first", "n"), "buckets")
-    stars = crowd.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    sig = lambda c: sets.select(F.col("row").alias(c), F.col("sig").alias(f"sig_{c}"))
-    stars = stars.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b")
-    pairs = written(map_arrow(stars, _prune(least), "a long, b long"), "pairs")
+    stars = written(crowd.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    pairs = written(map_arrow(_attached(stars, sets, "sig"), _prune(least), "a long, b long"), "pairs")
     links = _checked(pairs, sets, gram, threshold)
     labels = written(components(links), "labels")
     # buckets that still hold several components
