@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,13 +16,21 @@ ARROW_ROWS = 1000
 BROADCAST_ROWS = 200_000
 
 
+#: Folders of applications without spark.checkpoint.dir, as in tests.
+_own: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a temporary one only where none is set."""
+    """This application's part of the shared folder (spark.checkpoint.dir); a temporary one only where none is set."""
+    app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="rillmark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/rillmark-{spark.sparkContext.applicationId}"
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="rillmark-")
+        base = _own[app]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/rillmark-{app}")
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()  # names its file system
+    return re.sub("^file:/+", "file:///", whole)
 
 
 def clear(spark: SparkSession) -> None:
