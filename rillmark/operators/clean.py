@@ -109,7 +109,7 @@ def priority_dedup(df: DataFrame, key: list[str], source: str, priority: dict |
     """One row per key: that of the source of best priority, then by the tie-breakers.
 
     A null value of a better source wins unless prefer_non_null names the value column. The winner comes from one
-    min_by aggregate: rows are combined before they are shuffled, and nothing is sorted.
+    min_by aggregate, so each task combines its rows of a key before the shuffle and a key of many rows meets nowhere.
     """
     rank = vocab.recode(source, priority or vocab.SOURCE_PRIORITY, 99)
     first = [F.col(prefer_non_null).isNull()] if prefer_non_null else []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 
@@ -131,6 +132,18 @@ def inversion_rms(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", step.alias("iteration"), number.alias("rms")).where("rms IS NOT NULL")
 
 
+def cached(spark: SparkSession, folder: str, name: str, parameters: str, build) -> DataFrame:
+    """The table of `build()`, kept as Parquet under a name that holds a digest of the parameters: other parameters, other file.
+
+    Histograms of scans (name: the file's stem, parameters: bins and extent) and spectra (parameters: content_key) use it.
+    """
+    path = f"{folder.rstrip('/')}/{name}-{hashlib.sha256(parameters.encode()).hexdigest()[:16]}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def content_key(df: DataFrame, key: list[str], order: str, value: str, parameters: str) -> DataFrame:
     """(key, cache_key): a digest of parameters and ordered values, for content-addressed caches."""
     hashes = df.groupBy(*key).agg(F.sum(F.xxhash64(order, value).cast("decimal(38,0)")).alias("h"), F.count(F.lit(1)).alias("n"))

@@ -159,3 +159,15 @@ def test_sinks(spark, tmp_path):
     files.write_csv(rows, str(tmp_path / "c"))
     keys = files.content_key(rows, ["a"], "timestamp", "R", "v1").collect()
     assert len(keys[0].cache_key) == 64 and io
+
+
+def test_cache_depends_on_parameters(spark, tmp_path):
+    calls = []
+
+    def build(n):
+        calls.append(n)
+        return spark.range(n)
+
+    for n in (3, 3, 4):
+        assert files.cached(spark, f"file://{tmp_path}/c", "scan", f"bins={n}", lambda n=n: build(n)).count() == n
+    assert calls == [3, 4]
