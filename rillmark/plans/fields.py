@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rillmark.functions import climate as C
 from rillmark.functions import scalars as S
-from rillmark.operators import arrays, clean, spatial, survey
+from rillmark.operators import arrays, clean, scattered, spatial, survey
 from rillmark.operators import reports as R
 from rillmark.plans.basic import r6, table
 
@@ -455,3 +455,10 @@ def pseudo_position(spark, d):
         q = q.join(F.broadcast(e.select(F.col("channel").alias(c), F.col("x").alias(f"x{c}"))), c)
     mid, depth = survey.pseudo_position({c: F.col(f"x{c}") for c in "abmn"})
     return q.select("l_orderkey", "l_linenumber", F.round(mid, 6).alias("mid"), F.round(depth, 6).alias("depth"))
+
+
+@query()
+def scattered_heights(spark, d):
+    k = F.col("s_suppkey")
+    at = table(spark, d, "supplier").select((k % 10).cast("int").alias("scan"), "s_suppkey", (k % 13 * 0.03 - 0.2).alias("x"), (k % 11 * 0.03 - 0.15).alias("y"))
+    return scattered.scattered(points(spark, d), at, "scan")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillmark.functions import climate, scalars
-from rillmark.operators import arrays, clean, events, fits, grid, health, reports, spatial, spectral, survey
+from rillmark.operators import arrays, clean, events, fits, grid, health, reports, scattered, spatial, spectral, survey
 from rillmark.streaming import online
 
 T0 = datetime(2024, 1, 1)
@@ -286,3 +286,27 @@ def test_online_sessions(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted(r.n for r in spark.table("sessions").collect()) == [1, 2]
+
+
+def test_triangulation_is_delaunay_and_covers_the_hull():
+    rng = np.random.default_rng(6)
+    xy = rng.random((60, 2))
+    tri = scattered.triangulate(xy)
+    for t in tri:
+        a, b, c = xy[t]
+        m = np.array([[b[0] - a[0], b[1] - a[1]], [c[0] - a[0], c[1] - a[1]]])
+        centre = a + np.linalg.solve(2 * m, (m**2).sum(axis=1))
+        others = np.delete(np.arange(60), t)
+        assert (((xy[others] - centre) ** 2).sum(axis=1) >= ((a - centre) ** 2).sum() - 1e-9).all()
+
+
+def test_scattered_interpolation(spark):
+    rng = np.random.default_rng(7)
+    flat = lambda x, y: 2 * x - 3 * y + 1
+    xy = [(i, j) for i in range(6) for j in range(6)] + rng.random((40, 2)).__mul__(5).tolist()
+    points = spark.createDataFrame([("a", float(x), float(y), float(flat(x, y))) for x, y in xy] + [("c", 0.0, 0.0, 7.0)], "k string, x double, y double, z double")
+    at = (rng.random((50, 2)) * 5).tolist()
+    targets = spark.createDataFrame([("a", i, float(x), float(y)) for i, (x, y) in enumerate(at)] + [("a", 99, -10.0, -10.0), ("b", 0, 0.0, 0.0), ("c", 1, 4.0, 4.0)], "k string, i int, x double, y double")
+    got = {(r.k, r.i): r.z for r in scattered.scattered(points, targets, "k").collect()}
+    assert all(abs(got[("a", i)] - flat(x, y)) < 1e-6 for i, (x, y) in enumerate(at))
+    assert got[("a", 99)] == flat(0, 0) and got[("b", 0)] is None and got[("c", 1)] == 7.0
