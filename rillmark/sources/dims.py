@@ -104,10 +104,10 @@ def sensor_positions(stations: DataFrame) -> DataFrame:
     return stations.select(F.explode("sensor_ids").alias("sensor_id"), "x", "y", "z")
 
 
-def read_electrodes(spark: SparkSession, path: str) -> DataFrame:
-    """(channel, line, x, y, z) of a CSV with the columns Ohmpi channel, Line, X_av, Y_av, Z_av."""
+def read_electrodes(spark: SparkSession, path: str, channel: str) -> DataFrame:
+    """(channel, line, x, y, z) of a CSV with the columns Line, X_av, Y_av, Z_av and one, named by `channel`, with channel numbers."""
     raw = spark.read.option("header", "true").csv(path)
-    return raw.select(S.to_number(F.col("Ohmpi channel")).cast("int").alias("channel"), F.col("Line").alias("line"), *(S.to_number(F.col(f"{c.upper()}_av")).alias(c) for c in "xyz"))
+    return raw.select(S.to_number(F.col(f"`{channel}`")).cast("int").alias("channel"), F.col("Line").alias("line"), *(S.to_number(F.col(f"{c.upper()}_av")).alias(c) for c in "xyz"))
 
 
 def read_sequence(spark: SparkSession, path: str, delimiter: str = " ") -> DataFrame:

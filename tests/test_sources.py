@@ -142,6 +142,17 @@ def test_stations(spark, tmp_path):
     assert got["Weather"].sensor_ids == [] and dims.sensor_positions(dims.read_stations(spark, str(path))).count() == 2
 
 
+def test_electrodes_and_sequences(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("No,Line,X_av,Y_av,Z_av\n7,A,1,2,3\n")
+    got = dims.read_electrodes(spark, str(tmp_path / "e.csv"), "No").first()
+    assert tuple(got) == (7, "A", 1.0, 2.0, 3.0)
+    (tmp_path / "s.csv").write_text("1 2 3 4\n5 6 7 8\n")
+    assert dims.read_sequence(spark, str(tmp_path / "s.csv")).count() == 2
+    cables = spark.createDataFrame([("A", 1, 7), ("B", 1, 8)], "line string, number int, channel int")
+    places = spark.createDataFrame([("A", 1, 0.0, 0.0, 1.0)], "line string, number int, x double, y double, z double")
+    assert [r.channel for r in dims.cable_positions(cables, places).collect()] == [7]
+
+
 def test_settings(tmp_path):
     (tmp_path / "config").mkdir()
     file = tmp_path / "config/settings.json"
