@@ -54,7 +54,8 @@ def detect(df: DataFrame, key: str, ts: str, value: str, config: Detector | None
     agreed = high.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= config.sensors)
     spans = coalesced(agreed, config.gap_minutes * 60 // config.step, config.min_minutes * 60 // config.step)
     ends = series.agg(F.max("slot").alias("last"), F.min("ts").alias("origin"), F.count_distinct(key).alias("n_sensors_total"))
-    inside = high.join(F.broadcast(spans), (F.col("slot") >= F.col("s")) & (F.col("slot") < F.col("e")))
+    # spans as their slots: an equi-join, where a range condition would compare all rising slots with all events
+    inside = high.join(spans.withColumn("slot", F.explode(F.sequence("s", F.col("e") - 1))), "slot")
     facts = inside.groupBy("event", "s", "e").agg(F.max("dvdt").alias("peak_dvwc"), F.min_by("ts", F.struct(-F.col("dvdt"), F.col("slot"))).alias("peak_time"), F.count_distinct(key).alias("n_responding"), F.concat_ws(";", F.array_sort(F.collect_set(key))).alias("sensors_responding"))
     out = facts.crossJoin(F.broadcast(ends))  # ends is one row
     at = lambda c: F.timestamp_add("SECOND", c * config.step, F.col("origin"))
