@@ -23,7 +23,7 @@ BANDS, ROWS = 40, 8
 #: MinHash values (their lowest bytes) that pruning compares, STEP at a time; posterior probability of reaching the threshold below which it drops a pair.
 SIGNATURE, STEP, TOLERANCE = BANDS * ROWS, 32, 1e-5
 #: Rows of one side that a pruning task compares at once; words whose hashes a worker keeps.
-CHUNK, CACHE = 300, 400_000
+CHUNK, CACHE = 300, 150_000
 
 _random = np.random.default_rng(20)
 _A = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
