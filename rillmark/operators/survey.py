@@ -127,9 +127,13 @@ def with_geometry(r: DataFrame, electrodes: DataFrame, value: str = "R") -> Data
     out = r
     for c in "abmn":
         out = out.join(F.broadcast(electrodes.select(F.col("channel").alias(c), F.struct("x", "y", "z").alias(f"__{c}"))), c, "left")
-    apart = lambda p, q: F.sqrt(sum((F.pow(F.col(f"__{p}.{k}") - F.col(f"__{q}.{k}"), F.lit(2)) for k in "xyz"), F.lit(0.0)))
-    k = S.geometric_factor(apart("a", "m"), apart("b", "m"), apart("a", "n"), apart("b", "n"))
-    return out.withColumn("K", k).drop("__a", "__b", "__m", "__n").withColumn("rho_a", F.col("K") * F.col(value))
+    step = lambda p, q, k: F.col(f"__{p}.{k}") - F.col(f"__{q}.{k}")
+    apart = lambda p, q: F.sqrt(sum((step(p, q, k) * step(p, q, k) for k in "yz"), step(p, q, "x") * step(p, q, "x")))
+    # a column for each distance and for K: later steps refer to them instead of repeating the expressions
+    pairs = ("am", "bm", "an", "bn")
+    out = out.withColumns({f"__{p}": apart(*p) for p in pairs})
+    out = out.withColumn("K", S.geometric_factor(*(F.col(f"__{p}") for p in pairs))).drop(*(f"__{c}" for c in "abmn"), *(f"__{p}" for p in pairs))
+    return out.withColumn("rho_a", F.col("K") * F.col(value))
 
 
 def fault_map(r: DataFrame, value: str, key: list[str] | None = None) -> DataFrame:
