@@ -443,9 +443,9 @@ def calendar_windows(spark, d):
     return ends.select(F.explode(windows.calendar_windows(F.col("a"), F.col("z"))).alias("x")).select("x.start", "x.end")
 
 
-@query("""WITH x AS (SELECT o_custkey, o_orderdate, o_orderkey, o_totalprice / 1000 AS x, o_orderkey / 100.0 AS y FROM orders WHERE o_custkey < 200),
+@query("""WITH x AS (SELECT o_custkey, o_orderdate, o_orderkey, o_totalprice / 1000 AS x, o_orderkey / 100.0 AS y FROM orders),
 l AS (SELECT *, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0) AS leg FROM x WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
 SELECT o_orderkey, round(sum(leg) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING), 4) AS distance FROM l""")
 def path_length(spark, d):
-    rows = table(spark, d, "orders").where("o_custkey < 200").withColumns({"x": F.col("o_totalprice") / 1000, "y": F.col("o_orderkey") / 100.0})
+    rows = table(spark, d, "orders").withColumns({"x": F.col("o_totalprice") / 1000, "y": F.col("o_orderkey") / 100.0})
     return windows.with_path_length(rows, ["o_custkey"], "o_orderkey", "x", "y").select("o_orderkey", F.round("distance", 4).alias("distance"))

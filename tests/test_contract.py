@@ -1,4 +1,5 @@
 import glob
+import math
 import os
 
 import duckdb
@@ -42,3 +43,19 @@ def test_queries_equal_their_sql(spark):
             if got != expected:
                 wrong.append(name)
     assert not wrong
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_path_length_has_every_order(spark):
+    from rillmark.plans import catalog
+
+    big = "/root/testdata/sf0.01"  # the smallest tables have no customer from 200 on
+    rows = duckdb.sql(f"SELECT o_custkey, o_orderkey, o_totalprice FROM '{big}/orders.parquet' ORDER BY 1, 2").fetchall()
+    expected, before = {}, None
+    for who, key, price in rows:
+        at = (float(price) / 1000, key / 100)
+        expected[key] = expected[before[1]] + math.dist(at, before[2]) if before and before[0] == who else 0.0
+        before = (who, key, at)
+    got = {r["o_orderkey"]: r["distance"] for r in catalog.QUERIES["path_length"](spark, big).collect()}
+    assert got.keys() == expected.keys()
+    assert all(abs(got[k] - expected[k]) < 1e-3 for k in got)
