@@ -59,3 +59,19 @@ def test_path_length_has_every_order(spark):
     got = {r["o_orderkey"]: r["distance"] for r in catalog.QUERIES["path_length"](spark, big).collect()}
     assert got.keys() == expected.keys()
     assert all(abs(got[k] - expected[k]) < 1e-3 for k in got)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_sequence_has_every_row_and_both_kinds_of_quads(spark):
+    from rillmark.plans import catalog, fields
+
+    rows = duckdb.sql(f"SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM '{SF}/lineitem.parquet'").fetchall()
+    assert fields.sequence(spark, SF).count() == len(rows)
+    quads = {(p % 127, s % 7, o % 127, n % 7) for p, s, o, n in rows}
+    swapped = {(m, n, a, b) for a, b, m, n in quads}
+    of = lambda name: [(r.a, r.b, r.m, r.n) for r in catalog.QUERIES[name](spark, SF).collect()]
+    lacking, paired = of("recip_antijoin"), of("recip_paired")
+    assert lacking and paired
+    assert sorted(lacking) == sorted(swapped - quads) and sorted(paired) == sorted(quads & swapped)
+    assert sorted(of("polarity_swap")) == sorted((b, a, n, m) for a, b, m, n in quads)
+    assert len(of("channel_remap")) == len(quads) + 1
