@@ -72,12 +72,12 @@ def modal_cadence(spark, d):
     return grid.modal_cadence(stamped, ["user_id"], "t")
 
 
-@query("""WITH h AS (SELECT event_type, date_trunc('hour', ts) AS hour, max(value) AS v FROM events WHERE user_id % 3 = 0 GROUP BY 1, 2),
-s AS (SELECT event_type, min(hour) AS a, max(hour) AS b FROM h GROUP BY 1),
-g AS (SELECT event_type, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS hour FROM s) SELECT event_type, hour, v FROM g LEFT JOIN h USING (event_type, hour)""")
+@query("""WITH h AS (SELECT event_type, user_id, date_trunc('hour', ts) AS hour, max(value) AS v FROM events GROUP BY 1, 2, 3),
+s AS (SELECT event_type, user_id, min(hour) AS a, max(hour) AS b FROM h GROUP BY 1, 2),
+g AS (SELECT event_type, user_id, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS hour FROM s) SELECT event_type, user_id, hour, v FROM g LEFT JOIN h USING (event_type, user_id, hour)""")
 def grid_upsample(spark, d):
-    hourly = table(spark, d, "events").where("user_id % 3 = 0").groupBy("event_type", F.date_trunc("HOUR", "ts").alias("hour")).agg(F.max("value").alias("v"))
-    return grid.upsampled(hourly, ["event_type"], "hour", ["v"], HOUR)
+    hourly = table(spark, d, "events").groupBy("event_type", "user_id", F.date_trunc("HOUR", "ts").alias("hour")).agg(F.max("value").alias("v"))
+    return grid.upsampled(hourly, ["event_type", "user_id"], "hour", ["v"], HOUR)
 
 
 @query(f"WITH {GRID} SELECT sensor, slot, ts, round(value, 6) AS value FROM g")

@@ -75,3 +75,13 @@ def test_sequence_has_every_row_and_both_kinds_of_quads(spark):
     assert sorted(lacking) == sorted(swapped - quads) and sorted(paired) == sorted(quads & swapped)
     assert sorted(of("polarity_swap")) == sorted((b, a, n, m) for a, b, m, n in quads)
     assert len(of("channel_remap")) == len(quads) + 1
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_upsampled_grid_has_every_users_maxima(spark):
+    from rillmark.plans import catalog
+
+    rows = duckdb.sql(f"SELECT event_type, user_id, date_trunc('hour', ts), max(value) FROM '{SF}/events.parquet' GROUP BY ALL").fetchall()
+    got = {(r["event_type"], r["user_id"], r["hour"]): r["v"] for r in catalog.QUERIES["grid_upsample"](spark, SF).collect()}
+    assert all(got[(k, u, h)] == v for k, u, h, v in rows)
+    assert sum(v is not None for v in got.values()) == len(rows) < len(got)
