@@ -9,24 +9,28 @@ from pyspark.sql import functions as F
 
 
 def ideal_grid(spark: SparkSession, nx: int, ny: int, spacing: float) -> DataFrame:
-    """(electrode, x, y) of a regular layout, row by row from 1."""
+    """(electrode, x, y, line) of a regular layout, row by row from 1; each row is a line, also from 1."""
     i = F.col("id")
-    return spark.range(nx * ny).select((i + 1).cast("int").alias("electrode"), ((i % nx) * spacing).alias("x"), (F.floor(i / nx) * spacing).alias("y"))
+    return spark.range(nx * ny).select((i + 1).cast("int").alias("electrode"), ((i % nx) * spacing).alias("x"), (F.floor(i / nx) * spacing).alias("y"), (F.floor(i / nx) + 1).cast("int").alias("line"))
 
 
-def fours(electrodes: DataFrame, least_apart: float | None = None) -> DataFrame:
+def fours(electrodes: DataFrame, least_apart: float | None = None, same_line: bool | None = None) -> DataFrame:
     """(e1, x1, y1, ..., e4, x4, y4), e1 < e2 < e3 < e4, all pairs at least least_apart apart.
 
-    Electrodes join on their order; pairs too near are dropped before the next join, and the electrode table is a few
-    rows, while the fours are the result itself.
+    same_line keeps fours of one line, or, where it is False, of four different lines. Electrodes join on their order;
+    pairs too near, or of the wrong lines, are dropped before the next join, and the electrode table is a few rows,
+    while the fours are the result itself.
     """
-    part = lambda i: electrodes.select(F.col("electrode").alias(f"e{i}"), F.col("x").cast("double").alias(f"x{i}"), F.col("y").cast("double").alias(f"y{i}"))
+    line = [] if same_line is None else ["line"]
+    part = lambda i: electrodes.select(F.col("electrode").alias(f"e{i}"), F.col("x").cast("double").alias(f"x{i}"), F.col("y").cast("double").alias(f"y{i}"), *(F.col(c).alias(f"{c}{i}") for c in line))
     out = part(1)
     for i in (2, 3, 4):
         on = F.col(f"e{i}") > F.col(f"e{i - 1}")
         for j in range(1, i):
             if least_apart is not None:
                 on = on & (F.pow(F.col(f"x{i}") - F.col(f"x{j}"), F.lit(2)) + F.pow(F.col(f"y{i}") - F.col(f"y{j}"), F.lit(2)) >= least_apart**2)
+            if same_line is not None:
+                on = on & ((F.col(f"line{i}") == F.col(f"line{j}")) == F.lit(same_line))
         out = out.join(F.broadcast(part(i)), on)
     return out
 
@@ -42,12 +46,13 @@ def collinear(tolerance: float) -> Column:
     return F.when(sxx == 0, True).otherwise(off <= tolerance)
 
 
-def configurations(electrodes: DataFrame, least_apart: float | None = None, line_tolerance: float | None = None, most_adjacent: float | None = None, all_orders: bool = False) -> DataFrame:
+def configurations(electrodes: DataFrame, least_apart: float | None = None, line_tolerance: float | None = None, most_adjacent: float | None = None, all_orders: bool = False, same_line: bool | None = None) -> DataFrame:
     """(a, b, m, n): three different configurations of each four electrodes, or all 24 orders.
 
-    line_tolerance keeps fours on a line, most_adjacent those orders whose current and potential pairs are near enough.
+    line_tolerance keeps fours that lie straight, same_line those of one line or of four different lines (False), and
+    most_adjacent those orders in which A and B, B and M, and M and N are near enough.
     """
-    rows = fours(electrodes, least_apart)
+    rows = fours(electrodes, least_apart, same_line)
     if line_tolerance is not None:
         rows = rows.where(collinear(line_tolerance))
     orders = list(permutations((1, 2, 3, 4))) if all_orders else [(1, 2, 3, 4), (1, 3, 2, 4), (1, 4, 2, 3)]
@@ -55,7 +60,7 @@ def configurations(electrodes: DataFrame, least_apart: float | None = None, line
     rows = rows.select(each.alias("q"))
     if most_adjacent is not None:
         apart = lambda p, r: F.hypot(F.col(f"q.{p}.x") - F.col(f"q.{r}.x"), F.col(f"q.{p}.y") - F.col(f"q.{r}.y"))
-        rows = rows.where((apart("a", "b") <= most_adjacent) & (apart("m", "n") <= most_adjacent))
+        rows = rows.where((apart("a", "b") <= most_adjacent) & (apart("b", "m") <= most_adjacent) & (apart("m", "n") <= most_adjacent))
     return rows.select(*(F.col(f"q.{c}.e").alias(c) for c in "abmn"))
 
 

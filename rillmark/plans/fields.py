@@ -300,14 +300,16 @@ def abmn_enumerate(spark, d):
     return arrays.configurations(arrays.ideal_grid(spark, 6, 3, 2.0))
 
 
-@query("""WITH g AS (SELECT CAST(r AS INTEGER) + 1 AS e, (r % 6) * 2.0 AS x, (r // 6) * 2.0 AS y FROM range(0, 18) t(r)),
-f AS (SELECT p.e AS e1, q.e AS e2, r.e AS e3, s.e AS e4, p.x AS x1, p.y AS y1, q.x AS x2, q.y AS y2, r.x AS x3, r.y AS y3, s.x AS x4, s.y AS y4 FROM g p JOIN g q ON q.e > p.e AND (q.x - p.x) ** 2 + (q.y - p.y) ** 2 >= 6.25 JOIN g r ON r.e > q.e AND least((r.x - p.x) ** 2 + (r.y - p.y) ** 2, (r.x - q.x) ** 2 + (r.y - q.y) ** 2) >= 6.25 JOIN g s ON s.e > r.e AND least((s.x - p.x) ** 2 + (s.y - p.y) ** 2, (s.x - q.x) ** 2 + (s.y - q.y) ** 2, (s.x - r.x) ** 2 + (s.y - r.y) ** 2) >= 6.25),
-m AS (SELECT *, (x1 + x2 + x3 + x4) / 4 AS mx, (y1 + y2 + y3 + y4) / 4 AS my FROM f), c AS (SELECT *, (x1 - mx) ** 2 + (x2 - mx) ** 2 + (x3 - mx) ** 2 + (x4 - mx) ** 2 AS sxx, (x1 - mx) * (y1 - my) + (x2 - mx) * (y2 - my) + (x3 - mx) * (y3 - my) + (x4 - mx) * (y4 - my) AS sxy FROM m),
+@query("""WITH g AS (SELECT CAST(r AS INTEGER) + 1 AS e, (r % 10) * 2.0 AS x, (r // 10) * 2.0 AS y, r // 10 AS line FROM range(0, 60) t(r)),
+f AS (SELECT p.e AS e1, q.e AS e2, r.e AS e3, s.e AS e4, p.x AS x1, p.y AS y1, q.x AS x2, q.y AS y2, r.x AS x3, r.y AS y3, s.x AS x4, s.y AS y4, len(list_distinct([p.line, q.line, r.line, s.line])) AS lines FROM g p JOIN g q ON q.e > p.e AND (q.x - p.x) ** 2 + (q.y - p.y) ** 2 >= 6.25 JOIN g r ON r.e > q.e AND least((r.x - p.x) ** 2 + (r.y - p.y) ** 2, (r.x - q.x) ** 2 + (r.y - q.y) ** 2) >= 6.25 JOIN g s ON s.e > r.e AND least((s.x - p.x) ** 2 + (s.y - p.y) ** 2, (s.x - q.x) ** 2 + (s.y - q.y) ** 2, (s.x - r.x) ** 2 + (s.y - r.y) ** 2) >= 6.25),
+m AS (SELECT *, (x1 + x2 + x3 + x4) / 4 AS mx, (y1 + y2 + y3 + y4) / 4 AS my FROM f WHERE lines IN (1, 4)), c AS (SELECT *, (x1 - mx) ** 2 + (x2 - mx) ** 2 + (x3 - mx) ** 2 + (x4 - mx) ** 2 AS sxx, (x1 - mx) * (y1 - my) + (x2 - mx) * (y2 - my) + (x3 - mx) * (y3 - my) + (x4 - mx) * (y4 - my) AS sxy FROM m),
 o AS (SELECT * FROM c WHERE CASE WHEN sxx = 0 THEN true ELSE greatest(abs(y1 - my - sxy / sxx * (x1 - mx)), abs(y2 - my - sxy / sxx * (x2 - mx)), abs(y3 - my - sxy / sxx * (x3 - mx)), abs(y4 - my - sxy / sxx * (x4 - mx))) <= 0.9001 END),
-u AS (SELECT unnest([[1,2,3,4],[1,3,2,4],[1,4,2,3]]) AS ord, e1, e2, e3, e4 FROM o)
-SELECT [e1, e2, e3, e4][ord[1]] AS a, [e1, e2, e3, e4][ord[2]] AS b, [e1, e2, e3, e4][ord[3]] AS m, [e1, e2, e3, e4][ord[4]] AS n FROM u""")
+i AS (SELECT unnest([1, 2, 3, 4]) AS i), u AS (SELECT [i1.i, i2.i, i3.i, i4.i] AS ord, [e1, e2, e3, e4] AS e, [x1, x2, x3, x4] AS x, [y1, y2, y3, y4] AS y FROM o, i i1, i i2, i i3, i i4 WHERE len(list_distinct([i1.i, i2.i, i3.i, i4.i])) = 4)
+SELECT e[ord[1]] AS a, e[ord[2]] AS b, e[ord[3]] AS m, e[ord[4]] AS n FROM u WHERE greatest((x[ord[2]] - x[ord[1]]) ** 2 + (y[ord[2]] - y[ord[1]]) ** 2, (x[ord[3]] - x[ord[2]]) ** 2 + (y[ord[3]] - y[ord[2]]) ** 2, (x[ord[4]] - x[ord[3]]) ** 2 + (y[ord[4]] - y[ord[3]]) ** 2) <= 81""")
 def abmn_constrained(spark, d):
-    return arrays.configurations(arrays.ideal_grid(spark, 6, 3, 2.0), least_apart=2.5, line_tolerance=0.9001)
+    # both line rules: fours of one line, and of four different lines
+    one, four = (arrays.configurations(arrays.ideal_grid(spark, 10, 6, 2.0), least_apart=2.5, line_tolerance=0.9001, most_adjacent=9.0, all_orders=True, same_line=same) for same in (True, False))
+    return one.unionByName(four)
 
 
 # ---- space: the first three dimensions of the vectors are points, labels are scans

@@ -1,5 +1,6 @@
 """Golden cases of calendars, events, metrics, fits, spectra, surveys and grids."""
 
+import itertools
 import math
 from datetime import datetime, timedelta
 
@@ -310,3 +311,22 @@ def test_scattered_interpolation(spark):
     got = {(r.k, r.i): r.z for r in scattered.scattered(points, targets, "k").collect()}
     assert all(abs(got[("a", i)] - flat(x, y)) < 1e-6 for i, (x, y) in enumerate(at))
     assert got[("a", 99)] == flat(0, 0) and got[("b", 0)] is None and got[("c", 1)] == 7.0
+
+
+@pytest.mark.parametrize("same_line", [True, False, None])
+def test_constrained_configurations_equal_brute_force(spark, same_line):
+    layout = arrays.ideal_grid(spark, 8, 5, 1.0)
+    at = {r.electrode: (r.x, r.y, r.line) for r in layout.collect()}
+    apart = lambda p, q: math.dist(at[p][:2], at[q][:2])
+    expected = set()
+    for four in itertools.combinations(sorted(at), 4):
+        lines = len({at[e][2] for e in four})
+        if (same_line is True and lines > 1) or (same_line is False and lines < 4) or any(apart(p, q) < 1.2 for p, q in itertools.combinations(four, 2)):
+            continue
+        x, y = np.array([at[e][0] for e in four]), np.array([at[e][1] for e in four])
+        if np.ptp(x) and np.abs(y - np.polyval(np.polyfit(x, y, 1), x)).max() > 0.3001:
+            continue
+        expected |= {o for o in itertools.permutations(four) if all(apart(p, q) <= 2.9 for p, q in itertools.pairwise(o))}
+    got = [tuple(r) for r in arrays.configurations(layout, 1.2, 0.3001, 2.9, all_orders=True, same_line=same_line).collect()]
+    assert sorted(got) == sorted(expected)
+    assert got
