@@ -291,13 +291,13 @@ def channel_remap(spark, d):
     return arrays.remapped(sequence(spark, d).distinct(), mapping, spark.range(1).select(*(F.lit(i).alias(c) for i, c in enumerate("abmn", 1))))
 
 
-FOURS = """g AS (SELECT CAST(r AS INTEGER) + 1 AS e, (r % 6) * 2.0 AS x, (r // 6) * 2.0 AS y FROM range(0, 18) t(r)),
+FOURS = """g AS (SELECT CAST(r AS INTEGER) + 1 AS e, (r % 10) * 2.0 AS x, (r // 10) * 2.0 AS y FROM range(0, 60) t(r)),
 f AS (SELECT p.e AS e1, q.e AS e2, r.e AS e3, s.e AS e4 FROM g p JOIN g q ON q.e > p.e JOIN g r ON r.e > q.e JOIN g s ON s.e > r.e)"""
 
 
 @query(f"WITH {FOURS} SELECT e1 AS a, e2 AS b, e3 AS m, e4 AS n FROM f UNION ALL SELECT e1, e3, e2, e4 FROM f UNION ALL SELECT e1, e4, e2, e3 FROM f")
 def abmn_enumerate(spark, d):
-    return arrays.configurations(arrays.ideal_grid(spark, 6, 3, 2.0))
+    return arrays.configurations(arrays.ideal_grid(spark, 10, 6, 2.0))
 
 
 @query("""WITH g AS (SELECT CAST(r AS INTEGER) + 1 AS e, (r % 10) * 2.0 AS x, (r // 10) * 2.0 AS y, r // 10 AS line FROM range(0, 60) t(r)),

@@ -85,3 +85,11 @@ def test_upsampled_grid_has_every_users_maxima(spark):
     got = {(r["event_type"], r["user_id"], r["hour"]): r["v"] for r in catalog.QUERIES["grid_upsample"](spark, SF).collect()}
     assert all(got[(k, u, h)] == v for k, u, h, v in rows)
     assert sum(v is not None for v in got.values()) == len(rows) < len(got)
+
+
+def test_enumeration_has_sixty_electrodes(spark):
+    from rillmark.plans import catalog
+
+    out = catalog.QUERIES["abmn_enumerate"](spark, SF)
+    assert out.distinct().count() == out.count() == 3 * math.comb(60, 4)
+    assert out.where("NOT (a < b AND m < n AND a < m)").count() == 0
