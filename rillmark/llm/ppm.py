@@ -1,10 +1,9 @@
 """Language-model scoring by prediction by partial matching over the bytes of tokens.
 
-The trie holds, for contexts of up to ORDER bytes of the token so far (a token starts in a context of its own), which
-bytes followed and how often. A byte unseen in a context is reached by an escape (method C: as many escapes as
+A text is its tokens, each followed by a space, and an end; ORDER spaces stand before it. The trie holds, for contexts
+of up to ORDER bytes, which run over the borders of tokens, which bytes followed and how often. A byte unseen in a context is reached by an escape (method C: as many escapes as
 different bytes seen) to the next shorter context, where the bytes already excluded are left out. The code length of a
-byte hangs only on its context, that of a word only on the word, so both are found once for each distinct word, and
-documents add up their words' lengths.
+byte hangs only on its context, so it is found once for each different context and byte, and documents add them up.
 """
 
 from __future__ import annotations
@@ -20,11 +19,13 @@ from pyspark.sql import functions as F
 
 from rillmark.llm.common import map_arrow, utf8, written
 
-#: Longest context in bytes; a token's end, a text's end, and what stands before a token. None of them is in a word.
+#: Longest context in bytes; what ends a token and stands before a text, and a text's end. None of them is in a word.
 ORDER, SPACE, TEXT_END = 5, 0x20, 0x0A
 ALPHABET = 256
 #: Entries of a worker's table before it is emptied; words broadcast to all workers; trie entries held by one worker.
 FLUSH, HOT, NODES = 200_000, 200_000, 1_500_000
+#: Contexts broadcast for each word that is; bytes of text that a worker turns into contexts at once.
+PER_WORD, CHUNK = 10, 4_000_000
 LN10 = np.log(10.0)
 
 
@@ -58,31 +59,70 @@ def _counts(batches):
         yield out()
 
 
-def _keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(context and byte as one number, number of the word) for every byte of the words and their ends."""
-    ended = [w + b" " if w else b"\n" for w in words]
-    flat = np.frombuffer(b"".join(ended), np.uint8).astype(np.int64)
+def _stream(text: bytes) -> bytes:
+    """A text as the model reads it."""
+    return b"".join([b" ".join(own), b" \n"]) if (own := tokens(text)) else b"\n"
+
+
+def _keys(words: list[bytes], whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(context and byte as one number, number of the word) for every byte of the words and their ends; each begins
+    after spaces. whole: of texts that have their ends already."""
+    ended = words if whole else [w + b" " if w else b"\n" for w in words]
+    before = bytes([SPACE]) * ORDER
     sizes = np.array([len(w) for w in ended], np.int64)
-    at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    key = flat.copy()
-    for j in range(1, ORDER + 1):
-        before = np.full(len(flat), SPACE, np.int64)
-        before[j:] = np.where(at[j:] >= j, flat[:-j], SPACE)
-        key |= before << (8 * j)
-    return key, np.repeat(np.arange(len(words)), sizes)
+    joined = bytes(7) + before + before.join(ended) if len(ended) else b""
+    keys = np.ndarray((max(0, len(joined) - 7),), ">i8", joined, 0, (1,)) if joined else np.zeros(0, np.int64)
+    keys = keys.astype(np.int64) & ((1 << 8 * (ORDER + 1)) - 1)  # the eight bytes up to the one at hand, less those beyond the context
+    kept = np.ones(len(keys), bool)
+    starts = np.cumsum(sizes + ORDER) - (sizes + ORDER)
+    kept[(starts[:, None] + np.arange(ORDER)).ravel()] = False
+    # the window that begins at joined[i] ends at joined[i + 7], the i-th byte after the first seven
+    return keys[kept], np.repeat(np.arange(len(ended)), sizes)
+
+
+def _chunks(texts):
+    """(first, streams) of runs of texts with about CHUNK bytes."""
+    own: list[bytes] = []
+    first = held = 0
+    for i, text in enumerate(texts):
+        own.append(_stream(text))
+        held += len(own[-1])
+        if held > CHUNK:
+            yield first, own
+            own, first, held = [], i + 1, 0
+    if own:
+        yield first, own
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, inverse = np.unique(keys, return_inverse=True)
+    return found, np.bincount(inverse, n, len(found)).astype(np.int64)
 
 
 def _contexts(batches):
-    """Partial (key, n) of the training words of a vocabulary."""
+    """Partial (key, n) of the texts' bytes in their contexts, n of them in training documents."""
+    table: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def out():
+        keys, n = _summed(*(np.concatenate(c) for c in zip(*table, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+
     for batch in batches:
-        n = batch.column(1).to_numpy()
-        keys, owner = _keys([w for w in batch.column(0).to_pylist()])
-        weights = n[owner]
-        keys, inverse = np.unique(keys, return_inverse=True)
-        sums = np.zeros(len(keys), np.int64)
-        np.add.at(sums, inverse, weights)
-        used = sums > 0
-        yield pa.RecordBatch.from_arrays([pa.array(keys[used]), pa.array(sums[used])], names=["key", "n"])
+        use = np.array([not held_out(i) for i in batch.column(0).to_pylist()], bool)
+        for first, streams in _chunks(utf8(batch.column(1))):
+            for train in (True, False):
+                own = [x for x, u in zip(streams, use[first : first + len(streams)], strict=True) if u == train]
+                keys = np.sort(_keys(own, True)[0])
+                at = np.flatnonzero(np.diff(keys, prepend=-1))
+                table.append((keys[at], np.diff(at, append=len(keys)) * train))
+                size += len(at)
+            if size > PER_WORD * FLUSH:
+                yield out()
+                table.clear()
+                size = 0
+    if table:
+        yield out()
 
 
 class Trie:
@@ -169,79 +209,88 @@ class Trie:
         return out
 
 
-def _word_scores(trie):
+def _key_scores(trie):
     def score(batches):
         model = trie.value
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            keys, owner = _keys(words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.bincount(owner, model.score(keys), len(words)))], names=["word", "n", "score"])
+            scores = model.score(batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores)], names=["key", "n", "score"])
 
     return score
 
 
-def _exploded(batches):
-    for batch in batches:
-        words = batch.column(0).to_pylist()
-        keys, owner = _keys(words)
-        rows = pa.array(owner)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(keys)], names=["word", "n", "key"])
-
-
 def _group_scores(low):
     """Scores of the keys that share their context's last two bytes: with all counts of up to one byte of context,
     the counts of the group itself are all that they need."""
 
-    def score(key, counts: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        trie = Trie(counts["key"].to_numpy(np.int64), counts["n"].to_numpy(np.int64), low.value)
-        keys = wanted["key"].to_numpy(np.int64)
-        return pd.DataFrame({"key": keys, "score": trie.score(keys)})
+    def score(group: pd.DataFrame) -> pd.DataFrame:
+        keys, n = group["key"].to_numpy(np.int64), group["n"].to_numpy(np.int64)
+        trie = Trie(keys[n > 0], n[n > 0], low.value)
+        return pd.DataFrame({"key": keys, "n": n, "score": trie.score(keys)})
 
     return score
 
 
-def score_words(vocabulary: DataFrame, nodes: int = NODES) -> DataFrame:
-    """(word, n, score): log10 probability of each word by the trie of the training counts (word, n).
+def score_keys(counts: DataFrame, nodes: int = NODES) -> DataFrame:
+    """(key, n, score): log10 probability of each byte in its context by the trie of the training counts (key, n).
 
-    A trie of at most `nodes` entries is broadcast. A larger one stays dealt out by the last two bytes of the context,
-    and the words' bytes are joined with the scores of their contexts; the scores are the same.
+    A trie of at most `nodes` entries is broadcast. A larger one stays dealt out by the last two bytes of the context;
+    the scores are the same.
     """
-    context = vocabulary.sparkSession.sparkContext
-    counts = written(map_arrow(vocabulary.where("n > 0").select("word", "n"), _contexts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "contexts")
-    if counts.limit(nodes + 1).count() <= nodes:
-        got = counts.toArrow()
+    context = counts.sparkSession.sparkContext
+    used = counts.where("n > 0")
+    if used.limit(nodes + 1).count() <= nodes:
+        got = used.toArrow()
         trie = context.broadcast(Trie(got.column("key").to_numpy(), got.column("n").to_numpy()))
-        return map_arrow(vocabulary.select("word", "n"), _word_scores(trie), "word binary, n long, score double")
-    low = counts.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("n").alias("n")).toArrow()  # at most 65,536 rows
+        return map_arrow(counts.select("key", "n"), _key_scores(trie), "key long, n long, score double")
+    low = used.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("n").alias("n")).toArrow()  # at most 65,536 rows
     low = context.broadcast((low.column("key").to_numpy(), low.column("n").to_numpy()))
-    bytes_ = map_arrow(vocabulary.select("word", "n"), _exploded, "word binary, n long, key long")
-    suffix = lambda df: df.groupBy(F.shiftright("key", 8).bitwiseAND(0xFFFF).alias("suffix"))
-    scores = suffix(counts).cogroup(suffix(bytes_.select("key").distinct())).applyInPandas(_group_scores(low), "key long, score double")
-    return bytes_.join(scores, "key").groupBy("word").agg(F.max("n").alias("n"), F.sum("score").alias("score"))
+    return counts.groupBy(F.shiftright("key", 8).bitwiseAND(0xFFFF).alias("suffix")).applyInPandas(_group_scores(low), "key long, n long, score double")
+
+
+def _frequent(counted: DataFrame, most: int) -> int:
+    """The least length of n in bits for which at most `most` rows of counted (magnitude) have so many or more."""
+    least, held = 99, 0
+    for magnitude, n in counted.groupBy("magnitude").count().orderBy(F.desc("magnitude")).collect():  # 64 rows at most
+        if held + n > most:
+            break
+        least, held = magnitude, held + n
+    return least
 
 
-def _documents(hot):
-    """A row per document, with the sums over its broadcast words, and a row for each other word of it."""
+def _documents(hot, hot_keys):
+    """A row per document, with the sums over its broadcast words and contexts, and a row for each other one of it."""
 
     def score(batches):
-        known = hot.value
+        known, (keys, scores) = hot.value, hot_keys.value
+        index, scores = pd.Index(keys), np.append(scores, 0.0)  # the last one stands for a context that isn't there
         for batch in batches:
+            kinds = [pa.int64(), batch.schema.field(1).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64(), pa.int64()]
+            names = ["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "word", "n", "key"]
+            numbers, texts = batch.column(0).to_numpy(), utf8(batch.column(2))
+            sums = np.zeros(len(numbers))
+            for first, streams in _chunks(texts):
+                found, owner = _keys(streams, True)
+                at = index.get_indexer(found)
+                sums[first : first + len(streams)] = np.bincount(owner, scores[at], len(streams))
+                if (rare := at < 0).any():
+                    rows = numbers[first + owner[rare]]
+                    columns = {"row": pa.array(rows), "n": pa.array(np.ones(len(rows), np.int64)), "key": pa.array(found[rare])}
+                    yield pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(len(rows), k)) for c, k in zip(names, kinds, strict=True)], names=names)
             rows: list[tuple] = []
-            for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
+            for row, doc_id, text, total in zip(numbers.tolist(), batch.column(1).to_pylist(), texts, sums.tolist(), strict=True):
                 own = Counter(tokens(text))
                 own[b""] = 1
-                n_known, base, total, size = 0, 0.0, 0.0, 0
+                n_known, base, size = 0, 0.0, 0
                 for word, n in own.items():
                     size += n
                     if (x := known.get(word)) is None:
-                        rows.append((row, None, None, None, None, None, None, word, n))
+                        rows.append((row, None, None, None, None, None, None, word, n, None))
                     else:
                         n_known += n * x[0]
                         base += n * x[1]
-                        total += n * x[2]
-                rows.append((row, doc_id, held_out(doc_id), size, n_known, base, total, None, None))
-            kinds = [pa.int64(), batch.schema.field(1).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "word", "n"])
+                rows.append((row, doc_id, held_out(doc_id), size, n_known, base, total, None, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=names)
 
     return score
 
@@ -251,32 +300,36 @@ def score_documents(docs: DataFrame, nodes: int = NODES, hot: int = HOT, id_col:
 
     Training documents are those whose crc32(id as text) mod 5 is not 1 (a null id: the text None). Each text is its
     words and one end; a null text is empty. base_score is the unigram score of the contract, score that of the trie;
-    both are sums of log10 probabilities. The most frequent words, at most `hot` of them, are broadcast with their
-    scores; the others are joined by shuffle, and no such word is in more than a small share of the rows.
+    both are sums of log10 probabilities. The most frequent words, at most `hot` of them, and the most
+    frequent contexts, PER_WORD times as many, are broadcast with their scores; the others are joined by shuffle, and
+    no such word or context is in more than a small share of the rows.
     """
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     counted = map_arrow(picked, _counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    scored = written(score_words(written(counted, "vocabulary"), nodes), "words")
-    total, kinds = scored.agg(F.sum("n"), F.sum((F.col("n") > 0).cast("long"))).first()
+    counted = written(counted, "vocabulary")
+    total, kinds = counted.agg(F.sum("n"), F.sum((F.col("n") > 0).cast("long"))).first()
     total, kinds = total or 0, kinds or 0
     base = lambda c: F.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
-    words = scored.select("word", (F.col("n") > 0).cast("long").alias("seen"), base(F.col("n")).alias("base"), F.col("score").alias("bits"), F.length(F.bin("n")).alias("magnitude"))
-    by_size = words.groupBy("magnitude").count().orderBy(F.desc("magnitude")).collect()  # 64 rows at most
-    least, held = 99, 0
-    for magnitude, n in by_size:
-        if held + n > hot:
-            break
-        least, held = magnitude, held + n
-    got = words.where(F.col("magnitude") >= least).select("word", "seen", "base", "bits").toArrow()
-    table = dict(zip(got.column(0).to_pylist(), zip(*(got.column(i).to_pylist() for i in (1, 2, 3)), strict=True), strict=True))
+    magnitude = F.length(F.bin("n")).alias("magnitude")
+    words = counted.select("word", (F.col("n") > 0).cast("long").alias("seen"), base(F.col("n")).alias("base"), magnitude)
+    least = _frequent(words, hot)
+    got = words.where(F.col("magnitude") >= least).select("word", "seen", "base").toArrow()
+    table = dict(zip(got.column(0).to_pylist(), zip(*(got.column(i).to_pylist() for i in (1, 2)), strict=True), strict=True))
     table = docs.sparkSession.sparkContext.broadcast(table)
+    contexts = written(map_arrow(picked, _contexts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "contexts")
+    contexts = written(score_keys(contexts, nodes), "scores").select("key", "score", magnitude)
+    least_key = _frequent(contexts, PER_WORD * hot)
+    got = contexts.where(F.col("magnitude") >= least_key).select("key", "score").toArrow()
+    hot_keys = docs.sparkSession.sparkContext.broadcast((got.column(0).to_numpy(), got.column(1).to_numpy()))
     numbered = picked.withColumn("row", F.monotonically_increasing_id())
-    parts = written(map_arrow(numbered.select("row", "id", "text"), _documents(table), f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, word binary, n long"), "parts")
-    rare = words.where(F.col("magnitude") < least).select("word", "seen", "base", "bits")
+    parts = written(map_arrow(numbered.select("row", "id", "text"), _documents(table, hot_keys), f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, word binary, n long, key long"), "parts")
+    rare = words.where(F.col("magnitude") < least).select("word", "seen", "base")
     rest = parts.where("word IS NOT NULL").select("row", "word", "n").join(rare, "word")
-    rest = rest.groupBy("row").agg(F.sum(F.col("n") * F.col("seen")).alias("k"), F.sum(F.col("n") * F.col("base")).alias("b"), F.sum(F.col("n") * F.col("bits")).alias("s"))
-    whole = parts.where("word IS NULL").drop("word", "n").join(rest, "row", "left")
+    rest = rest.groupBy("row").agg(F.sum(F.col("n") * F.col("seen")).alias("k"), F.sum(F.col("n") * F.col("base")).alias("b"))
+    rare_keys = contexts.where(F.col("magnitude") < least_key).select("key", F.col("score").alias("bits"))
+    more = parts.where("key IS NOT NULL").select("row", "key", "n").join(rare_keys, "key").groupBy("row").agg(F.sum(F.col("n") * F.col("bits")).alias("s"))
+    whole = parts.where("word IS NULL AND key IS NULL").drop("word", "n", "key").join(rest, "row", "left").join(more, "row", "left")
     plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
     return whole.select("id", "held_out", "n_tokens", plus("n_known", "k"), F.lit(total).cast("long").alias("train_tokens"), plus("base_score", "b"), plus("score", "s"))
 

@@ -423,6 +423,28 @@ def test_trie_equals_the_definition_and_sums_to_one():
             assert math.isclose(got[byte], plain_ppm(counts, context, byte), rel_tol=1e-9)
 
 
+def test_ppm_contexts_run_over_words(docs, spark):
+    rows = [(r["doc_id"], ppm._stream((r["text"] or "").encode())) for r in docs.collect()]
+    counts = defaultdict(Counter)
+    for i, text in rows:
+        if not ppm.held_out(i):
+            text = b" " * ppm.ORDER + text
+            for j in range(ppm.ORDER, len(text)):
+                for k in range(ppm.ORDER + 1):
+                    counts[text[j - k : j]][text[j]] += 1
+    code = lambda text: sum(math.log10(plain_ppm(counts, text[j - ppm.ORDER : j], text[j])) for j in range(ppm.ORDER, len(text)))
+    expected = sorted(round(code(b" " * ppm.ORDER + text), 6) for _, text in rows)
+    assert sorted(round(r["score"], 6) for r in rows_of(ppm.score_documents(docs))) == expected
+    fluent = "the cat sat on the mat and saw the dog run to the end of the road"
+    words = fluent.split()
+    random.Random(1).shuffle(words)
+    train = [i for i in range(60) if not ppm.held_out(i)]
+    tests = [i for i in range(60) if ppm.held_out(i)][:2]
+    frame = spark.createDataFrame([(i, fluent) for i in train] + [(tests[0], fluent), (tests[1], " ".join(words))], "doc_id int, text string")
+    scores = {r["id"]: r["score"] for r in rows_of(ppm.score_documents(frame))}
+    assert scores[tests[0]] > scores[tests[1]] + 1
+
+
 # ---- pipeline
 
 
