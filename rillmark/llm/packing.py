@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import json
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -108,47 +109,52 @@ def local_search(lengths: list[int], bins: list[list[int]], size: int) -> list[l
     least = -(-int(length.sum()) // size)
     held = [set(own) for own in bins]
     alive = len(bins)
-    for b in np.argsort(fill, kind="stable").tolist():
-        while alive > least and 0 < fill[b] < size:
-            best, step = 0, None
-            own = sorted(held[b], key=lambda i: (-lengths[i], i))
-            seen = set()
-            groups = [(i,) for i in own] + [(i, j) for k, i in enumerate(own[:12]) for j in own[k + 1 : 12]]
-            for group in groups:
-                total = sum(lengths[i] for i in group)
-                if total in seen:
-                    continue
-                seen.add(total)
-                open_ = (fill + total <= size) & (fill >= fill[b]) & (fill > 0)
-                open_[b] = False
-                if open_.any():
-                    gain = np.where(open_, 2 * total * (fill - fill[b] + total), 0)
-                    t = int(gain.argmax())
-                    if gain[t] > best:
-                        best, step = int(gain[t]), (group, t, None)
-                moved = total - length
-                theirs = fill[home]
-                fits = (moved > 0) & (theirs + moved <= size) & (theirs >= fill[b]) & (home != b)
-                if fits.any():
-                    gain = np.where(fits, 2 * moved * (theirs - fill[b] + moved), 0)
-                    y = int(gain.argmax())
-                    if gain[y] > best:
-                        best, step = int(gain[y]), (group, int(home[y]), y)
-            if step is None:
-                break
-            group, t, y = step
-            for i in group:
-                held[b].remove(i)
-                held[t].add(i)
-                home[i] = t
-            if y is not None:
-                held[t].remove(y)
-                held[b].add(y)
-                home[y] = b
-            moved = sum(lengths[i] for i in group) - (lengths[y] if y is not None else 0)
-            fill[b] -= moved
-            fill[t] += moved
-            alive -= not held[b]
+    changed = True
+    while changed and alive > least:
+        changed = False
+        for b in np.argsort(fill, kind="stable").tolist():
+            while alive > least and 0 < fill[b] < size:
+                best, step = 0, None
+                own = sorted(held[b], key=lambda i: (-lengths[i], i))
+                # one item of each length, two where a pair takes both: all sums of one or two items
+                kinds = [i for k, i in enumerate(own) if k < 2 or lengths[own[k - 2]] != lengths[i]]
+                seen = set()
+                for group in [*((i,) for i in kinds), *combinations(kinds, 2)]:
+                    total = sum(lengths[i] for i in group)
+                    if total in seen:
+                        continue
+                    seen.add(total)
+                    open_ = (fill + total <= size) & (fill >= fill[b]) & (fill > 0)
+                    open_[b] = False
+                    if open_.any():
+                        gain = np.where(open_, 2 * total * (fill - fill[b] + total), 0)
+                        t = int(gain.argmax())
+                        if gain[t] > best:
+                            best, step = int(gain[t]), (group, t, None)
+                    moved = total - length
+                    theirs = fill[home]
+                    fits = (moved > 0) & (theirs + moved <= size) & (theirs >= fill[b]) & (home != b)
+                    if fits.any():
+                        gain = np.where(fits, 2 * moved * (theirs - fill[b] + moved), 0)
+                        y = int(gain.argmax())
+                        if gain[y] > best:
+                            best, step = int(gain[y]), (group, int(home[y]), y)
+                if step is None:
+                    break
+                changed = True
+                group, t, y = step
+                for i in group:
+                    held[b].remove(i)
+                    held[t].add(i)
+                    home[i] = t
+                if y is not None:
+                    held[t].remove(y)
+                    held[b].add(y)
+                    home[y] = b
+                moved = sum(lengths[i] for i in group) - (lengths[y] if y is not None else 0)
+                fill[b] -= moved
+                fill[t] += moved
+                alive -= not held[b]
     return [sorted(own) for own in held if own]
 
 

@@ -1,6 +1,7 @@
 """Corpus operators against plain versions, on odd rows: see the docs fixture."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -274,6 +275,26 @@ def test_local_search_empties_bins():
     assert len(out) == 2
 
 
+def test_local_search_ends_only_where_no_exchange_helps():
+    for seed in range(40):
+        r = random.Random(seed)
+        lengths = [r.randint(1, 6) for _ in range(60)]
+        bins = [[*range(i, min(i + 8, 60))] for i in range(0, 60, 8)]  # many pieces in a bin
+        out = packing.local_search(lengths, bins, 50)
+        check_bins(lengths, out, 50)
+        if len(out) == -(-sum(lengths) // 50):
+            continue
+        fill = [sum(lengths[i] for i in b) for b in out]
+        for x, own in enumerate(out):
+            sums = {lengths[i] for i in own} | {lengths[i] + lengths[j] for i, j in itertools.combinations(own, 2)}
+            for y, other in enumerate(out):
+                moves = [t - z for t in sums for z in {0, *(lengths[i] for i in other)} if t > z]
+                assert y == x or fill[x] == 50 or fill[y] < fill[x] or not any(fill[y] + d <= 50 for d in moves)
+    r = random.Random(7)
+    lengths = [r.randint(90, 130) for _ in range(2000)]
+    assert len(packing.pack(lengths, 1024)) == -(-sum(lengths) // 1024)
+
+
 def test_pieces_equal_the_tokenizers_library(docs, nothing):
     from tokenizers import Tokenizer
 
