@@ -3,7 +3,8 @@
 Two variable-order Markov models (accepted and rejected URLs) are counted from a bounded sample of the URLs that rules
 decide. Each character's probability interpolates the orders 0 to ORDER by Witten-Bell weights: of a context seen n
 times with t different characters, the next shorter one has the share t / (n + t). A URL is judged by the difference
-of its log-likelihoods for each character, against a threshold calibrated on the part of the sample not fitted to.
+of its log-likelihoods for each character, against a threshold calibrated on all URLs that rules decide and that are
+not fitted to.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from rillmark.llm.common import small, written
 #: Rules of the registered query: (host, path, verdict).
 RULES = [("com", "/", "allow"), ("www.example.com", "/en/", "allow"), ("example.com", "/en/", "block"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 ORDER = 4
-#: URLs of each verdict that the models are fitted to, and as many to calibrate on; longest context a model may look at.
-SAMPLE = 4_000
+#: Most URLs of each verdict that the models are fitted to; longest context a model may look at.
+SAMPLE = 10_000
 CLASSES = ("allow", "block")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -109,11 +110,13 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], sample: int
     judged = judged.withColumn("__rule", rule).withColumn("__rv", verdict)
     url = F.coalesce("__url", F.lit(""))
     known = judged.where(F.col("__rv").isNotNull()).select(url.alias("url"), F.col("__rv").alias("verdict")).distinct()
-    order = F.xxhash64("url", F.lit(3))
-    picked = functools.reduce(DataFrame.unionByName, (known.where(F.col("verdict") == c).orderBy(order, "url").limit(2 * sample) for c in CLASSES))
-    picked = written(picked.withColumn("fit", F.pmod(F.xxhash64("url", F.lit(4)), F.lit(2)) == 0), "url-sample")
-    tables = fit(picked.where("fit"))
-    held = written(score(picked.where("NOT fit").select(F.struct("url", "verdict").alias("key"), "url"), tables), "url-held")
+    known = written(known, "url-known")
+    order, may = F.xxhash64("url", F.lit(3)), F.pmod(F.xxhash64("url", F.lit(4)), F.lit(2)) == 0
+    picked = functools.reduce(DataFrame.unionByName, (known.where((F.col("verdict") == c) & may).orderBy(order, "url").limit(sample) for c in CLASSES))
+    picked = written(picked, "url-sample")
+    tables = fit(picked)
+    held = known.join(small(picked.select("url")), "url", "left_anti")
+    held = written(score(held.select(F.struct("url", "verdict").alias("key"), "url"), tables), "url-held")
     threshold = calibrate(held.select("score", F.col("key.verdict").alias("verdict")))
     # each different URL is scored once; the rows with it take its score
     open_ = judged.where(F.col("__rv").isNull()).select(url.alias("key")).distinct().withColumn("url", F.col("key"))

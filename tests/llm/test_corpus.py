@@ -205,6 +205,17 @@ def test_url_rules(spark):
     assert urls.filter_urls(df.limit(0), urls.RULES).count() == 0
 
 
+def test_url_threshold_is_calibrated_on_all_decided_urls_not_fitted_to(spark, monkeypatch):
+    decided = [f"https://a.com/x{i}" for i in range(150)] + [f"https://b.net/es/{i}" for i in range(90)]
+    df = spark.createDataFrame([(u,) for u in [*decided, *decided[:40], "https://c.org/1", None]], "url string")
+    seen = {}
+    monkeypatch.setattr(urls, "fit", lambda rows, f=urls.fit: seen.update(fit={r["url"]: r["verdict"] for r in rows.collect()}) or f(rows))
+    monkeypatch.setattr(urls, "calibrate", lambda rows, f=urls.calibrate: seen.update(held=Counter(r["verdict"] for r in rows.collect())) or f(rows))
+    assert urls.filter_urls(df, urls.RULES, sample=20).count() == df.count()
+    assert Counter(seen["fit"].values()) == {"allow": 20, "block": 20}
+    assert seen["held"] == {"allow": 130, "block": 70} and urls.SAMPLE >= 10_000
+
+
 def test_url_model_tells_classes_apart_on_held_out_urls(spark):
     r = random.Random(2)
     good = [f"http://{r.choice(['alpha', 'beta', 'gamma'])}{r.randint(0, 99)}.example.org/wiki/{r.randint(0, 999)}" for _ in range(300)]
