@@ -5,32 +5,42 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows a Python worker gets at once; long texts make larger batches costly.
+#: Rows that a Python worker gets at once while a stage is written, and rows and bytes of them that it handles at once.
 ARROW_ROWS = 1000
+SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
 #: Most entries a broadcast lookup may have; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
 
-#: Folders of applications without spark.checkpoint.dir, as in tests.
-_own: dict[str, str] = {}
+#: Folders by application; those without spark.checkpoint.dir, as in tests of one process, get a temporary one.
+_folders: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """This application's part of the shared folder (spark.checkpoint.dir); a temporary one only where none is set."""
-    app = spark.sparkContext.applicationId
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="rillmark-")
-        base = _own[app]
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/rillmark-{app}")
-    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()  # names its file system
-    return re.sub("^file:/+", "file:///", whole)
+    """This application's part of the shared folder (spark.checkpoint.dir); Hadoop deletes it when the driver's JVM ends.
+
+    Where none is set, a temporary one serves a local master; a cluster's executors would not see it, so that is an error.
+    """
+    context = spark.sparkContext
+    app = context.applicationId
+    if app not in _folders:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="rillmark-")
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/rillmark-{app}")
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        _folders[app] = re.sub("^file:/+", "file:///", files.makeQualified(path).toString())  # names its file system
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return _folders[app]
 
 
 def clear(spark: SparkSession) -> None:
@@ -40,12 +50,35 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """While a stage is written, Python workers get at most ARROW_ROWS rows at once; the session's setting is then as before."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), ARROW_ROWS) if int(before) > 0 else ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written to the scratch folder as Parquet and read again: lineage ends there."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._rillmark_path = path
+    return out
+
+
+def forget(*stages: DataFrame) -> None:
+    """Deletes written stages that nothing reads any more: what was made of them has been written itself."""
+    for df in stages:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._rillmark_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -53,18 +86,26 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     spark = df.sparkSession
     n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"rillmark_{uuid.uuid4().hex}"
     out = df.repartition(n, key).write.bucketBy(n, key).sortBy(key)
-    out.option("path", f"{scratch(spark)}/{name}-{table}").saveAsTable(table)
+    path = f"{scratch(spark)}/{name}-{table}"
+    with small_batches(spark):
+        out.option("path", path).saveAsTable(table)
     read = spark.table(table)
+    read._rillmark_path = path
     spark.sql(f"DROP TABLE {table}")  # of the catalog's entry only: the files are at a path of their own
     return read
 
 
+def _slices(batches):
+    """Batches in parts of at most SLICE_ROWS rows and about SLICE_BYTES: what Python makes of a part stays small."""
+    for batch in batches:
+        step = max(1, min(SLICE_ROWS, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+        for i in range(0, batch.num_rows, step):
+            yield batch.slice(i, step)
+
+
 def map_arrow(df: DataFrame, func, schema: str) -> DataFrame:
-    """df.mapInArrow in batches small enough for long texts."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return df.mapInArrow(func, schema)
+    """df.mapInArrow, func getting batches small enough for long texts."""
+    return df.mapInArrow(lambda batches: func(_slices(batches)), schema)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -1,9 +1,16 @@
 """Language-model scoring by prediction by partial matching over the bytes of tokens.
 
-A text is its tokens, each followed by a space, and an end; ORDER spaces stand before it. The trie holds, for contexts
-of up to ORDER bytes, which run over the borders of tokens, which bytes followed and how often. A byte unseen in a context is reached by an escape (method C: as many escapes as
-different bytes seen) to the next shorter context, where the bytes already excluded are left out. The code length of a
-byte hangs only on its context, so it is found once for each different context and byte, and documents add them up.
+A text is its tokens, each followed by a space, and an end; spaces stand before it. Contexts run over the borders of
+tokens. The longest context, of ADAPTIVE bytes, is the document's own: where it stood before in the same text, it
+predicts the byte that followed it last. Below it lies a trie of the training texts, for contexts of ORDER bytes down to
+none: which bytes followed and how often (in shorter contexts a byte counts once for each longer context it followed).
+A byte unseen in a context is reached by an escape to the next shorter one, where the bytes already excluded are left
+out. Escapes are estimated from the training texts: by order and by how many bytes of how many kinds a context has seen,
+the share of occurrences that would be new if they were taken out; for the document's own context by how often and how
+long it has been right, as counted over all training texts.
+
+The trie is never in one place. Its orders are tables keyed by context and byte, and a code length is built from the
+shortest context up: of a key's row and the row of its key one byte shorter, which at most 256 keys share.
 """
 
 from __future__ import annotations
@@ -12,21 +19,23 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillmark.llm.common import map_arrow, utf8, written
+from rillmark.llm.common import forget, map_arrow, utf8, written
 
-#: Longest context in bytes; what ends a token and stands before a text, and a text's end. None of them is in a word.
-ORDER, SPACE, TEXT_END = 5, 0x20, 0x0A
+#: Bytes of the trie's longest context and of the document's own; what ends a token and stands before a text.
+ORDER, ADAPTIVE, SPACE = 5, 12, 0x20
 ALPHABET = 256
-#: Entries of a worker's table before it is emptied; words broadcast to all workers; trie entries held by one worker.
-FLUSH, HOT, NODES = 200_000, 200_000, 1_500_000
-#: Contexts broadcast for each word that is; bytes of text that a worker turns into contexts at once.
-PER_WORD, CHUNK = 10, 4_000_000
-LN10 = np.log(10.0)
+#: Entries of a worker's table before it is emptied; words broadcast to all workers; contexts broadcast for each of them.
+FLUSH, HOT, PER_WORD = 200_000, 200_000, 5
+#: Bytes of text that a worker turns into contexts at once.
+CHUNK = 1_000_000
+#: States of the document's own context: times it stood before (3 and more are one) and the binary size of its run of hits.
+TIMES, RUNS = 3, 6
+STATES = TIMES * RUNS
+_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
 def held_out(doc_id) -> bool:
@@ -64,20 +73,55 @@ def _stream(text: bytes) -> bytes:
     return b"".join([b" ".join(own), b" \n"]) if (own := tokens(text)) else b"\n"
 
 
-def _keys(words: list[bytes], whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(context and byte as one number, number of the word) for every byte of the words and their ends; each begins
-    after spaces. whole: of texts that have their ends already."""
-    ended = words if whole else [w + b" " if w else b"\n" for w in words]
-    before = bytes([SPACE]) * ORDER
-    sizes = np.array([len(w) for w in ended], np.int64)
-    joined = bytes(7) + before + before.join(ended) if len(ended) else b""
-    keys = np.ndarray((max(0, len(joined) - 7),), ">i8", joined, 0, (1,)) if joined else np.zeros(0, np.int64)
-    keys = keys.astype(np.int64) & ((1 << 8 * (ORDER + 1)) - 1)  # the eight bytes up to the one at hand, less those beyond the context
-    kept = np.ones(len(keys), bool)
-    starts = np.cumsum(sizes + ORDER) - (sizes + ORDER)
-    kept[(starts[:, None] + np.arange(ORDER)).ravel()] = False
-    # the window that begins at joined[i] ends at joined[i + 7], the i-th byte after the first seven
-    return keys[kept], np.repeat(np.arange(len(ended)), sizes)
+class Positions:
+    """Every byte of some streams: key (its ORDER bytes of context and itself as one number), the number of its stream and,
+    where the ADAPTIVE bytes before it stood earlier in the stream, the byte that followed them last and the state."""
+
+    def __init__(self, streams: list[bytes], adaptive: bool = True):
+        before = bytes([SPACE]) * ADAPTIVE
+        sizes = np.array([len(x) for x in streams], np.int64)
+        joined = before + before.join(streams)
+        self.owner = np.repeat(np.arange(len(streams)), sizes)
+        # the places of the streams' bytes in joined; the window of eight bytes that ends at place p begins at p - 7
+        place = np.arange(len(self.owner)) + (self.owner + 1) * ADAPTIVE
+        windows = np.ndarray((len(joined) - 7,), ">i8", joined, 0, (1,)).astype(np.int64)
+        self.key = windows[place - 7] & ((1 << 8 * (ORDER + 1)) - 1)
+        if adaptive:
+            h = windows[place - 8].view(np.uint64) * _M1
+            h ^= h >> np.uint64(32)
+            h = (h + windows[place - ADAPTIVE].view(np.uint64)) * _M2
+            h ^= h >> np.uint64(29)
+            self._look_back((h + self.owner.astype(np.uint64)) * _M3)
+
+    def _look_back(self, context: np.ndarray) -> None:
+        n = len(context)
+        order = np.argsort(context)
+        ranked = context[order]
+        group = np.zeros(n, np.int64)
+        np.cumsum(ranked[1:] != ranked[:-1], out=group[1:])
+        bits = max(1, n.bit_length())
+        both = np.sort((group << bits) | order)  # equal contexts in order of place
+        order, group = both & ((1 << bits) - 1), both >> bits
+        again = np.zeros(n, bool)
+        again[1:] = group[1:] == group[:-1]
+        rank = np.arange(n)
+        times = rank - np.maximum.accumulate(np.where(again, 0, rank))
+        byte = self.key & 0xFF
+        at = order[again]
+        last = order[np.flatnonzero(again) - 1]
+        self.met = np.zeros(n, bool)
+        self.met[at] = True
+        self.guess = np.zeros(n, np.int64)
+        self.guess[at] = byte[last]
+        self.hit = self.met & (self.guess == byte)
+        seen = np.zeros(n, np.int64)
+        seen[order] = np.minimum(times, TIMES)
+        # hits in a row just before, within the text: a text's first byte has no context that stood before
+        miss = np.maximum.accumulate(np.where(self.hit, -1, rank))
+        run = np.zeros(n, np.int64)
+        run[1:] = rank[:-1] - miss[:-1]
+        size = np.minimum(np.frexp(run + 1.0)[1] - 1, RUNS - 1)
+        self.state = np.where(self.met, (seen - 1) * RUNS + size, -1)
 
 
 def _chunks(texts):
@@ -113,7 +157,7 @@ def _contexts(batches):
         for first, streams in _chunks(utf8(batch.column(1))):
             for train in (True, False):
                 own = [x for x, u in zip(streams, use[first : first + len(streams)], strict=True) if u == train]
-                keys = np.sort(_keys(own, True)[0])
+                keys = np.sort(Positions(own, adaptive=False).key)
                 at = np.flatnonzero(np.diff(keys, prepend=-1))
                 table.append((keys[at], np.diff(at, append=len(keys)) * train))
                 size += len(at)
@@ -125,127 +169,107 @@ def _contexts(batches):
         yield out()
 
 
-class Trie:
-    """Counts of a byte after each context of 0 to ORDER bytes, in sorted arrays, and log10 probabilities from them."""
-
-    def __init__(self, keys: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray] | None = None):
-        """low: counts of all contexts of one byte, where keys and n are those of a group of longer contexts only."""
-        order = np.argsort(keys)
-        keys, n = keys[order].astype(np.int64), n[order].astype(np.float64)
-        self.top = keys
-        #: by order: (context and byte, count) and (context, count, different bytes, log10 escape after exclusion, log10 rest)
-        self.pairs, self.contexts = [], []
-        for k in range(ORDER + 1):
-            all_keys, all_n = (keys, n) if low is None or k > 1 else low
-            pair, inverse = np.unique(all_keys & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
-            count = np.bincount(inverse, all_n, len(pair)) if len(pair) else np.zeros(0)
-            context, owner = np.unique(pair >> 8, return_inverse=True)
-            total = np.bincount(owner, count, len(context)) if len(pair) else np.zeros(0)
-            kinds = np.bincount(owner, minlength=len(context)).astype(np.float64)
-            self.pairs.append((pair, count, owner))
-            self.contexts.append((context, total, kinds))
-        #: excluded[k]: for a context of k + 1 bytes, log10 of what is left of its suffix of k bytes, and of the escape there
-        self.rest, self.escape = [], []
-        for k in range(ORDER):
-            long_pair, _, owner = self.pairs[k + 1]
-            context, _, kinds = self.contexts[k + 1]
-            pair, count, _ = self.pairs[k]
-            parent, total, parent_kinds = self.contexts[k]
-            gone = count[np.searchsorted(pair, long_pair & ((1 << 8 * (k + 1)) - 1))] if len(pair) else np.zeros(0)
-            up = np.searchsorted(parent, context & ((1 << 8 * k) - 1))
-            left = total[up] - np.bincount(owner, gone, len(context)) if len(context) else np.zeros(0)
-            fresh = parent_kinds[up] - kinds if len(context) else np.zeros(0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                self.rest.append(np.log10(left + fresh))
-                self.escape.append(np.where(fresh > 0, np.log10(fresh / (left + fresh)), 0.0))
-        self.known = self._score(keys)
-
-    @staticmethod
-    def _find(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(values):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
-        return at, values[at] == wanted
-
-    def _score(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys))
-        open_ = np.ones(len(keys), bool)  # the byte isn't found yet
-        begun = np.zeros(len(keys), bool)  # a context has been met
-        child = np.zeros(len(keys), np.int64)  # the context escaped from, one byte longer
-        for k in range(ORDER, -1, -1):
-            mask = (1 << 8 * (k + 1)) - 1
-            pair, count, _ = self.pairs[k]
-            context, total, kinds = self.contexts[k]
-            c, met = self._find(context, (keys & mask) >> 8)
-            p, found = self._find(pair, keys & mask)
-            first = open_ & met & ~begun
-            if first.any():
-                whole = np.log10(total[c] + kinds[c])
-                hit = first & found
-                out[hit] += np.log10(count[p[hit]]) - whole[hit]
-                miss = first & ~found
-                out[miss] += np.log10(kinds[c[miss]]) - whole[miss]
-            later = open_ & begun
-            if later.any():
-                hit = later & found
-                out[hit] += np.log10(count[p[hit]]) - self.rest[k][child[hit]]
-                miss = later & ~found
-                out[miss] += self.escape[k][child[miss]]
-            open_ &= ~(found & met)
-            begun |= met
-            child = c
-        kinds = self.contexts[0][2]
-        out[open_] -= np.log10(ALPHABET - (kinds[0] if len(kinds) else 0))
-        return out
-
-    def score(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte in its context."""
-        at, found = self._find(self.top, keys)
-        out = np.empty(len(keys))
-        out[found] = self.known[at[found]]
-        if not found.all():
-            missing, inverse = np.unique(keys[~found], return_inverse=True)
-            out[~found] = self._score(missing)[inverse]
-        return out
-
-
-def _key_scores(trie):
-    def score(batches):
-        model = trie.value
-        for batch in batches:
-            scores = model.score(batch.column(0).to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores)], names=["key", "n", "score"])
+def _shorter(key: str, order: Column) -> Column:
+    """A key of the byte and its context, less the context's bytes beyond `order`."""
+    return F.col(key).bitwiseAND(F.element_at(F.array(*(F.lit((1 << 8 * (k + 1)) - 1) for k in range(ORDER + 1))), order + 1))
 
-    return score
 
+def _orders(keys: DataFrame, last: int) -> DataFrame:
+    """keys with a row for each order from 0 to `last`."""
+    return keys.withColumn("order", F.explode(F.array(*map(F.lit, range(last + 1)))))
 
-def _group_scores(low):
-    """Scores of the keys that share their context's last two bytes: with all counts of up to one byte of context,
-    the counts of the group itself are all that they need."""
 
-    def score(group: pd.DataFrame) -> pd.DataFrame:
-        keys, n = group["key"].to_numpy(np.int64), group["n"].to_numpy(np.int64)
-        trie = Trie(keys[n > 0], n[n > 0], low.value)
-        return pd.DataFrame({"key": keys, "n": n, "score": trie.score(keys)})
+def _octave(n: Column) -> Column:
+    """Half octaves of a count: few classes at any size."""
+    return F.floor(F.log2(F.greatest(n, F.lit(1))) * 2).cast("int")
 
-    return score
+
+def escapes(contexts: DataFrame) -> DataFrame:
+    """(order, t, k, fresh_n, all_n) from contexts (order, t, k, s): at most some hundreds of classes an order.
+
+    A context of T + 1 occurrences of K kinds is, less any one of them, one of T: the occurrence taken out is new to it
+    if it was the only one of its kind (s of them are; then K - 1 kinds are left).
+    """
+    own = contexts.where("t > 1")
+    left = _octave(F.col("t") - 1).alias("t")
+    one = own.select("order", left, _octave(F.col("k") - 1).alias("k"), F.col("s").alias("fresh_n"), F.lit(0).alias("old_n"))
+    two = own.select("order", left, _octave(F.col("k")).alias("k"), F.lit(0).alias("fresh_n"), (F.col("t") - F.col("s")).alias("old_n"))
+    return one.unionByName(two).groupBy("order", "t", "k").agg(F.sum("fresh_n").cast("double").alias("fresh_n"), F.sum(F.col("fresh_n") + F.col("old_n")).cast("double").alias("all_n"))
 
 
-def score_keys(counts: DataFrame, nodes: int = NODES) -> DataFrame:
-    """(key, n, score): log10 probability of each byte in its context by the trie of the training counts (key, n).
+def _with_escape(contexts: DataFrame, rates: DataFrame, order: Column, total: str, kinds: str, name: str) -> DataFrame:
+    """contexts with a column for the chance of an escape, given a total and kinds in an order.
 
-    A trie of at most `nodes` entries is broadcast. A larger one stays dealt out by the last two bytes of the context;
-    the scores are the same.
+    By class of both: occurrences that would be new if they were taken out, of all; two more occurrences stand for
+    method C, so that rare classes have it.
     """
-    context = counts.sparkSession.sparkContext
-    used = counts.where("n > 0")
-    if used.limit(nodes + 1).count() <= nodes:
-        got = used.toArrow()
-        trie = context.broadcast(Trie(got.column("key").to_numpy(), got.column("n").to_numpy()))
-        return map_arrow(counts.select("key", "n"), _key_scores(trie), "key long, n long, score double")
-    low = used.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("n").alias("n")).toArrow()  # at most 65,536 rows
-    low = context.broadcast((low.column("key").to_numpy(), low.column("n").to_numpy()))
-    return counts.groupBy(F.shiftright("key", 8).bitwiseAND(0xFFFF).alias("suffix")).applyInPandas(_group_scores(low), "key long, n long, score double")
+    rates = F.broadcast(rates.select(F.col("order").alias("__o"), F.col("t").alias("__t"), F.col("k").alias("__k"), "fresh_n", "all_n"))
+    joined = contexts.withColumns({"__o": order, "__t": _octave(F.col(total)), "__k": _octave(F.col(kinds))}).join(rates, ["__o", "__t", "__k"], "left")
+    plain = F.coalesce(F.try_divide(F.col(kinds), F.col(total) + F.col(kinds)), F.lit(0.0))
+    e = (F.coalesce("fresh_n", F.lit(0.0)) + 2 * plain) / (F.coalesce("all_n", F.lit(0.0)) + 2)
+    return joined.withColumn(name, F.least(F.greatest(e, F.lit(1e-6)), F.lit(1 - 1e-6))).drop("__o", "__t", "__k", "fresh_n", "all_n")
+
+
+def trie(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The bytes (order, key, n) and the contexts (order, c, t, k, e, left, fresh, m) of training counts (key, n).
+
+    t and k: occurrences and kinds; e: chance of an escape. left and fresh: occurrences and kinds that the context one
+    byte shorter has besides them; m: the chance of an escape there. All orders are in one table each; a row is joined
+    by those of keys one byte longer, at most 256 of them.
+    """
+    used = counts.where("n > 0").select("key", "n")
+    longer = _orders(used.select("key"), ORDER - 1)
+    longer = longer.select("order", _shorter("key", F.col("order") + 1).alias("key")).distinct()
+    shorter = longer.groupBy("order", _shorter("key", F.col("order")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    bytes_ = written(used.select(F.lit(ORDER).alias("order"), "key", "n").unionByName(shorter), "bytes")
+    up = bytes_.select((F.col("order") + 1).alias("order"), F.col("key").alias("__s"), F.col("n").alias("__n"))
+    own = bytes_.withColumns({"c": F.shiftright("key", 8), "__s": F.when(F.col("order") > 0, _shorter("key", F.greatest(F.col("order") - 1, F.lit(0))))})
+    sums = own.join(up, ["order", "__s"], "left").groupBy("order", "c").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("k"), F.count_if(F.col("n") == 1).alias("s"), F.sum("__n").alias("gone"))
+    sums = written(sums, "sums")
+    rates = escapes(sums)
+    parent = sums.select((F.col("order") + 1).alias("order"), F.col("c").alias("__u"), F.col("t").alias("__t0"), F.col("k").alias("__k0"))
+    # of a context of `order` bytes, all but the first: a mask of order - 1 bytes
+    last = F.when(F.col("order") > 1, _shorter("c", F.greatest(F.col("order") - 2, F.lit(0)))).when(F.col("order") == 1, F.lit(0).cast("long"))
+    now = sums.withColumn("__u", last).join(parent, ["order", "__u"], "left")
+    now = now.withColumns({"left": F.col("__t0") - F.col("gone"), "fresh": F.col("__k0") - F.col("k")})
+    now = _with_escape(now, rates, F.col("order"), "t", "k", "e")
+    now = _with_escape(now, rates, F.col("order") - 1, "left", "fresh", "m")
+    contexts = written(now.select("order", "c", "t", "k", "e", "left", "fresh", "m"), "trie")
+    forget(sums)
+    return bytes_, contexts
+
+
+def score_keys(counts: DataFrame) -> DataFrame:
+    """(key, n, score): log10 probability of each key's byte in its context, by the trie of the training counts (key, n).
+
+    Keys in the trie are settled by its longest context. The others go down by distinct suffixes, and up again with two
+    values each: `met`, the score where the context is the longest met, and `escaped`, that where it was escaped from.
+    """
+    bytes_, contexts = trie(counts)
+    log = F.log10
+    known = counts.where("n > 0").withColumn("c", F.shiftright("key", 8)).join(contexts.where(F.col("order") == ORDER), "c")
+    known = known.select("key", "n", (log(1 - F.col("e")) + log(F.col("n") / F.col("t"))).alias("score"))
+    wanted = _orders(counts.where("n = 0").select("key"), ORDER).select("order", _shorter("key", F.col("order")).alias("key")).distinct()
+    local = wanted.join(bytes_, ["order", "key"], "left").withColumn("c", F.shiftright("key", 8)).join(contexts, ["order", "c"], "left")
+    local = written(local, "wanted")
+    seen = log(1 - F.col("e")) + log(F.col("n") / F.col("t"))
+    below = None
+    for order in range(ORDER + 1):
+        rows = local.where(F.col("order") == order)
+        if below is None:  # under the shortest context all bytes that it lacks are alike
+            escaped, unmet = -log(F.greatest(F.lit(ALPHABET) - F.coalesce("k", F.lit(0)), F.lit(1))), F.lit(-float(np.log10(ALPHABET)))
+        else:
+            under = below.select(F.col("key").alias("__s"), F.col("n").alias("__n"), F.col("met").alias("__met"), F.col("escaped").alias("__escaped"))
+            # those of up to one byte of context are at most 65,536 whatever the input
+            rows = rows.withColumn("__s", _shorter("key", F.lit(order - 1))).join(F.broadcast(under) if order < 3 else under, "__s")
+            lower = F.when(F.col("__n").isNotNull(), log(1 - F.col("m")) + log(F.try_divide("__n", "left"))).otherwise(log("m") + F.col("__escaped"))
+            escaped, unmet = F.when(F.col("fresh") > 0, lower).otherwise(F.col("__escaped")), F.col("__met")
+        rows = rows.withColumn("escaped", escaped)
+        met = F.when(F.col("t").isNull(), unmet).when(F.col("n").isNotNull(), seen).otherwise(log("e") + F.col("escaped"))
+        below = rows.select("key", "n", met.alias("met"), "escaped")
+    out = written(known.unionByName(below.select("key", F.lit(0).cast("long").alias("n"), F.col("met").alias("score"))), "scores")
+    forget(bytes_, contexts, local)
+    return out
 
 
 def _frequent(counted: DataFrame, most: int) -> int:
@@ -259,47 +283,70 @@ def _frequent(counted: DataFrame, most: int) -> int:
 
 
 def _documents(hot, hot_keys):
-    """A row per document, with the sums over its broadcast words and contexts, and a row for each other one of it."""
+    """A row per document, with the sums over its broadcast words and contexts and the counts of its own context's states,
+    and a row for each other word or context of it."""
+    names = ["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "tries", "hits", "word", "n", "key", "guess"]
 
     def score(batches):
         known, (keys, scores) = hot.value, hot_keys.value
-        index, scores = pd.Index(keys), np.append(scores, 0.0)  # the last one stands for a context that isn't there
+        scores = np.append(scores, 0.0)  # the last one stands for a context that isn't there
+        out = np.zeros(STATES, np.int64)
+
+        def looked_up(wanted: np.ndarray) -> np.ndarray:
+            order = np.argsort(wanted)  # sorted lookups stay in the processor's cache
+            at = np.empty(len(wanted), np.int64)
+            near = np.minimum(np.searchsorted(keys, wanted[order]), max(len(keys) - 1, 0))
+            at[order] = np.where(keys[near] == wanted[order], near, -1) if len(keys) else -1
+            return at
+
         for batch in batches:
-            kinds = [pa.int64(), batch.schema.field(1).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64(), pa.int64()]
-            names = ["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "word", "n", "key"]
+            longs = pa.list_(pa.int64())
+            kinds = [pa.int64(), batch.schema.field(1).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), longs, longs, pa.binary(), pa.int64(), pa.int64(), pa.bool_()]
             numbers, texts = batch.column(0).to_numpy(), utf8(batch.column(2))
             sums = np.zeros(len(numbers))
+            tries, hits = np.zeros((len(numbers), STATES), np.int64), np.zeros((len(numbers), STATES), np.int64)
             for first, streams in _chunks(texts):
-                found, owner = _keys(streams, True)
-                at = index.get_indexer(found)
-                sums[first : first + len(streams)] = np.bincount(owner, scores[at], len(streams))
-                if (rare := at < 0).any():
-                    rows = numbers[first + owner[rare]]
-                    columns = {"row": pa.array(rows), "n": pa.array(np.ones(len(rows), np.int64)), "key": pa.array(found[rare])}
-                    yield pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(len(rows), k)) for c, k in zip(names, kinds, strict=True)], names=names)
+                at = Positions(streams)
+                span = slice(first, first + len(streams))
+                for table, which in ((tries, at.met), (hits, at.hit)):
+                    table[span] = np.bincount(at.owner[which] * STATES + at.state[which], minlength=len(streams) * STATES).reshape(-1, STATES)
+                # what the document's own context didn't tell is read from the trie, less the byte that it told wrongly
+                missed = at.met & ~at.hit
+                rare = []
+                for guess, own, wanted in ((False, at.owner[~at.hit], at.key[~at.hit]), (True, at.owner[missed], (at.key[missed] & ~0xFF) | at.guess[missed])):
+                    found = looked_up(wanted)
+                    value = scores[found]
+                    if guess:
+                        value = np.where(found < 0, 0.0, -np.log10(np.maximum(1 - 10**value, 1e-9)))
+                    sums[span] += np.bincount(own, value, len(streams))
+                    rare.append((numbers[first + own[found < 0]], wanted[found < 0], guess))
+                for rows, left, guess in rare:
+                    if len(rows):
+                        columns = {"row": pa.array(rows), "n": pa.array(np.ones(len(rows), np.int64)), "key": pa.array(left), "guess": pa.array(np.full(len(rows), guess))}
+                        yield pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(len(rows), k)) for c, k in zip(names, kinds, strict=True)], names=names)
             rows: list[tuple] = []
-            for row, doc_id, text, total in zip(numbers.tolist(), batch.column(1).to_pylist(), texts, sums.tolist(), strict=True):
+            for i, (row, doc_id, text, total) in enumerate(zip(numbers.tolist(), batch.column(1).to_pylist(), texts, sums.tolist(), strict=True)):
                 own = Counter(tokens(text))
                 own[b""] = 1
                 n_known, base, size = 0, 0.0, 0
                 for word, n in own.items():
                     size += n
                     if (x := known.get(word)) is None:
-                        rows.append((row, None, None, None, None, None, None, word, n, None))
+                        rows.append((row, *[None] * 8, word, n, None, None))
                     else:
                         n_known += n * x[0]
                         base += n * x[1]
-                rows.append((row, doc_id, held_out(doc_id), size, n_known, base, total, None, None, None))
+                rows.append((row, doc_id, held_out(doc_id), size, n_known, base, total, tries[i], hits[i], None, None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=names)
 
     return score
 
 
-def score_documents(docs: DataFrame, nodes: int = NODES, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Training documents are those whose crc32(id as text) mod 5 is not 1 (a null id: the text None). Each text is its
-    words and one end; a null text is empty. base_score is the unigram score of the contract, score that of the trie;
+    words and one end; a null text is empty. base_score is the unigram score of the contract, score that of the model;
     both are sums of log10 probabilities. The most frequent words, at most `hot` of them, and the most
     frequent contexts, PER_WORD times as many, are broadcast with their scores; the others are joined by shuffle, and
     no such word or context is in more than a small share of the rows.
@@ -318,18 +365,27 @@ def score_documents(docs: DataFrame, nodes: int = NODES, hot: int = HOT, id_col:
     table = dict(zip(got.column(0).to_pylist(), zip(*(got.column(i).to_pylist() for i in (1, 2)), strict=True), strict=True))
     table = docs.sparkSession.sparkContext.broadcast(table)
     contexts = written(map_arrow(picked, _contexts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "contexts")
-    contexts = written(score_keys(contexts, nodes), "scores").select("key", "score", magnitude)
+    contexts = score_keys(contexts).select("key", "score", magnitude)
     least_key = _frequent(contexts, PER_WORD * hot)
     got = contexts.where(F.col("magnitude") >= least_key).select("key", "score").toArrow()
-    hot_keys = docs.sparkSession.sparkContext.broadcast((got.column(0).to_numpy(), got.column(1).to_numpy()))
+    order = np.argsort(got.column(0).to_numpy())
+    hot_keys = docs.sparkSession.sparkContext.broadcast((got.column(0).to_numpy()[order], got.column(1).to_numpy()[order]))
     numbered = picked.withColumn("row", F.monotonically_increasing_id())
-    parts = written(map_arrow(numbered.select("row", "id", "text"), _documents(table, hot_keys), f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, word binary, n long, key long"), "parts")
+    schema = f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, tries array<long>, hits array<long>, word binary, n long, key long, guess boolean"
+    parts = written(map_arrow(numbered.select("row", "id", "text"), _documents(table, hot_keys), schema), "parts")
     rare = words.where(F.col("magnitude") < least).select("word", "seen", "base")
     rest = parts.where("word IS NOT NULL").select("row", "word", "n").join(rare, "word")
     rest = rest.groupBy("row").agg(F.sum(F.col("n") * F.col("seen")).alias("k"), F.sum(F.col("n") * F.col("base")).alias("b"))
     rare_keys = contexts.where(F.col("magnitude") < least_key).select("key", F.col("score").alias("bits"))
-    more = parts.where("key IS NOT NULL").select("row", "key", "n").join(rare_keys, "key").groupBy("row").agg(F.sum(F.col("n") * F.col("bits")).alias("s"))
-    whole = parts.where("word IS NULL AND key IS NULL").drop("word", "n", "key").join(rest, "row", "left").join(more, "row", "left")
+    bits = F.when(F.col("guess"), -F.log10(F.greatest(1 - F.pow(F.lit(10.0), F.col("bits")), F.lit(1e-9)))).otherwise(F.col("bits"))
+    more = parts.where("key IS NOT NULL").select("row", "key", "guess").join(rare_keys, "key").groupBy("row").agg(F.sum(bits).alias("s"))
+    whole = parts.where("tries IS NOT NULL").drop("word", "n", "key", "guess")
+    # over all training texts: how often the document's own context is wrong in each of its states
+    each = [F.sum(F.col(c)[i]) for c in ("tries", "hits") for i in range(STATES)]
+    sums = [x or 0 for x in whole.where("NOT held_out").agg(*each).first()]
+    escape = [(t - h + 0.5) / (t + 1) for t, h in zip(sums[:STATES], sums[STATES:], strict=True)]
+    own = sum((F.col("hits")[i] * float(np.log10(1 - e)) + (F.col("tries")[i] - F.col("hits")[i]) * float(np.log10(e)) for i, e in enumerate(escape)), F.lit(0.0))
+    whole = whole.withColumn("score", F.col("score") + own).drop("tries", "hits").join(rest, "row", "left").join(more, "row", "left")
     plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
     return whole.select("id", "held_out", "n_tokens", plus("n_known", "k"), F.lit(total).cast("long").alias("train_tokens"), plus("base_score", "b"), plus("score", "s"))
 

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -399,74 +400,120 @@ def test_pruning_table_and_recall():
 # ---- language model
 
 
-def test_ppm_base_scores_and_both_paths(docs, nothing):
-    rows = [(r["doc_id"], (r["text"] or "").encode().lower().split() + [b""]) for r in docs.collect()]
+class PlainModel:
+    """The language model from its definition, byte by byte."""
+
+    def __init__(self, train):
+        self.n = [Counter() for _ in range(ppm.ORDER + 1)]
+        for text in train:
+            text = b" " * ppm.ORDER + text
+            self.n[ppm.ORDER].update((text[i - ppm.ORDER : i], text[i]) for i in range(ppm.ORDER, len(text)))
+        for k in range(ppm.ORDER - 1, -1, -1):  # once for each longer context
+            self.n[k].update((c[1:], b) for c, b in self.n[k + 1])
+        self.after = [defaultdict(dict) for _ in self.n]
+        for k, table in enumerate(self.n):
+            for (c, b), n in table.items():
+                self.after[k][c][b] = n
+        self.fresh, self.all = Counter(), Counter()
+        for k, table in enumerate(self.after):
+            for own in table.values():
+                t = sum(own.values())
+                for n in own.values():  # each occurrence taken out
+                    for _ in range(n) if t > 1 else ():
+                        kinds = len(own) - (n == 1)
+                        cell = (k, math.floor(math.log2(max(t - 1, 1)) * 2), math.floor(math.log2(max(kinds, 1)) * 2))
+                        self.fresh[cell] += n == 1
+                        self.all[cell] += 1
+
+    def escape(self, k, t, kinds):
+        cell = (k, math.floor(math.log2(max(t, 1)) * 2), math.floor(math.log2(max(kinds, 1)) * 2))
+        return min(max((self.fresh[cell] + 2 * kinds / (t + kinds)) / (self.all[cell] + 2), 1e-6), 1 - 1e-6)
+
+    def p(self, context, byte):
+        gone, p = set(), 1.0
+        for k in range(ppm.ORDER, -1, -1):
+            own = self.after[k].get(context[len(context) - k :])
+            left = {b: n for b, n in (own or {}).items() if b not in gone}
+            if left:
+                e = self.escape(k, sum(left.values()), len(left))
+                if byte in left:
+                    return p * (1 - e) * left[byte] / sum(left.values())
+                p *= e
+            gone |= set(own or ())
+        return p / (256 - len(gone))
+
+    def steps(self, text):
+        """(state, hit, guess, byte, context) of the bytes of a text; state is None where its long context is new."""
+        text, last, times, run = b" " * ppm.ADAPTIVE + text, {}, Counter(), 0
+        for i in range(ppm.ADAPTIVE, len(text)):
+            long = text[i - ppm.ADAPTIVE : i]
+            met = long in last
+            hit = met and last[long] == text[i]
+            state = (min(times[long], ppm.TIMES) - 1) * ppm.RUNS + min(int(math.log2(run + 1)), ppm.RUNS - 1) if met else None
+            yield state, hit, last.get(long), text[i], text[i - ppm.ORDER : i]
+            run = run + 1 if hit else 0
+            last[long] = text[i]
+            times[long] += 1
+
+    def scores(self, texts, train):
+        tries, hits = Counter(), Counter()
+        for text, use in zip(texts, train, strict=True):
+            for state, hit, *_ in self.steps(text) if use else ():
+                if state is not None:
+                    tries[state] += 1
+                    hits[state] += hit
+        out = []
+        for text in texts:
+            total = 0.0
+            for state, hit, guess, byte, context in self.steps(text):
+                if state is not None:
+                    e = (tries[state] - hits[state] + 0.5) / (tries[state] + 1)
+                    total += math.log10(1 - e) if hit else math.log10(e)
+                if not hit:
+                    total += math.log10(self.p(context, byte))
+                    if state is not None:  # the wrong guess is left out below
+                        total -= math.log10(max(1 - self.p(context, guess), 1e-9))
+            out.append(total)
+        return out
+
+
+def test_ppm_equals_the_definition(docs, nothing):
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
+    words = [(i, t.lower().split() + [b""]) for i, t in rows]
     counts = Counter()
-    for i, w in rows:
+    for i, w in words:
         if zlib.crc32(str(i).encode()) % 5 != 1:
             counts.update(w)
     total, kinds = sum(counts.values()), len(counts)
-    expected = sorted((len(w), sum(counts[x] > 0 for x in w), round(sum(math.log10((counts[x] + 0.5) / (total + 0.5 * (kinds + 1))) for x in w), 6)) for _, w in rows)
-    small, large = ppm.score_documents(docs), ppm.score_documents(docs, nodes=5, hot=3)
-    for out in (small, large):
+    streams = [ppm._stream(t) for _, t in rows]
+    train = [not ppm.held_out(i) for i, _ in rows]
+    plain = PlainModel([x for x, use in zip(streams, train, strict=True) if use]).scores(streams, train)
+    base = [sum(math.log10((counts[x] + 0.5) / (total + 0.5 * (kinds + 1))) for x in w) for _, w in words]
+    expected = sorted((len(w), sum(counts[x] > 0 for x in w), round(b, 6), round(p, 6)) for (_, w), b, p in zip(words, base, plain, strict=True))
+    for out in (ppm.score_documents(docs), ppm.score_documents(docs, hot=3)):  # all broadcast, and nearly nothing
         got = rows_of(out)
-        assert sorted((r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == expected
+        assert sorted((r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in got) == expected
         assert all(r["train_tokens"] == total and r["held_out"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 1) for r in got)
-    key = lambda df: sorted((r["n_tokens"], round(r["score"], 6)) for r in rows_of(df))
-    assert key(small) == key(large)
     assert ppm.score_documents(nothing).count() == 0
 
 
-def plain_ppm(counts, context, byte):
-    """Method C with exclusion, straight from the definition."""
-    gone, p, begun = set(), 1.0, False
-    for k in range(ppm.ORDER, -1, -1):
-        own = counts.get(context[len(context) - k :])
-        if not own:
-            continue
-        begun = True
-        left = {b: n for b, n in own.items() if b not in gone}
-        if byte in left:
-            return p * left[byte] / (sum(left.values()) + len(left))
-        if left:
-            p *= len(left) / (sum(left.values()) + len(left))
-        gone |= set(own)
-    assert begun or not counts
-    return p / (256 - len(gone))
-
-
-def test_trie_equals_the_definition_and_sums_to_one():
+def test_ppm_chances_sum_to_one(spark):
     r = random.Random(5)
-    words = ["".join(r.choice("abcd") for _ in range(r.randint(1, 7))).encode() for _ in range(60)]
-    keys, _ = ppm._keys([*words, b""])
-    found, n = np.unique(keys, return_counts=True)
-    trie = ppm.Trie(found, n)
-    counts = defaultdict(Counter)
-    for w in [*words, b""]:
-        text = b" " * ppm.ORDER + (w + b" " if w else b"\n")
-        for i in range(ppm.ORDER, len(text)):
-            for k in range(ppm.ORDER + 1):
-                counts[text[i - k : i]][text[i]] += 1
-    for context in [b"     ", b"  abc", b"abcda", b"zzzzz", b" zzza", words[0].rjust(5, b" ")[-5:]]:
-        key = int.from_bytes(context, "big") << 8
-        got = 10 ** trie.score(key + np.arange(256))
-        assert abs(got.sum() - 1) < 1e-9
-        for byte in [*b"abcd z", 10, 200]:
-            assert math.isclose(got[byte], plain_ppm(counts, context, byte), rel_tol=1e-9)
-
-
-def test_ppm_contexts_run_over_words(docs, spark):
-    rows = [(r["doc_id"], ppm._stream((r["text"] or "").encode())) for r in docs.collect()]
-    counts = defaultdict(Counter)
-    for i, text in rows:
-        if not ppm.held_out(i):
-            text = b" " * ppm.ORDER + text
-            for j in range(ppm.ORDER, len(text)):
-                for k in range(ppm.ORDER + 1):
-                    counts[text[j - k : j]][text[j]] += 1
-    code = lambda text: sum(math.log10(plain_ppm(counts, text[j - ppm.ORDER : j], text[j])) for j in range(ppm.ORDER, len(text)))
-    expected = sorted(round(code(b" " * ppm.ORDER + text), 6) for _, text in rows)
-    assert sorted(round(r["score"], 6) for r in rows_of(ppm.score_documents(docs))) == expected
+    text = ppm._stream(" ".join("".join(r.choice("abcd") for _ in range(r.randint(1, 7))) for _ in range(60)).encode())
+    keys, n = np.unique(ppm.Positions([text], adaptive=False).key, return_counts=True)
+    contexts = [b"     ", b"  abc", b"abcda", b"zzzzz", b" zzza", text[20:25]]
+    every = {(int.from_bytes(c, "big") << 8) + b for c in contexts for b in range(256)}
+    rows = [(int(k), int(x)) for k, x in zip(keys, n, strict=True)] + [(k, 0) for k in every - set(keys.tolist())]
+    got = {x["key"]: 10 ** x["score"] for x in ppm.score_keys(spark.createDataFrame(rows, "key long, n long")).collect()}
+    assert len(got) == len(rows)
+    plain = PlainModel([text])
+    for c in contexts:
+        own = [got[(int.from_bytes(c, "big") << 8) + b] for b in range(256)]
+        assert abs(sum(own) - 1) < 1e-9
+        assert all(math.isclose(own[b], plain.p(c, b), rel_tol=1e-9) for b in range(256))
+
+
+def test_ppm_reads_across_words(spark):
     fluent = "the cat sat on the mat and saw the dog run to the end of the road"
     words = fluent.split()
     random.Random(1).shuffle(words)
@@ -477,6 +524,12 @@ def test_ppm_contexts_run_over_words(docs, spark):
     assert scores[tests[0]] > scores[tests[1]] + 1
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_ppm_beats_the_unigram_base_on_held_out_texts(spark):
+    out = ppm.op10_ppm(spark, "/root/testdata/sf0.01").where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert out["sum(score)"] > out["sum(base_score)"]
+
+
 # ---- pipeline
 
 
