@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from rillmark.llm.common import forget, map_arrow, utf8, written
 ORDER, ADAPTIVE, SPACE = 5, 12, 0x20
 ALPHABET = 256
 #: Entries of a worker's table before it is emptied; words broadcast to all workers; contexts broadcast for each of them.
-FLUSH, HOT, PER_WORD = 200_000, 200_000, 5
+FLUSH, HOT, PER_WORD = 200_000, 200_000, 10
 #: Bytes of text that a worker turns into contexts at once.
 CHUNK = 1_000_000
 #: States of the document's own context: times it stood before (3 and more are one) and the binary size of its run of hits.
@@ -48,29 +49,36 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def _counts(batches):
-    """Partial (word, n, used): rows of every word, n of them in training documents; b'' stands for the texts' ends."""
-    table: dict[bytes, int] = {}
+    """Partial (word, n) of every word, n rows of it in training documents; b'' stands for the texts' ends."""
+    trained: Counter = Counter()
+    others: set[bytes] = set()
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(table), pa.binary()), pa.array(list(table.values()), pa.int64())], names=["word", "n"])
+        others.difference_update(trained)
+        words = [*trained, *others]
+        n = np.zeros(len(words), np.int64)
+        n[: len(trained)] = list(trained.values())
+        trained.clear()
+        others.clear()
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n)], names=["word", "n"])
 
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-            own = Counter(tokens(text))
-            own[b""] = 1
-            use = not held_out(doc_id)
-            for word, n in own.items():
-                table[word] = table.get(word, 0) + n * use
-            if len(table) > FLUSH:
-                yield out()
-                table.clear()
-    if table:
+            if held_out(doc_id):
+                others.update(tokens(text))
+                others.add(b"")
+            else:
+                trained.update(tokens(text))
+                trained[b""] += 1
+        if len(trained) + len(others) > FLUSH:
+            yield out()
+    if trained or others:
         yield out()
 
 
-def _stream(text: bytes) -> bytes:
-    """A text as the model reads it."""
-    return b"".join([b" ".join(own), b" \n"]) if (own := tokens(text)) else b"\n"
+def _stream(words: list[bytes]) -> bytes:
+    """A text's tokens as the model reads them."""
+    return b" ".join([*words, b"\n"])
 
 
 class Positions:
@@ -81,56 +89,66 @@ class Positions:
         before = bytes([SPACE]) * ADAPTIVE
         sizes = np.array([len(x) for x in streams], np.int64)
         joined = before + before.join(streams)
-        self.owner = np.repeat(np.arange(len(streams)), sizes)
-        # the places of the streams' bytes in joined; the window of eight bytes that ends at place p begins at p - 7
-        place = np.arange(len(self.owner)) + (self.owner + 1) * ADAPTIVE
+        n = len(joined) - ADAPTIVE  # the window of eight bytes that ends at place p begins at p - 7
         windows = np.ndarray((len(joined) - 7,), ">i8", joined, 0, (1,)).astype(np.int64)
-        self.key = windows[place - 7] & ((1 << 8 * (ORDER + 1)) - 1)
+        starts = np.cumsum(sizes + ADAPTIVE) - (sizes + ADAPTIVE)
+        own = np.ones(n, bool)  # places from the first stream's first byte on, less the spaces before the others
+        for k in range(ADAPTIVE):
+            own[starts[1:] - 1 - k] = False
+        self.owner = np.repeat(np.arange(len(streams)), sizes)
+        self.key = (windows[ADAPTIVE - 7 :] & ((1 << 8 * (ORDER + 1)) - 1))[own]
         if adaptive:
-            h = windows[place - 8].view(np.uint64) * _M1
+            h = windows[ADAPTIVE - 8 : -1].view(np.uint64) * _M1
             h ^= h >> np.uint64(32)
-            h = (h + windows[place - ADAPTIVE].view(np.uint64)) * _M2
+            h += windows[:n].view(np.uint64)
+            h *= _M2
             h ^= h >> np.uint64(29)
-            self._look_back((h + self.owner.astype(np.uint64)) * _M3)
+            h = h[own]
+            h += self.owner.astype(np.uint64)
+            h *= _M3
+            self._look_back(h)
 
     def _look_back(self, context: np.ndarray) -> None:
         n = len(context)
-        order = np.argsort(context)
-        ranked = context[order]
-        group = np.zeros(n, np.int64)
-        np.cumsum(ranked[1:] != ranked[:-1], out=group[1:])
-        bits = max(1, n.bit_length())
-        both = np.sort((group << bits) | order)  # equal contexts in order of place
-        order, group = both & ((1 << bits) - 1), both >> bits
+        bits = np.uint64(max(1, n.bit_length()))
+        low = (np.uint64(1) << bits) - np.uint64(1)
+        ranked = np.sort((context & ~low) | np.arange(n, dtype=np.uint64))  # contexts by their high bits, in order of place
+        order = (ranked & low).astype(np.int64)
         again = np.zeros(n, bool)
-        again[1:] = group[1:] == group[:-1]
-        rank = np.arange(n)
-        times = rank - np.maximum.accumulate(np.where(again, 0, rank))
-        byte = self.key & 0xFF
-        at = order[again]
-        last = order[np.flatnonzero(again) - 1]
+        again[1:] = (ranked[1:] ^ ranked[:-1]) <= low
+        later = np.flatnonzero(again)
+        if (context[order[later]] != context[order[later - 1]]).any():  # high bits that different contexts share
+            order = np.argsort(context, kind="stable")
+            again[1:] = context[order[1:]] == context[order[:-1]]
+            later = np.flatnonzero(again)
+        at, last = order[later], order[later - 1]
+        byte = (self.key & 0xFF).astype(np.uint8)
         self.met = np.zeros(n, bool)
         self.met[at] = True
-        self.guess = np.zeros(n, np.int64)
+        self.guess = np.zeros(n, np.uint8)
         self.guess[at] = byte[last]
         self.hit = self.met & (self.guess == byte)
-        seen = np.zeros(n, np.int64)
-        seen[order] = np.minimum(times, TIMES)
+        # how often the context stood before: its place in its run of equal ones
+        rank = np.arange(len(later))
+        begins = np.diff(later, prepend=-2) > 1
+        times = np.empty(n, np.int8)
+        times[at] = np.minimum(rank - np.maximum.accumulate(np.where(begins, rank, 0)), TIMES - 1)
         # hits in a row just before, within the text: a text's first byte has no context that stood before
-        miss = np.maximum.accumulate(np.where(self.hit, -1, rank))
-        run = np.zeros(n, np.int64)
-        run[1:] = rank[:-1] - miss[:-1]
+        places = np.flatnonzero(self.met)
+        missed = np.flatnonzero(~self.hit)
+        run = places - 1 - missed[np.searchsorted(missed, places) - 1]
         size = np.minimum(np.frexp(run + 1.0)[1] - 1, RUNS - 1)
-        self.state = np.where(self.met, (seen - 1) * RUNS + size, -1)
+        #: of the places that the context told anything about, in order: their states
+        self.state = times[places] * RUNS + size
 
 
 def _chunks(texts):
-    """(first, streams) of runs of texts with about CHUNK bytes."""
-    own: list[bytes] = []
+    """(first, words of each text) of runs of texts with about CHUNK bytes."""
+    own: list[list[bytes]] = []
     first = held = 0
     for i, text in enumerate(texts):
-        own.append(_stream(text))
-        held += len(own[-1])
+        own.append(tokens(text))
+        held += len(text)
         if held > CHUNK:
             yield first, own
             own, first, held = [], i + 1, 0
@@ -154,9 +172,11 @@ def _contexts(batches):
 
     for batch in batches:
         use = np.array([not held_out(i) for i in batch.column(0).to_pylist()], bool)
-        for first, streams in _chunks(utf8(batch.column(1))):
+        for first, words in _chunks(utf8(batch.column(1))):
             for train in (True, False):
-                own = [x for x, u in zip(streams, use[first : first + len(streams)], strict=True) if u == train]
+                own = [_stream(x) for x, u in zip(words, use[first : first + len(words)], strict=True) if u == train]
+                if not own:
+                    continue
                 keys = np.sort(Positions(own, adaptive=False).key)
                 at = np.flatnonzero(np.diff(keys, prepend=-1))
                 table.append((keys[at], np.diff(at, append=len(keys)) * train))
@@ -285,59 +305,60 @@ def _frequent(counted: DataFrame, most: int) -> int:
 def _documents(hot, hot_keys):
     """A row per document, with the sums over its broadcast words and contexts and the counts of its own context's states,
     and a row for each other word or context of it."""
-    names = ["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "tries", "hits", "word", "n", "key", "guess"]
+    names = ["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "tries", "hits", "word", "key", "guess"]
 
     def score(batches):
-        known, (keys, scores) = hot.value, hot_keys.value
-        scores = np.append(scores, 0.0)  # the last one stands for a context that isn't there
-        out = np.zeros(STATES, np.int64)
-
-        def looked_up(wanted: np.ndarray) -> np.ndarray:
-            order = np.argsort(wanted)  # sorted lookups stay in the processor's cache
-            at = np.empty(len(wanted), np.int64)
-            near = np.minimum(np.searchsorted(keys, wanted[order]), max(len(keys) - 1, 0))
-            at[order] = np.where(keys[near] == wanted[order], near, -1) if len(keys) else -1
-            return at
+        (known, seen, bases), (keys, scores) = hot.value, hot_keys.value
+        seen, bases, scores = (np.append(x, 0) for x in (seen, bases, scores))  # the last one stands for what isn't there
+
+        def looked_up(owner: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """owner, key and number in keys (or -1) of the wanted keys, in order of keys: sorted lookups stay in the processor's cache."""
+            if not len(wanted):
+                return owner, wanted, owner
+            both = np.sort((wanted << 15) | owner) if owner[-1] < 1 << 15 else None
+            if both is None:  # more texts than fit beside a key
+                order = np.argsort(wanted)
+                owner, wanted = owner[order], wanted[order]
+            else:
+                owner, wanted = both & ((1 << 15) - 1), both >> 15
+            first = np.flatnonzero(np.diff(wanted, prepend=-1))
+            near = np.minimum(np.searchsorted(keys, wanted[first]), max(len(keys) - 1, 0))
+            near = np.where(keys[near] == wanted[first], near, -1) if len(keys) else np.full(len(first), -1)
+            return owner, wanted, np.repeat(near, np.diff(first, append=len(wanted)))
 
         for batch in batches:
             longs = pa.list_(pa.int64())
-            kinds = [pa.int64(), batch.schema.field(1).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), longs, longs, pa.binary(), pa.int64(), pa.int64(), pa.bool_()]
-            numbers, texts = batch.column(0).to_numpy(), utf8(batch.column(2))
-            sums = np.zeros(len(numbers))
-            tries, hits = np.zeros((len(numbers), STATES), np.int64), np.zeros((len(numbers), STATES), np.int64)
-            for first, streams in _chunks(texts):
-                at = Positions(streams)
-                span = slice(first, first + len(streams))
-                for table, which in ((tries, at.met), (hits, at.hit)):
-                    table[span] = np.bincount(at.owner[which] * STATES + at.state[which], minlength=len(streams) * STATES).reshape(-1, STATES)
+            kinds = [pa.int64(), batch.schema.field(1).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), longs, longs, pa.binary(), pa.int64(), pa.bool_()]
+
+            def rows(n: int, kinds=kinds, **columns):
+                return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names=names)
+
+            numbers, ids = batch.column(0).to_numpy(), batch.column(1)
+            for first, words in _chunks(utf8(batch.column(2))):
+                n = len(words)
+                row = numbers[first : first + n]
+                at = Positions([_stream(x) for x in words])
+                cells = at.owner[at.met] * STATES + at.state
+                tries, hits = (np.bincount(x, minlength=n * STATES).reshape(n, STATES) for x in (cells, cells[at.hit[at.met]]))
                 # what the document's own context didn't tell is read from the trie, less the byte that it told wrongly
-                missed = at.met & ~at.hit
-                rare = []
-                for guess, own, wanted in ((False, at.owner[~at.hit], at.key[~at.hit]), (True, at.owner[missed], (at.key[missed] & ~0xFF) | at.guess[missed])):
-                    found = looked_up(wanted)
+                sums = np.zeros(n)
+                wrong = at.met & ~at.hit
+                for guess, owner, wanted in ((False, at.owner[~at.hit], at.key[~at.hit]), (True, at.owner[wrong], (at.key[wrong] & ~0xFF) | at.guess[wrong])):
+                    owner, wanted, found = looked_up(owner, wanted)
                     value = scores[found]
                     if guess:
                         value = np.where(found < 0, 0.0, -np.log10(np.maximum(1 - 10**value, 1e-9)))
-                    sums[span] += np.bincount(own, value, len(streams))
-                    rare.append((numbers[first + own[found < 0]], wanted[found < 0], guess))
-                for rows, left, guess in rare:
-                    if len(rows):
-                        columns = {"row": pa.array(rows), "n": pa.array(np.ones(len(rows), np.int64)), "key": pa.array(left), "guess": pa.array(np.full(len(rows), guess))}
-                        yield pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(len(rows), k)) for c, k in zip(names, kinds, strict=True)], names=names)
-            rows: list[tuple] = []
-            for i, (row, doc_id, text, total) in enumerate(zip(numbers.tolist(), batch.column(1).to_pylist(), texts, sums.tolist(), strict=True)):
-                own = Counter(tokens(text))
-                own[b""] = 1
-                n_known, base, size = 0, 0.0, 0
-                for word, n in own.items():
-                    size += n
-                    if (x := known.get(word)) is None:
-                        rows.append((row, *[None] * 8, word, n, None, None))
-                    else:
-                        n_known += n * x[0]
-                        base += n * x[1]
-                rows.append((row, doc_id, held_out(doc_id), size, n_known, base, total, tries[i], hits[i], None, None, None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=names)
+                    sums += np.bincount(owner, value, n)
+                    if (rare := found < 0).any():
+                        yield rows(int(rare.sum()), row=row[owner[rare]], key=wanted[rare], guess=np.full(int(rare.sum()), guess))
+                sizes = np.array([len(x) + 1 for x in words], np.int64)
+                flat = [w for own in words for w in (*own, b"")]
+                owner = np.repeat(np.arange(n), sizes)
+                found = np.fromiter(map(known.get, flat, repeat(-1)), np.int64, len(flat))
+                if (rare := np.flatnonzero(found < 0)).size:
+                    yield rows(len(rare), row=row[owner[rare]], word=[flat[i] for i in rare.tolist()])
+                own = ids.slice(first, n)
+                yield rows(n, row=row, id=own, held_out=[held_out(i) for i in own.to_pylist()], n_tokens=sizes, n_known=np.bincount(owner, seen[found], n).astype(np.int64), base_score=np.bincount(owner, bases[found], n), score=sums, tries=list(tries), hits=list(hits))
 
     return score
 
@@ -362,8 +383,8 @@ def score_documents(docs: DataFrame, hot: int = HOT, id_col: str = "doc_id", tex
     words = counted.select("word", (F.col("n") > 0).cast("long").alias("seen"), base(F.col("n")).alias("base"), magnitude)
     least = _frequent(words, hot)
     got = words.where(F.col("magnitude") >= least).select("word", "seen", "base").toArrow()
-    table = dict(zip(got.column(0).to_pylist(), zip(*(got.column(i).to_pylist() for i in (1, 2)), strict=True), strict=True))
-    table = docs.sparkSession.sparkContext.broadcast(table)
+    table = {word: i for i, word in enumerate(got.column(0).to_pylist())}
+    table = docs.sparkSession.sparkContext.broadcast((table, got.column(1).to_numpy(), got.column(2).to_numpy()))
     contexts = written(map_arrow(picked, _contexts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "contexts")
     contexts = score_keys(contexts).select("key", "score", magnitude)
     least_key = _frequent(contexts, PER_WORD * hot)
@@ -371,15 +392,15 @@ def score_documents(docs: DataFrame, hot: int = HOT, id_col: str = "doc_id", tex
     order = np.argsort(got.column(0).to_numpy())
     hot_keys = docs.sparkSession.sparkContext.broadcast((got.column(0).to_numpy()[order], got.column(1).to_numpy()[order]))
     numbered = picked.withColumn("row", F.monotonically_increasing_id())
-    schema = f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, tries array<long>, hits array<long>, word binary, n long, key long, guess boolean"
+    schema = f"row long, id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, tries array<long>, hits array<long>, word binary, key long, guess boolean"
     parts = written(map_arrow(numbered.select("row", "id", "text"), _documents(table, hot_keys), schema), "parts")
     rare = words.where(F.col("magnitude") < least).select("word", "seen", "base")
-    rest = parts.where("word IS NOT NULL").select("row", "word", "n").join(rare, "word")
-    rest = rest.groupBy("row").agg(F.sum(F.col("n") * F.col("seen")).alias("k"), F.sum(F.col("n") * F.col("base")).alias("b"))
+    rest = parts.where("word IS NOT NULL").select("row", "word").join(rare, "word")
+    rest = rest.groupBy("row").agg(F.sum("seen").alias("k"), F.sum("base").alias("b"))
     rare_keys = contexts.where(F.col("magnitude") < least_key).select("key", F.col("score").alias("bits"))
     bits = F.when(F.col("guess"), -F.log10(F.greatest(1 - F.pow(F.lit(10.0), F.col("bits")), F.lit(1e-9)))).otherwise(F.col("bits"))
     more = parts.where("key IS NOT NULL").select("row", "key", "guess").join(rare_keys, "key").groupBy("row").agg(F.sum(bits).alias("s"))
-    whole = parts.where("tries IS NOT NULL").drop("word", "n", "key", "guess")
+    whole = parts.where("tries IS NOT NULL").drop("word", "key", "guess")
     # over all training texts: how often the document's own context is wrong in each of its states
     each = [F.sum(F.col(c)[i]) for c in ("tries", "hits") for i in range(STATES)]
     sums = [x or 0 for x in whole.where("NOT held_out").agg(*each).first()]

@@ -485,7 +485,7 @@ def test_ppm_equals_the_definition(docs, nothing):
         if zlib.crc32(str(i).encode()) % 5 != 1:
             counts.update(w)
     total, kinds = sum(counts.values()), len(counts)
-    streams = [ppm._stream(t) for _, t in rows]
+    streams = [ppm._stream(ppm.tokens(t)) for _, t in rows]
     train = [not ppm.held_out(i) for i, _ in rows]
     plain = PlainModel([x for x, use in zip(streams, train, strict=True) if use]).scores(streams, train)
     base = [sum(math.log10((counts[x] + 0.5) / (total + 0.5 * (kinds + 1))) for x in w) for _, w in words]
@@ -499,7 +499,7 @@ def test_ppm_equals_the_definition(docs, nothing):
 
 def test_ppm_chances_sum_to_one(spark):
     r = random.Random(5)
-    text = ppm._stream(" ".join("".join(r.choice("abcd") for _ in range(r.randint(1, 7))) for _ in range(60)).encode())
+    text = ppm._stream(["".join(r.choice("abcd") for _ in range(r.randint(1, 7))).encode() for _ in range(60)])
     keys, n = np.unique(ppm.Positions([text], adaptive=False).key, return_counts=True)
     contexts = [b"     ", b"  abc", b"abcda", b"zzzzz", b" zzza", text[20:25]]
     every = {(int.from_bytes(c, "big") << 8) + b for c in contexts for b in range(256)}
