@@ -1,8 +1,10 @@
 """Quality rules: text statistics, plain limits, and robust multivariate outliers.
 
 The outlier rule fits a minimum-covariance-determinant estimate for each language and source: deterministic start
-from medians and quartiles, then concentration steps, each of them two aggregations over all rows. Documents are
-rejected by the Mahalanobis distance of their transformed statistics.
+from medians and quartiles, then concentration steps until the determinants stand, each of them one aggregation over all
+rows. Every estimate leans on that of its language, and this on that of all rows, as if it had PRIOR rows more of them:
+a source of a few rows has nearly its language's estimate, a large one its own, with no size at which the rule changes.
+Documents are rejected by the Mahalanobis distance of their transformed statistics.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ WINDOW = 8
 #: differences than this say nothing about quality, however uniform a source is.
 FEATURES = {"word_length": 0.08, "symbol_rate": 0.055, "dup_line_rate": 0.15, "repeat_rate": 0.10, "upper_rate": 0.08, "stutter_rate": 0.05}
 P = len(FEATURES)
-#: Share of a group's rows that an estimate rests on; least rows of a group; concentration steps.
-H_SHARE, LEAST, STEPS = 0.75, 100, 5
+#: Share of a group's rows that an estimate rests on; rows that its language's estimate counts as; steps at most, and the
+#: change of the logarithm of a determinant under which it stands; classes of distance in a factor of two.
+H_SHARE, PRIOR, STEPS, STANDS, RINGS = 0.75, 50, 20, 1e-3, 64
 #: Documents beyond this quantile of the chi-squared distribution are rejected.
 QUANTILE = 0.9999
 _MIX, _MULT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -113,20 +116,42 @@ def _features(df: DataFrame) -> DataFrame:
     })
 
 
+MOMENTS = [f"s{j}" for j in range(P)] + [f"q{i}{j}" for i in range(P) for j in range(i, P)]
+
+
+def _estimate(n: float, sums: np.ndarray, prior: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of n rows with these sums (of values, then of products), leaning on a prior estimate."""
+    mean, second = sums[:P] / n, np.zeros((P, P))
+    second[np.triu_indices(P)] = sums[P:] / n
+    cov = second + np.triu(second, 1).T - np.outer(mean, mean)
+    if prior is None:
+        return mean, cov
+    return (n * mean + PRIOR * prior[0]) / (n + PRIOR), (n * cov + PRIOR * prior[1]) / (n + PRIOR)
+
+
 def _whitening(batches):
-    """Means and whitening matrices (inverse Cholesky factors, by rows) of groups, from their sums."""
+    """Means and whitening matrices (inverse Cholesky factors, by rows) of groups, from their sums, their language's and all rows'."""
     floor = np.diag(np.array(list(FEATURES.values())) ** 2)
     for batch in batches:
-        key, n, sums, squares = (c.to_pylist() for c in batch.columns)
-        mean, white = [], []
-        for m, s, q in zip(n, sums, squares, strict=True):
-            mu = np.array(s) / m
-            second = np.zeros((P, P))
-            second[np.triu_indices(P)] = np.array(q) / m
-            cov = (second + np.triu(second, 1).T - np.outer(mu, mu)) * CONSISTENCY + floor
+        grp, before, *levels = (c.to_pylist() for c in batch.columns)
+        mean, white, det = [], [], []
+        for n, sums, n_lang, lang, n_all, all_ in zip(*levels, strict=True):
+            mu, cov = _estimate(n, np.array(sums), _estimate(n_lang, np.array(lang), _estimate(n_all, np.array(all_), None)))
+            factor = np.linalg.inv(np.linalg.cholesky(cov * CONSISTENCY + floor))
             mean.append(mu.tolist())
-            white.append(np.linalg.inv(np.linalg.cholesky(cov)).ravel().tolist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mean, pa.list_(pa.float64())), pa.array(white, pa.list_(pa.float64()))], names=["grp", "mean", "white"])
+            white.append(factor.ravel().tolist())
+            det.append(float(-2 * np.log(np.diag(factor)).sum()))
+        numbers = pa.list_(pa.float64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mean, numbers), pa.array(white, numbers), pa.array(det, pa.float64()), pa.array(before, pa.float64())], names=["grp", "mean", "white", "det", "before"])
+
+
+def _params(moments: DataFrame) -> DataFrame:
+    """(grp, mean, white, det, before) from moments (grp, lang, before, n, sums); before: the determinant of the step before."""
+    moments = written(moments, "mcd-moments")
+    level = lambda key, name: moments.groupBy(*key).agg(F.sum("n").alias(f"n_{name}"), *(F.sum(c).alias(c) for c in MOMENTS)).select(*key, f"n_{name}", F.array(*MOMENTS).alias(name))
+    joined = moments.withColumn("own", F.array(*MOMENTS)).join(small(level(["lang"], "of_lang")), "lang").crossJoin(F.broadcast(level([], "of_all")))  # one row
+    joined = joined.select("grp", "before", "n", "own", "n_of_lang", "of_lang", "n_of_all", "of_all")
+    return written(map_arrow(joined, _whitening, "grp string, mean array<double>, white array<double>, det double, before double"), "mcd-params")
 
 
 def _distance() -> Column:
@@ -136,63 +161,70 @@ def _distance() -> Column:
     return sum((r * r for r in rows), F.lit(0.0))
 
 
+def _sums(rows: DataFrame, key: list[str]) -> DataFrame:
+    products = [F.sum(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"q{i}{j}") for i in range(P) for j in range(i, P)]
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"f{j}").alias(f"s{j}") for j in range(P)), *products)
+
+
 def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """A concentration step: estimates from the H_SHARE of each group's rows that are nearest by the estimates so far."""
-    near = rows.join(small(params), "grp").withColumn("ring", F.floor(F.log2(_distance() + 1) * 256).cast("long"))
-    rings = near.groupBy("grp", "ring").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(W.partitionBy("grp").orderBy("ring")) / F.sum("n").over(W.partitionBy("grp"))
-    edge = written(rings.withColumn("upto", upto).where(F.col("upto") >= H_SHARE).groupBy("grp").agg(F.min("ring").alias("edge")), "mcd-edge")
-    inner = near.join(small(edge), "grp").where(F.col("ring") <= F.col("edge"))
-    sums = F.array(*(F.sum(f"f{j}") for j in range(P)))
-    squares = F.array(*(F.sum(F.col(f"f{i}") * F.col(f"f{j}")) for i in range(P) for j in range(i, P)))
-    moments = inner.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), sums.alias("s"), squares.alias("q"))
-    return written(map_arrow(moments, _whitening, "grp string, mean array<double>, white array<double>"), "mcd-params")
+    """A concentration step: estimates from the H_SHARE of each group's rows that are nearest by the estimates so far.
+
+    Rows are summed by class of distance; of the few classes of a group the nearest are then added up.
+    """
+    near = rows.join(small(params.select("grp", "mean", "white", F.col("det").alias("before"))), "grp")
+    near = near.withColumn("ring", F.floor(F.log2(_distance() + 1) * RINGS).cast("int"))
+    rings = _sums(near, ["grp", "lang", "before", "ring"])
+    of_grp = W.partitionBy("grp")
+    nearer = F.sum("n").over(of_grp.orderBy("ring")) - F.col("n")
+    inner = rings.withColumns({"nearer": nearer, "whole": F.sum("n").over(of_grp)}).where(F.col("nearer") < H_SHARE * F.col("whole"))
+    return _params(inner.groupBy("grp", "lang", "before").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in MOMENTS)))
 
 
 def _start(rows: DataFrame) -> DataFrame:
-    """Median and quartile range of each statistic and group, from counts on a grid of a quarter of the least deviation."""
+    """Estimates from the median and quartile range of each statistic and group, by counts on a grid of a quarter of the least deviation."""
     floors = list(FEATURES.values())
     each = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.floor(F.col(f"f{j}") * (4 / floors[j])).cast("long").alias("at")) for j in range(P))))
-    counts = rows.select("grp", each.alias("x")).groupBy("grp", "x.j", "x.at").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.select("grp", "lang", each.alias("x")).groupBy("grp", "lang", "x.j", "x.at").agg(F.count(F.lit(1)).alias("n"))
     key = W.partitionBy("grp", "j")
-    counts = counts.withColumn("upto", F.sum("n").over(key.orderBy("at")) / F.sum("n").over(key))
+    counts = counts.withColumns({"upto": F.sum("n").over(key.orderBy("at")) / F.sum("n").over(key), "rows": F.sum("n").over(key)})
     at = lambda q: F.min(F.when(F.col("upto") >= q, F.col("at")))
     floor = F.element_at(F.array(*map(F.lit, floors)), F.col("j") + 1)
-    spots = counts.groupBy("grp", "j").agg(((at(0.5) + 0.5) * F.first(floor) / 4).alias("mid"), F.greatest((at(0.75) - at(0.25)) * F.first(floor) / 4 / 1.349, F.first(floor)).alias("scale"))
-    wide = spots.groupBy("grp").agg(*(F.max(F.when(F.col("j") == j, F.col(c))).alias(f"{c}{j}") for j in range(P) for c in ("mid", "scale")))
-    white = F.array(*(1 / F.col(f"scale{i}") if i == j else F.lit(0.0) for i in range(P) for j in range(P)))
-    return written(wide.select("grp", F.array(*(F.col(f"mid{j}") for j in range(P))).alias("mean"), white.alias("white")), "mcd-start")
+    spots = counts.groupBy("grp", "lang", "j", "rows").agg(((at(0.5) + 0.5) * F.first(floor) / 4).alias("mid"), F.greatest((at(0.75) - at(0.25)) * F.first(floor) / 4 / 1.349, F.first(floor)).alias("scale"))
+    wide = spots.groupBy("grp", "lang", F.col("rows").alias("n")).agg(*(F.max(F.when(F.col("j") == j, F.col(c))).alias(f"{c}{j}") for j in range(P) for c in ("mid", "scale")))
+    own = lambda i, j: F.col(f"mid{i}") * F.col(f"mid{j}") + (F.pow(f"scale{i}", F.lit(2)) / CONSISTENCY if i == j else F.lit(0.0))
+    products = [(F.col("n") * own(i, j)).alias(f"q{i}{j}") for i in range(P) for j in range(i, P)]
+    return _params(wide.select("grp", "lang", F.lit(None).cast("double").alias("before"), "n", *((F.col("n") * F.col(f"mid{j}")).alias(f"s{j}") for j in range(P)), *products))
 
 
-def quality_rules(docs: DataFrame, quantile: float = QUANTILE, steps: int = STEPS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def mcd(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+    """(grp, mean, white, det, before) of rows (grp, lang, f0, f1, ...): concentration steps until no determinant changes, or `steps` of them."""
+    params = _start(rows)
+    for _ in range(steps):
+        params = _step(rows, params)
+        moved = params.agg(F.max(F.abs(F.col("det") - F.col("before")))).first()[0]
+        if moved is None or moved <= STANDS:
+            break
+    return params
+
+
+def quality_rules(docs: DataFrame, quantile: float = QUANTILE, steps: int = STEPS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per row of docs: id, mark, the statistics, base_failed, distance, kept.
 
     base_failed: under 20 words, or over 30 % of the words in repeated 8-word windows. The other documents form
-    groups of equal language and source (null is a value like others); sources with fewer than `least` documents are
-    pooled within their language, and languages with fewer still are pooled together. A pool that is too small
-    even then gets no estimate, and the plain limits alone decide. Null texts count as empty.
+    groups of equal language and source (null is a value like others), each with an estimate of its own. A single
+    document, or one among a few, is within its estimate and stays. Null texts count as empty.
     """
     picked = docs.select(F.col(id_col).alias("id"), mark(text_col, lang_col, source_col).alias("mark"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     stats = map_arrow(picked, _stats, f"id {kind}, mark long, lang string, source string, {STATS}")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     quoted = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    rows = written(stats.withColumns({"base_failed": failed, "lang": quoted("lang"), "source": quoted("source")}), "stats")
-    good = rows.where(~F.col("base_failed"))
-    sizes = good.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.withColumn("rest", F.sum(F.when(F.col("n") < least, F.col("n"))).over(W.partitionBy("lang")))
-    grp = F.when(F.col("n") >= least, F.to_json(F.array("lang", "source"))).when(F.col("rest") >= least, F.to_json(F.array("lang"))).otherwise("[]")
-    groups = written(sizes.withColumn("grp", grp).select("lang", "source", "grp", "n"), "groups")
-    tiny = F.sum("n").over(W.partitionBy("grp")) < least
-    groups = written(groups.withColumn("grp", F.when(~tiny, F.col("grp"))).select("lang", "source", "grp"), "groups")
-    rows = rows.join(small(groups), ["lang", "source"], "left")
-    fitted = written(_features(rows.where(~F.col("base_failed") & F.col("grp").isNotNull())).select("grp", *(f"f{j}" for j in range(P))), "features")
-    params = _start(fitted)
-    for _ in range(steps):
-        params = _step(fitted, params)
-    judged = _features(rows).join(small(params), "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_quantile(quantile, P), F.lit(True))
-    return judged.withColumn("kept", kept).select("id", "mark", *(x.split()[0] for x in STATS.split(", ")), "base_failed", "distance", "kept")
+    grouped = stats.withColumns({"base_failed": failed, "grp": F.to_json(F.array(quoted("lang"), quoted("source"))), "lang": quoted("lang")})
+    rows = written(_features(grouped).drop("source"), "stats")
+    params = mcd(rows.where(~F.col("base_failed")).select("grp", "lang", *(f"f{j}" for j in range(P))), steps)
+    judged = rows.join(small(params.select("grp", "mean", "white")), "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    kept = ~F.col("base_failed") & (F.col("distance") <= chi2_quantile(quantile, P))
+    return judged.withColumn("kept", F.coalesce(kept, F.lit(False))).select("id", "mark", *(x.split()[0] for x in STATS.split(", ")), "base_failed", "distance", "kept")
 
 
 def keep_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:

@@ -157,7 +157,7 @@ def test_text_stats(texts):
 
 
 def test_quality_rejects_outliers_only(spark, docs, nothing):
-    out = rows_of(quality.quality_rules(docs, least=20))
+    out = rows_of(quality.quality_rules(docs))
     assert len(out) == docs.count()
     for r in out:
         assert r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"])
@@ -175,16 +175,63 @@ def test_chi2():
     assert abs(quality.chi2_quantile(0.95, 6) - 12.5916) < 1e-3
 
 
-def test_mcd_resists_contamination(spark):
+def plain_mcd(rows, floor):
+    """(mean, covariance) by group of rows (group, language, vector): the same steps with every distance sorted."""
+    lang = {g: x for g, x, _ in rows}
+    data = {g: np.array([v for h, _, v in rows if h == g]) for g in lang}
+
+    def leaning(n, mean, cov, prior):
+        return (n * mean + quality.PRIOR * prior[0]) / (n + quality.PRIOR), (n * cov + quality.PRIOR * prior[1]) / (n + quality.PRIOR)
+
+    def moments(parts):
+        x = np.concatenate(parts)
+        return len(x), x.mean(axis=0), np.cov(x.T, bias=True)
+
+    inner = data
+    for _ in range(quality.STEPS):
+        all_ = moments(list(inner.values()))[1:]
+        of_lang = {x: leaning(*moments([inner[g] for g in lang if lang[g] == x]), all_) for x in set(lang.values())}
+        params = {g: leaning(*moments([inner[g]]), of_lang[lang[g]]) for g in lang}
+        inner = {}
+        for g, x in data.items():
+            mean, cov = params[g]
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov * quality.CONSISTENCY + floor), x - mean)
+            inner[g] = x[np.argsort(d)[: math.ceil(quality.H_SHARE * len(x))]]
+    return params
+
+
+def test_mcd_equals_a_plain_version_and_resists_contamination(spark):
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(600, quality.P)) * 0.5 + 1
-    x[:120] += 8
-    rows = spark.createDataFrame([("g", *map(float, v)) for v in x], "grp string, " + ", ".join(f"f{j} double" for j in range(quality.P)))
-    params = quality._start(rows)
-    for _ in range(5):
-        params = quality._step(rows, params)
-    mean = np.array(params.first()["mean"])
-    assert np.abs(mean - x[120:].mean(axis=0)).max() < 0.15
+    floor = np.diag(np.array(list(quality.FEATURES.values())) ** 2)
+    rows = []
+    for g, lang, centre, n in (("a", "x", 1.0, 600), ("b", "x", 1.5, 300), ("c", "y", 0.0, 400), ("d", "y", 0.3, 7)):
+        v = rng.normal(size=(n, quality.P)) * 0.5 + centre
+        v[: n // 8] += 8
+        rows += [(g, lang, x) for x in v]
+    frame = spark.createDataFrame([(g, x, *map(float, v)) for g, x, v in rows], "grp string, lang string, " + ", ".join(f"f{j} double" for j in range(quality.P)))
+    got = {r["grp"]: r for r in quality.mcd(frame.repartition(3)).collect()}
+    plain = plain_mcd(rows, floor)
+    for g, (mean, cov) in plain.items():
+        assert np.abs(np.array(got[g]["mean"]) - mean).max() < 0.05, g
+        assert abs(got[g]["det"] - np.linalg.slogdet(cov * quality.CONSISTENCY + floor)[1]) < 0.25, g
+    clean = np.array([v for g, _, v in rows if g == "a"])[75:]
+    assert np.abs(np.array(got["a"]["mean"]) - clean.mean(axis=0)).max() < 0.15
+    white = np.array(got["a"]["white"]).reshape(quality.P, -1)
+    far = ((np.array([v for g, _, v in rows if g == "a"]) - got["a"]["mean"]) @ white.T) ** 2
+    assert (far.sum(axis=1) > quality.chi2_quantile(quality.QUANTILE, quality.P)).tolist()[:75] == [True] * 75
+
+
+def test_quality_has_no_size_at_which_the_rule_changes(spark):
+    """A junk document is rejected and plain ones stay, whatever the number of documents of its source."""
+    r = random.Random(6)
+    words = ["some", "plain", "words", "here", "again", "other", "thing", "more", "said"]
+    plain = lambda: " ".join(r.choice(words) + r.choice(["", "s", "ed"]) for _ in range(r.randint(60, 200)))
+    rows, sizes = [], (2, 10, 40, 99, 101, 200)
+    for k, n in enumerate(sizes):
+        rows += [(1000 * k + i, plain(), "en", f"s{k}") for i in range(n)] + [(1000 * k + 999, "#*$%&|<> " * 60 + plain(), "en", f"s{k}")]
+    judged = {x["id"]: x["kept"] for x in rows_of(quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))}
+    assert [judged[1000 * k + 999] for k in range(len(sizes))] == [False] * len(sizes)
+    assert sum(not kept for i, kept in judged.items() if i % 1000 != 999) <= 3
 
 
 # ---- URL filters
