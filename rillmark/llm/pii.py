@@ -45,7 +45,7 @@ CUES = {
 FEATURES = ["length", "digits", "letters", "uppers", "marks", "groups", "longest", "switches", "hex", "luhn", "bytes", *CUES, *(f"is_{k}" for k in GENERATORS)]
 #: Made-up labelled spans, and spans of documents that formats label (from so many documents, and so many of each kind),
 #: half of them to fit and half to calibrate; least calibrated probability, by kind, of a span that is taken.
-SAMPLE, SAMPLE_DOCS, SAMPLE_KIND = 5000, 4000, 400
+SAMPLE, SAMPLE_DOCS, SAMPLE_KIND = 5000, 2000, 400
 CONFIDENCE = {"email": 0.9, "ip": 0.9, "card": 0.95, "phone": 0.95, "secret": 0.95}
 #: Elements that a running sum or maximum takes together.
 BLOCK = 64
@@ -227,7 +227,8 @@ def _labelled_by_formats(docs: DataFrame) -> DataFrame:
     """(kind, label, features) of proposals from a bounded sample of docs (with __text): 1 if they touch a valid base span
     of their kind, 0 if they touch a match of its format that fails the check (digits, parts, Luhn); others have no label."""
     # written, so that what explodes it doesn't search the texts again for each condition
-    found = written(_candidates(docs.select("__text").orderBy(F.xxhash64("__text")).limit(SAMPLE_DOCS)), "pii-sample")
+    some = docs.select("__text").orderBy(F.xxhash64("__text")).limit(SAMPLE_DOCS).repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    found = written(_candidates(some), "pii-sample")
 
     def judged(kind: str) -> DataFrame:
         whole = lambda b: F.length(b["hit"]) >= (13 if kind == "card" else 1)  # noqa: E731  a group of a card's digits tells nothing
