@@ -227,7 +227,10 @@ def _labelled_by_formats(docs: DataFrame) -> DataFrame:
     """(kind, label, features) of proposals from a bounded sample of docs (with __text): 1 if they touch a valid base span
     of their kind, 0 if they touch a match of its format that fails the check (digits, parts, Luhn); others have no label."""
     # written, so that what explodes it doesn't search the texts again for each condition
-    some = docs.select("__text").orderBy(F.xxhash64("__text")).limit(SAMPLE_DOCS).repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    rows = docs.select("__text", F.xxhash64("__text").alias("h"))
+    # the hash up to which texts are taken is found among hashes alone: no task gathers texts of all others
+    edge = rows.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+    some = rows.where(F.lit(False) if edge is None else F.col("h") <= edge).dropDuplicates(["h"]).select("__text").repartition(docs.sparkSession.sparkContext.defaultParallelism)
     found = written(_candidates(some), "pii-sample")
 
     def judged(kind: str) -> DataFrame:

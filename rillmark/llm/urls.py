@@ -12,15 +12,17 @@ from __future__ import annotations
 import functools
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rillmark.llm.common import small, written
+from rillmark.llm.common import written
 
 #: Rules of the registered query: (host, path, verdict).
 RULES = [("com", "/", "allow"), ("www.example.com", "/en/", "allow"), ("example.com", "/en/", "block"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 ORDER = 4
-#: Most URLs of each verdict that the models are fitted to; longest context a model may look at.
-SAMPLE = 10_000
+#: Most URLs of each verdict that the models are fitted to, most characters of them together, and of one. So no table of a
+#: model has more than 2 * (CHARS + SAMPLE) rows, at any size of the input: they may be broadcast.
+SAMPLE, CHARS, LONGEST = 10_000, 600_000, 2_000
 CLASSES = ("allow", "block")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -68,14 +70,15 @@ def fit(sample: DataFrame) -> list[DataFrame]:
 def score(urls: DataFrame, tables: list) -> DataFrame:
     """(key, score): log-likelihood of accepted less that of rejected for each character, of urls (key, url).
 
-    The tables are bounded by the sample; small() broadcasts them by their checked size and leaves larger ones to a
-    shuffled join."""
-    rows = _grams(urls.select("key", "url"))
+    The tables are bounded by the sample (see CHARS), so they are broadcast and no character of a URL moves. URLs are dealt
+    to a stated number of tasks: adaptive execution would see their few bytes, not the rows that they become."""
+    tasks = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _grams(urls.select("key", "url").repartition(tasks, "url"))
     odds = {c: F.lit(1 / 1_114_112) for c in CLASSES}  # every code point alike, below all orders
     for k, (cells, contexts) in enumerate(tables):
         rows = rows.withColumn("__g", F.right("gram", F.lit(k + 1))).withColumn("__c", F.left(F.col("__g"), F.lit(k)))
         named = lambda df, kind: df.select(F.col(df.columns[0]).alias(f"__{kind}"), *(F.col(c).alias(f"{c}_{k}") for c in df.columns[1:]))  # noqa: B023, E731
-        rows = rows.join(small(named(cells, "g")), "__g", "left").join(small(named(contexts, "c")), "__c", "left").drop("__g", "__c")
+        rows = rows.join(F.broadcast(named(cells, "g")), "__g", "left").join(F.broadcast(named(contexts, "c")), "__c", "left").drop("__g", "__c")
         odds = {c: F.coalesce(F.col(f"q_{c}_{k}"), F.lit(0.0)) + F.coalesce(F.col(f"s_{c}_{k}"), F.lit(1.0)) * odds[c] for c in CLASSES}
     return rows.groupBy("key").agg(F.avg(F.log(odds["allow"]) - F.log(odds["block"])).alias("score"))
 
@@ -112,10 +115,19 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], sample: int
     known = judged.where(F.col("__rv").isNotNull()).select(url.alias("url"), F.col("__rv").alias("verdict")).distinct()
     known = written(known, "url-known")
     order, may = F.xxhash64("url", F.lit(3)), F.pmod(F.xxhash64("url", F.lit(4)), F.lit(2)) == 0
-    picked = functools.reduce(DataFrame.unionByName, (known.where((F.col("verdict") == c) & may).orderBy(order, "url").limit(sample) for c in CLASSES))
+    may = may & (F.length("url") <= LONGEST)
+
+    def drawn(c: str) -> DataFrame:
+        some = known.where((F.col("verdict") == c) & may).withColumn("order", order)
+        edge = some.select("order").orderBy("order").limit(sample).agg(F.max("order")).first()[0]
+        some = some.where(F.lit(False) if edge is None else F.col("order") <= edge)  # `sample` rows
+        so_far = F.sum(F.length("url")).over(W.partitionBy("verdict").orderBy("order", "url").rowsBetween(W.unboundedPreceding, 0))
+        return some.withColumn("so_far", so_far).where(F.col("so_far") <= CHARS).select("url", "verdict")
+
+    picked = functools.reduce(DataFrame.unionByName, map(drawn, CLASSES))
     picked = written(picked, "url-sample")
     tables = fit(picked)
-    held = known.join(small(picked.select("url")), "url", "left_anti")
+    held = known.join(F.broadcast(picked.select("url")), "url", "left_anti")
     held = written(score(held.select(F.struct("url", "verdict").alias("key"), "url"), tables), "url-held")
     threshold = calibrate(held.select("score", F.col("key.verdict").alias("verdict")))
     # each different URL is scored once; the rows with it take its score

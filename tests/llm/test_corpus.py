@@ -309,6 +309,38 @@ def test_url_model_tells_classes_apart_on_held_out_urls(spark):
     assert sum(scores[u] > 0 for u in set(good[200:])) > 0.95 * len(set(good[200:])) and sum(scores[u] < 0 for u in set(bad[200:])) > 0.95 * len(set(bad[200:]))
 
 
+def plain_url_score(sample, url):
+    """Mean over a URL's characters of the log ratio of both models, interpolated from the definition."""
+    counts = {c: [defaultdict(Counter) for _ in range(urls.ORDER + 1)] for c in urls.CLASSES}
+    for u, verdict in sample:
+        padded = " " * urls.ORDER + u + "\n"
+        for i in range(urls.ORDER, len(padded)):
+            for k in range(urls.ORDER + 1):
+                counts[verdict][k][padded[i - k : i]][padded[i]] += 1
+    padded, total = " " * urls.ORDER + url + "\n", 0.0
+    for i in range(urls.ORDER, len(padded)):
+        p = {}
+        for c in urls.CLASSES:
+            p[c] = 1 / 1_114_112
+            for k in range(urls.ORDER + 1):
+                own = counts[c][k].get(padded[i - k : i])
+                if own:
+                    n, t = sum(own.values()), len(own)
+                    p[c] = own[padded[i]] / (n + t) + t / (n + t) * p[c]
+        total += math.log(p["allow"]) - math.log(p["block"])
+    return total / (len(padded) - urls.ORDER)
+
+
+def test_url_scores_equal_the_definition(spark):
+    r = random.Random(8)
+    sample = [(f"http://{r.choice('ab')}{r.randint(0, 9)}.org/{r.choice(['x', 'wiki', 'é'])}/{i}", r.choice(urls.CLASSES)) for i in range(40)]
+    wanted = ["", "http://a1.org/wiki/3", "zzz", "ftp://é.net/" + "long/" * 900, *(u for u, _ in sample[:5])]
+    tables = urls.fit(spark.createDataFrame(sample, "url string, verdict string"))
+    got = {x["key"]: x["score"] for x in urls.score(spark.createDataFrame([(u, u) for u in wanted], "key string, url string"), tables).collect()}
+    for u in wanted:
+        assert math.isclose(got[u], plain_url_score(sample, u), rel_tol=1e-9, abs_tol=1e-12)
+
+
 # ---- mixing
 
 
