@@ -174,5 +174,5 @@ def error_weight(r: Column, error: Column) -> Column:
 
 
 def match_quality(slot: Column, location: Column, depth_cm: Column) -> Column:
-    """How a sensor fits a published table of slots: above ground, unknown place, no such slot, or ok."""
-    return F.when(slot.isNotNull(), "ok").when(depth_cm < 0, "no_slot_above_ground").when(location.isNull(), "tag_unmapped").otherwise("no_slot")
+    """How a sensor fits a published table of slots: ok, above ground (the depth -10 stands for it), unknown place, or no such slot."""
+    return F.when(slot.isNotNull(), "ok").when(depth_cm == -10, "no_slot_above_ground").when(location.isNull(), "tag_unmapped").otherwise("no_slot")

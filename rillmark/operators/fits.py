@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.functions import scalars as S
+from rillmark.operators import windows
 
 #: Bounds of the parameters: amplitude from 0, offset, time constant in hours, exponent.
 OFFSET, TAU, ALPHA = (0.0, 0.6), (0.5, 1e4), (0.0, 3.0)
@@ -91,6 +92,20 @@ def ols(df: DataFrame, key: list[str], x: str, y: str, least: int = 5) -> DataFr
     return df.groupBy(*key).agg(F.when(enough, F.regr_slope(y, x)).alias("slope"), F.when(enough, F.regr_intercept(y, x)).alias("intercept"), F.when(enough, F.regr_r2(y, x)).alias("r2"), F.regr_count(y, x).alias("n"))
 
 
+def loss_against_pet(change: DataFrame, pet: DataFrame, key: list[str], on: list[str], where=None, smooth: int | None = None, scale: float = 1000.0) -> DataFrame:
+    """Regression by key of a change in water content (key, on, dvwc) on evapotranspiration (on, pet), times `scale`.
+
+    Only times that both sides have and that meet the condition count. With smooth, both are first replaced by centred
+    means over so many of these rows, where all are there: smoothed and plain slopes are two rows apart.
+    """
+    rows = change.join(pet, on).where(F.col("dvwc").isNotNull() & F.col("pet").isNotNull())
+    rows = rows if where is None else rows.where(where)
+    rows = rows.withColumn("__y", F.col("dvwc") * scale)
+    if smooth:
+        rows = rows.withColumns({c: windows.moving_mean(name, key, on[0], smooth) for c, name in (("__x", "pet"), ("__y2", "__y"))}).select(*key, F.col("__x").alias("pet"), F.col("__y2").alias("__y")).where("pet IS NOT NULL AND __y IS NOT NULL")
+    return ols(rows, key, "pet", "__y")
+
+
 def through_origin(df: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
     """Slope of a line through the origin, and the median ratio."""
     return df.groupBy(*key).agg(S.ratio(F.sum(F.col(x) * F.col(y)), F.sum(F.col(x) * F.col(x))).alias("slope"), F.median(S.ratio(F.col(y), F.col(x))).alias("median_ratio"))

@@ -15,10 +15,11 @@ def daily_errors(df: DataFrame, key: list[str], ts: str, flag) -> DataFrame:
 
 
 def classify_ports(daily: DataFrame, key: list[str], recent_days: int = 14, onset_frac: float = 0.2, onset_n: int = 100, ok_frac: float = 0.02, bad_days: int = 3, dead: float = 0.95) -> DataFrame:
-    """A row per key: shares of errors, onset, last good day before it, and a class.
+    """A row per key: shares of errors, onset, last good day before it, last bad day (recovered_by), and a class.
 
-    Onset: the first day with enough readings and errors. Sustained: bad on at least bad_days days. The classes, first
-    that fits: DEAD, DEGRADING (recent errors over the limits), healthy (no onset), recovered, INTERMITTENT.
+    Bad days have enough readings and errors, onset is the first of them. The classes, first that fits: DEAD, DEGRADING
+    (errors of the recent days over the limits, however few the bad days), healthy (fewer than bad_days bad days),
+    recovered (recent errors under ok_frac), INTERMITTENT.
     """
     last = F.max("day").over(W.partitionBy(*key))
     bad = (F.col("frac") >= onset_frac) & (F.col("n") >= onset_n)
@@ -26,14 +27,14 @@ def classify_ports(daily: DataFrame, key: list[str], recent_days: int = 14, onse
     rows = daily.withColumns({"__last": last, "__bad": bad, "onset": onset})
     recent = F.col("day") >= F.date_sub("__last", recent_days)
     out = rows.groupBy(*key).agg(
-        (F.sum("n_bad") / F.sum("n")).alias("frac_all"),
-        S.ratio(F.sum(F.when(recent, F.col("n_bad"))).cast("double"), F.sum(F.when(recent, F.col("n"))).cast("double")).alias("frac_recent"),
+        F.coalesce(S.ratio(F.sum("n_bad").cast("double"), F.sum("n").cast("double")), F.lit(0.0)).alias("frac_all"),
+        F.coalesce(S.ratio(F.sum(F.when(recent, F.col("n_bad"))).cast("double"), F.sum(F.when(recent, F.col("n"))).cast("double")), F.lit(0.0)).alias("frac_recent"),
         F.min("onset").alias("onset"),
         F.max(F.when((F.col("day") < F.col("onset")) & (F.col("frac") < ok_frac), F.col("day"))).alias("last_ok"),
+        F.max(F.when(F.col("__bad"), F.col("day"))).alias("recovered_by"),
         F.count_if("__bad").alias("n_bad_days"),
     )
-    sustained = F.col("n_bad_days") >= bad_days
-    kind = F.when(sustained & (F.col("frac_recent") >= dead), "DEAD").when(sustained & (F.col("frac_recent") >= onset_frac), "DEGRADING").when(F.col("onset").isNull(), "healthy").when(F.col("frac_recent") < ok_frac, "recovered").otherwise("INTERMITTENT")
+    kind = F.when(F.col("frac_recent") >= dead, "DEAD").when(F.col("frac_recent") >= onset_frac, "DEGRADING").when(F.col("n_bad_days") < bad_days, "healthy").when(F.col("frac_recent") < ok_frac, "recovered").otherwise("INTERMITTENT")
     return out.withColumn("class", kind)
 
 

@@ -94,14 +94,26 @@ def counts_by(df: DataFrame, row: str, column: str, names: list[str]) -> DataFra
     return df.groupBy(row).pivot(column, names).count().fillna(0, names)
 
 
-def representative_events(fits: DataFrame, magnitude: DataFrame, n: int, depths: tuple, treatments: tuple, least: int = 1) -> DataFrame:
-    """The n events of largest summed amplitude that have at least `least` fits of each depth and treatment."""
-    need = [F.count_if((F.col("depth_cm") == d) & (F.col("treatment") == t)).alias(f"n_{t}_{d}") for d in depths for t in treatments]
-    counts = fits.groupBy("event").agg(*need)
-    for d in depths:
-        for t in treatments:
-            counts = counts.where(F.col(f"n_{t}_{d}") >= least)
-    return counts.join(magnitude, "event").orderBy(F.desc("magnitude"), "event").limit(n)
+#: Fits that an event needs by depth (cm) and treatment to represent others.
+REPRESENTATIVE = {(10, "swale"): 3, (10, "control"): 2, (40, "swale"): 1, (40, "control"): 1}
+
+
+def representative_events(fits: DataFrame, n: int, need: dict[tuple[int, str], int] | None = None, least_r2: float = 0.7, taus: tuple[float, float] = (5.0, 500.0)) -> DataFrame:
+    """The n events of largest summed amplitude that are fitted well: (event, n_<treatment>_<depth>, ..., magnitude).
+
+    Fits (event, depth_cm, treatment, exp_tau_h, exp_r2, exp_A) of the shallowest depth count with a time constant inside
+    taus and enough R2, those of other depths with any finite time constant. The magnitude sums the shallow amplitudes.
+    """
+    need = need or REPRESENTATIVE
+    shallow = F.col("depth_cm") == min(d for d, _ in need)
+    tau, r2 = F.col("exp_tau_h"), F.col("exp_r2")
+    good = shallow & tau.between(*taus) & (r2 >= least_r2) & ~F.isnan(r2)
+    finite = ~shallow & ~F.isnan(tau) & (F.abs(tau) < float("inf"))
+    counts = [F.count_if((good | finite) & (F.col("depth_cm") == d) & (F.col("treatment") == t)).alias(f"n_{t}_{d}") for d, t in need]
+    out = fits.groupBy("event").agg(*counts, F.sum(F.when(good, F.col("exp_A"))).alias("magnitude"))
+    for (d, t), least in need.items():
+        out = out.where(F.col(f"n_{t}_{d}") >= least)
+    return out.orderBy(F.desc("magnitude"), "event").limit(n)
 
 
 def captured_mm(limbs: DataFrame, key: list[str], thickness: dict, place: str) -> DataFrame:

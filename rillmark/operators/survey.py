@@ -36,7 +36,7 @@ def survey_resistance(wf: DataFrame, key: list[str], time: str = "time") -> Data
 def pulse_table(wf: DataFrame, key: list[str], time: str = "time") -> DataFrame:
     """A row per pulse: steady means, the voltage of the pulse before as self-potential, R from it, signed values."""
     rows = steady(pulses(wf, key, time), key, time).where("steady")
-    each = rows.groupBy(*key, "pulse", "polarity").agg(F.avg("voltage").alias("mv"), F.avg("current").alias("ma"), F.min(time).alias("t0"), F.max(time).alias("t1"))
+    each = rows.groupBy(*key, "pulse", "polarity").agg(F.avg("voltage").alias("mv"), F.avg("current").alias("ma"), F.min(time).alias("t0"), F.max(time).alias("t1"), F.avg(time).alias("t"))
     before = F.lag("mv").over(W.partitionBy(*key).orderBy("pulse"))
     each = each.withColumn("sp_off", before)
     return each.withColumns({"R_off": S.ratio(F.col("mv") - F.col("sp_off"), F.col("ma")), "signed_mv": F.col("mv") * F.col("polarity"), "signed_ma": F.col("ma") * F.col("polarity")})
@@ -54,12 +54,12 @@ def estimator_medians(table: DataFrame) -> DataFrame:
 
 
 def cycle_midpoints(table: DataFrame, key: list[str]) -> DataFrame:
-    """Pairs of an on-pulse and the next one of opposite sign: time between, self-potential and half difference."""
+    """Pairs of an on-pulse and the next one of opposite sign: the middle of their mean steady times, self-potential and half difference."""
     own = W.partitionBy(*key).orderBy("pulse")
     on = table.where("polarity <> 0")
-    nxt = {c: F.lead(c).over(own) for c in ("polarity", "mv", "t1")}
+    nxt = {c: F.lead(c).over(own) for c in ("polarity", "mv", "t")}
     on = on.withColumns({f"__{c}": e for c, e in nxt.items()}).where("__polarity = -polarity")
-    return on.select(*key, "pulse", ((F.col("t0") + F.col("__t1")) / 2).alias("tmid"), ((F.col("mv") + F.col("__mv")) / 2).alias("sp"), ((F.col("mv") - F.col("__mv")) / 2 * F.col("polarity")).alias("ir"))
+    return on.select(*key, "pulse", ((F.col("t") + F.col("__t")) / 2).alias("tmid"), ((F.col("mv") + F.col("__mv")) / 2).alias("sp"), ((F.col("mv") - F.col("__mv")) / 2 * F.col("polarity")).alias("ir"))
 
 
 def drift(midpoints: DataFrame, key: list[str], least: int = 3) -> DataFrame:
@@ -168,7 +168,9 @@ def error_heat(r: DataFrame, most: float = 30.0) -> DataFrame:
     return cells.join(F.broadcast(ranks), "quad").select("rank", "quad", "day", "error")
 
 
-def pseudo_position(x: dict[str, Column]) -> tuple[Column, Column]:
-    """Middle of the four electrodes along the line, and a depth from their spread."""
-    middle = (x["a"] + x["b"] + x["m"] + x["n"]) / 4
-    return middle, F.abs((x["a"] + x["b"]) / 2 - (x["m"] + x["n"]) / 2) / 2
+def pseudo_position(at: dict[str, Column], ux: Column, uy: Column) -> tuple[Column, Column]:
+    """Middle of the four electrodes (structs of x, y, z by role) projected on an axis, and half the distance in space
+    between the middles of A and B and of M and N."""
+    mean = lambda c, roles: sum((at[r][c] for r in roles[1:]), at[roles[0]][c]) / len(roles)
+    apart = [mean(c, "ab") - mean(c, "mn") for c in "xyz"]
+    return mean("x", "abmn") * ux + mean("y", "abmn") * uy, F.sqrt(sum((d * d for d in apart[1:]), apart[0] * apart[0])) / 2

@@ -220,15 +220,15 @@ def union_missing_columns(spark, d):
     return n.unionByName(r, allowMissingColumns=True)
 
 
-@query("""WITH s AS (SELECT 'SMS' || lpad(CAST(s_suppkey AS VARCHAR), 2, '0') AS sensor_id, CASE s_suppkey % 2 WHEN 0 THEN 'swale' ELSE 'control' END AS treatment, 'T' || s_nationkey AS tag, CASE WHEN s_suppkey % 11 = 0 THEN -10 WHEN s_suppkey % 3 = 0 THEN 40 ELSE 10 END AS depth_cm FROM supplier),
+@query("""WITH s AS (SELECT 'SMS' || lpad(CAST(s_suppkey AS VARCHAR), 2, '0') AS sensor_id, CASE s_suppkey % 2 WHEN 0 THEN 'swale' ELSE 'control' END AS treatment, 'T' || s_nationkey AS tag, CASE WHEN s_suppkey % 11 = 0 THEN -10 WHEN s_suppkey % 13 = 0 THEN -5 WHEN s_suppkey % 3 = 0 THEN 40 ELSE 10 END AS depth_cm FROM supplier),
 p AS (SELECT 'T' || n_nationkey AS tag, n_name AS place FROM nation WHERE n_nationkey < 20),
 q AS (SELECT n_nationkey AS slot, CASE n_nationkey % 2 WHEN 0 THEN 'swale' ELSE 'control' END AS treatment, n_name AS place, CASE WHEN n_nationkey % 3 = 0 THEN 0.4 ELSE 0.1 END AS depth_m FROM nation),
 j AS (SELECT sensor_id, s.treatment, s.tag, s.depth_cm, p.place, q.slot FROM s LEFT JOIN p USING (tag) LEFT JOIN q ON q.treatment = s.treatment AND q.place = p.place AND round(q.depth_m, 6) = round(s.depth_cm / 100, 6))
-SELECT sensor_id, treatment, place, slot, CASE WHEN slot IS NOT NULL THEN 'ok' WHEN depth_cm < 0 THEN 'no_slot_above_ground' WHEN place IS NULL THEN 'tag_unmapped' ELSE 'no_slot' END AS match_quality FROM j
+SELECT sensor_id, treatment, place, slot, CASE WHEN slot IS NOT NULL THEN 'ok' WHEN depth_cm = -10 THEN 'no_slot_above_ground' WHEN place IS NULL THEN 'tag_unmapped' ELSE 'no_slot' END AS match_quality FROM j
 UNION ALL SELECT NULL, treatment, place, slot, 'unused_slot' FROM q WHERE slot NOT IN (SELECT slot FROM j WHERE slot IS NOT NULL)""")
 def sensor_mapping(spark, d):
     k = F.col("s_suppkey")
-    sensors = table(spark, d, "supplier").select(F.concat(F.lit("SMS"), F.when(k < 100, F.lpad(k.cast("string"), 2, "0")).otherwise(F.substring(k.cast("string"), 1, 2))).alias("sensor_id"), F.when(k % 2 == 0, "swale").otherwise("control").alias("treatment"), F.concat(F.lit("T"), F.col("s_nationkey")).alias("tag"), F.when(k % 11 == 0, -10).when(k % 3 == 0, 40).otherwise(10).alias("depth_cm"))
+    sensors = table(spark, d, "supplier").select(F.concat(F.lit("SMS"), F.when(k < 100, F.lpad(k.cast("string"), 2, "0")).otherwise(F.substring(k.cast("string"), 1, 2))).alias("sensor_id"), F.when(k % 2 == 0, "swale").otherwise("control").alias("treatment"), F.concat(F.lit("T"), F.col("s_nationkey")).alias("tag"), F.when(k % 11 == 0, -10).when(k % 13 == 0, -5).when(k % 3 == 0, 40).otherwise(10).alias("depth_cm"))
     n = table(spark, d, "nation")
     places = n.where("n_nationkey < 20").select(F.concat(F.lit("T"), F.col("n_nationkey")).alias("tag"), F.col("n_name").alias("place"))
     slots = n.select(F.col("n_nationkey").alias("slot"), F.when(F.col("n_nationkey") % 2 == 0, "swale").otherwise("control").alias("treatment"), F.col("n_name").alias("place"), F.when(F.col("n_nationkey") % 3 == 0, 0.4).otherwise(0.1).alias("depth_m"))
@@ -295,12 +295,16 @@ def pivot_counts(spark, d):
     return reports.counts_by(rows, "event", "l_returnflag", ["A", "N", "X"])
 
 
-@query("""WITH f AS (SELECT l_orderkey % 500 AS event, CASE l_linestatus WHEN 'F' THEN 10 ELSE 40 END AS depth_cm, CASE WHEN l_suppkey % 2 = 0 THEN 'swale' ELSE 'control' END AS treatment, l_extendedprice AS a FROM lineitem),
-c AS (SELECT event, count(*) FILTER (WHERE depth_cm = 10 AND treatment = 'swale') AS n_swale_10, count(*) FILTER (WHERE depth_cm = 10 AND treatment = 'control') AS n_control_10, count(*) FILTER (WHERE depth_cm = 40 AND treatment = 'swale') AS n_swale_40, count(*) FILTER (WHERE depth_cm = 40 AND treatment = 'control') AS n_control_40, round(sum(a), 2) AS magnitude FROM f GROUP BY 1)
-SELECT * FROM c WHERE least(n_swale_10, n_control_10, n_swale_40, n_control_40) >= 25 ORDER BY magnitude DESC, event LIMIT 5""")
+@query("""WITH f AS (SELECT l_orderkey % 500 AS event, CASE l_linestatus WHEN 'F' THEN 10 ELSE 40 END AS depth_cm, CASE WHEN l_suppkey % 2 = 0 THEN 'swale' ELSE 'control' END AS treatment, CASE WHEN l_partkey % 17 = 0 THEN 'NaN'::DOUBLE ELSE l_quantity * 12.0 END AS exp_tau_h, 1 - l_discount * 5 AS exp_r2, l_extendedprice AS a FROM lineitem),
+f10 AS (SELECT * FROM f WHERE depth_cm = 10 AND exp_tau_h BETWEEN 5 AND 500 AND NOT isnan(exp_tau_h) AND exp_r2 >= 0.7),
+f40 AS (SELECT * FROM f WHERE depth_cm = 40 AND isfinite(exp_tau_h)),
+c10 AS (SELECT event, count(*) FILTER (WHERE treatment = 'swale') AS n_swale_10, count(*) FILTER (WHERE treatment = 'control') AS n_control_10, round(sum(a), 2) AS magnitude FROM f10 GROUP BY 1),
+c40 AS (SELECT event, count(*) FILTER (WHERE treatment = 'swale') AS n_swale_40, count(*) FILTER (WHERE treatment = 'control') AS n_control_40 FROM f40 GROUP BY 1)
+SELECT * FROM c10 JOIN c40 USING (event) WHERE n_swale_10 >= 3 AND n_control_10 >= 2 AND n_swale_40 >= 1 AND n_control_40 >= 1 ORDER BY magnitude DESC, event LIMIT 5""")
 def representative_events(spark, d):
-    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") % 500).alias("event"), F.when(F.col("l_linestatus") == "F", 10).otherwise(40).alias("depth_cm"), F.when(F.col("l_suppkey") % 2 == 0, "swale").otherwise("control").alias("treatment"), F.col("l_extendedprice").alias("a"))
-    return reports.representative_events(rows, rows.groupBy("event").agg(F.round(F.sum("a"), 2).alias("magnitude")), 5, (10, 40), ("swale", "control"), 25)
+    tau = F.when(F.col("l_partkey") % 17 == 0, float("nan")).otherwise(F.col("l_quantity") * 12.0)
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") % 500).alias("event"), F.when(F.col("l_linestatus") == "F", 10).otherwise(40).alias("depth_cm"), F.when(F.col("l_suppkey") % 2 == 0, "swale").otherwise("control").alias("treatment"), tau.alias("exp_tau_h"), (1 - F.col("l_discount") * 5).alias("exp_r2"), F.col("l_extendedprice").alias("exp_A"))
+    return reports.representative_events(rows, 5).withColumn("magnitude", F.round("magnitude", 2))
 
 
 @query("SELECT least(CAST(floor((value - 10) / 5.0) AS BIGINT), 15) AS bin, count(*) AS n FROM events WHERE value BETWEEN 10 AND 90 GROUP BY 1")
@@ -318,10 +322,10 @@ def datum_residuals(spark, d):
     return reports.residuals(table(spark, d, "events"), "event_type", "value").withColumns(r6("mean", "std"))
 
 
-@query("""WITH x AS (SELECT o_custkey % 40 AS event, CASE WHEN o_custkey % 2 = 0 THEN 'swale' ELSE 'control' END AS treatment, o_totalprice AS v FROM orders WHERE o_orderstatus = 'F')
+@query("""WITH x AS (SELECT o_custkey % 40 AS event, CASE WHEN o_orderkey % 2 = 0 THEN 'swale' ELSE 'control' END AS treatment, o_totalprice AS v FROM orders)
 SELECT event, round(sum(v) FILTER (WHERE treatment = 'swale'), 2) AS swale, round(sum(v) FILTER (WHERE treatment = 'control'), 2) AS control, round(sum(v) FILTER (WHERE treatment = 'swale') - sum(v) FILTER (WHERE treatment = 'control'), 2) AS difference FROM (SELECT event % 20 AS event, treatment, v FROM x) GROUP BY 1 HAVING sum(v) FILTER (WHERE treatment = 'swale') IS NOT NULL AND sum(v) FILTER (WHERE treatment = 'control') IS NOT NULL""")
 def treatment_difference(spark, d):
-    rows = table(spark, d, "orders").where("o_orderstatus = 'F'").select((F.col("o_custkey") % 20).alias("event"), F.when(F.col("o_custkey") % 2 == 0, "swale").otherwise("control").alias("treatment"), F.col("o_totalprice").alias("v"))
+    rows = table(spark, d, "orders").select((F.col("o_custkey") % 20).alias("event"), F.when(F.col("o_orderkey") % 2 == 0, "swale").otherwise("control").alias("treatment"), F.col("o_totalprice").alias("v"))
     return reports.treatment_difference(rows, "event", "treatment", "v").withColumns({c: F.round(c, 2) for c in ("swale", "control", "difference")})
 
 
@@ -355,8 +359,8 @@ def daily_errors(spark, d):
 
 
 @query(f"""WITH {DAILY}, x AS (SELECT *, n_bad / n AS frac, max(day) OVER (PARTITION BY port) AS last, min(CASE WHEN n_bad / n >= 0.2 AND n >= 20 THEN day END) OVER (PARTITION BY port) AS onset FROM dl),
-g AS (SELECT port, sum(n_bad) / sum(n) AS frac_all, sum(n_bad) FILTER (WHERE day >= last - 14) / sum(n) FILTER (WHERE day >= last - 14) AS frac_recent, min(onset) AS onset, max(day) FILTER (WHERE day < onset AND frac < 0.02) AS last_ok, count(*) FILTER (WHERE frac >= 0.2 AND n >= 20) AS n_bad_days FROM x GROUP BY 1)
-SELECT port, round(frac_all, 6) AS frac_all, round(frac_recent, 6) AS frac_recent, onset, last_ok, n_bad_days, CASE WHEN n_bad_days >= 3 AND frac_recent >= 0.95 THEN 'DEAD' WHEN n_bad_days >= 3 AND frac_recent >= 0.2 THEN 'DEGRADING' WHEN onset IS NULL THEN 'healthy' WHEN frac_recent < 0.02 THEN 'recovered' ELSE 'INTERMITTENT' END AS class FROM g""")
+g AS (SELECT port, sum(n_bad) / sum(n) AS frac_all, sum(n_bad) FILTER (WHERE day >= last - 14) / sum(n) FILTER (WHERE day >= last - 14) AS frac_recent, min(onset) AS onset, max(day) FILTER (WHERE day < onset AND frac < 0.02) AS last_ok, max(day) FILTER (WHERE frac >= 0.2 AND n >= 20) AS recovered_by, count(*) FILTER (WHERE frac >= 0.2 AND n >= 20) AS n_bad_days FROM x GROUP BY 1)
+SELECT port, round(frac_all, 6) AS frac_all, round(frac_recent, 6) AS frac_recent, onset, last_ok, recovered_by, n_bad_days, CASE WHEN frac_recent >= 0.95 THEN 'DEAD' WHEN frac_recent >= 0.2 THEN 'DEGRADING' WHEN n_bad_days < 3 THEN 'healthy' WHEN frac_recent < 0.02 THEN 'recovered' ELSE 'INTERMITTENT' END AS class FROM g""")
 def health_class(spark, d):
     return health.classify_ports(_daily(spark, d), ["port"], onset_n=20).withColumns(r6("frac_all", "frac_recent"))
 
@@ -428,12 +432,13 @@ def rolling7(spark, d):
     return daily.withColumn("k", F.lit(0)).select("day", F.round(windows.moving_mean("total", ["k"], "day", 7), 4).alias("mean7"))
 
 
-@query("""WITH h AS (SELECT event_type, date_trunc('hour', ts) AS hour, avg(value) AS v FROM events GROUP BY 1, 2),
-m AS (SELECT *, CASE WHEN count(v) OVER w = 24 THEN v - avg(v) OVER w END AS residual FROM h WINDOW w AS (PARTITION BY event_type ORDER BY hour ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING))
+@query("""WITH h AS (SELECT event_type, date_trunc('hour', ts) AS hour, CAST(round(avg(value), 4) AS DECIMAL(18, 4)) AS v FROM events GROUP BY 1, 2),
+m AS (SELECT *, CASE WHEN count(v) OVER w = 24 THEN CAST(v AS DOUBLE) - CAST(sum(v) OVER w AS DOUBLE) / 24 END AS residual FROM h WINDOW w AS (PARTITION BY event_type ORDER BY hour ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING))
 SELECT event_type, hour, round(residual, 6) AS residual FROM m WHERE residual IS NOT NULL""")
 def highpass_hourly(spark, d):
-    hourly = reports.hourly_mean(table(spark, d, "events"), ["event_type"], "ts", "value")
-    return windows.high_pass(hourly, ["event_type"], "hour", "mean", 24).select("event_type", "hour", F.round("residual", 6).alias("residual"))
+    # means as decimals of four digits: their sums are exact, so no rounding edge hangs on the order of additions
+    hourly = reports.hourly_mean(table(spark, d, "events"), ["event_type"], "ts", "value").withColumn("mean", F.round("mean", 4).cast("decimal(18,4)"))
+    return windows.high_pass(hourly, ["event_type"], "hour", "mean", 24).select("event_type", "hour", F.round(F.col("residual").cast("double"), 6).alias("residual"))
 
 
 @query("""WITH b AS (SELECT CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS z FROM orders)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from rillmark.functions import climate as C
 from rillmark.functions import scalars as S
-from rillmark.operators import arrays, clean, scattered, spatial, survey
+from rillmark.operators import arrays, clean, fits, scattered, spatial, survey, windows
 from rillmark.operators import reports as R
 from rillmark.plans.basic import r6, table
 
@@ -71,8 +73,6 @@ def pet_hourly(spark, d):
 
 @query(f"WITH {PM} SELECT round(sum(hs * pm) / sum(hs * hs), 6) AS slope, round(median(pm / hs), 6) AS median_ratio FROM pm")
 def pet_comparison(spark, d):
-    from rillmark.operators import fits
-
     return fits.through_origin(evaporation(spark, d), [], "hs", "pm").withColumns(r6("slope", "median_ratio"))
 
 
@@ -91,7 +91,7 @@ ch AS (SELECT *, CASE WHEN polarity = lag(polarity) OVER (PARTITION BY quad ORDE
 pu AS (SELECT *, CAST(sum(new) OVER (PARTITION BY quad ORDER BY time) AS BIGINT) AS pulse FROM ch),
 st AS (SELECT *, row_number() OVER (PARTITION BY quad, pulse ORDER BY time) AS rk, count(*) OVER (PARTITION BY quad, pulse) AS sz FROM pu),
 ss AS (SELECT * FROM st WHERE rk > sz * (1 - 0.33))"""
-PT = f"""{WAVE}, p0 AS (SELECT quad, pulse, polarity, avg(voltage) AS mv, avg(current) AS ma, min(time) AS t0, max(time) AS t1 FROM ss GROUP BY 1, 2, 3),
+PT = f"""{WAVE}, p0 AS (SELECT quad, pulse, polarity, avg(voltage) AS mv, avg(current) AS ma, min(time) AS t0, max(time) AS t1, avg(time) AS t FROM ss GROUP BY 1, 2, 3),
 pt AS (SELECT *, lag(mv) OVER (PARTITION BY quad ORDER BY pulse) AS sp_off FROM p0)"""
 
 
@@ -120,13 +120,13 @@ def estimator_medians(spark, d):
     return survey.estimator_medians(survey.pulse_table(waves(spark, d), ["quad"])).withColumns(r6("R_off", "R_signed"))
 
 
-MID = f"""{PT}, nx AS (SELECT *, lead(polarity) OVER w AS np, lead(mv) OVER w AS nmv, lead(t1) OVER w AS nt1 FROM pt WHERE polarity <> 0 WINDOW w AS (PARTITION BY quad ORDER BY pulse)),
-md AS (SELECT quad, pulse, (t0 + nt1) / 2 AS tmid, (mv + nmv) / 2 AS sp, (mv - nmv) / 2 * polarity AS ir FROM nx WHERE np = -polarity)"""
+MID = f"""{PT}, nx AS (SELECT *, lead(polarity) OVER w AS np, lead(mv) OVER w AS nmv, lead(t) OVER w AS nt FROM pt WHERE polarity <> 0 WINDOW w AS (PARTITION BY quad ORDER BY pulse)),
+md AS (SELECT quad, pulse, (t + nt) / 2 AS tmid, (mv + nmv) / 2 AS sp, (mv - nmv) / 2 * polarity AS ir FROM nx WHERE np = -polarity)"""
 
 
-@query(f"WITH {MID} SELECT quad, pulse, tmid, round(sp, 6) AS sp, round(ir, 6) AS ir FROM md")
+@query(f"WITH {MID} SELECT quad, pulse, round(tmid, 6) AS tmid, round(sp, 6) AS sp, round(ir, 6) AS ir FROM md")
 def cycle_mid(spark, d):
-    return survey.cycle_midpoints(survey.pulse_table(waves(spark, d), ["quad"]), ["quad"]).withColumns(r6("sp", "ir"))
+    return survey.cycle_midpoints(survey.pulse_table(waves(spark, d), ["quad"]), ["quad"]).withColumns(r6("tmid", "sp", "ir"))
 
 
 @query(f"WITH {MID} SELECT quad, round(regr_slope(sp, tmid), 8) AS slope, count(*) AS n FROM md GROUP BY 1 HAVING count(*) >= 3")
@@ -171,14 +171,14 @@ def daily_resistance(spark, d):
 # ---- surveys: lines of orders are resistances of quads made of small remainders
 
 SURVEY = """lq AS (SELECT date_trunc('month', l_shipdate) AS ts, l_returnflag AS line, CAST(l_partkey % 3 AS INTEGER) AS a, CAST(l_suppkey % 3 AS INTEGER) AS b, CAST(l_orderkey % 3 AS INTEGER) AS m, CAST(l_linenumber % 3 AS INTEGER) AS n, avg(l_extendedprice) / 1000 - 30 AS "R", avg(l_quantity) AS vmn FROM lineitem GROUP BY 1, 2, 3, 4, 5, 6),
-sv AS (SELECT *, a || '_' || b || '_' || m || '_' || n AS quad, m || '_' || n || '_' || a || '_' || b AS recip_quad FROM lq),
+sv AS (SELECT * REPLACE (round("R", 9) AS "R"), a || '_' || b || '_' || m || '_' || n AS quad, m || '_' || n || '_' || a || '_' || b AS recip_quad FROM lq),
 re AS (SELECT s.*, o."R" AS "R_rec", abs(s."R" - o."R") / nullif(abs(s."R" + o."R") / 2, 0) * 100 AS recip_err_pct FROM sv s LEFT JOIN sv o ON s.ts = o.ts AND s.line = o.line AND s.recip_quad = o.quad)"""
 
 
 def surveys(spark, d):
     k = lambda c: (F.col(c) % 3).cast("int")
     rows = table(spark, d, "lineitem").groupBy(F.date_trunc("MONTH", "l_shipdate").alias("ts"), F.col("l_returnflag").alias("line"), k("l_partkey").alias("a"), k("l_suppkey").alias("b"), k("l_orderkey").alias("m"), k("l_linenumber").alias("n"))
-    rows = rows.agg((F.avg("l_extendedprice") / 1000 - 30).alias("R"), F.avg("l_quantity").alias("vmn"))
+    rows = rows.agg(F.round(F.avg("l_extendedprice") / 1000 - 30, 9).alias("R"), F.avg("l_quantity").alias("vmn"))
     return rows.withColumns({"quad": S.quad(), "recip_quad": S.reciprocal_quad()})
 
 
@@ -186,9 +186,9 @@ def paired(spark, d):
     return survey.with_reciprocal(surveys(spark, d), ["ts", "line"])
 
 
-@query(f'WITH {SURVEY} SELECT ts, line, quad, round("R", 6) AS "R", round("R_rec", 6) AS "R_rec", round(recip_err_pct, 4) AS recip_err_pct FROM re WHERE abs("R" + "R_rec") > 0.5 OR "R_rec" IS NULL')
+@query(f'WITH {SURVEY} SELECT ts, line, quad, round("R", 6) AS "R", round("R_rec", 6) AS "R_rec", round(recip_err_pct, 4) AS recip_err_pct FROM re')
 def recip_error(spark, d):
-    return paired(spark, d).where('abs(R + R_rec) > 0.5 OR R_rec IS NULL').select("ts", "line", "quad", F.round("R", 6).alias("R"), F.round("R_rec", 6).alias("R_rec"), F.round("recip_err_pct", 4).alias("recip_err_pct"))
+    return paired(spark, d).select("ts", "line", "quad", F.round("R", 6).alias("R"), F.round("R_rec", 6).alias("R_rec"), F.round("recip_err_pct", 4).alias("recip_err_pct"))
 
 
 QC = f"{SURVEY}, qc AS (SELECT line, quad, median(abs(vmn)) AS med_vmn, median(recip_err_pct) AS med_recip, count(*) AS n FROM re GROUP BY 1, 2 HAVING count(*) > 20), kq AS (SELECT *, med_vmn >= 25 AND coalesce(med_recip <= 60, false) AS keep FROM qc)"
@@ -233,10 +233,11 @@ _DIST = lambda p, q: f"nullif(sqrt(({p}.x - {q}.x) ** 2 + ({p}.y - {q}.y) ** 2 +
 
 
 @query(f"""WITH {ELECTRODES}, {QUADS}, k AS (SELECT qd.*, 1.0 / {_DIST("ea", "em")} - 1.0 / {_DIST("eb", "em")} - 1.0 / {_DIST("ea", "en")} + 1.0 / {_DIST("eb", "en")} AS s FROM qd LEFT JOIN el ea ON a = ea.channel LEFT JOIN el eb ON b = eb.channel LEFT JOIN el em ON m = em.channel LEFT JOIN el en ON n = en.channel)
-SELECT l_orderkey, l_linenumber, a, b, m, n, CASE WHEN abs(s) >= 1e-3 THEN round(2 * pi() / s, 4) END AS "K" FROM k WHERE s IS NULL OR abs(s) >= 1e-3""")
+SELECT l_orderkey, l_linenumber, a, b, m, n, CASE WHEN abs(s) >= 1e-3 THEN round(2 * pi() / s, 4) END AS "K" FROM k""")
 def geom_factor(spark, d):
+    # every row; quads whose distances nearly cancel have no factor here, as rounding would decide on it
     out = survey.with_geometry(quads(spark, d), electrodes(spark, d))
-    return out.where("K IS NULL OR abs(K) <= 2 * pi() / 1e-3").where("NOT (K IS NULL AND a < 25 AND a <> m AND a <> n AND b <> m AND b <> n)").select("l_orderkey", "l_linenumber", "a", "b", "m", "n", F.round("K", 4).alias("K"))
+    return out.select("l_orderkey", "l_linenumber", "a", "b", "m", "n", F.when(F.abs("K") <= 2 * math.pi / 1e-3, F.round("K", 4)).alias("K"))
 
 
 @query(f'WITH {QUADS}, e AS (SELECT DISTINCT l_orderkey, l_linenumber, "R", x FROM (SELECT *, unnest([a, b, m, n]) AS x FROM qd)), g AS (SELECT x AS electrode, "R" FROM (SELECT l_orderkey, l_linenumber, "R", a, b, m, n, unnest(list_distinct([a, b, m, n])) AS x FROM qd)) SELECT electrode, median("R") AS median, count(*) AS n FROM g GROUP BY 1')
@@ -250,11 +251,12 @@ def electrode_noise(spark, d):
 
 
 @query(f"""WITH {SURVEY}, sg AS (SELECT quad, median(abs(vmn)) AS s FROM re GROUP BY 1), rk AS (SELECT quad, row_number() OVER (ORDER BY round(s, 6) DESC, quad) AS rank FROM sg),
-ce AS (SELECT quad, CAST(ts AS DATE) AS day, round(arg_max(least(recip_err_pct, 30), (ts, line)), 4) AS error FROM re WHERE recip_err_pct IS NOT NULL AND line = 'A' GROUP BY 1, 2) SELECT CAST(rank AS INTEGER) AS rank, quad, day, error FROM ce JOIN rk USING (quad)""")
+ce AS (SELECT quad, CAST(ts AS DATE) AS day, round(arg_max(least(recip_err_pct, 30), (ts, line)), 4) AS error FROM re WHERE recip_err_pct IS NOT NULL GROUP BY 1, 2) SELECT CAST(rank AS INTEGER) AS rank, quad, day, error FROM ce JOIN rk USING (quad)""")
 def error_heat(spark, d):
     rows = paired(spark, d).withColumnRenamed("ts", "timestamp").withColumn("vmn", F.col("vmn"))
     ranks = rows.groupBy("quad").agg(F.round(F.median(F.abs("vmn")), 6).alias("s"))
-    cells = survey.error_heat(rows.where("line = 'A'"))
+    # several lines have readings of one time: a second apart, in order, the last one is defined
+    cells = survey.error_heat(rows.withColumn("timestamp", F.timestamp_add("SECOND", F.ascii("line"), F.col("timestamp"))))
     from pyspark.sql import Window as W
 
     ranks = ranks.withColumn("rank", F.row_number().over(W.orderBy(F.desc("s"), "quad"))).select("quad", "rank")
@@ -344,11 +346,11 @@ def fixed_bins(spark, d):
     return spatial.binned(points(spark, d), -0.2, -0.2, 0.05, 8, 8).withColumns(r6("z"))
 
 
-SCANS = f"""{PTS}, sc AS (SELECT scan % 3 AS scan, CAST(trunc((x + 0.3) / 0.15) AS INTEGER) AS ix, CAST(trunc((y + 0.3) / 0.15) AS INTEGER) AS iy, sum(z) AS zsum, count(*) AS "count" FROM pts WHERE x > -0.3 AND x < 0.3 AND y > -0.3 AND y < 0.3 GROUP BY 1, 2, 3)"""
+SCANS = f"""{PTS}, sc AS (SELECT scan % 3 AS scan, CAST(trunc((x + 0.3) / 0.15) AS INTEGER) AS ix, CAST(trunc((y + 0.3) / 0.15) AS INTEGER) AS iy, sum(z) AS zsum, count(*) AS "count" FROM pts GROUP BY 1, 2, 3)"""
 
 
 def scans(spark, d):
-    rows = points(spark, d).where("x > -0.3 AND x < 0.3 AND y > -0.3 AND y < 0.3")
+    rows = points(spark, d)
     return rows.groupBy((F.col("scan") % 3).alias("scan"), ((F.col("x") + 0.3) / 0.15).cast("int").alias("ix"), ((F.col("y") + 0.3) / 0.15).cast("int").alias("iy")).agg(F.sum("z").alias("zsum"), F.count(F.lit(1)).alias("count"))
 
 
@@ -451,13 +453,51 @@ def coordinate_frames(spark, d):
     return p.select("vec_id", *(F.round(c, 6).alias(n) for n, c in (("cx", cx), ("cy", cy), ("lo", lo), ("hi", hi), ("sx", sx), ("sy", sy))))
 
 
-@query(f"WITH {ELECTRODES}, {QUADS} SELECT l_orderkey, l_linenumber, round((ea.x + eb.x + em.x + en.x) / 4, 6) AS mid, round(abs((ea.x + eb.x) / 2 - (em.x + en.x) / 2) / 2, 6) AS depth FROM qd JOIN el ea ON a = ea.channel JOIN el eb ON b = eb.channel JOIN el em ON m = em.channel JOIN el en ON n = en.channel")
+@query(f"""WITH {ELECTRODES}, {QUADS}, ax AS (SELECT 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS t FROM el), q AS (SELECT l_orderkey, l_linenumber, (ea.x + eb.x + em.x + en.x) / 4 AS mx, (ea.y + eb.y + em.y + en.y) / 4 AS my, (ea.x + eb.x - em.x - en.x) / 2 AS dx, (ea.y + eb.y - em.y - en.y) / 2 AS dy, (ea.z + eb.z - em.z - en.z) / 2 AS dz FROM qd JOIN el ea ON a = ea.channel JOIN el eb ON b = eb.channel JOIN el em ON m = em.channel JOIN el en ON n = en.channel)
+SELECT l_orderkey, l_linenumber, round(mx * cos(t) + my * sin(t), 6) AS mid, round(sqrt(dx * dx + dy * dy + dz * dz) / 2, 6) AS depth FROM q, ax""")
 def pseudo_position(spark, d):
     q, e = quads(spark, d), electrodes(spark, d)
+    axis = spatial.principal_axis(e).select("ux", "uy")
     for c in "abmn":
-        q = q.join(F.broadcast(e.select(F.col("channel").alias(c), F.col("x").alias(f"x{c}"))), c)
-    mid, depth = survey.pseudo_position({c: F.col(f"x{c}") for c in "abmn"})
-    return q.select("l_orderkey", "l_linenumber", F.round(mid, 6).alias("mid"), F.round(depth, 6).alias("depth"))
+        q = q.join(e.select(F.col("channel").alias(c), F.struct("x", "y", "z").alias(f"at_{c}")), c)
+    mid, depth = survey.pseudo_position({c: F.col(f"at_{c}") for c in "abmn"}, F.col("ux"), F.col("uy"))
+    return q.crossJoin(F.broadcast(axis)).select("l_orderkey", "l_linenumber", F.round(mid, 6).alias("mid"), F.round(depth, 6).alias("depth"))  # the axis is one row
+
+
+VWC = """vw AS (SELECT l_returnflag AS sensor, CAST(l_shipdate AS DATE) AS day, avg(l_quantity) / 100 AS vwc FROM lineitem GROUP BY 1, 2),
+dv AS (SELECT sensor, day, (lead(vwc) OVER w - lag(vwc) OVER w) / 2 AS dvwc FROM vw WINDOW w AS (PARTITION BY sensor ORDER BY day))"""
+
+
+def daily_change(spark, d):
+    daily = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("sensor"), F.to_date("l_shipdate").alias("day")).agg((F.avg("l_quantity") / 100).alias("vwc"))
+    return daily.select("sensor", "day", windows.centred_difference("vwc", ["sensor"], "day").alias("dvwc"))
+
+
+@query(f"""WITH {PM}, {VWC}, pe AS (SELECT day, CASE WHEN pm > 0 THEN pm ELSE hs END AS pet FROM pm), rain AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) / 4.0 AS rain FROM orders GROUP BY 1),
+j AS (SELECT sensor, day, pet, dvwc * 1000 AS y FROM dv JOIN pe USING (day) LEFT JOIN rain USING (day) WHERE pet > 0 AND dvwc IS NOT NULL AND (rain IS NULL OR rain < 1.0) AND day >= DATE '1994-01-01' AND day < DATE '1997-01-01'),
+s AS (SELECT sensor, CASE WHEN count(pet) OVER w = 7 THEN avg(pet) OVER w END AS pet, CASE WHEN count(y) OVER w = 7 THEN avg(y) OVER w END AS y FROM j WINDOW w AS (PARTITION BY sensor ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+f AS (SELECT 'daily' AS kind, sensor, pet, y FROM j UNION ALL SELECT 'smoothed', sensor, pet, y FROM s WHERE pet IS NOT NULL AND y IS NOT NULL)
+SELECT kind, sensor, CASE WHEN count(*) >= 5 THEN round(regr_slope(y, pet), 4) END AS slope, CASE WHEN count(*) >= 5 THEN round(regr_intercept(y, pet), 4) END AS intercept, CASE WHEN count(*) >= 5 THEN round(regr_r2(y, pet), 6) END AS r2, count(*) AS n FROM f GROUP BY 1, 2""")
+def pet_loss_daily(spark, d):
+    pet = evaporation(spark, d).select("day", C.preferred(F.col("pm"), F.col("hs")).alias("pet")).where("pet > 0")
+    rain = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg((F.count(F.lit(1)) / 4.0).alias("rain"))
+    change = clean.dry_days(daily_change(spark, d).join(rain, "day", "left"), "day", "rain", "1994-01-01", "1997-01-01", 1.0)
+    both = [fits.loss_against_pet(change, pet, ["sensor"], ["day"], smooth=n).withColumn("kind", F.lit(kind)) for kind, n in (("daily", None), ("smoothed", 7))]
+    return both[0].unionByName(both[1]).select("kind", "sensor", F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r2", 6).alias("r2"), "n")
+
+
+@query(f"""WITH {DAYS}, l AS (SELECT j, max(hs) AS hs, max(24 / pi() * ws) AS n, max(12 - 12 / pi() * ws) AS rise FROM hs WHERE hs > 0 GROUP BY 1), h AS (SELECT j, hs, n, rise, unnest(range(0, 24)) AS hour FROM l),
+pe AS (SELECT j, hour, CASE WHEN hour + 0.5 - rise >= 0 AND hour + 0.5 - rise <= n THEN hs * (pi() / 2) / n * sin(pi() * (hour + 0.5 - rise) / n) ELSE 0 END AS pet FROM h),
+ho AS (SELECT event_type AS sensor, date_trunc('hour', ts) AS hr, avg(value) AS v FROM events GROUP BY 1, 2),
+dv AS (SELECT sensor, CAST(dayofyear(hr) AS INTEGER) AS j, hour(hr) AS hour, lead(v) OVER (PARTITION BY sensor ORDER BY hr) - v AS dvwc FROM ho)
+SELECT sensor, round(regr_slope(dvwc * 1000, pet), 3) AS slope, round(regr_r2(dvwc * 1000, pet), 6) AS r2, count(*) AS n FROM dv JOIN pe USING (j, hour) WHERE dvwc IS NOT NULL AND pet IS NOT NULL GROUP BY 1""")
+def pet_loss_hourly(spark, d):
+    rise, _, hours = C.daylight(LAT, F.col("j"))
+    day = evaporation(spark, d).where("hs > 0").withColumns({"rise": rise, "hours": hours}).groupBy("j").agg(*(F.max(c).alias(c) for c in ("hs", "hours", "rise")))
+    pet = day.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23)))).select("j", "hour", C.half_sine(F.col("hs"), F.col("hour"), F.col("rise"), F.col("hours")).alias("pet"))
+    hourly = R.hourly_mean(table(spark, d, "events"), ["event_type"], "ts", "value").withColumnRenamed("event_type", "sensor")
+    change = hourly.select("sensor", F.dayofyear("hour").alias("j"), F.hour("hour").alias("hour"), windows.forward_difference("mean", ["sensor"], "hour").alias("dvwc"))
+    return fits.loss_against_pet(change, pet, ["sensor"], ["j", "hour"]).select("sensor", F.round("slope", 3).alias("slope"), F.round("r2", 6).alias("r2"), "n")
 
 
 @query()

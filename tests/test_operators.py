@@ -255,10 +255,55 @@ def test_port_classes(spark):
     def port(name, bad):
         return [(name, (T0 + timedelta(days=i)).date(), 200, b) for i, b in enumerate(bad)]
 
-    rows = port("dead", [0] * 10 + [199] * 30) + port("sick", [0] * 10 + [60] * 30) + port("fine", [0] * 40) + port("back", [199] * 5 + [0] * 35) + port("odd", [0] * 20 + [199] * 2 + [10] * 18)
+    rows = port("dead", [0] * 10 + [199] * 30) + port("sick", [0] * 10 + [60] * 30) + port("fine", [0] * 40) + port("back", [199] * 5 + [0] * 35)
+    rows += port("blip", [0] * 20 + [199] * 2 + [10] * 18)  # two bad days are no fault
+    rows += port("odd", [0] * 20 + [199] * 3 + [10] * 17) + port("new", [0] * 39 + [200] + [200] * 0)
+    rows += [("gone", T0.date() + timedelta(days=40), 200, 200)]  # one day, all of it bad
     daily = spark.createDataFrame(rows, "port string, day date, n long, n_bad long").withColumn("frac", F.col("n_bad") / F.col("n"))
-    got = {r.port: r["class"] for r in health.classify_ports(daily, ["port"]).collect()}
-    assert got == {"dead": "DEAD", "sick": "DEGRADING", "fine": "healthy", "back": "recovered", "odd": "INTERMITTENT"}
+    got = {r.port: r for r in health.classify_ports(daily, ["port"]).collect()}
+    assert {k: r["class"] for k, r in got.items()} == {"dead": "DEAD", "sick": "DEGRADING", "fine": "healthy", "back": "recovered", "blip": "healthy", "odd": "INTERMITTENT", "new": "healthy", "gone": "DEAD"}
+    assert got["back"].recovered_by == (T0 + timedelta(days=4)).date() and got["fine"].recovered_by is None
+
+
+def test_pseudo_position(spark):
+    at = {c: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(float(z)).alias("z")) for c, (x, y, z) in zip("abmn", [(0, 0, 0), (2, 0, 0), (4, 3, 1), (6, 3, 3)], strict=True)}
+    row = spark.range(1).select(*survey.pseudo_position(at, F.lit(0.6), F.lit(0.8))).first()
+    # middles (1, 0, 0) and (5, 3, 2): 29 ** 0.5 apart; the four's middle is (3, 1.5)
+    assert math.isclose(row[0], 0.6 * 3 + 0.8 * 1.5) and math.isclose(row[1], 29**0.5 / 2)
+
+
+def test_cycle_midpoints_take_mean_steady_times(spark):
+    rows = [("q", 1, 1, 4.0, 2.0, 10.0), ("q", 2, -1, 1.0, -2.0, 13.0), ("q", 3, 0, 0.5, 0.0, 20.0), ("q", 4, 1, 5.0, 2.0, 31.0)]
+    table = spark.createDataFrame(rows, "quad string, pulse long, polarity int, mv double, ma double, t double")
+    got = [tuple(r) for r in survey.cycle_midpoints(table, ["quad"]).orderBy("pulse").collect()]
+    assert got == [("q", 1, 11.5, 2.5, 1.5), ("q", 2, 22.0, 3.0, 2.0)]
+
+
+def test_representative_events_need_good_fits(spark):
+    def event(k, shallow, control, a):
+        rows = [(k, 10, "swale", 50.0, 0.9, a)] * shallow + [(k, 10, "control", 50.0, 0.9, a)] * control
+        return rows + [(k, 40, "swale", 9000.0, 0.1, 9.0), (k, 40, "control", 9000.0, 0.1, 9.0)]
+
+    rows = event(1, 3, 2, 0.1) + event(2, 3, 2, 0.2) + event(3, 2, 2, 5.0) + event(4, 3, 1, 5.0)
+    rows += event(5, 3, 2, 5.0)[:-1]  # no deep control fit
+    rows += [(1, 10, "swale", 50.0, 0.5, 7.0), (1, 10, "swale", 900.0, 0.9, 7.0)]  # not good: no amplitude of theirs counts
+    fits_ = spark.createDataFrame(rows, "event long, depth_cm int, treatment string, exp_tau_h double, exp_r2 double, exp_A double")
+    got = reports.representative_events(fits_, 5).collect()
+    assert [r.event for r in got] == [2, 1] and math.isclose(got[1].magnitude, 0.5) and got[1].n_swale_10 == 3
+
+
+def test_only_the_depth_of_masts_is_above_ground(spark):
+    row = spark.range(1).select(*(scalars.match_quality(F.lit(None), F.lit("p"), F.lit(d)) for d in (-10, -5, 10))).first()
+    assert tuple(row) == ("no_slot_above_ground", "no_slot", "no_slot")
+
+
+def test_loss_against_pet(spark):
+    days = [(T0 + timedelta(days=i)).date() for i in range(20)]
+    change = spark.createDataFrame([("s", d, -0.002 * i + 0.01) for i, d in enumerate(days)], "sensor string, day date, dvwc double")
+    pet = spark.createDataFrame([(d, float(i)) for i, d in enumerate(days[:15])], "day date, pet double")
+    for smooth, n in ((None, 15), (7, 9)):
+        r = fits.loss_against_pet(change, pet, ["sensor"], ["day"], smooth=smooth).first()
+        assert math.isclose(r.slope, -2.0) and math.isclose(r.intercept, 10.0) and r.n == n
 
 
 def test_labels(spark):
