@@ -93,7 +93,7 @@ def mix(docs: DataFrame, weights: list[int], share: float = 1.5, epochs: float =
 
 
 def mixed_rows(docs: DataFrame, weights: list[int], share: float = 1.5, epochs: float = 2.0, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The mix itself: rows of docs, repeated as often as taken; a part of a text is its first words, joined by spaces.
+    """The mix itself: rows of docs, repeated as often as taken; a part of a text is the text up to the end of its last word taken.
 
     Rows equal in id and text share what they take.
     """
@@ -106,7 +106,10 @@ def mixed_rows(docs: DataFrame, weights: list[int], share: float = 1.5, epochs:
         joined = joined.where(F.col(n) == 1).unionByName(joined.where(F.col(n) > 1).dropDuplicates([key, m]))
     each = joined.withColumn(i, F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(got) / F.col(size)) - 1)))
     words = F.least(F.col(size), F.col(got) - F.col(i) * F.col(size))
-    part = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")
+    # a text is what stands before each of its words and the words themselves: lines and blanks of a part stay as they are
+    gaps, found = F.split(F.col(text_col).cast("string"), WORD, -1), F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(WORD), F.lit(0))
+    first = lambda x: F.slice(x, F.lit(1), words.cast("int"))
+    part = F.array_join(F.zip_with(first(gaps), first(found), lambda g, w: F.concat(g, w)), "")
     each = each.withColumn(text_col, F.when(words < F.col(size), part).otherwise(F.col(text_col)))
     if "n_chars" in docs.columns:
         each = each.withColumn("n_chars", F.when(words < F.col(size), F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))

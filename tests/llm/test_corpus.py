@@ -374,6 +374,8 @@ def test_mixed_rows_hold_what_is_taken(docs, nothing):
     out = mixing.mixed_rows(docs, [3, 1, 2])
     assert out.columns == docs.columns
     assert sum(len(WORD.findall(r["text"])) for r in out.collect()) == total
+    whole = {r["text"] or "" for r in docs.collect()}
+    assert all(any(t.startswith(r["text"]) for t in whole) for r in out.collect())  # parts are beginnings, lines and all
     assert mixing.mixed_rows(nothing, [3, 1, 2]).count() == 0
 
 
@@ -668,6 +670,60 @@ def test_pipeline_stages(spark, docs):
     assert packed.select("doc_id").distinct().count() == now.select("doc_id").distinct().count()
 
 
+def test_pipeline_equals_plain_stages(spark):
+    """Which documents the first three stages keep, against plain versions; the others' words and tokens are counted.
+
+    One source and one language of even prose, so that the outlier rule has nothing to reject but the marked junk; null,
+    empty and short texts fail the base rules.
+    """
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(12)
+    words = ["some", "plain", "words", "here", "again", "other", "thing", "more", "said", "since", "under", "every"]
+    text = lambda n=120: " ".join(r.choice(words) + r.choice(["", "s", "ed"]) for _ in range(n))
+    texts = [text(r.randint(60, 160)) for _ in range(120)]
+    texts += [t.upper() if i % 2 else t for i, t in enumerate(texts[:20])]  # exact copies but for letters' case
+    near = [t.split() for t in texts[20:40]]
+    texts += [" ".join([*w[:30], "changed", *w[31:]]) for w in near]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)] + [(900, None, "en", "a", 0), (901, "", "en", "a", 0), (902, "too short", None, None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = []
+    now = docs
+    for name, stage in pipeline.STAGES[:-1]:
+        now = common.written(stage(spark, now, ""), name)
+        kept.append({x["doc_id"] for x in now.collect()})
+    upper = {i for i, t, *_ in rows if t and t.isupper()}
+    assert kept[0] >= {i for i, t, *_ in rows if t and len(t.split()) >= 20} - upper and not kept[0] & {900, 901, 902}
+    largest = {}
+    for i, t, *_ in rows:
+        if i in kept[0]:
+            largest[t.lower()] = max(i, largest.get(t.lower(), -1))
+    assert kept[1] == set(largest.values())
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i in kept[1] for w in [rows[i][1].lower().split()]}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(sorted(sets), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            parent[find(j)] = find(i)
+    least = {}
+    for i in sets:
+        least[find(i)] = min(i, least.get(find(i), i))
+    assert kept[2] == set(least.values()) and len(kept[2]) < len(kept[1])
+    sizes = sum(len(rows[i][1].split()) for i in kept[2])
+    taken = sum(len(x["text"].split()) for x in now.collect())
+    assert abs(taken - 1.5 * sizes) <= 1
+    packed = rows_of(pipeline.STAGES[-1][1](spark, now, ""))
+    assert {x["doc_id"] for x in packed} == kept[3]
+    empty = docs.limit(0)
+    for _, stage in pipeline.STAGES:
+        out = stage(spark, empty, "")
+        assert out.count() == 0
+
+
 # ---- lines
 
 
