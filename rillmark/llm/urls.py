@@ -73,7 +73,7 @@ def score(urls: DataFrame, tables: list) -> DataFrame:
     The tables are bounded by the sample (see CHARS), so they are broadcast and no character of a URL moves. URLs are dealt
     to a stated number of tasks: adaptive execution would see their few bytes, not the rows that they become."""
     tasks = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _grams(urls.select("key", "url").repartition(tasks, "url"))
+    rows = _grams(urls.select("key", "url").repartition(tasks))
     odds = {c: F.lit(1 / 1_114_112) for c in CLASSES}  # every code point alike, below all orders
     for k, (cells, contexts) in enumerate(tables):
         rows = rows.withColumn("__g", F.right("gram", F.lit(k + 1))).withColumn("__c", F.left(F.col("__g"), F.lit(k)))
