@@ -434,11 +434,12 @@ def rolling7(spark, d):
 
 @query("""WITH h AS (SELECT event_type, date_trunc('hour', ts) AS hour, CAST(round(avg(value), 4) AS DECIMAL(18, 4)) AS v FROM events GROUP BY 1, 2),
 m AS (SELECT *, CASE WHEN count(v) OVER w = 24 THEN CAST(v AS DOUBLE) - CAST(sum(v) OVER w AS DOUBLE) / 24 END AS residual FROM h WINDOW w AS (PARTITION BY event_type ORDER BY hour ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING))
-SELECT event_type, hour, round(residual, 6) AS residual FROM m WHERE residual IS NOT NULL""")
+SELECT event_type, hour, round(residual, 8) AS residual FROM m WHERE residual IS NOT NULL""")
 def highpass_hourly(spark, d):
-    # means as decimals of four digits: their sums are exact, so no rounding edge hangs on the order of additions
+    # means as decimals of four digits: their sums are exact, so no rounding edge hangs on the order of additions;
+    # a 24th of four digits has no tie at the eighth digit, as it has at the sixth
     hourly = reports.hourly_mean(table(spark, d, "events"), ["event_type"], "ts", "value").withColumn("mean", F.round("mean", 4).cast("decimal(18,4)"))
-    return windows.high_pass(hourly, ["event_type"], "hour", "mean", 24).select("event_type", "hour", F.round(F.col("residual").cast("double"), 6).alias("residual"))
+    return windows.high_pass(hourly, ["event_type"], "hour", "mean", 24).select("event_type", "hour", F.round(F.col("residual").cast("double"), 8).alias("residual"))
 
 
 @query("""WITH b AS (SELECT CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS z FROM orders)
