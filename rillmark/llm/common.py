@@ -51,23 +51,23 @@ def clear(spark: SparkSession) -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession):
-    """While a stage is written, Python workers get at most ARROW_ROWS rows at once; the session's setting is then as before."""
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS):
+    """While a stage is written, Python workers get at most `rows` rows at once; the session's setting is then as before."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(before), ARROW_ROWS) if int(before) > 0 else ARROW_ROWS))
+    spark.conf.set(key, str(min(int(before), rows) if int(before) > 0 else rows))
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the scratch folder as Parquet and read again: lineage ends there."""
+def written(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
+    """df written to the scratch folder as Parquet (with the writer's options) and read again: lineage ends there."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     with small_batches(spark):
-        df.write.parquet(path)
+        df.write.options(**(options or {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._rillmark_path = path
     return out
