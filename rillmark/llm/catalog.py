@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("warc", "pii", "quality", "urls", "exact_dedup", "line_dedup", "mixing", "packing", "jaccard", "ppm", "centroids", "search")
+MODULES = ("warc", "pii", "quality", "urls", "exact_dedup", "line_dedup", "mixing", "packing", "jaccard", "ppm", "toxicity", "centroids", "search")
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in MODULES:
