@@ -25,7 +25,7 @@ TOP = 10
 UNIT, STEP = 10**9, 4096
 #: Bytes of a text that are split into terms at once, terms of the items that are searched for together, and postings
 #: that a task adds up at once.
-PART, CHUNK_TERMS, POSTINGS = 4 << 20, 200_000, 2_000_000
+PART, CHUNK_TERMS, POSTINGS = 1 << 20, 200_000, 500_000
 #: Documents of a block, and blocks that a Python worker gets at once.
 BLOCK_DOCS, BLOCKS = 256, 4
 #: Separators (fixed values): all ASCII but letters and digits; A-Z become a-z.
