@@ -28,13 +28,15 @@ class Encoder:
 
     Its vocabulary is read from that file and handed to tiktoken as ranks: both split by the same pattern and merge by
     the same ranks, so the ids are equal (tests compare them), in a fifth of the time. Added tokens, like a mark of a
-    text's end, are found in texts as that library finds them.
+    text's end, are found in texts as that library finds them. A text that tiktoken refuses (a run of blanks of about a
+    million characters is too long for its pattern) is encoded by the tokenizers library itself.
     """
 
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
 
+        self.path, self.plain = path, None
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
@@ -44,8 +46,16 @@ class Encoder:
         self.encoding, self.added = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added), set(added)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        encode, added = self.encoding.encode_to_numpy, self.added
-        return [encode(t, allowed_special=added, disallowed_special=()).astype("<u4").tobytes() for t in texts]
+        return [self.ids(t).astype("<u4").tobytes() for t in texts]
+
+    def ids(self, text: str) -> np.ndarray:
+        try:
+            return self.encoding.encode_to_numpy(text, allowed_special=self.added, disallowed_special=())
+        except ValueError:
+            import tokenizers
+
+            self.plain = self.plain or tokenizers.Tokenizer.from_file(self.path)
+            return np.array(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @functools.cache
