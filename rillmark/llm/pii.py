@@ -228,17 +228,19 @@ def _labelled_by_formats(docs: DataFrame) -> DataFrame:
     of their kind, 0 if they touch a match of its format that fails the check (digits, parts, Luhn); others have no label."""
     # written, so that what explodes it doesn't search the texts again for each condition
     rows = docs.select("__text", F.xxhash64("__text").alias("h"))
-    # the hash up to which texts are taken is found among hashes alone: no task gathers texts of all others
-    edge = rows.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
-    some = rows.where(F.lit(False) if edge is None else F.col("h") <= edge).dropDuplicates(["h"]).select("__text").repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    # the hash up to which texts are taken is found among different hashes alone: no task gathers texts of all others, and
+    # a frequent text counts once
+    edge = rows.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+    some = rows.where(F.lit(False) if edge is None else F.col("h") <= edge).dropDuplicates(["h"]).repartition(docs.sparkSession.sparkContext.defaultParallelism)
     found = written(_candidates(some), "pii-sample")
 
     def judged(kind: str) -> DataFrame:
         whole = lambda b: F.length(b["hit"]) >= (13 if kind == "card" else 1)  # noqa: E731  a group of a card's digits tells nothing
         touches = lambda valid: _touching(F.col(f"__new_{kind}"), F.filter(f"__{kind}", lambda b: (b["valid"] == F.lit(valid)) & whole(b)))
         each = F.transform(F.arrays_zip(F.col(f"__new_{kind}").alias("s"), touches(True).alias("good"), touches(False).alias("bad")), lambda z: F.struct(z["s"].alias("s"), F.when(z["good"], 1).when(z["bad"], 0).alias("label")))
-        rows = found.select(F.explode(each).alias("x")).where("x.label IS NOT NULL")
-        return rows.select(F.lit(kind).alias("kind"), "x.label", *(F.col(f"x.s.{n}").alias(n) for n in FEATURES)).limit(SAMPLE_KIND)
+        rows = found.select("h", F.explode(each).alias("x")).where("x.label IS NOT NULL")
+        rows = rows.orderBy(F.xxhash64("h", "x.s.start", "x.s.end"), "h", "x.s.start").limit(SAMPLE_KIND)  # by content, however the files lie
+        return rows.select(F.lit(kind).alias("kind"), "x.label", *(F.col(f"x.s.{n}").alias(n) for n in FEATURES))
 
     return functools.reduce(DataFrame.unionByName, map(judged, KINDS))
 

@@ -151,6 +151,23 @@ def test_pii_proposals_on_documents(spark):
     assert len(plain) > 100 and sum(bool(r["__spans"]) for r in plain) <= 0.01 * len(plain)
 
 
+def test_pii_sample_has_different_texts_and_is_the_same_however_rows_lie(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(pii, "SAMPLE_DOCS", 30)
+    r = random.Random(8)
+    part = lambda: str(r.randint(0, 255))
+    texts = [f"host {'.'.join(part() for _ in range(4))} and {r.randint(256, 999)}.1.2.{part()} see {i}" for i in range(60)]
+    frame = lambda rows, n: spark.createDataFrame([(t,) for t in rows], "__text string").repartition(n)
+    first = min(texts, key=lambda t: frame([t], 1).select(F.xxhash64("__text")).first()[0])
+    sampled = lambda rows, n: sorted(map(str, pii._labelled_by_formats(frame(rows, n)).collect()))
+    plain = sampled(texts, 2)
+    assert len(plain) >= 30
+    assert sampled([*texts, *[first] * 500], 7) == plain
+    monkeypatch.setattr(pii, "SAMPLE_KIND", 10)
+    assert sampled(texts, 1) == sampled(texts[::-1], 5)
+
+
 def test_pii_cost_follows_the_length(spark):
     texts = ["z" * 1_000_000, "1.2.3.4 " * 20_000, "(555) 123-4567, " * 5_000]
     pii.find_personal(spark.createDataFrame([(0, "x")], "doc_id int, text string")).count()
@@ -429,6 +446,8 @@ def test_pieces_equal_the_tokenizers_library(docs, nothing):
     path = packing.vocabulary()
     tokenizer = Tokenizer.from_file(path)
     texts = ["", "a<|endoftext|> b", " x  y\n\n z\t", "é…　x\x00y ", "don't I'll  'S 12345 ½", "a" * 3000, *(r["text"] or "" for r in docs.collect())]
+    # runs that tiktoken's pattern has no stack for, and a megabyte of other kinds
+    texts += [" " * 1_000_000, " " * 1_000_000 + "x", "\n" * 1_000_000, "ab" * 500_000, "1" * 1_000_000, (" " * 600_000 + "é") * 2]
     for t, ids in zip(texts, packing.encoder(path)(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
     got = rows_of(packing.pack_documents(docs, path, size=128, block=30))
@@ -451,6 +470,9 @@ def test_pieces_equal_the_tokenizers_library(docs, nothing):
         assert at <= 128
     assert len(bins) <= 1.03 * math.ceil(sum(r["length"] for r in got) / 128) + 1
     assert packing.pack_documents(nothing, path).count() == 0
+    long = docs.sparkSession.createDataFrame([(1, " " * 1_000_000), (2, "\n" * 1_000_000 + "end"), (3, "x")], "doc_id long, text string")
+    pieces = rows_of(packing.pack_documents(long, path))
+    assert {i: sum(r["length"] for r in pieces if r["id"] == i) for i in (1, 2, 3)} == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in long.collect()}
 
 
 # ---- near duplicates
