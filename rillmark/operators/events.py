@@ -10,7 +10,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rillmark.functions import scalars as S
-from rillmark.operators import grid
+from rillmark.operators import blocks, grid
+from rillmark.operators.staging import settled
+
+#: Event starts are ordered in blocks of so many microseconds, about a year.
+BLOCK_MICROS = 365 * 86400 * 1_000_000
 
 
 @dataclass(frozen=True)
@@ -31,36 +35,32 @@ def above(series: DataFrame, key: str, config: Detector) -> DataFrame:
 
 
 def coalesced(slots: DataFrame, gap: int, least: int) -> DataFrame:
-    """(event, s, e): runs of slots (slot), joined if the next starts at most `gap` after the end before, of `least` slots or more.
-
-    The unpartitioned windows run over slots that are already in an event, one row for each: few compared with slots.
-    """
-    whole = W.orderBy("slot")
-    marks = slots.select("slot").withColumn("new", F.coalesce((F.col("slot") - (F.lag("slot").over(whole) + 1) > gap).cast("int"), F.lit(1)))
-    groups = marks.withColumn("g", F.sum("new").over(whole)).groupBy("g").agg(F.min("slot").alias("s"), (F.max("slot") + 1).alias("e"))
-    kept = groups.where(F.col("e") - F.col("s") >= least)
-    return kept.select((F.row_number().over(W.orderBy("s")) - 1).cast("bigint").alias("event"), "s", "e")
+    """(event, s, e): runs of slots (slot, each once), joined if the next starts at most `gap` after the end before, of `least`
+    slots or more; numbered in order. Islands are found in blocks of slots and joined over their borders."""
+    groups = blocks.islands(slots.select("slot"), [], "slot", gap + 1).groupBy(F.col("island").alias("s")).agg((F.max("slot") + 1).alias("e"))
+    return blocks.numbered(groups.where(F.col("e") - F.col("s") >= least), [], "s", "event").select("event", "s", "e")
 
 
 def detect(df: DataFrame, key: str, ts: str, value: str, config: Detector | None = None) -> DataFrame:
     """The event table: event, start, end, dur_min, peak_dvwc, n_responding, n_sensors_total, peak_time, sensors_responding.
 
     end is the first slot after the event (the last of the calendar at most); the peak is the largest rise of any sensor
-    inside, at its first slot; responding sensors, sorted, are those above the threshold inside.
+    inside, at its first slot; responding sensors, sorted, are those above the threshold inside. The slots above it and the
+    events are written once: both are read several times.
     """
     config = config or Detector()
-    series = grid.aligned(df, key, ts, value, config.step, config.max_gap)
-    high = above(series, key, config)
+    high = settled(above(grid.aligned(df, key, ts, value, config.step, config.max_gap), key, config))
     agreed = high.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= config.sensors)
     spans = coalesced(agreed, config.gap_minutes * 60 // config.step, config.min_minutes * 60 // config.step)
-    ends = series.agg(F.max("slot").alias("last"), F.min("ts").alias("origin"), F.count_distinct(key).alias("n_sensors_total"))
+    whole = df.agg(F.min(ts).cast("timestamp_ntz").alias("origin"), F.max(ts).cast("timestamp_ntz").alias("__end"), F.count_distinct(key).alias("n_sensors_total"))
+    ends = whole.select("origin", S.slot(F.col("__end"), F.col("origin"), config.step).alias("last"), "n_sensors_total")
     # spans as their slots: an equi-join, where a range condition would compare all rising slots with all events
     inside = high.join(spans.withColumn("slot", F.explode(F.sequence("s", F.col("e") - 1))), "slot")
     facts = inside.groupBy("event", "s", "e").agg(F.max("dvdt").alias("peak_dvwc"), F.min_by("ts", F.struct(-F.col("dvdt"), F.col("slot"))).alias("peak_time"), F.count_distinct(key).alias("n_responding"), F.concat_ws(";", F.array_sort(F.collect_set(key))).alias("sensors_responding"))
     out = facts.crossJoin(F.broadcast(ends))  # ends is one row
     at = lambda c: F.timestamp_add("SECOND", c * config.step, F.col("origin"))
     out = out.withColumns({"start": at(F.col("s")), "end": at(F.least("e", "last"))})
-    return out.select("event", "start", "end", (S.seconds_between(F.col("start"), F.col("end")) / 60).cast("bigint").alias("dur_min"), "peak_dvwc", "n_responding", "n_sensors_total", "peak_time", "sensors_responding")
+    return settled(out.select("event", "start", "end", (S.seconds_between(F.col("start"), F.col("end")) / 60).cast("bigint").alias("dur_min"), "peak_dvwc", "n_responding", "n_sensors_total", "peak_time", "sensors_responding"))
 
 
 def interval_join(points: DataFrame, ts: str, spans: DataFrame, start: str, end: str, bucket: str = "DAY", on: list[str] | None = None) -> DataFrame:
@@ -120,8 +120,10 @@ def onset_lag(events: DataFrame, obs: DataFrame, place: str, depth: str, shallow
 
 
 def with_next_start(events: DataFrame, start: str = "start") -> DataFrame:
-    """next_start: that of the following event, 2099 for the last. Over the event table, a row per event."""
-    return events.withColumn("next_start", F.lead(start, 1).over(W.orderBy(start))).withColumn("next_start", F.coalesce("next_start", F.lit("2099-01-01").cast("timestamp_ntz")))
+    """next_start: that of the following event, 2099 for the last. Different starts, in blocks of time."""
+    placed = events.withColumn("__at", F.unix_micros(F.col(start).cast("timestamp")))
+    out = blocks.carried(placed, [], "__at", F.col(start), after="next_start", width=BLOCK_MICROS, inclusive=False)
+    return out.drop("__at").withColumn("next_start", F.coalesce("next_start", F.lit("2099-01-01").cast("timestamp_ntz")))
 
 
 def tails(events: DataFrame, obs: DataFrame, key: str, peak_h: float = 24, max_days: float = 7, stop_h: float = 2, least: float = 0.005, samples: int = 4, span_h: float = 12) -> DataFrame:
@@ -153,22 +155,28 @@ def _greedy(detected: list[float], reference: list[float], tolerance: float) ->
 def match(detected: DataFrame, reference: DataFrame, tolerance_h: float = 6, thresholds: list[float] | None = None, size: str | None = None) -> DataFrame:
     """Precision, recall and F1 of detected starts against reference ones, one to one, by each least `size` of the reference.
 
-    Matching is sequential in time, so each threshold is one group of event starts: two small columns of the event tables.
+    Matching is sequential in time, but starts more than the tolerance apart never meet. So the starts of both sides fall into
+    islands, found in blocks of time, and a group is one island of one threshold.
     """
-    schema = "threshold double, tp bigint, fp bigint, fn bigint, precision double, recall double, f1 double"
     levels = F.explode(F.array(*(F.lit(float(t)) for t in thresholds or [0.0]))).alias("threshold")
     seconds = lambda c: S.seconds_between(F.lit("1970-01-01").cast("timestamp_ntz"), F.col(c))
     one = detected.select(seconds("start").alias("at"), F.lit(True).alias("found"), levels)
     two = reference.select("*", levels).where(F.col(size) >= F.col("threshold") if size else F.lit(True)).select(seconds("start").alias("at"), F.lit(False).alias("found"), "threshold")
 
     def score(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        tp, fp, fn = _greedy(rows.loc[rows["found"], "at"].tolist(), rows.loc[~rows["found"], "at"].tolist(), tolerance_h * 3600)
-        precision = tp / (tp + fp) if tp + fp else 0.0
-        recall = tp / (tp + fn) if tp + fn else 0.0
-        f1 = 2 * precision * recall / (precision + recall) if precision + recall else 0.0
-        return pd.DataFrame([(key[0], tp, fp, fn, precision, recall, f1)], columns=["threshold", "tp", "fp", "fn", "precision", "recall", "f1"])
-
-    return one.unionByName(two).groupBy("threshold").applyInPandas(score, schema)
+        counts = _greedy(rows.loc[rows["found"], "at"].tolist(), rows.loc[~rows["found"], "at"].tolist(), tolerance_h * 3600)
+        return pd.DataFrame([(key[0], *counts)], columns=["threshold", "tp", "fp", "fn"])
+
+    both = one.unionByName(two).where("at IS NOT NULL")
+    # places are microseconds; equal ones of a threshold share an island, so the islands are found among different places
+    both = settled(both.withColumn("place", F.round(F.col("at") * 1e6).cast("bigint")))
+    places = blocks.islands(both.select("threshold", "place").distinct(), ["threshold"], "place", tolerance_h * 3600e6, BLOCK_MICROS)
+    groups = both.join(places, ["threshold", "place"]).groupBy("threshold", "island")
+    counts = groups.applyInPandas(score, "threshold double, tp bigint, fp bigint, fn bigint").groupBy("threshold").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    share = lambda part, rest: F.coalesce(S.ratio(F.col(part).cast("double"), (F.col(part) + F.col(rest)).cast("double")), F.lit(0.0))
+    out = counts.withColumns({"precision": share("tp", "fp"), "recall": share("tp", "fn")})
+    f1 = F.coalesce(S.ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
+    return out.withColumn("f1", f1)
 
 
 def sensors_at_depth(df: DataFrame, depth: int, first: str = "swale") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rillmark.functions import scalars as S
 from rillmark.operators import windows
+from rillmark.operators.quantiles import quantiles
 
 #: Bounds of the parameters: amplitude from 0, offset, time constant in hours, exponent.
 OFFSET, TAU, ALPHA = (0.0, 0.6), (0.5, 1e4), (0.0, 3.0)
@@ -108,7 +109,8 @@ def loss_against_pet(change: DataFrame, pet: DataFrame, key: list[str], on: list
 
 def through_origin(df: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
     """Slope of a line through the origin, and the median ratio."""
-    return df.groupBy(*key).agg(S.ratio(F.sum(F.col(x) * F.col(y)), F.sum(F.col(x) * F.col(x))).alias("slope"), F.median(S.ratio(F.col(y), F.col(x))).alias("median_ratio"))
+    slope = S.ratio(F.sum(F.col(x) * F.col(y)), F.sum(F.col(x) * F.col(x))).alias("slope")
+    return quantiles(df, key, {"median_ratio": (S.ratio(F.col(y), F.col(x)), 0.5)}, slope).select(*key, "slope", "median_ratio")
 
 
 def r_squared(df: DataFrame, key: list[str], value: str, fitted: str) -> DataFrame:

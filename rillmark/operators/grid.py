@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rillmark.functions import scalars as S
+from rillmark.operators import blocks
 
 GRID_SECONDS = 900
 
@@ -34,20 +35,18 @@ def upsampled(df: DataFrame, key: list[str], ts: str, values: list[str], step: i
 
 
 def gap_filled(df: DataFrame, key: list[str], slot: str, value: str, max_gap: int, into: str | None = None) -> DataFrame:
-    """Straight lines over runs of at most max_gap missing slots between two values; edges stay null. Needs every slot."""
-    back = W.partitionBy(*key).orderBy(slot).rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(*key).orderBy(slot).rowsBetween(0, W.unboundedFollowing)
+    """Straight lines over runs of at most max_gap missing slots between two values; edges stay null. Needs every slot once.
+
+    A series is filled in blocks: the last value before a block and the first one after it are carried to it."""
     at = F.when(F.col(value).isNotNull(), F.struct(F.col(slot).alias("s"), F.col(value).alias("v")))
-    a, b = F.last(at, ignorenulls=True).over(back), F.first(at, ignorenulls=True).over(ahead)
     line = F.col("__a.v") + (F.col("__b.v") - F.col("__a.v")) * (F.col(slot) - F.col("__a.s")) / (F.col("__b.s") - F.col("__a.s"))
     filled = F.when(F.col(value).isNotNull(), F.col(value)).when(F.col("__b.s") - F.col("__a.s") - 1 <= max_gap, line)
-    return df.withColumns({"__a": a, "__b": b}).withColumn(into or value, filled).drop("__a", "__b")
+    return blocks.carried(df, key, slot, at, "__a", "__b").withColumn(into or value, filled).drop("__a", "__b")
 
 
 def runs(df: DataFrame, key: list[str], slot: str) -> DataFrame:
-    """(key, lo, hi): runs of consecutive slots of df, hi exclusive."""
-    island = F.col(slot) - F.row_number().over(W.partitionBy(*key).orderBy(slot))
-    return df.withColumn("__run", island).groupBy(*key, "__run").agg(F.min(slot).alias("lo"), (F.max(slot) + 1).alias("hi")).drop("__run")
+    """(key, lo, hi): runs of consecutive slots of df, each there once; hi exclusive."""
+    return blocks.islands(df.select(*key, slot), key, slot, 1).groupBy(*key, F.col("island").alias("lo")).agg((F.max(slot) + 1).alias("hi"))
 
 
 def longest_run(df: DataFrame, key: list[str], slot: str) -> DataFrame:
@@ -57,14 +56,17 @@ def longest_run(df: DataFrame, key: list[str], slot: str) -> DataFrame:
 
 
 def derivative(df: DataFrame, key: list[str], slot: str, value: str, step: int = GRID_SECONDS, smooth_minutes: int = 60) -> DataFrame:
-    """df with dvdt: change an hour of the centred moving mean, null wherever a value of its window is. Needs every slot."""
+    """df with dvdt: change an hour of the centred moving mean, null wherever a value of its window is. Needs every slot.
+
+    Windows run over blocks that have their neighbours' nearest rows too."""
     width = max(1, round(smooth_minutes * 60 / step))
     half = width // 2
-    own = W.partitionBy(*key).orderBy(slot)
+    own = W.partitionBy(*key, "__block").orderBy(slot)
     frame = own.rowsBetween(-half, half)
     mean = F.when(F.count(value).over(frame) == 2 * half + 1, F.avg(value).over(frame))
-    out = df.withColumn("__mean", mean)
-    return out.withColumn("dvdt", (F.lead("__mean").over(own) - F.lag("__mean").over(own)) / (2 * step / 3600)).drop("__mean")
+    out = blocks.haloed(df, key, slot, half + 1).withColumn("__mean", mean)
+    out = out.withColumn("dvdt", (F.lead("__mean").over(own) - F.lag("__mean").over(own)) / (2 * step / 3600))
+    return out.where("__own").drop("__mean", "__block", "__own")
 
 
 def aligned(df: DataFrame, key: str, ts: str, value: str, step: int = GRID_SECONDS, max_gap: int = 4) -> DataFrame:
@@ -73,15 +75,13 @@ def aligned(df: DataFrame, key: str, ts: str, value: str, step: int = GRID_SECON
     Readings snap up to the next slot, the last one of a slot counts, and gaps of at most max_gap slots are filled. The
     calendar's ends are two numbers; keys times slots is the size of the regular table itself.
     """
-    ends = df.agg(F.min(ts).alias("a"), F.max(ts).alias("b")).first()
-    if ends["a"] is None:
-        return df.sparkSession.createDataFrame([], f"{key} string, slot bigint, ts timestamp_ntz, value double")
-    origin = F.lit(ends["a"]).cast("timestamp_ntz")
-    last = int(-(-((ends["b"] - ends["a"]).total_seconds()) // step))
-    snapped = df.where(F.col(value).isNotNull()).groupBy(key, S.slot(F.col(ts), origin, step).alias("slot")).agg(F.max_by(value, ts).alias("value"))
-    grid = df.select(key).distinct().withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint"))))
+    ends = df.agg(F.min(ts).cast("timestamp_ntz").alias("__origin"), F.max(ts).cast("timestamp_ntz").alias("__end"))  # one row
+    placed = df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(ends.drop("__end")))
+    snapped = placed.groupBy(key, S.slot(F.col(ts), F.col("__origin"), step).alias("slot")).agg(F.max_by(value, ts).alias("value"))
+    last = S.slot(F.col("__end"), F.col("__origin"), step)
+    grid = df.select(key).distinct().crossJoin(F.broadcast(ends)).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))))
     full = gap_filled(grid.join(snapped, [key, "slot"], "left"), [key], "slot", "value", max_gap)
-    return full.withColumn("ts", F.timestamp_add("SECOND", F.col("slot") * step, origin)).select(key, "slot", "ts", "value")
+    return full.withColumn("ts", F.timestamp_add("SECOND", F.col("slot") * step, F.col("__origin"))).select(key, "slot", "ts", "value")
 
 
 def regular_series(df: DataFrame, key: str, ts: str, value: str, step: int = GRID_SECONDS, max_gap: int = 4, min_days: float = 30) -> DataFrame:

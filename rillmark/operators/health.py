@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rillmark.functions import scalars as S
+from rillmark.operators.quantiles import quantiles
 
 
 def daily_errors(df: DataFrame, key: list[str], ts: str, flag) -> DataFrame:
@@ -55,7 +56,8 @@ def disagreement(diff: DataFrame, by: list[str], value: str, tolerance: float =
     a, b = F.col(f"{value}_dump"), F.col(f"{value}_cache")
     gap = F.abs(a - b)
     off = gap > tolerance
-    return diff.groupBy(*by).agg(F.count_if(F.col("in_dump") & F.col("in_cache")).alias("n_both"), F.count_if(F.col("in_dump") & F.col("in_cache").isNull()).alias("n_only_dump"), F.count_if(F.col("in_cache") & F.col("in_dump").isNull()).alias("n_only_cache"), F.count_if(off).alias("n_disagree"), F.max(F.when(off, gap)).alias("max_diff"), F.median(F.when(off, gap)).alias("median_diff"))
+    sides = [F.count_if(F.col("in_dump") & F.col("in_cache")).alias("n_both"), F.count_if(F.col("in_dump") & F.col("in_cache").isNull()).alias("n_only_dump"), F.count_if(F.col("in_cache") & F.col("in_dump").isNull()).alias("n_only_cache")]
+    return quantiles(diff, by, {"median_diff": (F.when(off, gap), 0.5)}, *sides, F.count_if(off).alias("n_disagree"), F.max(F.when(off, gap)).alias("max_diff"), settle=True)
 
 
 def worst(diff: DataFrame, key: list[str], value: str, k: int = 20, tolerance: float = 1e-6) -> DataFrame:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from rillmark.functions import scalars as S
 from rillmark.functions import vocab
+from rillmark.operators.quantiles import quantiles
 
 
 def quantile(value, q: float, method: str = "linear") -> Column:
-    """An exact quantile: between neighbours, or `nearest` one."""
+    """An exact quantile of a small group: between neighbours, or `nearest` one. For groups of any size see quantiles.quantiles."""
     if method == "nearest":
         ordered = F.array_sort(F.collect_list(value))
         return F.element_at(ordered, (F.round((F.size(ordered) - 1) * q) + 1).cast("int"))
@@ -49,7 +50,7 @@ def daily_meteo(df: DataFrame, ts: str, variable: str, value: str, temperature:
 def composite_day(df: DataFrame, key: list[str], ts: str, value: str, envelope: bool = False) -> DataFrame:
     """Median and quartiles by hour of the day, with extremes on request."""
     more = [F.min(value).alias("low"), F.max(value).alias("high")] if envelope else []
-    return df.groupBy(*key, F.hour(ts).alias("hour")).agg(F.median(value).alias("mid"), quantile(value, 0.25).alias("q25"), quantile(value, 0.75).alias("q75"), F.count(value).alias("n"), *more)
+    return quantiles(df.withColumn("hour", F.hour(ts)), [*key, "hour"], {"mid": (value, 0.5), "q25": (value, 0.25), "q75": (value, 0.75)}, F.count(value).alias("n"), *more)
 
 
 def swing(composite: DataFrame, key: list[str], mid: str = "mid") -> DataFrame:
@@ -59,7 +60,7 @@ def swing(composite: DataFrame, key: list[str], mid: str = "mid") -> DataFrame:
 
 def spread(df: DataFrame, key: list[str], value: str, least: int = 1) -> DataFrame:
     """Median, quartiles and count of groups with enough rows."""
-    out = df.groupBy(*key).agg(F.median(value).alias("mid"), quantile(value, 0.25).alias("q25"), quantile(value, 0.75).alias("q75"), F.count(value).alias("n"))
+    out = quantiles(df, key, {"mid": (value, 0.5), "q25": (value, 0.25), "q75": (value, 0.75)}, F.count(value).alias("n"))
     return out.where(F.col("n") >= least)
 
 
@@ -144,11 +145,11 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, key
 
 
 def colour_limits(df: DataFrame, value: str, percents=(2, 98), key: list[str] | None = None) -> DataFrame:
-    return df.groupBy(*(key or [])).agg(*(quantile(value, p / 100).alias(f"p{str(p).replace('.', '_')}") for p in percents))
+    return quantiles(df, key or [], {f"p{str(p).replace('.', '_')}": (value, p / 100) for p in percents})
 
 
 def residuals(df: DataFrame, key: str, value: str) -> DataFrame:
     """Mean and population deviation by key after the median of all is taken off."""
-    shift = df.agg(F.median(value).alias("__m"))
+    shift = quantiles(df, [], {"__m": (value, 0.5)})
     out = df.crossJoin(F.broadcast(shift)).withColumn("__r", F.col(value) - F.col("__m"))  # one row
     return out.groupBy(key).agg(F.avg("__r").alias("mean"), F.stddev_pop("__r").alias("std"), F.count("__r").alias("n"))

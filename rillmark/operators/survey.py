@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rillmark.functions import scalars as S
 from rillmark.operators import reports
+from rillmark.operators.quantiles import quantiles
 
 #: The part at the end of a pulse that counts as steady.
 STEADY = 0.33
@@ -50,7 +51,8 @@ def daily_resistance(on: DataFrame, survey: list[str], ts: str) -> DataFrame:
 
 def estimator_medians(table: DataFrame) -> DataFrame:
     """Medians by polarity of the off-pulse estimate and of the plain signed ratio."""
-    return table.where("polarity <> 0").groupBy("polarity").agg(F.median("R_off").alias("R_off"), F.median(S.ratio(F.col("signed_mv"), F.col("signed_ma"))).alias("R_signed"))
+    rows = table.where("polarity <> 0").select("polarity", "R_off", S.ratio(F.col("signed_mv"), F.col("signed_ma")).alias("R_signed"))
+    return quantiles(rows, ["polarity"], {c: (c, 0.5) for c in ("R_off", "R_signed")}, settle=True)
 
 
 def cycle_midpoints(table: DataFrame, key: list[str]) -> DataFrame:
@@ -138,8 +140,8 @@ def with_geometry(r: DataFrame, electrodes: DataFrame, value: str = "R") -> Data
 
 def fault_map(r: DataFrame, value: str, key: list[str] | None = None) -> DataFrame:
     """Median of value by electrode, over all rows that use it in any role."""
-    each = r.withColumn("electrode", F.explode(F.array_distinct(F.array("a", "b", "m", "n"))))
-    return each.groupBy(*(key or []), "electrode").agg(F.median(value).alias("median"), F.count(F.lit(1)).alias("n"))
+    each = r.select(*(key or []), value, F.explode(F.array_distinct(F.array("a", "b", "m", "n"))).alias("electrode"))
+    return quantiles(each, [*(key or []), "electrode"], {"median": (value, 0.5)}, F.count(F.lit(1)).alias("n"), settle=True)
 
 
 def electrode_noise(r: DataFrame, value: str) -> DataFrame:
