@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.functions import scalars as S
@@ -274,4 +277,5 @@ def welch_psd_median(spark, d):
 
 @query()
 def cwt_power(spark, d):
-    return spectral.scalogram(_regular(spark, d), "event_type", "slot", "value", 1.0, periods=12, longest_h=72.0)
+    power = lambda name: spectral.scalogram(_regular(spark, d), "event_type", "slot", "value", 1.0, periods=12, longest_h=72.0, wavelet_name=name).withColumn("wavelet", F.lit(name))
+    return functools.reduce(DataFrame.unionByName, map(power, spectral.WAVELETS))

@@ -168,7 +168,7 @@ def test_spectra_find_the_period():
     f, p = spectral.welch(x, 1.0, 480)
     assert abs(1 / f[p.argmax()] - 24) < 0.1
     periods = np.geomspace(3, 168, 30)
-    assert abs(periods[spectral.morlet(x, 1.0, periods)[:, 600:800].mean(axis=1).argmax()] - 24) < 4
+    assert abs(periods[spectral.power_of(x, 1.0, periods)[:, 600:800].mean(axis=1).argmax()] - 24) < 4
     rng = np.random.default_rng(0)
     noise = rng.normal(size=20000)
     f, p = spectral.welch(noise, 1.0, 256)
