@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-import io
-import zipfile
+import json
 
-import pandas as pd
-import pyarrow as pa
-import pyarrow.csv as pacsv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillmark.functions import scalars as S
+from rillmark.sources import archives
+from rillmark.sources.archives import WAVEFORM
 
-WAVEFORM = "a int, b int, m int, n int, injection_id string, channel_mn string, time double, current double, voltage double, polarity int"
 NAME = r"(dipdip|wenner)_line_([A-E])_results_(\d{8}T\d{6})"
 RESULTS = {"a": "a", "b": "b", "m": "m", "n": "n", "r_[Ohm]": "r", "vmn_[mV]": "vmn", "iab_[mA]": "iab", "r_std_[%]": "r_std", "vmn_std_[%]": "vmn_std", "sp_[mV]": "sp", "rab_[kOhm]": "rab"}
 
@@ -37,39 +34,19 @@ def survey_index(spark: SparkSession, root: str) -> DataFrame:
     return out.withColumn("timestamp", F.to_timestamp_ntz("stamp", F.lit("yyyyMMdd'T'HHmmss")))
 
 
-def _unzipped(batches):
-    """First *_fw.csv of each archive; bad archives and empty tables give no rows."""
-    names = [x.split()[0] for x in WAVEFORM.split(", ")]
-    for batch in batches:
-        for row in batch.to_dict("records"):
-            try:
-                with zipfile.ZipFile(io.BytesIO(row["content"])) as archive:
-                    member = next((n for n in archive.namelist() if n.endswith("_fw.csv")), None)
-                    table = pacsv.read_csv(io.BytesIO(archive.read(member))) if member else None
-            except (zipfile.BadZipFile, pa.ArrowInvalid):
-                continue
-            if table is None or not table.num_rows:
-                continue
-            out = table.to_pandas().reindex(columns=names)
-            for c in ("a", "b", "m", "n", "polarity"):
-                out[c] = pd.to_numeric(out[c], errors="coerce").astype("Int32")
-            for c in ("time", "current", "voltage"):
-                out[c] = pd.to_numeric(out[c], errors="coerce")
-            for c in ("injection_id", "channel_mn"):
-                out[c] = out[c].astype("string")
-            out["fw_zip"] = row["path"]
-            yield out
+def read_waveforms(spark: SparkSession, index: DataFrame, root: str, quads: list[str] | None = None) -> DataFrame:
+    """Samples of the archives in an index, tagged with survey, array, line and quad; see waveform_problems for bad archives."""
+    own = index.select(F.col("fw_zip").alias("__zip"), "array", "line", "timestamp")
+    only = [r[0] for r in own.select("__zip").collect()]  # file names
+    rows = archives.load(spark, "waveforms", root, ending="_fw.zip", only=json.dumps(only), quads=json.dumps(quads) if quads else None).where("problem IS NULL")
+    same = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    joined = rows.join(own, same("path") == same("__zip"))
+    return joined.select(*(x.split()[0] for x in WAVEFORM.split(", ")), F.col("__zip").alias("fw_zip"), "array", "line", "timestamp", "quad")
 
 
-def read_waveforms(spark: SparkSession, index: DataFrame, root: str, quads: list[str] | None = None) -> DataFrame:
-    """Samples of the archives in an index, tagged with survey, array, line and quad; an archive at a time in each task."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*_fw.zip").option("recursiveFileLookup", "true").load(root)
-    chosen = files.join(index.select(F.col("fw_zip").alias("path")), "path", "left_semi").select("path", "content")
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 8:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # rows are whole archives
-    rows = chosen.mapInPandas(_unzipped, f"{WAVEFORM}, fw_zip string").join(F.broadcast(index.select("fw_zip", "array", "line", "timestamp")), "fw_zip")
-    rows = rows.withColumn("quad", S.quad())
-    return rows.where(F.col("quad").isin(quads)) if quads else rows
+def waveform_problems(spark: SparkSession, root: str) -> DataFrame:
+    """(path, problem) of archives under root, or of tables in them, that can't be read."""
+    return archives.load(spark, "waveforms", root, ending="_fw.zip", quads="[]").where("problem IS NOT NULL").select("path", "problem")
 
 
 def read_results(spark: SparkSession, index: DataFrame) -> DataFrame:
@@ -91,20 +68,8 @@ def write_waveforms(df: DataFrame, path: str) -> None:
 
 def unzip(spark: SparkSession, root: str, skip: str = "Raw") -> tuple[DataFrame, DataFrame]:
     """(members, bad): (path, member, content) of all archives without members that contain `skip`, and unreadable archives."""
-
-    def members(batches):
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(row["content"])) as archive:
-                        own = [(row["path"], n, archive.read(n)) for n in archive.namelist() if skip not in n and not n.endswith("/")]
-                except zipfile.BadZipFile:
-                    own = [(row["path"], None, None)]
-                yield pd.DataFrame(own, columns=["path", "member", "content"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(root)
-    rows = files.select("path", "content").mapInPandas(members, "path string, member string, content binary")
-    return rows.where("member IS NOT NULL"), rows.where("member IS NULL").select("path")
+    rows = archives.load(spark, "zipmembers", root, skip=skip)
+    return rows.where("problem IS NULL").drop("problem"), rows.where("problem IS NOT NULL").select("path", "problem")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import re
 from functools import reduce
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from rillmark.functions import scalars as S
 from rillmark.functions import vocab
 from rillmark.operators import clean, grid
+from rillmark.sources import archives
 
 LONG = "timestamp timestamp_ntz, port smallint, sensor_type string, variable string, value double, error_code int, source_format string, source_file string, config_label string"
 FIELD_ZONE = "Asia/Kolkata"
@@ -59,20 +61,24 @@ def read_csv(spark: SparkSession, path: str, config_pattern: str = r"(Configurat
     return rows.select("timestamp", "port", "sensor_type", "variable", "value", F.lit(None).cast("int").alias("error_code"), F.lit("csv").alias("source_format"), F.lit(path.rsplit("/", 1)[-1]).alias("source_file"), F.lit(named[1] if named else "Config ?").alias("config_label"))
 
 
-def read_workbook(spark: SparkSession, path: str) -> DataFrame:
-    """All sheets `Processed Data Config N`; needs openpyxl, and the workbook fits the driver as it does a spreadsheet."""
-    import openpyxl
+SHEETS = r"Processed\s+Data\s+(Config(?:uration)?\s*\d+)\s*"
+
 
-    book = openpyxl.load_workbook(path, data_only=True, read_only=True)
+def read_workbook(spark: SparkSession, path: str) -> DataFrame:
+    """All sheets `Processed Data Config N` of a workbook; headers are read here, the rows below them by a task for each sheet."""
+    heads = {}
+    with archives.opened(path) as stream:
+        book = archives.Workbook(stream)
+        for name in book.sheets:
+            if re.fullmatch(SHEETS, name, re.IGNORECASE):
+                rows = dict(itertools.takewhile(lambda r: r[0] <= 3, book.rows(name)))
+                heads[name] = [rows.get(i, []) for i in (1, 2, 3)]
     out = [empty(spark)]
-    for sheet in book.worksheets:
-        named = re.fullmatch(r"Processed\s+Data\s+(Config(?:uration)?\s*\d+)\s*", sheet.title, re.IGNORECASE)
-        rows = list(sheet.iter_rows(values_only=True)) if named else []
-        if len(rows) > 3:
-            data = [(r[0], [None if x is None else str(x) for x in r]) for r in rows[3:] if hasattr(r[0], "isoformat")]
-            body = spark.createDataFrame(data, "at timestamp_ntz, cells array<string>")
-            one = long_rows(body, *rows[:3], F.col("at"))
-            out.append(one.select("timestamp", "port", "sensor_type", "variable", "value", F.lit(None).cast("int").alias("error_code"), F.lit("xlsx").alias("source_format"), F.lit(path.rsplit("/", 1)[-1]).alias("source_file"), F.lit(named[1]).alias("config_label")))
+    for name, head in heads.items():
+        body = archives.load(spark, "sheets", path, sheets=re.escape(name)).where("row > 3 AND at IS NOT NULL")
+        one = long_rows(body, *head, F.col("at"))
+        config = re.fullmatch(SHEETS, name, re.IGNORECASE)[1]
+        out.append(one.select("timestamp", "port", "sensor_type", "variable", "value", F.lit(None).cast("int").alias("error_code"), F.lit("xlsx").alias("source_format"), F.lit(path.rsplit("/", 1)[-1]).alias("source_file"), F.lit(config).alias("config_label")))
     return reduce(DataFrame.unionByName, out)
 
 

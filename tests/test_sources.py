@@ -7,7 +7,7 @@ import pytest
 
 from rillmark.functions import vocab
 from rillmark.operators import clean
-from rillmark.sources import config, dims, files, loggers
+from rillmark.sources import archives, config, dims, files, loggers
 
 TYPES = ["TEROS 12 Moisture/Temp/EC"] * 3 + ["ATMOS 14 Humidity/Temp/Barometer"] * 3 + ["ECRN-100 Precipitation"] * 2 + ["Battery"] * 2 + ["Barometer"] * 2
 PORTS = ["Port1"] * 3 + ["Port2"] * 3 + ["Port3"] * 2 + ["Port7"] * 2 + ["Port8"] * 2
@@ -132,6 +132,93 @@ def test_waveform_archives(spark, tmp_path):
     assert members.count() == 1 and bad.count() == 1
 
 
+def archive(path, members):
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in members.items():
+            z.writestr(name, text)
+
+
+def test_archives_are_read_in_parts_with_the_session_as_it_was(spark, tmp_path):
+    head = "a,b,m,n,injection_id,channel_mn,time,current,voltage,polarity\n"
+    rows = lambda k: "".join(f"1,2,3,{i % 5},{k},0,{i / 10},10,{i},{1 - i % 3}\n" for i in range(2000))
+    a, b = "dipdip_line_A_results_20250408T235131_fw.zip", "wenner_line_B_results_20250409T000000_fw.zip"
+    archive(tmp_path / a, {"one_fw.csv": head + rows("p"), "other.txt": "no", "two_fw.csv": head + rows("q") + "1,2,x,4,q,0,no,1e1,+2.5,1.5\n"})
+    archive(tmp_path / b, {"bad_fw.csv": head + rows("r"), "empty_fw.csv": "", "head_fw.csv": head, "short_fw.csv": "a,b,time\n1,2,0.5\n"})
+    torn = (tmp_path / b).read_bytes()
+    (tmp_path / "wenner_line_C_results_20250409T000000_fw.zip").write_bytes(torn[:300] + b"\x00" * 60 + torn[360:])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    index = files.survey_index(spark, str(tmp_path))
+    got = files.read_waveforms(spark, index.where("line <> 'C'"), str(tmp_path))
+    assert got.count() == 6002 and got.where("injection_id = 'q'").count() == 2001
+    odd = got.where("injection_id = 'q' AND time IS NULL").first()
+    assert (odd.a, odd.m, odd.n, odd.current, odd.voltage, odd.polarity, odd.quad) == (1, None, 4, 10.0, 2.5, None, None)
+    assert files.read_waveforms(spark, index.where("line <> 'C'"), str(tmp_path), ["1_2_3_4", "1_2_3_0"]).count() == 2400
+    problems = files.waveform_problems(spark, str(tmp_path)).collect()
+    assert {r.path.rsplit("/", 1)[-1][:13] for r in problems} == {"wenner_line_C"}
+    whole, split = (archives.load(spark, "waveforms", str(tmp_path), split=n).where("path NOT LIKE '%line_C%'") for n in (None, "1"))
+    assert whole.rdd.getNumPartitions() == 3 and split.rdd.getNumPartitions() == 11  # a task for each archive, or for each member
+    assert split.exceptAll(whole).count() == whole.exceptAll(split).count() == 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        rows = archives.load(spark, "waveforms", str(tmp_path), ending="_fw.zip")
+        assert rows.where("quad = '1_2_3_4'").count() == 1200 and rows.where("quad IN ('1_2_3_4', '1_2_3_0')").where("voltage > 0").count() == 2397
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    reader = archives._PushedWaveforms({"path": str(tmp_path)})
+    assert len(reader.partitions()) == 3 and list(reader.pushFilters([archives.In(("quad",), ("x",)), archives.EqualTo(("a",), 1)])) == [archives.EqualTo(("a",), 1)]
+    assert reader.quads == {"x"}
+
+
+def workbook(path, sheets, early=False):
+    """A minimal .xlsx; text goes to the shared strings, dates (as serial numbers) get a date style, a tuple is an inline string."""
+    strings, parts = [], {}
+    column = lambda i: (chr(64 + i // 26) if i >= 26 else "") + chr(65 + i % 26)
+
+    def cell(r, i, x):
+        at = f'r="{column(i)}{r}"'
+        if isinstance(x, datetime):
+            days = (x - (datetime(1904, 1, 1) if early else datetime(1899, 12, 30))).total_seconds() / 86400
+            return f'<c {at} s="1"><v>{days!r}</v></c>'
+        if isinstance(x, tuple):
+            return f'<c {at} t="inlineStr"><is><t>{x[0]}</t></is></c>'
+        if isinstance(x, str):
+            strings.append(x)
+            return f'<c {at} t="s"><v>{len(strings) - 1}</v></c>'
+        return "" if x is None else f"<c {at}><v>{x}</v></c>"
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    for k, rows in enumerate(sheets.values(), 1):
+        body = "".join(f'<row r="{r}">{"".join(cell(r, i, x) for i, x in enumerate(row))}</row>' for r, row in enumerate(rows, 1) if row)
+        parts[f"xl/worksheets/sheet{k}.xml"] = f"<worksheet {main}><sheetData>{body}</sheetData></worksheet>"
+    names = "".join(f'<sheet name="{n}" sheetId="{k}" r:id="rId{k}"/>' for k, n in enumerate(sheets, 1))
+    parts["xl/workbook.xml"] = f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><workbookPr{" date1904=" + chr(34) + "1" + chr(34) if early else ""}/><sheets>{names}</sheets></workbook>'
+    links = "".join(f'<Relationship Id="rId{k}" Type="worksheet" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(sheets) + 1))
+    parts["xl/_rels/workbook.xml.rels"] = f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>'
+    parts["xl/styles.xml"] = f'<styleSheet {main}><numFmts count="1"><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd &quot;at&quot; hh:mm"/></numFmts><cellXfs count="3"><xf numFmtId="0"/><xf numFmtId="164"/><xf numFmtId="2"/></cellXfs></styleSheet>'
+    parts["xl/sharedStrings.xml"] = f"<sst {main}>{''.join(f'<si><r><t>{s[:2]}</t></r><r><t>{s[2:]}</t></r></si>' for s in strings)}</sst>"
+    archive(path, parts)
+    return str(path)
+
+
+@pytest.mark.parametrize("early", [False, True])
+def test_workbook_sheets_become_long(spark, tmp_path, early):
+    names = ["m³/m³ Water Content", "°C Soil Temperature", "mS/cm Bulk EC", "% Battery Percent", "mV Battery Voltage", "kPa Reference Pressure", "°C Logger Temperature"]
+    head = [["z6-19570", *["Port 1"] * 3, *["Port 7"] * 2, *["Port 8"] * 2], ["Records", *["TEROS 12"] * 3, *["Battery"] * 2, *["Barometer"] * 2], ["Timestamps", *names]]
+    t = datetime(2024, 2, 1, 0, 15)
+    rows = [[t, 0.3, 20.5, 0.1, 99, 7000, 100.5, 25], [], ["no time", 1, 2, 3, 4, 5, 6, 7], [datetime(2024, 2, 1, 0, 30), None, ("text",), 0.2, 98, 7001, 100.25, 26]]
+    path = workbook(tmp_path / "z6-19570.xlsx", {"Processed Data Config 1": head + rows[:1], "Metadata": [["x"]], "processed data configuration 2 ": head + rows}, early)
+    got = loggers.read_workbook(spark, path).collect()
+    assert {(r.config_label, r.source_format, r.source_file) for r in got} == {("Config 1", "xlsx", "z6-19570.xlsx"), ("configuration 2", "xlsx", "z6-19570.xlsx")}
+    first = {r.variable: (r.timestamp, r.port, r.value) for r in got if r.config_label == "Config 1"}
+    assert first == {"moisture": (t, 1, 0.3), "soil_temp": (t, 1, 20.5), "bulk_ec": (t, 1, 0.1), "battery_pct": (t, 7, 99.0), "battery_mv": (t, 7, 7000.0), "ref_pressure": (t, 8, 100.5), "logger_temp": (t, 8, 25.0)}
+    second = [r for r in got if r.config_label != "Config 1"]
+    assert len(second) == 14 and [r.value for r in second if r.timestamp != t and r.variable in ("moisture", "soil_temp")] == [None, None]
+    assert loggers.read_workbook(spark, workbook(tmp_path / "none.xlsx", {"Other": [["x"]]})).count() == 0
+    jobs = loggers.discover(spark, str(tmp_path))
+    assert [(kind, serial) for kind, serial, _ in jobs] == [("xlsx", "19570")] and loggers.read_all(spark, jobs).count() == 21
+
+
 def test_stations(spark, tmp_path):
     path = tmp_path / "s.csv"
     row = lambda label, x, y: ",".join([label, *["0"] * 9, str(x), "0.1", str(y), "0.2", "3", "0.3"])
