@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Cells along a tile, targets of an index that goes to all tasks, and boxes in a box of it.
+TILE, TARGETS, FAN = 256, 1_000_000, 16
 
 
 def summary(points: DataFrame) -> DataFrame:
@@ -67,24 +72,45 @@ def cell_centres(grid: DataFrame, x0: float, y0: float, dx: float, dy: float) ->
     return grid.select((F.lit(x0) + (F.col("ix") + 0.5) * dx).alias("x"), (F.lit(y0) + (F.col("iy") + 0.5) * dy).alias("y"), "z")
 
 
-def smoothed(grid: DataFrame, nx: int, ny: int, sigma: float, truncate: float = 4.0) -> DataFrame:
-    """Gaussian mean of present cells, one axis after the other; cells beyond the edge repeat it."""
+def _tile(nx: int, ny: int, tile: int, weights: np.ndarray):
+    """A function of a tile's number and its cells (ix, iy, z) with those around: the smoothed ones of its own."""
+    radius = len(weights) // 2
+
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        start = [int(k.as_py()) * tile for k in key]
+        end = [min(s + tile, n) for s, n in zip(start, (nx, ny), strict=True)]
+        low = [max(0, s - radius) for s in start]
+        high = [min(n, e + radius) for e, n in zip(end, (nx, ny), strict=True)]
+        at = tuple(table.column(c).to_numpy() - first for c, first in zip(("ix", "iy"), low, strict=True))
+        cells = np.zeros((2, high[0] - low[0], high[1] - low[1]))  # sums of values, and of weights
+        np.add.at(cells[0], at, table.column("z").to_numpy())
+        np.add.at(cells[1], at, 1.0)
+        # what lies beyond the grid repeats its edge
+        beyond = [(first - (s - radius), e + radius - last) for first, s, e, last in zip(low, start, end, high, strict=True)]
+        cells = np.pad(cells, [(0, 0), *beyond], mode="edge")
+        for axis in (1, 2):
+            n = cells.shape[axis] - 2 * radius
+            cells = sum(w * cells.take(np.arange(k, k + n), axis=axis) for k, w in enumerate(weights))
+        x, y = np.nonzero(cells[1] > 0)
+        return pa.table({"ix": pa.array((x + start[0]).astype(np.int32)), "iy": pa.array((y + start[1]).astype(np.int32)), "z": pa.array(cells[0, x, y] / cells[1, x, y])})
+
+    return one
+
+
+def smoothed(grid: DataFrame, nx: int, ny: int, sigma: float, truncate: float = 4.0, tile: int = TILE) -> DataFrame:
+    """Gaussian mean of present cells; cells beyond the edge repeat it.
+
+    Cells are dealt to square tiles, those near a border to its neighbours too; a tile is convolved along one axis after
+    the other. Cells that no present cell reaches have no row.
+    """
     radius = int(truncate * sigma + 0.5)
-    weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
-    total = sum(weights)
-
-    def along(rows: DataFrame, axis: str, n: int) -> DataFrame:
-        # a cell hands its value to the neighbours that see it; an edge cell also stands for those beyond it
-        parts = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(w / total).alias("w")) for k, w in zip(range(-radius, radius + 1), weights, strict=True)))
-        beyond = F.transform(F.filter(F.sequence(F.lit(-radius), F.lit(n - 1 + radius)), lambda p: F.least(F.greatest(p, F.lit(0)), F.lit(n - 1)) == F.col(axis)), lambda p: p)
-        spread = rows.withColumn("__p", F.explode(beyond)).withColumn("__s", F.explode(parts))
-        spread = spread.withColumn("__to", F.col("__p") + F.col("__s.k")).where(F.col("__to").between(0, n - 1))
-        other = "iy" if axis == "ix" else "ix"
-        return spread.groupBy(F.col("__to").alias(axis), other).agg(F.sum(F.col("__s.w") * F.col("v")).alias("v"), F.sum(F.col("__s.w") * F.col("m")).alias("m"))
-
-    one = grid.where("z IS NOT NULL").select("ix", "iy", F.col("z").alias("v"), F.lit(1.0).alias("m"))
-    both = along(along(one, "ix", nx), "iy", ny)
-    return both.where("m > 0").select("ix", "iy", (F.col("v") / F.col("m")).alias("z"))
+    weights = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+    tile = max(tile, 2 * radius)
+    near = lambda c, n: F.explode(F.sequence(F.floor(F.greatest(F.col(c) - radius, F.lit(0)) / tile).cast("int"), F.floor(F.least(F.col(c) + radius, F.lit(n - 1)) / tile).cast("int")))
+    inside = grid.where(F.col("z").isNotNull() & F.col("ix").between(0, nx - 1) & F.col("iy").between(0, ny - 1))
+    cells = inside.select(F.col("ix").cast("int").alias("ix"), F.col("iy").cast("int").alias("iy"), F.col("z").cast("double").alias("z"))
+    dealt = cells.withColumn("tx", near("ix", nx)).withColumn("ty", near("iy", ny))
+    return dealt.groupBy("tx", "ty").applyInArrow(_tile(nx, ny, tile, weights / weights.sum()), "ix int, iy int, z double")
 
 
 def sampled(points: DataFrame, grid: DataFrame, x0: float, y0: float, dx: float, dy: float) -> DataFrame:
@@ -100,14 +126,95 @@ def sampled(points: DataFrame, grid: DataFrame, x0: float, y0: float, dx: float,
     return out.withColumn("z", z).select(*points.columns, "z")
 
 
-def nearest(points: DataFrame, targets: DataFrame, key: str, label: str) -> DataFrame:
-    """(key, label, distance): the nearest of a few targets (label, x, y); smaller label on ties.
-
-    The targets are gathered into one array, so no row of points is multiplied; they must be a small dimension.
+class Packed:
+    """Places in boxes of boxes: along a space-filling curve, FAN neighbours share a box at each level."""
+
+    def __init__(self, xy: np.ndarray, rank: np.ndarray):
+        low, span = xy.min(axis=0), np.maximum(np.ptp(xy, axis=0), 1e-300)
+        code = np.zeros(len(xy), np.int64)
+        cell = ((xy - low) / span * 65535).astype(np.int64)
+        for bit in range(16):
+            for axis in (0, 1):
+                code |= ((cell[:, axis] >> bit) & 1) << (2 * bit + axis)
+        self.order = np.lexsort((rank, code))
+        self.xy, self.rank = xy[self.order], rank[self.order]
+        self.levels = [(self.xy, self.xy)]  # least and largest corners, from places up
+        while len(self.levels[-1][0]) > FAN:
+            a, b = self.levels[-1]
+            starts = np.arange(0, len(a), FAN)
+            self.levels.append((np.minimum.reduceat(a, starts), np.maximum.reduceat(b, starts)))
+
+    def nearest(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number and distance of each point's nearest place, the one of least rank where several are as near."""
+        number, distance = np.zeros(len(points), np.int64), np.zeros(len(points))
+        for start in range(0, len(points), 4096):
+            p = points[start : start + 4096]
+            top = len(self.levels[-1][0])
+            who, node = np.repeat(np.arange(len(p)), top), np.tile(np.arange(top), len(p))
+            for level in range(len(self.levels) - 1, 0, -1):
+                a, b = (corner[node] for corner in self.levels[level])
+                own = p[who]
+                least = (np.maximum(np.maximum(a - own, own - b), 0) ** 2).sum(axis=1)
+                # each side of a box is touched: the nearer side of one axis, the farther corner of the other
+                side, far = np.minimum(np.abs(own - a), np.abs(own - b)) ** 2, np.maximum(np.abs(own - a), np.abs(own - b)) ** 2
+                most = np.minimum(side[:, 0] + far[:, 1], far[:, 0] + side[:, 1])
+                bound = np.full(len(p), np.inf)
+                np.minimum.at(bound, who, most)
+                keep = least <= bound[who] * (1 + 1e-9)
+                who, node = np.repeat(who[keep], FAN), (node[keep][:, None] * FAN + np.arange(FAN)).ravel()
+                there = node < len(self.levels[level - 1][0])
+                who, node = who[there], node[there]
+            apart = np.sqrt(((p[who] - self.xy[node]) ** 2).sum(axis=1))
+            first = np.lexsort((self.rank[node], apart, who))
+            first = first[np.concatenate([[True], who[first][1:] != who[first][:-1]])]
+            number[start : start + len(p)], distance[start : start + len(p)] = self.order[node[first]], apart[first]
+        return number, distance
+
+
+class _Nearest:
+    """(key, x, y, distance, label), the last two from the index where it has something nearer."""
+
+    def __init__(self, index, names: list[str]):
+        self.index, self.names = index, names
+
+    def __call__(self, batches):
+        packed, labels = self.index.value
+        for batch in batches:
+            key, x, y, distance, label = batch.columns
+            xy = np.column_stack([c.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False) for c in (x, y)])
+            known = np.isfinite(xy).all(axis=1)
+            number, apart = np.zeros(len(xy), np.int64), np.full(len(xy), np.nan)
+            number[known], apart[known] = packed.nearest(xy[known])
+            theirs, mine = pa.array(apart, mask=~known), labels.take(pa.array(number, mask=~known))
+            # a tie with an earlier chunk goes to the smaller label
+            tie = pc.and_(pc.equal(theirs, distance), pc.less(mine, label))
+            better = pc.or_kleene(pc.is_null(distance), pc.or_kleene(pc.less(theirs, distance), tie)).fill_null(False)
+            yield pa.RecordBatch.from_arrays([key, x, y, pc.if_else(better, theirs, distance), pc.if_else(better, mine, label)], names=self.names)
+
+
+def nearest(points: DataFrame, targets: DataFrame, key: str, label: str, chunk: int = TARGETS) -> DataFrame:
+    """(key, label, distance): the nearest target (label, x, y) of each point; the smaller label on ties.
+
+    Targets are packed into an index, at most `chunk` of them at once, which goes to all tasks; points never move, and
+    further chunks only improve on the ones before. Targets without coordinates don't count; points without, or without
+    targets, get nulls.
     """
-    few = targets.agg(F.collect_list(F.struct(F.col("x").alias("tx"), F.col("y").alias("ty"), F.col(label).alias("l"))).alias("__t"))
-    best = F.array_min(F.transform("__t", lambda t: F.struct(F.sqrt(F.pow(F.col("x") - t["tx"], F.lit(2)) + F.pow(F.col("y") - t["ty"], F.lit(2))).alias("distance"), t["l"].alias(label))))
-    return points.crossJoin(F.broadcast(few)).withColumn("__b", best).select(key, f"__b.{label}", "__b.distance")
+    spark = points.sparkSession
+    kind = {f.name: f.dataType.simpleString() for f in [points.schema[key], targets.schema[label]]}
+    known = targets.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan(F.col("x").cast("double")) & ~F.isnan(F.col("y").cast("double")) & F.col(label).isNotNull())
+    known = known.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col(label).alias("label"))
+    names = ["key", "x", "y", "distance", "label"]
+    out = points.select(F.col(key).alias("key"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit(None).cast("double").alias("distance"), F.lit(None).cast(kind[label]).alias("label"))
+    chunks = max(1, -(-known.count() * 5 // (4 * chunk)))  # of hashes: none is much larger than `chunk`
+    for i in range(chunks):
+        own = known.where(F.pmod(F.xxhash64("x", "y", "label"), F.lit(chunks)) == i).toArrow()
+        if own.num_rows:
+            labels = pa.concat_arrays(own.column("label").chunks)
+            rank = np.empty(len(labels), np.int64)
+            rank[pc.sort_indices(labels).to_numpy()] = np.arange(len(labels))
+            packed = Packed(np.column_stack([own.column(c).to_numpy() for c in "xy"]), rank)
+            out = out.mapInArrow(_Nearest(spark.sparkContext.broadcast((packed, labels)), names), f"key {kind[key]}, x double, y double, distance double, label {kind[label]}")
+    return out.select(F.col("key").alias(key), F.col("label").alias(label), "distance")
 
 
 def transects(lines: DataFrame, n: int) -> DataFrame:
