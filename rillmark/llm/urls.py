@@ -47,12 +47,15 @@ def _pick(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tupl
 def _grams(urls: DataFrame) -> DataFrame:
     """A row for each character: gram (ORDER characters of context and the character); a URL begins after ORDER spaces."""
     padded = F.concat(F.lit(" " * ORDER), F.coalesce(F.col("url"), F.lit("")), F.lit("\n"))
-    return urls.withColumn("__p", padded).withColumn("gram", F.explode(F.expr(f"transform(sequence(1, length(__p) - {ORDER}), i -> substring(__p, i, {ORDER + 1}))"))).drop("__p")
+    # split once, then read by number: the cost follows the URL's length
+    each = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - ORDER - 1), lambda i: F.concat(*(F.get(c, i + d) for d in range(ORDER + 1))))
+    return urls.withColumn("gram", F.explode(F.element_at(F.transform(F.array(F.split(padded, "")), each), 1)))
 
 
 def fit(sample: DataFrame) -> list[DataFrame]:
-    """By order k, the model table of the sample (url, verdict): ctx, chr, and for each class the share s of shorter
-    contexts and what the order itself adds, q = n(ctx, chr) / (n + t); a row without chr is for other characters."""
+    """By order k, two tables of the sample (url, verdict): for each gram, and each class, what the order itself adds,
+    q = n(ctx, chr) / (n + t), and for each context the share s of shorter ones. Both are keyed by 64-bit hashes, so that
+    they are small where they are broadcast; among these few entries no two hashes meet but by a chance in millions."""
     grams = _grams(sample).groupBy("gram", "verdict").agg(F.count(F.lit(1)).alias("n"))
     full = written(grams.groupBy("gram").agg(*(F.sum(F.when(F.col("verdict") == c, F.col("n"))).alias(c) for c in CLASSES)), "grams")
     tables = []
@@ -63,12 +66,13 @@ def fit(sample: DataFrame) -> list[DataFrame]:
         seen = short.join(sums, "ctx")
         cells = [F.coalesce(F.col(c) / (F.col(f"n_{c}") + F.col(f"t_{c}")), F.lit(0.0)).alias(f"q_{c}") for c in CLASSES]
         shares = [F.coalesce(F.col(f"t_{c}") / (F.col(f"n_{c}") + F.col(f"t_{c}")), F.lit(1.0)).alias(f"s_{c}") for c in CLASSES]
-        tables.append((written(seen.select("gram", *cells), f"order{k}"), written(sums.select("ctx", *shares), f"contexts{k}")))
+        tables.append((written(seen.select(F.xxhash64("gram").alias("gram"), *cells), f"order{k}"), written(sums.select(F.xxhash64("ctx").alias("ctx"), *shares), f"contexts{k}")))
     return tables
 
 
 def score(urls: DataFrame, tables: list) -> DataFrame:
-    """(key, score): log-likelihood of accepted less that of rejected for each character, of urls (key, url).
+    """(key, score): log-likelihood of accepted less that of rejected for each character, of urls (key, url). Keys should be
+    short: a row for each character carries one.
 
     The tables are bounded by the sample (see CHARS), so they are broadcast and no character of a URL moves. URLs are dealt
     to a stated number of tasks: adaptive execution would see their few bytes, not the rows that they become."""
@@ -76,7 +80,8 @@ def score(urls: DataFrame, tables: list) -> DataFrame:
     rows = _grams(urls.select("key", "url").repartition(tasks))
     odds = {c: F.lit(1 / 1_114_112) for c in CLASSES}  # every code point alike, below all orders
     for k, (cells, contexts) in enumerate(tables):
-        rows = rows.withColumn("__g", F.right("gram", F.lit(k + 1))).withColumn("__c", F.left(F.col("__g"), F.lit(k)))
+        gram = F.right("gram", F.lit(k + 1))
+        rows = rows.withColumn("__g", F.xxhash64(gram)).withColumn("__c", F.xxhash64(F.left(gram, F.lit(k))))
         named = lambda df, kind: df.select(F.col(df.columns[0]).alias(f"__{kind}"), *(F.col(c).alias(f"{c}_{k}") for c in df.columns[1:]))  # noqa: B023, E731
         rows = rows.join(F.broadcast(named(cells, "g")), "__g", "left").join(F.broadcast(named(contexts, "c")), "__c", "left").drop("__g", "__c")
         odds = {c: F.coalesce(F.col(f"q_{c}_{k}"), F.lit(0.0)) + F.coalesce(F.col(f"s_{c}_{k}"), F.lit(1.0)) * odds[c] for c in CLASSES}
@@ -112,6 +117,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], sample: int
     rule, verdict = _pick(F.col("__host"), F.col("__path"), rules)
     judged = judged.withColumn("__rule", rule).withColumn("__rv", verdict)
     url = F.coalesce("__url", F.lit(""))
+    digest = lambda c: F.unhex(F.sha2(c.cast("binary"), 256))
     known = judged.where(F.col("__rv").isNotNull()).select(url.alias("url"), F.col("__rv").alias("verdict")).distinct()
     known = written(known, "url-known")
     order, may = F.xxhash64("url", F.lit(3)), F.pmod(F.xxhash64("url", F.lit(4)), F.lit(2)) == 0
@@ -128,14 +134,19 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], sample: int
     picked = written(picked, "url-sample")
     tables = fit(picked)
     held = known.join(F.broadcast(picked.select("url")), "url", "left_anti")
-    held = written(score(held.select(F.struct("url", "verdict").alias("key"), "url"), tables), "url-held")
+    held = written(score(held.select(F.struct(digest(F.col("url")).alias("url"), "verdict").alias("key"), "url"), tables), "url-held")
     threshold = calibrate(held.select("score", F.col("key.verdict").alias("verdict")))
-    # each different URL is scored once; the rows with it take its score
-    open_ = judged.where(F.col("__rv").isNull()).select(url.alias("key")).distinct().withColumn("url", F.col("key"))
-    scores = written(score(open_, tables), "url-scores")
+    # each different URL is scored once; the rows with it take its score. URLs with over a thousandth of the rows, which are
+    # a thousand at most, are looked up in a broadcast table, so that their rows never meet in one task
+    open_ = judged.where(F.col("__rv").isNull()).withColumn("__key", digest(url))
+    counted = written(open_.groupBy("__key", url.alias("url")).agg(F.count(F.lit(1)).alias("n")), "url-open")
+    scores = written(score(counted.select(F.col("__key").alias("key"), "url"), tables), "url-scores")
     scores = scores.select(F.col("key").alias("__key"), F.col("score").alias("__score"))
+    whole = counted.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(scores.join(F.broadcast(counted.where(F.col("n") > max(1, whole / 1000)).select("__key")), "__key", "left_semi"))
     ruled = judged.where(F.col("__rv").isNotNull()).withColumn("__score", F.lit(None).cast("double"))
-    judged = judged.where(F.col("__rv").isNull()).withColumn("__key", url).join(scores, "__key", "left").drop("__key").unionByName(ruled)
+    rest = open_.join(hot.select("__key"), "__key", "left_anti").join(scores, "__key")
+    judged = open_.join(hot, "__key").unionByName(rest).drop("__key").unionByName(ruled)
     verdict = F.coalesce("__rv", F.when(F.col("__score") < threshold, "block").otherwise("allow"))
     return judged.withColumn("__verdict", verdict).select("__row.*", "__host", "__path", "__rule", "__verdict", "__score")
 

@@ -358,6 +358,17 @@ def test_url_scores_equal_the_definition(spark):
         assert math.isclose(got[u], plain_url_score(sample, u), rel_tol=1e-9, abs_tol=1e-12)
 
 
+def test_url_cost_follows_the_length_and_repeats_are_split(spark):
+    long = "http://a.org/" + "path-é/" * 150_000  # a megabyte
+    rows = [(0, long), (1, None)] + [(10 + i, "http://hot.org/x") for i in range(3000)] + [(5000 + i, f"http://{i}.com/") for i in range(40)] + [(6000 + i, f"http://{i}.net/es/") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string").repartition(4)
+    began = time.time()
+    got = urls.filter_urls(df, urls.RULES)
+    assert Counter(r["page_id"] for r in got.collect()) == Counter(i for i, _ in rows)
+    assert time.time() - began < 60
+    assert got.where("url = 'http://hot.org/x'").select("__score").distinct().count() == 1 and got.where("__score IS NULL AND __rule IS NULL").count() == 0
+
+
 # ---- mixing
 
 
