@@ -10,6 +10,7 @@ Documents are rejected by the Mahalanobis distance of their transformed statisti
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,8 @@ P = len(FEATURES)
 #: Share of a group's rows that an estimate rests on; rows that its language's estimate counts as; steps at most, and the
 #: change of the logarithm of a determinant under which it stands; classes of distance in a factor of two.
 H_SHARE, PRIOR, STEPS, STANDS, RINGS = 0.75, 50, 20, 1e-3, 64
+#: Most groups whose moments a step brings to the driver, 5 MB of numbers.
+GROUPS = 20_000
 #: Documents beyond this quantile of the chi-squared distribution are rejected.
 QUANTILE = 0.9999
 _MIX, _MULT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -145,13 +148,27 @@ def _whitening(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mean, numbers), pa.array(white, numbers), pa.array(det, pa.float64()), pa.array(before, pa.float64())], names=["grp", "mean", "white", "det", "before"])
 
 
-def _params(moments: DataFrame) -> DataFrame:
-    """(grp, mean, white, det, before) from moments (grp, lang, before, n, sums); before: the determinant of the step before."""
+def _params(moments: DataFrame, few: bool) -> DataFrame:
+    """(grp, mean, white, det, before) from moments (grp, lang, before, n, sums); before: the determinant of the step before.
+
+    Where groups are few, one job brings their moments (27 numbers each) to the driver; else they stay distributed.
+    """
+    kind = "grp string, mean array<double>, white array<double>, det double, before double"
+    if few:
+        got = moments.toArrow()
+        sums = np.column_stack([got.column(c).to_numpy() for c in ("n", *MOMENTS)]).astype(float)
+        langs = pd.factorize(got.column("lang").to_pandas())[0]
+        of_lang = np.zeros((langs.max(initial=-1) + 1, sums.shape[1]))
+        np.add.at(of_lang, langs, sums)
+        listed = lambda x: pa.array(x.tolist(), pa.list_(pa.float64()))
+        levels = [c for x in (sums, of_lang[langs], np.tile(sums.sum(axis=0), (len(sums), 1))) for c in (pa.array(x[:, 0]), listed(x[:, 1:]))]
+        batch = pa.RecordBatch.from_arrays([got.column("grp").combine_chunks(), got.column("before").combine_chunks(), *levels], names=["grp", "before", *map(str, range(6))])
+        return F.broadcast(moments.sparkSession.createDataFrame(pa.Table.from_batches(_whitening([batch])), kind))
     moments = written(moments, "mcd-moments")
     level = lambda key, name: moments.groupBy(*key).agg(F.sum("n").alias(f"n_{name}"), *(F.sum(c).alias(c) for c in MOMENTS)).select(*key, f"n_{name}", F.array(*MOMENTS).alias(name))
     joined = moments.withColumn("own", F.array(*MOMENTS)).join(small(level(["lang"], "of_lang")), "lang").crossJoin(F.broadcast(level([], "of_all")))  # one row
     joined = joined.select("grp", "before", "n", "own", "n_of_lang", "of_lang", "n_of_all", "of_all")
-    return written(map_arrow(joined, _whitening, "grp string, mean array<double>, white array<double>, det double, before double"), "mcd-params")
+    return written(map_arrow(joined, _whitening, kind), "mcd-params")
 
 
 def _distance() -> Column:
@@ -166,21 +183,22 @@ def _sums(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"f{j}").alias(f"s{j}") for j in range(P)), *products)
 
 
-def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
+def _step(rows: DataFrame, params: DataFrame, few: bool) -> DataFrame:
     """A concentration step: estimates from the H_SHARE of each group's rows that are nearest by the estimates so far.
 
     Rows are summed by class of distance; of the few classes of a group the nearest are then added up.
     """
-    near = rows.join(small(params.select("grp", "mean", "white", F.col("det").alias("before"))), "grp")
+    theirs = params.select("grp", "mean", "white", F.col("det").alias("before"))
+    near = rows.join(theirs if few else small(theirs), "grp")
     near = near.withColumn("ring", F.floor(F.log2(_distance() + 1) * RINGS).cast("int"))
     rings = _sums(near, ["grp", "lang", "before", "ring"])
     of_grp = W.partitionBy("grp")
     nearer = F.sum("n").over(of_grp.orderBy("ring")) - F.col("n")
     inner = rings.withColumns({"nearer": nearer, "whole": F.sum("n").over(of_grp)}).where(F.col("nearer") < H_SHARE * F.col("whole"))
-    return _params(inner.groupBy("grp", "lang", "before").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in MOMENTS)))
+    return _params(inner.groupBy("grp", "lang", "before").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in MOMENTS)), few)
 
 
-def _start(rows: DataFrame) -> DataFrame:
+def _start(rows: DataFrame, few: bool) -> DataFrame:
     """Estimates from the median and quartile range of each statistic and group, by counts on a grid of a quarter of the least deviation."""
     floors = list(FEATURES.values())
     each = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.floor(F.col(f"f{j}") * (4 / floors[j])).cast("long").alias("at")) for j in range(P))))
@@ -193,17 +211,21 @@ def _start(rows: DataFrame) -> DataFrame:
     wide = spots.groupBy("grp", "lang", F.col("rows").alias("n")).agg(*(F.max(F.when(F.col("j") == j, F.col(c))).alias(f"{c}{j}") for j in range(P) for c in ("mid", "scale")))
     own = lambda i, j: F.col(f"mid{i}") * F.col(f"mid{j}") + (F.pow(f"scale{i}", F.lit(2)) / CONSISTENCY if i == j else F.lit(0.0))
     products = [(F.col("n") * own(i, j)).alias(f"q{i}{j}") for i in range(P) for j in range(i, P)]
-    return _params(wide.select("grp", "lang", F.lit(None).cast("double").alias("before"), "n", *((F.col("n") * F.col(f"mid{j}")).alias(f"s{j}") for j in range(P)), *products))
+    return _params(wide.select("grp", "lang", F.lit(None).cast("double").alias("before"), "n", *((F.col("n") * F.col(f"mid{j}")).alias(f"s{j}") for j in range(P)), *products), few)
 
 
-def mcd(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """(grp, mean, white, det, before) of rows (grp, lang, f0, f1, ...): concentration steps until no determinant changes, or `steps` of them."""
-    params = _start(rows)
+def mcd(rows: DataFrame, steps: int = STEPS, most: int = GROUPS) -> DataFrame:
+    """(grp, mean, white, det, before) of rows (grp, lang, f0, f1, ...): concentration steps until no determinant changes, or
+    `steps` of them. In that case a warning says how many groups still moved; their estimates are those of the last step.
+    """
+    few = rows.select("grp").distinct().limit(most + 1).count() <= most
+    params = _start(rows, few)
     for _ in range(steps):
-        params = _step(rows, params)
-        moved = params.agg(F.max(F.abs(F.col("det") - F.col("before")))).first()[0]
-        if moved is None or moved <= STANDS:
-            break
+        params = _step(rows, params, few)
+        moving = params.where(F.abs(F.col("det") - F.col("before")) > STANDS).count()
+        if not moving:
+            return params
+    warnings.warn(f"{moving} estimates still moved after {steps} concentration steps", stacklevel=2)
     return params
 
 

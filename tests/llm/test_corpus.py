@@ -273,6 +273,19 @@ def test_mcd_equals_a_plain_version_and_resists_contamination(spark):
     assert (far.sum(axis=1) > quality.chi2_quantile(quality.QUANTILE, quality.P)).tolist()[:75] == [True] * 75
 
 
+def test_mcd_is_the_same_with_many_groups_and_says_when_it_does_not_stand(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"g{g}", f"l{g % 2}", *map(float, rng.normal(size=quality.P) * 0.1 + g)) for g in range(6) for _ in range(40 if g else 3)]
+    df = spark.createDataFrame(rows, "grp string, lang string, " + ", ".join(f"f{j} double" for j in range(quality.P)))
+    with pytest.warns(UserWarning, match="estimates still moved after 1 "):
+        quality.mcd(df, steps=1)
+    few, many = ({r["grp"]: (r["mean"], r["white"], r["det"]) for r in quality.mcd(df, most=most).collect()} for most in (100, 0))
+    assert few.keys() == many.keys()
+    for g in few:
+        for a, b in zip(few[g], many[g], strict=True):
+            assert np.allclose(a, b, rtol=1e-6, atol=1e-9)
+
+
 def test_quality_has_no_size_at_which_the_rule_changes(spark):
     """A junk document is rejected and plain ones stay, whatever the number of documents of its source."""
     r = random.Random(6)
