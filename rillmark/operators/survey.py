@@ -163,11 +163,11 @@ def unpaired(sequence: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def error_heat(r: DataFrame, most: float = 30.0) -> DataFrame:
-    """(rank, quad, day, error): quads ranked by median signal, errors clipped, the last of a day counts."""
-    ranks = r.groupBy("quad").agg(F.median(F.abs("vmn")).alias("signal"))
+    """(rank, quad, day, error): quads ranked by median signal to six digits, errors clipped, the last of a day counts."""
+    ranks = r.groupBy("quad").agg(F.round(F.median(F.abs("vmn")), 6).alias("signal"))
     ranks = ranks.withColumn("rank", F.row_number().over(W.orderBy(F.desc("signal"), "quad")))  # a row per quad
     cells = r.where("recip_err_pct IS NOT NULL").groupBy("quad", F.to_date("timestamp").alias("day")).agg(F.max_by(F.least("recip_err_pct", F.lit(most)), "timestamp").alias("error"))
-    return cells.join(F.broadcast(ranks), "quad").select("rank", "quad", "day", "error")
+    return cells.join(ranks, "quad").select("rank", "quad", "day", "error")
 
 
 def pseudo_position(at: dict[str, Column], ux: Column, uy: Column) -> tuple[Column, Column]:

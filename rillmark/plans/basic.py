@@ -50,14 +50,14 @@ def cut_window(spark, d):
     return clean.within(rows, "ts", "2024-01-10", "2024-01-12").select("sensor_id", "ts", "value")
 
 
-@query(f"WITH {OBS} SELECT sensor_id, count(*) AS n, count(CASE WHEN error_code = 0 THEN value END) AS n_good FROM obs GROUP BY 1")
+@query(f"WITH {OBS} SELECT sensor_id, ts, CASE WHEN error_code = 0 THEN value END AS value, error_code FROM obs")
 def null_flagged(spark, d):
-    return clean.null_flagged(obs(spark, d)).groupBy("sensor_id").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_good"))
+    return clean.null_flagged(obs(spark, d)).select("sensor_id", "ts", "value", "error_code")
 
 
-@query(f"WITH {OBS} SELECT sensor_id, count(*) AS n FROM obs WHERE NOT coalesce(value < CASE sensor_id WHEN 'view' THEN 50.0 WHEN 'click' THEN 5.0 END, false) GROUP BY 1")
+@query(f"WITH {OBS} SELECT sensor_id, ts, value, error_code FROM obs WHERE NOT coalesce(value < CASE sensor_id WHEN 'view' THEN 50.0 WHEN 'click' THEN 5.0 END, false)")
 def startup_junk(spark, d):
-    return clean.without_startup_junk(obs(spark, d), {"view": 50, "click": 5}, "sensor_id").groupBy("sensor_id").agg(F.count(F.lit(1)).alias("n"))
+    return clean.without_startup_junk(obs(spark, d), {"view": 50, "click": 5}, "sensor_id").select("sensor_id", "ts", "value", "error_code")
 
 
 @query("SELECT user_id, min(CASE WHEN value > 20 THEN ts END) AS first_valid FROM events GROUP BY 1")

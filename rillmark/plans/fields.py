@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.functions import climate as C
@@ -145,9 +147,14 @@ def per_pulse(spark, d):
     return survey.waveform_resistances(rows, ["quad"], 0.5, digits=6)
 
 
-@query(f"WITH {PS} SELECT quad, count(*) AS n, count(mean_resistance) AS n_r, round(sum(mean_voltage) / 7, 6) AS v, round(sum(mean_resistance) / 7, 6) AS r FROM ps GROUP BY 1")
+#: Rounded values of six digits, times a factor that leaves none on the edge between five digits.
+FACTOR = 0.7182818
+PULSE = [f"{n}_{c}" for c in ("voltage", "current", "resistance") for n in ("mean", "median", "std")]
+
+
+@query(f"WITH {PS} SELECT quad, pulse, polarity, {', '.join(f'round({c} * {FACTOR}, 5) AS {c}' for c in PULSE)} FROM ps")
 def pulse_stats(spark, d):
-    return per_pulse(spark, d).groupBy("quad").agg(F.count(F.lit(1)).alias("n"), F.count("mean_resistance").alias("n_r"), F.round(F.sum("mean_voltage") / 7, 6).alias("v"), F.round(F.sum("mean_resistance") / 7, 6).alias("r"))
+    return per_pulse(spark, d).select("quad", "pulse", "polarity", *(F.round(F.col(c) * FACTOR, 5).alias(c) for c in PULSE))
 
 
 @query(f"""WITH {PS}, ds AS (SELECT DISTINCT * EXCLUDE (pulse, polarity) FROM ps)
@@ -253,14 +260,9 @@ def electrode_noise(spark, d):
 @query(f"""WITH {SURVEY}, sg AS (SELECT quad, median(abs(vmn)) AS s FROM re GROUP BY 1), rk AS (SELECT quad, row_number() OVER (ORDER BY round(s, 6) DESC, quad) AS rank FROM sg),
 ce AS (SELECT quad, CAST(ts AS DATE) AS day, round(arg_max(least(recip_err_pct, 30), (ts, line)), 4) AS error FROM re WHERE recip_err_pct IS NOT NULL GROUP BY 1, 2) SELECT CAST(rank AS INTEGER) AS rank, quad, day, error FROM ce JOIN rk USING (quad)""")
 def error_heat(spark, d):
-    rows = paired(spark, d).withColumnRenamed("ts", "timestamp").withColumn("vmn", F.col("vmn"))
-    ranks = rows.groupBy("quad").agg(F.round(F.median(F.abs("vmn")), 6).alias("s"))
     # several lines have readings of one time: a second apart, in order, the last one is defined
-    cells = survey.error_heat(rows.withColumn("timestamp", F.timestamp_add("SECOND", F.ascii("line"), F.col("timestamp"))))
-    from pyspark.sql import Window as W
-
-    ranks = ranks.withColumn("rank", F.row_number().over(W.orderBy(F.desc("s"), "quad"))).select("quad", "rank")
-    return cells.drop("rank").join(F.broadcast(ranks), "quad").select("rank", "quad", "day", F.round("error", 4).alias("error"))
+    rows = paired(spark, d).withColumn("timestamp", F.timestamp_add("SECOND", F.ascii("line"), F.col("ts")))
+    return survey.error_heat(rows).withColumn("error", F.round("error", 4))
 
 
 SEQ = "sq AS (SELECT DISTINCT CAST(l_partkey % 127 AS INTEGER) AS a, CAST(l_suppkey % 7 AS INTEGER) AS b, CAST(l_orderkey % 127 AS INTEGER) AS m, CAST(l_linenumber % 7 AS INTEGER) AS n FROM lineitem)"
@@ -293,16 +295,23 @@ def channel_remap(spark, d):
     return arrays.remapped(sequence(spark, d).distinct(), mapping, spark.range(1).select(*(F.lit(i).alias(c) for i, c in enumerate("abmn", 1))))
 
 
-FOURS = """g AS (SELECT CAST(r AS INTEGER) + 1 AS e, (r % 10) * 2.0 AS x, (r // 10) * 2.0 AS y FROM range(0, 60) t(r)),
+#: Electrodes that suppliers stand for, on six lines of ten places 2 m apart.
+LAYOUT = "g AS (SELECT DISTINCT CAST(s_suppkey % 60 AS INTEGER) + 1 AS e, (s_suppkey % 60 % 10) * 2.0 AS x, (s_suppkey % 60 // 10) * 2.0 AS y, s_suppkey % 60 // 10 AS line FROM supplier)"
+FOURS = f"""{LAYOUT},
 f AS (SELECT p.e AS e1, q.e AS e2, r.e AS e3, s.e AS e4 FROM g p JOIN g q ON q.e > p.e JOIN g r ON r.e > q.e JOIN g s ON s.e > r.e)"""
 
 
+def layout(spark, d):
+    r = F.col("s_suppkey") % 60
+    return table(spark, d, "supplier").select((r + 1).cast("int").alias("electrode"), (r % 10 * 2.0).alias("x"), (F.floor(r / 10) * 2.0).alias("y"), (F.floor(r / 10) + 1).cast("int").alias("line")).distinct()
+
+
 @query(f"WITH {FOURS} SELECT e1 AS a, e2 AS b, e3 AS m, e4 AS n FROM f UNION ALL SELECT e1, e3, e2, e4 FROM f UNION ALL SELECT e1, e4, e2, e3 FROM f")
 def abmn_enumerate(spark, d):
-    return arrays.configurations(arrays.ideal_grid(spark, 10, 6, 2.0))
+    return arrays.configurations(layout(spark, d))
 
 
-@query("""WITH g AS (SELECT CAST(r AS INTEGER) + 1 AS e, (r % 10) * 2.0 AS x, (r // 10) * 2.0 AS y, r // 10 AS line FROM range(0, 60) t(r)),
+@query(f"""WITH {LAYOUT},
 f AS (SELECT p.e AS e1, q.e AS e2, r.e AS e3, s.e AS e4, p.x AS x1, p.y AS y1, q.x AS x2, q.y AS y2, r.x AS x3, r.y AS y3, s.x AS x4, s.y AS y4, len(list_distinct([p.line, q.line, r.line, s.line])) AS lines FROM g p JOIN g q ON q.e > p.e AND (q.x - p.x) ** 2 + (q.y - p.y) ** 2 >= 6.25 JOIN g r ON r.e > q.e AND least((r.x - p.x) ** 2 + (r.y - p.y) ** 2, (r.x - q.x) ** 2 + (r.y - q.y) ** 2) >= 6.25 JOIN g s ON s.e > r.e AND least((s.x - p.x) ** 2 + (s.y - p.y) ** 2, (s.x - q.x) ** 2 + (s.y - q.y) ** 2, (s.x - r.x) ** 2 + (s.y - r.y) ** 2) >= 6.25),
 m AS (SELECT *, (x1 + x2 + x3 + x4) / 4 AS mx, (y1 + y2 + y3 + y4) / 4 AS my FROM f WHERE lines IN (1, 4)), c AS (SELECT *, (x1 - mx) ** 2 + (x2 - mx) ** 2 + (x3 - mx) ** 2 + (x4 - mx) ** 2 AS sxx, (x1 - mx) * (y1 - my) + (x2 - mx) * (y2 - my) + (x3 - mx) * (y3 - my) + (x4 - mx) * (y4 - my) AS sxy FROM m),
 o AS (SELECT * FROM c WHERE CASE WHEN sxx = 0 THEN true ELSE greatest(abs(y1 - my - sxy / sxx * (x1 - mx)), abs(y2 - my - sxy / sxx * (x2 - mx)), abs(y3 - my - sxy / sxx * (x3 - mx)), abs(y4 - my - sxy / sxx * (x4 - mx))) <= 0.9001 END),
@@ -310,7 +319,7 @@ i AS (SELECT unnest([1, 2, 3, 4]) AS i), u AS (SELECT [i1.i, i2.i, i3.i, i4.i] A
 SELECT e[ord[1]] AS a, e[ord[2]] AS b, e[ord[3]] AS m, e[ord[4]] AS n FROM u WHERE greatest((x[ord[2]] - x[ord[1]]) ** 2 + (y[ord[2]] - y[ord[1]]) ** 2, (x[ord[3]] - x[ord[2]]) ** 2 + (y[ord[3]] - y[ord[2]]) ** 2, (x[ord[4]] - x[ord[3]]) ** 2 + (y[ord[4]] - y[ord[3]]) ** 2) <= 81""")
 def abmn_constrained(spark, d):
     # both line rules: fours of one line, and of four different lines
-    one, four = (arrays.configurations(arrays.ideal_grid(spark, 10, 6, 2.0), least_apart=2.5, line_tolerance=0.9001, most_adjacent=9.0, all_orders=True, same_line=same) for same in (True, False))
+    one, four = (arrays.configurations(layout(spark, d), least_apart=2.5, line_tolerance=0.9001, most_adjacent=9.0, all_orders=True, same_line=same) for same in (True, False))
     return one.unionByName(four)
 
 
@@ -364,14 +373,14 @@ def bin_std(spark, d):
     return spatial.scan_deviation(scans(spark, d), 3).withColumns(r6("std"))
 
 
-@query(f"WITH {CELLS} SELECT name, CASE WHEN sw THEN iy ELSE ix END AS a, ix, iy, round(z, 6) AS z FROM (SELECT 'swap' AS name, true AS sw, iy AS ix, ix AS iy, z FROM grid UNION ALL SELECT 'rot180', false, 11 - ix, 9 - iy, z FROM grid UNION ALL SELECT 'rot90', true, 10 - 1 - iy, ix, z FROM grid)")
+#: Where each symmetry takes a cell of the grid of 12 by 10, written out.
+MOVED = {"identity": ("ix", "iy"), "flip_x": ("11 - ix", "iy"), "flip_y": ("ix", "9 - iy"), "rot180": ("11 - ix", "9 - iy"), "swap": ("iy", "ix"), "rot90": ("9 - iy", "ix"), "rot270": ("iy", "11 - ix"), "anti": ("9 - iy", "11 - ix")}
+
+
+@query(f"WITH {CELLS} " + " UNION ALL ".join(f"SELECT '{name}' AS name, CAST({x} AS INTEGER) AS ix, CAST({y} AS INTEGER) AS iy, round(z, 6) AS z FROM grid" for name, (x, y) in MOVED.items()))
 def d4_transform(spark, d):
-    out = None
-    for name, swap, sx, sy in S.SYMMETRIES:
-        if name in ("swap", "rot180", "rot90"):
-            one = spatial.transformed(cells(spark, d), 12, 10, swap, sx, sy).select(F.lit(name).alias("name"), F.when(F.lit(swap), F.col("iy")).otherwise(F.col("ix")).alias("a"), "ix", "iy", F.round("z", 6).alias("z"))
-            out = one if out is None else out.unionByName(one)
-    return out
+    one = lambda name, swap, sx, sy: spatial.transformed(cells(spark, d), 12, 10, swap, sx, sy).select(F.lit(name).alias("name"), "ix", "iy", F.round("z", 6).alias("z"))
+    return functools.reduce(DataFrame.unionByName, (one(*s) for s in S.SYMMETRIES))
 
 
 @query(f"WITH {CELLS} SELECT ix - 3 AS ix, iy - 2 AS iy, round(z, 6) AS z FROM grid WHERE ix >= 3 AND ix < 9 AND iy >= 2 AND iy < 6")
