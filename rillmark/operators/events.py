@@ -51,15 +51,15 @@ def detect(df: DataFrame, key: str, ts: str, value: str, config: Detector | None
     config = config or Detector()
     high = settled(above(grid.aligned(df, key, ts, value, config.step, config.max_gap), key, config))
     agreed = high.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= config.sensors)
-    spans = coalesced(agreed, config.gap_minutes * 60 // config.step, config.min_minutes * 60 // config.step)
+    spans = coalesced(agreed, config.gap_minutes * 60 // config.step, config.min_minutes * 60 // config.step).withColumnsRenamed({"s": "__s", "e": "__e"})
     whole = df.agg(F.min(ts).cast("timestamp_ntz").alias("origin"), F.max(ts).cast("timestamp_ntz").alias("__end"), F.count_distinct(key).alias("n_sensors_total"))
     ends = whole.select("origin", S.slot(F.col("__end"), F.col("origin"), config.step).alias("last"), "n_sensors_total")
     # spans as their slots: an equi-join, where a range condition would compare all rising slots with all events
-    inside = high.join(spans.withColumn("slot", F.explode(F.sequence("s", F.col("e") - 1))), "slot")
-    facts = inside.groupBy("event", "s", "e").agg(F.max("dvdt").alias("peak_dvwc"), F.min_by("ts", F.struct(-F.col("dvdt"), F.col("slot"))).alias("peak_time"), F.count_distinct(key).alias("n_responding"), F.concat_ws(";", F.array_sort(F.collect_set(key))).alias("sensors_responding"))
+    inside = high.join(spans.withColumn("slot", F.explode(F.sequence("__s", F.col("__e") - 1))), "slot")
+    facts = inside.groupBy("event", "__s", "__e").agg(F.max("dvdt").alias("peak_dvwc"), F.min_by("ts", F.struct(-F.col("dvdt"), F.col("slot"))).alias("peak_time"), F.count_distinct(key).alias("n_responding"), F.concat_ws(";", F.array_sort(F.collect_set(key))).alias("sensors_responding"))
     out = facts.crossJoin(F.broadcast(ends))  # ends is one row
     at = lambda c: F.timestamp_add("SECOND", c * config.step, F.col("origin"))
-    out = out.withColumns({"start": at(F.col("s")), "end": at(F.least("e", "last"))})
+    out = out.withColumns({"start": at(F.col("__s")), "end": at(F.least("__e", "last"))})
     return settled(out.select("event", "start", "end", (S.seconds_between(F.col("start"), F.col("end")) / 60).cast("bigint").alias("dur_min"), "peak_dvwc", "n_responding", "n_sensors_total", "peak_time", "sensors_responding"))
 
 

@@ -334,6 +334,51 @@ def test_online_sessions(spark, tmp_path):
     assert sorted(r.n for r in spark.table("sessions").collect()) == [1, 2]
 
 
+def test_online_consensus_replays_the_batch_events(spark, tmp_path):
+    import random
+
+    r = random.Random(12)
+    rows = []
+    for site, jumps in (("p", [40, 55, 120, 200]), ("q", [90, 93, 240])):
+        for k in range(4):
+            at = [j + r.randint(0, 1) for j in jumps if r.random() < 0.85]
+            value = 0.2
+            for i in range(300):
+                value += 0.02 * any(j <= i < j + 4 for j in at)
+                if not (r.random() < 0.05 or 150 < i < 150 + 3 * k):
+                    rows.append((site, f"{site}{k}", T0 + timedelta(minutes=15 * i - r.randint(0, 14) * (i > 0)), value + r.uniform(0, 1e-4)))
+    config = events.Detector(gap_minutes=120)
+    columns = ["start", "end", "peak_dvwc", "n_responding", "peak_time", "sensors_responding"]
+    expected = set()
+    for site in "pq":
+        own = spark.createDataFrame([(s, t, v) for x, s, t, v in rows if x == site], "s string, ts timestamp_ntz, value double")
+        expected |= {(site, *(round(x, 9) if isinstance(x, float) else x for x in e)) for e in events.detect(own, "s", "ts", "value", config).select(*columns).collect()}
+    assert len(expected) >= 4
+    origin = min(t for _, _, t, _ in rows)
+    assert all(min(t for x, _, t, _ in rows if x == site) == origin for site in "pq")
+    rows.sort(key=lambda x: x[2])
+    late = [rows[i : i + 300] for i in range(0, len(rows), 300)]
+    end = T0 + timedelta(days=9)  # of one site only: the other's last events come by its timers
+    late += [[("p", "p0", end, 0.0)], [("p", "p0", end + timedelta(hours=1), 0.0)]]
+    for i, part in enumerate(late):
+        r.shuffle(part)
+        spark.createDataFrame(part, "site string, s string, ts timestamp, value double").coalesce(1).write.parquet(str(tmp_path / f"in/{i:03d}"))
+    provider, key = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, provider)
+    try:
+        stream = spark.readStream.schema("site string, s string, ts timestamp, value double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        run = online.detected(stream, "site", "s", "ts", "value", str(origin), config, late="2 hours").writeStream.outputMode("append").format("memory").queryName("consensus").start()
+        try:
+            run.processAllAvailable()
+        finally:
+            run.stop()
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    got = {(x.site, *(round(v, 9) if isinstance(v, float) else v for v in (x[c] for c in columns))) for x in spark.table("consensus").collect()}
+    assert got == expected
+
+
 def test_triangulation_is_delaunay_and_covers_the_hull():
     rng = np.random.default_rng(6)
     xy = rng.random((60, 2))
