@@ -84,8 +84,3 @@ def half_sine(daily: Column, hour: Column, sunrise: Column, hours: Column) -> Co
     at = hour + 0.5 - sunrise
     rate = daily * (math.pi / 2) / F.nullif(hours, F.lit(0.0)) * F.sin(math.pi * at / F.nullif(hours, F.lit(0.0)))
     return F.when((at >= 0) & (at <= hours), rate).otherwise(0.0)
-
-
-def reduced_by_tension(pet: Column, psi: Column, psi50: float) -> Column:
-    """Actual from potential evapotranspiration by the soil's water tension."""
-    return pet / (1 + F.pow(psi / psi50, F.lit(3)))

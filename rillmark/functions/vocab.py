@@ -44,23 +44,6 @@ VARIABLES = {
     "degree_c logger temperature": "logger_temp",
     "°c logger temperature": "logger_temp",
 }
-UNITS = {
-    "moisture": "m3/m3",
-    "soil_temp": "degC",
-    "bulk_ec": "mS/cm",
-    "sat_extract_ec": "mS/cm",
-    "air_temp": "degC",
-    "humidity": "%RH",
-    "vapor_pressure": "kPa",
-    "atm_pressure": "kPa",
-    "vpd": "kPa",
-    "precipitation": "mm",
-    "max_precip_rate": "mm/h",
-    "battery_pct": "%",
-    "battery_mv": "mV",
-    "ref_pressure": "kPa",
-    "logger_temp": "degC",
-}
 CLOUD_VARIABLES = {
     "Water Content": "moisture",
     "Soil Temperature": "soil_temp",

@@ -31,7 +31,7 @@ def fours(electrodes: DataFrame, least_apart: float | None = None, same_line: bo
                 on = on & (F.pow(F.col(f"x{i}") - F.col(f"x{j}"), F.lit(2)) + F.pow(F.col(f"y{i}") - F.col(f"y{j}"), F.lit(2)) >= least_apart**2)
             if same_line is not None:
                 on = on & ((F.col(f"line{i}") == F.col(f"line{j}")) == F.lit(same_line))
-        out = out.join(F.broadcast(part(i)), on)
+        out = out.join(part(i), on)
     return out
 
 
@@ -73,6 +73,6 @@ def remapped(sequence: DataFrame, mapping: DataFrame, test_rows: DataFrame | Non
     """sequence with cable numbers changed to channels (cable, channel); unknown numbers stay. Test rows come first."""
     out = sequence
     for c in "abmn":
-        out = out.join(F.broadcast(mapping.select(F.col("cable").alias(c), F.col("channel").alias(f"__{c}"))), c, "left")
+        out = out.join(mapping.select(F.col("cable").alias(c), F.col("channel").alias(f"__{c}")), c, "left")
     out = out.select(*(F.coalesce(f"__{c}", c).alias(c) for c in "abmn"), F.lit(1).alias("part"))
     return out if test_rows is None else test_rows.select("a", "b", "m", "n", F.lit(0).alias("part")).unionByName(out).orderBy("part")

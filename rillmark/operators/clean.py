@@ -127,9 +127,9 @@ def assert_unique(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def enrich(df: DataFrame, ports, sensors) -> DataFrame:
-    """Observations with port and sensor attributes; both dimensions are a few rows per logger."""
-    out = df.join(F.broadcast(ports), ["logger_serial", "port"], "left")
-    return out.join(F.broadcast(sensors.drop("sensor_type", "serial_number")), "sensor_id", "left")
+    """Observations with port and sensor attributes."""
+    out = df.join(ports, ["logger_serial", "port"], "left")
+    return out.join(sensors.drop("sensor_type", "serial_number"), "sensor_id", "left")
 
 
 def ordinal(key: list[str], *order) -> W:

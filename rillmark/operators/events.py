@@ -97,7 +97,7 @@ def rising_limb(events: DataFrame, obs: DataFrame, key: str, before_h: float = 2
         F.max(F.when(after, F.col("value"))).alias("peak_vwc"),
         F.min_by(F.when(after, F.col("ts")), F.when(after, F.struct(-F.col("value"), F.col("ts")))).alias("peak_time"),
     )
-    pairs = events.select("event", F.col("start").alias("event_start")).crossJoin(F.broadcast(obs.select(key).distinct()))  # each event times each sensor is the result itself
+    pairs = events.select("event", F.col("start").alias("event_start")).crossJoin(obs.select(key).distinct())  # each event times each sensor is the result itself
     out = pairs.join(facts, ["event", key], "left")
     out = out.withColumn("delta_vwc", F.col("peak_vwc") - F.col("baseline_vwc")).withColumn("t_to_peak_h", S.seconds_between(F.col("event_start"), F.col("peak_time")) / 3600)
     out = out.withColumn("mean_dvdt_per_h", F.when(F.col("t_to_peak_h") > 0, F.col("delta_vwc") / F.nullif(F.col("t_to_peak_h"), F.lit(0.0))))
@@ -107,7 +107,7 @@ def rising_limb(events: DataFrame, obs: DataFrame, key: str, before_h: float = 2
 def onset_lag(events: DataFrame, obs: DataFrame, place: str, depth: str, shallow, deep, after_h: float = 72, before_h: float = 2, least: float = 0.005) -> DataFrame:
     """One row per event and place with both depths: onset and peak hours of each, and deep less shallow."""
     both = obs.where(F.col(depth).isin(shallow, deep)).groupBy(place).agg(F.count_distinct(depth).alias("n")).where("n = 2").select(place)
-    obs = obs.join(F.broadcast(both), place, "left_semi").withColumn("__k", F.struct(place, depth))
+    obs = obs.join(both, place, "left_semi").withColumn("__k", F.struct(place, depth))
     near = _facts(events, obs, "__k", before_h, after_h)
     base = F.median(F.when(F.col("pre"), F.col("value"))).over(W.partitionBy("event", "__k"))
     near = near.withColumn("base", base)

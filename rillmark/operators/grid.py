@@ -92,4 +92,4 @@ def regular_series(df: DataFrame, key: str, ts: str, value: str, step: int = GRI
     full = full.withColumn("slot", S.slot(F.col(ts), origin, step))
     full = gap_filled(full, [key], "slot", value, max_gap)
     best = longest_run(full.where(F.col(value).isNotNull()), [key], "slot").where((F.col("hi") - F.col("lo")) * step >= min_days * 86400)
-    return full.join(F.broadcast(best), key).where("slot >= lo AND slot < hi").select(key, "slot", F.col(ts).alias("ts"), F.col(value).alias("value"))
+    return full.join(best, key).where("slot >= lo AND slot < hi").select(key, "slot", F.col(ts).alias("ts"), F.col(value).alias("value"))

@@ -78,9 +78,9 @@ def boundary_steps(df: DataFrame, key: list[str], ts: str, value: str, source: s
 
 def mapped_slots(sensors: DataFrame, slots: DataFrame, places: DataFrame) -> DataFrame:
     """Sensors (sensor_id, treatment, tag, depth_cm) with the published slot (slot, treatment, place, depth_m) that fits them, and unused slots."""
-    placed = sensors.join(F.broadcast(places), "tag", "left").withColumn("__d", F.round(F.col("depth_cm") / 100, 6))
+    placed = sensors.join(places, "tag", "left").withColumn("__d", F.round(F.col("depth_cm") / 100, 6))
     keyed = slots.withColumn("__d", F.round("depth_m", 6)).withColumnRenamed("slot", "__slot")
-    both = placed.join(F.broadcast(keyed), ["treatment", "place", "__d"], "left")
+    both = placed.join(keyed, ["treatment", "place", "__d"], "left")
     used = both.select(*sensors.columns, "place", F.col("__slot").alias("slot"), S.match_quality(F.col("__slot"), F.col("place"), F.col("depth_cm")).alias("match_quality"))
     unused = keyed.join(both.select("__slot"), "__slot", "left_anti").select(F.col("__slot").alias("slot"), "treatment", "place", F.lit("unused_slot").alias("match_quality"))
     return used.unionByName(unused, allowMissingColumns=True)

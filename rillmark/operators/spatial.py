@@ -255,7 +255,7 @@ def principal_axis(points: DataFrame, key: list[str] | None = None) -> DataFrame
 
 def along_axis(points: DataFrame, axis: DataFrame, key: list[str]) -> DataFrame:
     """points with their distance along the axis of their key, from the first one."""
-    out = points.join(F.broadcast(axis), key) if key else points.crossJoin(F.broadcast(axis))
+    out = points.join(axis, key) if key else points.crossJoin(F.broadcast(axis))
     out = out.withColumn("__s", (F.col("x") - F.col("cx")) * F.col("ux") + (F.col("y") - F.col("cy")) * F.col("uy"))
     return out.withColumn("along", F.col("__s") - F.min("__s").over(W.partitionBy(*(key or [F.lit(0)])))).select(*points.columns, "along")
 
@@ -267,7 +267,7 @@ def line_profile(electrodes: DataFrame, straight: list[str], missing: int | None
     z = F.when(F.col("number") == missing, between).otherwise(F.col("z")) if missing is not None else F.col("z")
     out = electrodes.withColumn("z", z)
     fit = out.groupBy("line").agg(F.regr_slope("z", "number").alias("__a"), F.regr_intercept("z", "number").alias("__b"))
-    out = out.join(F.broadcast(fit), "line")
+    out = out.join(fit, "line")
     return out.select("line", "number", F.when(F.col("line").isin(straight), F.col("__a") * F.col("number") + F.col("__b")).otherwise(F.col("z")).alias("z"))
 
 

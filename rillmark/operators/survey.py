@@ -128,7 +128,7 @@ def with_geometry(r: DataFrame, electrodes: DataFrame, value: str = "R") -> Data
     """r (a, b, m, n) with geometric factor K and rho_a; electrodes (channel, x, y, z) is one row per electrode."""
     out = r
     for c in "abmn":
-        out = out.join(F.broadcast(electrodes.select(F.col("channel").alias(c), F.struct("x", "y", "z").alias(f"__{c}"))), c, "left")
+        out = out.join(electrodes.select(F.col("channel").alias(c), F.struct("x", "y", "z").alias(f"__{c}")), c, "left")
     step = lambda p, q, k: F.col(f"__{p}.{k}") - F.col(f"__{q}.{k}")
     apart = lambda p, q: F.sqrt(sum((step(p, q, k) * step(p, q, k) for k in "yz"), step(p, q, "x") * step(p, q, "x")))
     # a column for each distance and for K: later steps refer to them instead of repeating the expressions

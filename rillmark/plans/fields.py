@@ -217,7 +217,7 @@ def kept_report(spark, d):
 
 @query(f"WITH {QC} SELECT s.ts, s.line, s.quad, round(s.\"R\", 6) AS \"R\", round(abs(s.\"R\") * greatest(coalesce(s.recip_err_pct, 1), 1) / 100, 4) AS w FROM re s JOIN kq USING (line, quad) WHERE keep AND s.ts <> TIMESTAMP '1998-01-01' AND s.quad NOT IN ('0_1_2_0') AND s.\"R\" IS NOT NULL")
 def earth_quads(spark, d):
-    rows = paired(spark, d).join(F.broadcast(classified(spark, d).select("line", "quad", "keep")), ["line", "quad"], "left")
+    rows = paired(spark, d).join(classified(spark, d).select("line", "quad", "keep"), ["line", "quad"], "left")
     rows = rows.withColumns({"drop_day": F.col("ts") == F.lit("1998-01-01").cast("timestamp"), "rho_a": F.col("R")})
     rows = survey.earth_quads(rows, ["0_1_2_0"])
     return rows.select("ts", "line", "quad", F.round("R", 6).alias("R"), F.round(S.error_weight(F.col("R"), F.col("recip_err_pct")), 4).alias("w"))

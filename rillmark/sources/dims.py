@@ -116,6 +116,6 @@ def read_sequence(spark: SparkSession, path: str, delimiter: str = " ") -> DataF
 
 def cable_positions(cables: DataFrame, coordinates: DataFrame) -> DataFrame:
     """Cable electrodes (line, number, channel) with their surveyed coordinates (line, number, x, y, z)."""
-    return cables.join(F.broadcast(coordinates), ["line", "number"])
+    return cables.join(coordinates, ["line", "number"])
 
 

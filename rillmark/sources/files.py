@@ -84,7 +84,7 @@ def write_points(df: DataFrame, path: str) -> None:
 def write_protocol(df: DataFrame, path: str) -> None:
     """Inversion input by survey: number, electrodes, resistance and its error weight; surveys of fewer than 6 rows are left out."""
     enough = df.groupBy("timestamp").count().where("count >= 6").select("timestamp")
-    rows = df.join(F.broadcast(enough), "timestamp", "left_semi").withColumn("w", S.error_weight(F.col("R"), F.col("recip_err_pct")))
+    rows = df.join(enough, "timestamp", "left_semi").withColumn("w", S.error_weight(F.col("R"), F.col("recip_err_pct")))
     line = F.format_string("%d %d %d %d %.6f %.6f", "a", "b", "m", "n", "R", "w")
     rows.select(F.date_format("timestamp", "yyyyMMdd'T'HHmmss").alias("survey"), line.alias("value")).repartition("survey").write.mode("overwrite").partitionBy("survey").text(path)
 
