@@ -1,4 +1,4 @@
-"""Linear interpolation between scattered points, for groups small enough to triangulate in one task."""
+"""Linear interpolation between scattered points, over tiles that know their surroundings."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillmark.operators.spatial import Packed
+from rillmark.operators.staging import settled
+
 
 def triangulate(xy: np.ndarray) -> np.ndarray:
     """Triangles (rows of three point numbers) whose circumcircles hold no other point; points are added one by one."""
@@ -60,17 +63,162 @@ def interpolate(xy: np.ndarray, z: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def scattered(points: DataFrame, targets: DataFrame, key: str) -> DataFrame:
+def hull(xy: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull, counterclockwise; two ends where all points lie on a line."""
+    inner = np.zeros(len(xy), bool)
+    ends = {int(i) for u in ((1, 0), (0, 1), (1, 1), (1, -1)) for i in ((xy @ u).argmin(), (xy @ u).argmax())}
+    middle = xy[list(ends)].mean(axis=0)
+    if len(xy) > 1000:  # what lies well inside those extremes is no corner
+        outline = hull(xy[list(ends)])
+        side = [_left(a, b, xy) for a, b in zip(outline, np.roll(outline, -1, axis=0), strict=True)]
+        inner = (np.array(side) > 1e-9 * np.abs(xy - middle).max()).all(axis=0)
+    rest = xy[~inner]
+    rest = rest[np.lexsort((rest[:, 1], rest[:, 0]))]
+
+    def chain(points: np.ndarray) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for p in points:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out
+
+    return np.array(chain(rest)[:-1] + chain(rest[::-1])[:-1]) if len(rest) > 1 else rest
+
+
+def _left(a: np.ndarray, b: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """How far points lie left of the line from a to b, times its length."""
+    return (b[0] - a[0]) * (p[..., 1] - a[1]) - (b[1] - a[1]) * (p[..., 0] - a[0])
+
+
+def _circle(t: np.ndarray) -> tuple[np.ndarray, float]:
+    b, c = t[1] - t[0], t[2] - t[0]
+    d = 2 * (b[0] * c[1] - b[1] * c[0])
+    u, v = b @ b, c @ c
+    middle = np.array([c[1] * u - b[1] * v, b[0] * v - c[0] * u]) / d
+    return t[0] + middle, float(np.sqrt(middle @ middle))
+
+
+class Local:
+    """Interpolation between many points: each target's triangle is looked for among points near it, and is the right one if no
+    other point lies in its circle; those that do join the search.
+
+    box: what is known of a larger set is all points in this (x0, y0, x1, y1). Circles beyond it settle nothing.
+    """
+
+    def __init__(self, xy: np.ndarray, z: np.ndarray, box: tuple[float, ...] | None = None, near: int = 16):
+        self.xy, self.z, self.box, self.near = xy, z, box, near
+        self.packed = Packed(xy, np.arange(len(xy)))
+        self.place = np.empty(len(xy), np.int64)
+        self.place[self.packed.order] = np.arange(len(xy))
+        self.corners = hull(xy)
+
+    def _outside(self, p: np.ndarray) -> bool:
+        if len(self.corners) < 3:
+            return True
+        span = np.ptp(self.corners, axis=0).max()
+        return any(_left(a, b, p) < -1e-9 * span * np.hypot(*(b - a)) for a, b in zip(self.corners, np.roll(self.corners, -1, axis=0), strict=True))
+
+    def _triangle(self, p: np.ndarray, own: list[int]):
+        """The triangle of these points that holds p, and p's weights in it."""
+        at = self.xy[own]
+        for tri in triangulate(at):
+            a, b, c = at[tri]
+            d = (b[1] - c[1]) * (a[0] - c[0]) + (c[0] - b[0]) * (a[1] - c[1])
+            if abs(d) < 1e-12 * max(np.ptp(at, axis=0).max(), 1e-12) ** 2:
+                continue
+            u = ((b[1] - c[1]) * (p[0] - c[0]) + (c[0] - b[0]) * (p[1] - c[1])) / d
+            v = ((c[1] - a[1]) * (p[0] - c[0]) + (a[0] - c[0]) * (p[1] - c[1])) / d
+            if u >= -1e-9 and v >= -1e-9 and u + v <= 1 + 1e-9:
+                return [own[i] for i in tri], (u, v, 1 - u - v)
+        return None
+
+    def at(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, settled): NaN where a target isn't settled, which happens only with a box."""
+        out, settled = np.full(len(targets), np.nan), np.zeros(len(targets), bool)
+        if not len(self.xy) or not len(targets):
+            return out, settled | (self.box is None)
+        first, _ = self.packed.nearest(targets)
+        for i, p in enumerate(targets):
+            if self._outside(p):
+                if self.box is None:
+                    out[i], settled[i] = self.z[first[i]], True
+                continue
+            at, own, found = self.place[first[i]], {int(first[i])}, None
+            reach = self.near
+            while found is None:
+                own |= set(self.packed.order[max(0, at - reach) : at + reach].tolist())
+                found = self._triangle(p, sorted(own)) if len(own) >= 3 else None
+                if found is None and (reach >= len(self.xy) or len(own) > 500):
+                    own |= set(self.packed.nearest(self.corners)[0].tolist())  # these hold p between them
+                    found = self._triangle(p, sorted(own))
+                    break
+                reach *= 2
+            while found is not None:
+                middle, radius = _circle(self.xy[found[0]])
+                beyond = self.box is not None and not (self.box[0] <= middle[0] - radius and middle[0] + radius <= self.box[2] and self.box[1] <= middle[1] - radius and middle[1] + radius <= self.box[3])
+                inside, apart = self.packed.nearest(middle[None, :])
+                if apart[0] >= radius * (1 - 1e-9) or int(inside[0]) in own:
+                    if not beyond:
+                        out[i], settled[i] = sum(w * self.z[k] for w, k in zip(found[1], found[0], strict=True)), True
+                    break
+                own.add(int(inside[0]))
+                found = self._triangle(p, sorted(own))
+            if found is None and self.box is None:  # on a border, by rounding
+                out[i], settled[i] = self.z[first[i]], True
+        return out, settled
+
+
+#: Points of a tile on average, the part of a tile around it that it also knows, and targets of a task.
+TILE, HALO, TARGETS = 20_000, 0.25, 20_000
+
+
+def scattered(points: DataFrame, targets: DataFrame, key: str, tile: int = TILE) -> DataFrame:
     """targets (key, x, y, ...) with z from the points (key, x, y, z) of their key; of points at one place the mean counts.
 
-    A key is one group: meant for surveys of up to thousands of points each. Targets of keys without points get null.
+    Linear in the Delaunay triangle that holds a target, and that of the nearest point outside all of them. Points are dealt to
+    tiles and those around; a tile settles the targets whose triangle's circle lies within what it knows. Those that are left,
+    near or beyond the border of the points, are settled with all points of their key, TARGETS in a task. Targets of
+    keys without points, or without coordinates, get null.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in targets.schema) + ", z double"
+    whole = [c for c in targets.columns if c != "z"]
+    kept = targets.select(*whole).withColumn("__t", F.monotonically_increasing_id())
+    kept = settled(kept)  # numbers stay as they are
+    known = points.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("z").cast("double").alias("z")).where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND NOT isnan(z)")
+    known = settled(known.groupBy(key, "x", "y").agg(F.avg("z").alias("z")))
+    size = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
+    ends = known.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.min("x").alias("__x0"), F.min("y").alias("__y0"), size.alias("__size"))
+    ends = settled(ends.withColumn("__side", F.when((F.col("__n") > 2 * tile) & (F.col("__size") > 0), F.col("__size") / F.ceil(F.sqrt(F.col("__n") / tile)))))
+    asked = kept.select("__t", key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    tiled = ends.where("__side IS NOT NULL")
+    at = lambda c, by=0.0: F.floor((F.col(c) - F.col(f"__{c}0")) / F.col("__side") + by).cast("bigint")
+    near = known.join(tiled, key)
+    for c in "xy":
+        near = near.withColumn(f"t{c}", F.explode(F.sequence(at(c, -HALO), at(c, HALO))))
+    own = asked.join(tiled, key).withColumns({"tx": at("x"), "ty": at("y")})
+    kind = targets.schema[key].dataType.simpleString()
+    schema = f"__t bigint, `{key}` {kind}, x double, y double, z double, done boolean"
 
-    def one(known: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        known = known.dropna(subset=["x", "y", "z"]).groupby(["x", "y"], as_index=False)["z"].mean()
-        z = interpolate(known[["x", "y"]].to_numpy(float), known["z"].to_numpy(float), wanted[["x", "y"]].to_numpy(float)) if len(known) and len(wanted) else np.full(len(wanted), np.nan)
-        return wanted.assign(z=z)
+    def one(group: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        box = None
+        if "__side" in right and len(right):
+            x0, y0, side = right["__x0"].iloc[0], right["__y0"].iloc[0], right["__side"].iloc[0]
+            tx, ty = int(group[1]), int(group[2])
+            box = (x0 + (tx - HALO) * side, y0 + (ty - HALO) * side, x0 + (tx + 1 + HALO) * side, y0 + (ty + 1 + HALO) * side)
+        if not len(right):
+            return pd.DataFrame(columns=["__t", key, "x", "y", "z", "done"])
+        local = Local(left[["x", "y"]].to_numpy(float), left["z"].to_numpy(float), box) if len(left) else None
+        z, done = local.at(right[["x", "y"]].to_numpy(float)) if local else (np.full(len(right), np.nan), np.zeros(len(right), bool))
+        return right[["__t", key, "x", "y"]].assign(z=z, done=done)
 
-    out = points.select(key, "x", "y", "z").groupBy(key).cogroup(targets.groupBy(key)).applyInPandas(one, schema)
-    return out.withColumn("z", F.when(~F.isnan("z"), F.col("z")))
+    tiles = [key, "tx", "ty"]
+    found = settled(near.select(*tiles, "x", "y", "z").groupBy(*tiles).cogroup(own.select("__t", *tiles, "x", "y", "__x0", "__y0", "__side").groupBy(*tiles)).applyInPandas(one, schema))
+    rest = asked.join(ends.where("__side IS NULL").select(key), key, "left_semi").select("__t", key, "x", "y").unionByName(found.where("NOT done").select("__t", key, "x", "y"))
+    shards = rest.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / TARGETS).alias("__k"))
+    parts = [key, "__part"]
+    spread = known.join(shards, key).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__k") - 1))).select(*parts, "x", "y", "z")
+    dealt = rest.join(shards, key).withColumn("__part", F.pmod(F.xxhash64("__t"), F.col("__k"))).select("__t", *parts, "x", "y")
+    last = spread.groupBy(*parts).cogroup(dealt.groupBy(*parts)).applyInPandas(one, schema)
+    both = found.where("done").select("__t", "z").unionByName(last.select("__t", "z"))
+    out = kept.join(both, "__t", "left")
+    return out.select(*whole, F.when(~F.isnan("z"), F.col("z")).alias("z"))

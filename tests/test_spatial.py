@@ -7,7 +7,7 @@ import time
 import numpy as np
 import pytest
 
-from rillmark.operators import spatial
+from rillmark.operators import scattered, spatial
 
 
 def plain_smooth(cells, nx, ny, sigma):
@@ -76,3 +76,40 @@ def test_an_index_of_a_million_targets():
     for i in range(0, len(points), 70):
         apart = np.sqrt(((xy - points[i]) ** 2).sum(axis=1))
         assert distance[i] == apart.min() and number[i] == apart.argmin()
+
+
+def test_hull_holds_all_points():
+    rng = np.random.default_rng(2)
+    for xy in (rng.normal(size=(3000, 2)), rng.random((50, 2)), np.array([[0.0, 0.0], [1.0, 1.0], [2.0, 2.0]]), np.array([[1.0, 1.0]]), np.array([[x, y] for x in range(5) for y in range(5)], float)):
+        corners = scattered.hull(xy)
+        assert {tuple(c) for c in corners} <= {tuple(p) for p in xy}
+        if len(corners) > 2:
+            assert all((scattered._left(a, b, xy) >= -1e-9).all() for a, b in zip(corners, np.roll(corners, -1, axis=0), strict=True))
+
+
+@pytest.mark.parametrize("tile", [40, 20_000])
+def test_tiles_interpolate_as_whole_triangulations(spark, tile):
+    rng = np.random.default_rng(7)
+    surveys = {1: rng.random((400, 2)), 2: np.vstack([rng.normal(size=(150, 2)), rng.normal(size=(100, 2)) * 0.01 + 3]), 3: np.array([[0.0, 0.0], [1.0, 2.0]]), 4: np.array([[float(i), 2.0 * i] for i in range(6)])}
+    points, targets, want = [], [], {}
+    for k, xy in surveys.items():
+        z = np.sin(xy[:, 0] * 3) + xy[:, 1]
+        at = np.vstack([rng.random((60, 2)) * 1.6 - 0.3, xy[:5], rng.normal(size=(10, 2)) * 5])
+        points += [(k, *map(float, p), float(v)) for p, v in zip(xy, z, strict=True)]
+        targets += [(k, 1000 * k + i, *map(float, p)) for i, p in enumerate(at)]
+        want |= {1000 * k + i: v for i, v in enumerate(scattered.interpolate(xy, z, at))}
+    points += [(1, *map(float, surveys[1][0]), points[0][3]), (1, None, 1.0, 1.0), (1, 0.5, 0.5, None)]
+    targets += [(9, 9000, 0.0, 0.0), (1, 9001, None, 0.5)]
+    points_df = spark.createDataFrame(points, "scan int, x double, y double, z double").repartition(3)
+    targets_df = spark.createDataFrame(targets, "scan int, id long, x double, y double").repartition(2)
+    got = {r.id: r.z for r in scattered.scattered(points_df, targets_df, "scan", tile).collect()}
+    assert got.keys() == want.keys() | {9000, 9001} and got[9000] is None and got[9001] is None
+    assert all(got[i] == pytest.approx(v, rel=1e-6, abs=1e-9) for i, v in want.items())
+
+
+def test_a_survey_of_a_million_points_is_interpolated(spark):
+    points = spark.range(1_000_000).selectExpr("1 AS scan", "rand(1) AS x", "rand(2) AS y").selectExpr("*", "2 * x - 3 * y AS z")
+    targets = spark.range(2000).selectExpr("1 AS scan", "id", "rand(5) AS x", "rand(6) AS y")
+    began = time.time()
+    off = scattered.scattered(points, targets, "scan").selectExpr("max(abs(z - (2 * x - 3 * y))) AS off", "count(z) AS n").first()
+    assert off.n == 2000 and off.off < 0.02 and time.time() - began < 300
