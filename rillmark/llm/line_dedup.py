@@ -52,7 +52,9 @@ def drop_boilerplate(docs: DataFrame, sites: int = SITES, id_col: str = "doc_id"
     if counts:
         out = out.withColumns({counts[0]: F.coalesce(F.size(split), F.lit(0)).cast("long"), counts[1]: F.coalesce(F.size(at), F.lit(0)).cast("long")})
         out = out.withColumn(counts[0], F.when(F.col(text_col).isNull(), 0).otherwise(F.col(counts[0])).cast("long")).withColumn(counts[1], F.greatest(counts[1], F.lit(0).cast("long")))
-    rest = F.array_join(F.filter(split, lambda line, i: ~F.array_contains(at, i)), "\n")
+    # the numbers that stay, by a set's difference, then their lines: the cost follows the lines, however many of them go
+    left = lambda parts: F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(at)), lambda i: F.get(parts, i))
+    rest = F.array_join(F.element_at(F.transform(F.array(split), left), 1), "\n")
     out = out.withColumn(text_col, F.when(F.col(at).isNull(), F.col(text_col)).otherwise(rest))
     return out.select(*docs.columns, *(counts or ()))
 
