@@ -48,12 +48,12 @@ class Boosted:
         return self
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        def walk(node, row):
-            while isinstance(node, tuple):
-                node = node[2] if row[node[0]] <= node[1] else node[3]
-            return node
+        def values(node) -> np.ndarray:
+            if not isinstance(node, tuple):
+                return np.full(len(x), node)
+            return np.where(x[:, node[0]] <= node[1], values(node[2]), values(node[3]))
 
-        return np.array([self.start + sum(walk(t, row) for t in self.fitted) for row in x])
+        return self.start + sum(map(values, self.fitted), np.zeros(len(x)))
 
     def sql(self, names: list[str]) -> str:
         def text(node) -> str:
