@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import csv
-import io
 import itertools
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rillmark.functions import scalars as S
@@ -46,19 +45,53 @@ def long_rows(body: DataFrame, ports: list, types: list, variables: list, time)
     return out.select("timestamp", "x.*")
 
 
+def _cells(line: Column) -> Column:
+    """The cells of a line, quotes taken off."""
+    plain, quoted = F.split(line, ","), F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    return F.when(F.instr(line, '"') == 0, plain).otherwise(F.transform(quoted, lambda c: F.regexp_replace(F.trim(c), '^"|"$', "")))
+
+
+def _known(names: dict[str, str], text: Column) -> Column:
+    return F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[text]
+
+
+def read_csvs(spark: SparkSession, paths: list[str], config_pattern: str = r"(Configuration \d+)") -> DataFrame:
+    """Wide exports with three header rows each, all in one scan, with `path` (of its file) besides. Headers are a table by path.
+
+    Times that don't parse are dropped, other text than numbers is null; a file without three rows gives none.
+    """
+    if not paths:
+        return empty(spark).withColumn("path", F.lit(None).cast("string"))
+    meta = lambda c: F.col(f"_metadata.{c}")
+    path = F.url_decode(F.replace(meta("file_path"), F.lit("+"), F.lit("%2B")))
+    lines = spark.read.text(paths).select(F.regexp_replace("value", "^\ufeff", "").alias("line"), path.alias("path"), meta("file_block_start").alias("block"))
+    # lines of a file's first block are numbered as they come
+    top = lines.where("block = 0").withColumn("i", F.row_number().over(W.partitionBy("path").orderBy(F.monotonically_increasing_id()))).where("i <= 3")
+    head = lambda i: F.max(F.when(F.col("i") == i, F.col("line")))
+    heads = top.groupBy("path").agg(*(head(i).alias(f"h{i}") for i in (1, 2, 3))).where("h3 IS NOT NULL")
+
+    def specs(rows: Column) -> Column:
+        ports, types, names = (rows[f"c{i}"] for i in (1, 2, 3))
+        one = lambda i: F.struct(
+            i.alias("i"),
+            F.regexp_extract(F.coalesce(F.get(ports, i), F.lit("")), r"(?i)^\s*port\s*(\d+)\s*$", 1).try_cast("smallint").alias("port"),
+            _known(vocab.SENSOR_TYPES, F.lower(F.trim(F.get(types, i)))).alias("sensor_type"),
+            _known(vocab.VARIABLES, F.lower(F.trim(F.regexp_replace(F.get(names, i), r"\s+", " ")))).alias("variable"),
+        )
+        each = F.transform(F.sequence(F.lit(0), F.greatest(F.size(ports), F.size(types), F.size(names)) - 1), one)
+        return F.filter(each, lambda x: (x["i"] > 0) & x["port"].isNotNull() & x["sensor_type"].isin(*vocab.KEPT_TYPES) & x["variable"].isNotNull())
+
+    heads = heads.select("path", specs(F.struct(*(_cells(F.col(f"h{i}")).alias(f"c{i}") for i in (1, 2, 3)))).alias("specs"))
+    body = lines.select("path", _cells(F.col("line")).alias("cells")).withColumn("timestamp", F.try_to_timestamp(F.get("cells", F.lit(0)), F.lit(CSV_TIME)).cast("timestamp_ntz"))
+    body = body.where("timestamp IS NOT NULL").join(heads, "path")  # header rows have no time
+    value = lambda x: F.struct(x["port"].alias("port"), x["sensor_type"].alias("sensor_type"), x["variable"].alias("variable"), S.to_number(F.get("cells", x["i"])).alias("value"))
+    rows = body.select("path", "timestamp", F.explode(F.transform("specs", value)).alias("x")).select("path", "timestamp", "x.*")
+    label = F.regexp_extract("path", config_pattern, 1)
+    return rows.select("timestamp", "port", "sensor_type", "variable", "value", F.lit(None).cast("int").alias("error_code"), F.lit("csv").alias("source_format"), F.element_at(F.split("path", "/"), -1).alias("source_file"), F.when(label != "", label).otherwise("Config ?").alias("config_label"), "path")
+
+
 def read_csv(spark: SparkSession, path: str, config_pattern: str = r"(Configuration \d+)") -> DataFrame:
-    """One wide export with three header rows. Times that don't parse are dropped, other text than numbers is null."""
-    lines = spark.read.text(path)
-    head = [r.value for r in lines.limit(3).collect()]
-    if len(head) < 3:
-        return empty(spark)
-    ports, types, variables = (next(csv.reader(io.StringIO(h.lstrip("﻿")))) for h in head)
-    named = re.search(config_pattern, path)
-    n = max(len(ports), len(types), len(variables))
-    body = spark.read.schema(", ".join(f"c{i} string" for i in range(n))).option("mode", "PERMISSIVE").csv(path).select(F.array(*(F.col(f"c{i}") for i in range(n))).alias("cells"))
-    time = F.try_to_timestamp(F.get("cells", F.lit(0)), F.lit(CSV_TIME)).cast("timestamp_ntz")  # header rows have none
-    rows = long_rows(body, ports, types, variables, time)
-    return rows.select("timestamp", "port", "sensor_type", "variable", "value", F.lit(None).cast("int").alias("error_code"), F.lit("csv").alias("source_format"), F.lit(path.rsplit("/", 1)[-1]).alias("source_file"), F.lit(named[1] if named else "Config ?").alias("config_label"))
+    return read_csvs(spark, [path], config_pattern).drop("path")
 
 
 SHEETS = r"Processed\s+Data\s+(Config(?:uration)?\s*\d+)\s*"
@@ -110,12 +143,15 @@ def discover(spark: SparkSession, root: str, cloud: str | None = None) -> list[t
     return out
 
 
-READERS = {"csv": read_csv, "xlsx": read_workbook, "cloud": read_cloud}
-
-
 def read_all(spark: SparkSession, jobs: list[tuple[str, str, str]]) -> DataFrame:
-    frames = [READERS[kind](spark, path).withColumn("logger_serial", F.lit(serial)) for kind, serial, path in jobs]
-    return reduce(DataFrame.unionByName, frames, empty(spark).withColumn("logger_serial", F.lit(None).cast("string")))
+    """The rows of all files, with logger_serial. All CSV exports are one scan; workbooks and cloud files are read one by one."""
+    plain = [(archives.same_path(path), serial) for kind, serial, path in jobs if kind == "csv"]
+    texts = read_csvs(spark, [path for kind, _, path in jobs if kind == "csv"]).withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+    serials = spark.createDataFrame(plain, "path string, logger_serial string")
+    frames = [texts.join(serials, "path").drop("path")]
+    readers = {"xlsx": read_workbook, "cloud": read_cloud}
+    frames += [readers[kind](spark, path).withColumn("logger_serial", F.lit(serial)) for kind, serial, path in jobs if kind in readers]
+    return reduce(DataFrame.unionByName, frames)
 
 
 def dataset(spark: SparkSession, jobs, sensors: DataFrame, ports: DataFrame, on_conflict: str = "warn", step: int | None = None) -> DataFrame:

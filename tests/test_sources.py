@@ -35,6 +35,22 @@ def test_csv_drops_unknown_types_bad_times_and_text(spark, tmp_path):
     assert sorted(r.value is None for r in rows) == [False, False, False, True]
 
 
+def test_many_csv_files_are_one_scan(spark, tmp_path):
+    (tmp_path / "19570").mkdir()
+    a = write_csv(tmp_path / "19570" / "z6-19570 + top-Configuration 1.csv", [["01/02/2024 00:00:00", *range(12)]])
+    b = write_csv(tmp_path / "19570" / "z6-19574(1)-Configuration 2.csv", [["01/02/2024 00:15:00", 7, '"8"'], ["01/02/2024 00:30:00", "", 9]], ['"TEROS 12"', "Battery"], ["port 2", '"Port 7"'], [" m3/m3 Water Content", '" % Battery  Percent"'])
+    (tmp_path / "19570" / "z6-19574(1)-Configuration 2.csv").write_text("\ufeff" + (tmp_path / "19570" / "z6-19574(1)-Configuration 2.csv").read_text())
+    (tmp_path / "19570" / "short.csv").write_text("a\nb\n")
+    jobs = loggers.discover(spark, str(tmp_path))
+    assert sorted(serial for _, serial, _ in jobs) == ["19570", "19570", "19574"]
+    got = loggers.read_all(spark, jobs)
+    rows = got.collect()
+    assert len(rows) == 16 and {(r.logger_serial, r.source_file.rsplit("-", 1)[-1], r.config_label) for r in rows} == {("19570", "Configuration 1.csv", "Configuration 1"), ("19574", "Configuration 2.csv", "Configuration 2")}
+    assert sorted((r.port, r.variable, r.value) for r in rows if r.logger_serial == "19574" and r.value is not None) == [(2, "moisture", 7.0), (7, "battery_pct", 8.0), (7, "battery_pct", 9.0)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2  # headers and bodies, whatever the number of files
+    assert loggers.read_all(spark, []).count() == 0 and loggers.read_csvs(spark, [a, b]).count() == 16
+
+
 def cloud(spark, path):
     t = datetime(2024, 5, 1, 6, 30)
     rows = [(t, 1, "TEROS 12", "Water Content", 0.3, 0), (t, 1, "TEROS 12", "Soil Temperature", 25.0, 0), (t, 2, "ATMOS 14", "VPD", 1.0, 0), (t, 7, "Battery", "Battery Percent", 99.0, 0), (t, 1, "TEROS 12", "Bulk EC", 0.0, 137), (t, -1, "Signal Strength", "Signal", 1.0, 0), (t, 1, "TEROS 12", "Raw VWC", 1.0, 0)]
