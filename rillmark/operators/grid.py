@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rillmark.functions import scalars as S
 from rillmark.operators import blocks
+from rillmark.operators.staging import settled
 
 GRID_SECONDS = 900
 
@@ -90,6 +91,6 @@ def regular_series(df: DataFrame, key: str, ts: str, value: str, step: int = GRI
     full = upsampled(good, [key], ts, [value], step)
     origin = F.min(ts).over(W.partitionBy(key))
     full = full.withColumn("slot", S.slot(F.col(ts), origin, step))
-    full = gap_filled(full, [key], "slot", value, max_gap)
+    full = settled(gap_filled(full, [key], "slot", value, max_gap))  # read for the runs, and for the rows of one of them
     best = longest_run(full.where(F.col(value).isNotNull()), [key], "slot").where((F.col("hi") - F.col("lo")) * step >= min_days * 86400)
     return full.join(best, key).where("slot >= lo AND slot < hi").select(key, "slot", F.col(ts).alias("ts"), F.col(value).alias("value"))

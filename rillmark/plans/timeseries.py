@@ -260,9 +260,18 @@ def _regular(spark, d):
     return grid.regular_series(hourly, "event_type", "ts", "value", HOUR, 6, 5)
 
 
-@query()
+@query("""WITH h AS (SELECT event_type, date_trunc('hour', ts) AS ts, avg(value) AS value FROM events GROUP BY 1, 2 HAVING avg(value) IS NOT NULL),
+s AS (SELECT event_type, min(ts) AS a, max(ts) AS b FROM h GROUP BY 1),
+c AS (SELECT event_type, a, unnest(range(0, CAST(date_diff('hour', a, b) AS BIGINT) + 1)) AS slot FROM s),
+r AS (SELECT c.event_type, c.slot, c.a + to_hours(CAST(c.slot AS INTEGER)) AS ts, h.value AS v, CASE WHEN h.value IS NOT NULL THEN c.slot END AS pos FROM c LEFT JOIN h ON h.event_type = c.event_type AND h.ts = c.a + to_hours(CAST(c.slot AS INTEGER))),
+n AS (SELECT *, last_value(v IGNORE NULLS) OVER p AS va, last_value(pos IGNORE NULLS) OVER p AS sa, first_value(v IGNORE NULLS) OVER f AS vb, first_value(pos IGNORE NULLS) OVER f AS sb FROM r
+  WINDOW p AS (PARTITION BY event_type ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY event_type ORDER BY slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+g AS (SELECT event_type, slot, ts, CASE WHEN v IS NOT NULL THEN v WHEN sb - sa - 1 <= 6 THEN va + (vb - va) * (slot - sa) / (sb - sa) END AS value FROM n),
+i AS (SELECT *, slot - row_number() OVER (PARTITION BY event_type ORDER BY slot) AS k FROM g WHERE value IS NOT NULL),
+b AS (SELECT event_type, k FROM (SELECT event_type, k, count(*) AS n, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, min(slot)) AS o FROM i GROUP BY 1, 2) WHERE o = 1 AND n * 3600 >= 5 * 86400)
+SELECT event_type, slot, ts, round(value, 6) AS value FROM i JOIN b USING (event_type, k)""")
 def regular_series(spark, d):
-    return _regular(spark, d)
+    return _regular(spark, d).withColumns(r6("value"))
 
 
 @query()
@@ -277,5 +286,6 @@ def welch_psd_median(spark, d):
 
 @query()
 def cwt_power(spark, d):
-    power = lambda name: spectral.scalogram(_regular(spark, d), "event_type", "slot", "value", 1.0, periods=12, longest_h=72.0, wavelet_name=name).withColumn("wavelet", F.lit(name))
+    series_ = _regular(spark, d)
+    power = lambda name: spectral.scalogram(series_, "event_type", "slot", "value", 1.0, periods=12, longest_h=72.0, wavelet_name=name).withColumn("wavelet", F.lit(name))
     return functools.reduce(DataFrame.unionByName, map(power, spectral.WAVELETS))
