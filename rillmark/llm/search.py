@@ -30,7 +30,9 @@ PART, CHUNK_TERMS, POSTINGS = 1 << 20, 200_000, 500_000
 BLOCK_DOCS, BLOCKS = 256, 4
 #: Separators (fixed values): all ASCII but letters and digits; A-Z become a-z.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-BLOCK = "ids array<{}>, sizes array<long>, terms array<binary>, ends array<long>, slots binary, impacts binary, counts binary"
+#: A block: its documents and their sizes; its terms in order, as one run of bytes with offsets, and the end of each one's
+#: postings; by posting the document's place, the impact's byte and the occurrences. Numbers are little-endian bytes.
+BLOCK = "ids array<{}>, sizes binary, terms binary, offsets binary, ends binary, slots binary, impacts binary, counts binary"
 
 
 def term_parts(text: bytes):
@@ -92,8 +94,11 @@ class _Block:
             last[:-1] = pc.not_equal(term[:-1], term[1:]).to_numpy(zero_copy_only=False)
             ends = np.flatnonzero(last)
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            columns = [one(batch.column(0)), one(pa.array(sizes)), one(term.take(pa.array(ends))), one(pa.array(ends + 1))]
-            columns += [pa.array([x.tobytes()], pa.binary()) for x in (slot.astype("<i4"), (-(-impact // STEP)).astype(np.uint8), tf.astype("<i8"))]
+            names = term.take(pa.array(ends)).to_pylist()
+            offsets = np.cumsum([0, *map(len, names)]).astype("<i4")
+            numbers = (slot.astype("<i4"), (-(-impact // STEP)).astype(np.uint8), tf.astype("<i8"))
+            binary = [sizes.astype("<i8").tobytes(), b"".join(names), offsets.tobytes(), (ends + 1).astype("<i8").tobytes(), *(x.tobytes() for x in numbers)]
+            columns = [one(batch.column(0)), *(pa.array([x], pa.binary()) for x in binary)]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in BLOCK.split(", ")])
 
 
@@ -141,8 +146,9 @@ class _Chunk:
 
     def postings(self, block: dict) -> tuple[np.ndarray, np.ndarray]:
         """By term of the vocabulary: first and last posting in the block (alike where it has none)."""
-        ends = block["ends"].values.to_numpy()
-        at = pc.index_in(pa.array(self.vocabulary, pa.binary()), value_set=block["terms"].values)
+        ends = np.frombuffer(block["ends"].as_py(), "<i8")
+        terms = pa.Array.from_buffers(pa.binary(), len(ends), [None, block["offsets"].as_buffer(), block["terms"].as_buffer()])
+        at = pc.index_in(pa.array(self.vocabulary, pa.binary()), value_set=terms)
         known, at = at.is_valid().to_numpy(zero_copy_only=False), at.fill_null(0).to_numpy(zero_copy_only=False)
         if not len(ends):
             return np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
@@ -226,7 +232,7 @@ class _Exact:
         best: dict[int, list] = {}
         for block in _blocks(batches):
             slots, tf = np.frombuffer(block["slots"].as_py(), "<i4"), np.frombuffer(block["counts"].as_py(), "<i8")
-            ids, sizes = block["ids"].values, block["sizes"].values.to_numpy()
+            ids, sizes = block["ids"].values, np.frombuffer(block["sizes"].as_py(), "<i8")
             m = np.array(lengths(sizes.tolist(), self.docs, self.terms), np.int64)
             order = np.empty(len(ids), np.int64)
             order[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
@@ -271,11 +277,11 @@ def search(index: Index, items: DataFrame, k: int = TOP, id_col: str = "item_id"
             own = asked.where((F.col("part") == part) & (F.col("chunk") == number))
             got = own.select("row", "terms").orderBy("row").collect()
             chunk = _Chunk([r["row"] for r in got], [r["terms"] for r in got])
-            found = map_arrow(blocks.select("ids", "terms", "ends"), _Frequencies(chunk), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+            found = map_arrow(blocks.select("terms", "offsets", "ends"), _Frequencies(chunk), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
             weigh = F.floor(1000 * F.log((2.0 * index.docs + 2) / (2.0 * F.col("n") + 1)))
             for r in found.select("term", weigh.alias("w")).collect():  # a row for each term of the chunk
                 chunk.weights[r["term"]] = r["w"]
-            lower = map_arrow(blocks.select("ids", "terms", "ends", "slots", "impacts"), _Lower(chunk, k), "row long, bound long")
+            lower = map_arrow(blocks.select("ids", "terms", "offsets", "ends", "slots", "impacts"), _Lower(chunk, k), "row long, bound long")
             last = lower.withColumn("r", F.row_number().over(W.partitionBy("row").orderBy(F.desc("bound")))).where(F.col("r") == k)
             reached = {r["row"]: r["bound"] for r in last.collect()}  # a row for each item of the chunk
             exact = _Exact(chunk, [reached.get(row, 0) for row in chunk.rows], k, index.docs, index.terms, doc_type)

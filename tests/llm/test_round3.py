@@ -138,10 +138,12 @@ def test_bounds_hold_and_prune(spark, docs):
     index = search.build_index(spark.createDataFrame(rows, "doc_id long, text string"))
     for block in index.blocks.collect():
         slots, impacts, tf = np.frombuffer(block["slots"], "<i4"), np.frombuffer(block["impacts"], np.uint8).astype(int), np.frombuffer(block["counts"], "<i8")
-        m = np.array(search.lengths(block["sizes"], index.docs, index.terms))
+        m = np.array(search.lengths(np.frombuffer(block["sizes"], "<i8").tolist(), index.docs, index.terms))
         exact = 10**9 * tf // (1000 * tf + 8 * m[slots])
         assert (impacts * search.STEP >= exact).all() and ((impacts - 1) * search.STEP < exact).all() and impacts.max() < 256
-        assert block["ends"][-1] == len(slots) and list(block["terms"]) == sorted(block["terms"])
+        offsets = np.frombuffer(block["offsets"], "<i4")
+        terms = [bytes(block["terms"][a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
+        assert np.frombuffer(block["ends"], "<i8")[-1] == len(slots) and terms == sorted(set(terms))
 
 
 # ---- toxicity
