@@ -65,7 +65,7 @@ def _counted(texts: list[bytes]) -> pa.Table:
                 found.append(pa.table({"term": pa.array(part, pa.binary()), "slot": np.full(len(part), slot, np.int32)}))
     if not found:
         return pa.table({"term": pa.array([], pa.binary()), "slot": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
-    counted = pa.concat_tables(found).group_by(["term", "slot"]).aggregate([([], "count_all")]).rename_columns(["term", "slot", "n"])
+    counted = pa.concat_tables(found).group_by(["term", "slot"], use_threads=False).aggregate([([], "count_all")]).rename_columns(["term", "slot", "n"])
     return counted.sort_by([("term", "ascending"), ("slot", "ascending")])
 
 
@@ -95,6 +95,7 @@ class _Block:
             columns = [one(batch.column(0)), one(pa.array(sizes)), one(term.take(pa.array(ends))), one(pa.array(ends + 1))]
             columns += [pa.array([x.tobytes()], pa.binary()) for x in (slot.astype("<i4"), (-(-impact // STEP)).astype(np.uint8), tf.astype("<i8"))]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in BLOCK.split(", ")])
+            pa.default_memory_pool().release_unused()
 
 
 class Index:
