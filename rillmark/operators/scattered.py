@@ -100,8 +100,8 @@ def _circle(t: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 class Local:
-    """Interpolation between many points: each target's triangle is looked for among points near it, and is the right one if no
-    other point lies in its circle; those that do join the search.
+    """Interpolation between many points: targets' triangles are looked for among points near them, and are the right ones if no
+    other point lies in their circles; those that do join the search.
 
     box: what is known of a larger set is all points in this (x0, y0, x1, y1). Circles beyond it settle nothing.
     """
@@ -113,11 +113,12 @@ class Local:
         self.place[self.packed.order] = np.arange(len(xy))
         self.corners = hull(xy)
 
-    def _outside(self, p: np.ndarray) -> bool:
-        if len(self.corners) < 3:
-            return True
+    def _outside(self, p: np.ndarray) -> np.ndarray:
+        out = np.full(len(p), len(self.corners) < 3)
         span = np.ptp(self.corners, axis=0).max()
-        return any(_left(a, b, p) < -1e-9 * span * np.hypot(*(b - a)) for a, b in zip(self.corners, np.roll(self.corners, -1, axis=0), strict=True))
+        for a, b in zip(self.corners, np.roll(self.corners, -1, axis=0), strict=True):
+            out |= _left(a, b, p) < -1e-9 * span * np.hypot(*(b - a))
+        return out
 
     def _triangle(self, p: np.ndarray, own: list[int]):
         """The triangle of these points that holds p, and p's weights in it."""
@@ -133,41 +134,104 @@ class Local:
                 return [own[i] for i in tri], (u, v, 1 - u - v)
         return None
 
+    def _around(self, p: np.ndarray) -> np.ndarray:
+        """The points in a box around places, with a margin."""
+        low, high = p.min(axis=0), p.max(axis=0)
+        margin = 0.25 * (high - low).max()
+        return np.flatnonzero(((self.xy >= low - margin) & (self.xy <= high + margin)).all(axis=1))
+
+    def _together(self, own: np.ndarray, targets: np.ndarray, who: np.ndarray, out: np.ndarray, done: np.ndarray) -> np.ndarray:
+        """Settles the targets numbered `who` between the points `own`, of which there is one triangulation for all of them; what
+        lies in the circles of their triangles joins it, twice. Returns the targets that are still open."""
+        lost = [who[:0]]
+        for _ in range(3):
+            if len(who) * 64 < len(own) or len(own) < 3:
+                break
+            at = self.xy[own]
+            tri = triangulate(at)
+            a, b, c = (at[tri[:, k]] for k in range(3))
+            d = (b[:, 1] - c[:, 1]) * (a[:, 0] - c[:, 0]) + (c[:, 0] - b[:, 0]) * (a[:, 1] - c[:, 1])
+            full = np.abs(d) >= 1e-12 * max(np.ptp(at, axis=0).max(), 1e-12) ** 2
+            tri, a, b, c, d = tri[full], a[full], b[full], c[full], d[full]
+            if not len(tri):
+                return np.concatenate([*lost, who])
+            holder, weights = np.full(len(who), -1), np.zeros((len(who), 3))
+            for start in range(0, len(who), 256):
+                x, y = targets[who[start : start + 256]].T[:, :, None]
+                u = ((b[:, 1] - c[:, 1]) * (x - c[:, 0]) + (c[:, 0] - b[:, 0]) * (y - c[:, 1])) / d
+                v = ((c[:, 1] - a[:, 1]) * (x - c[:, 0]) + (a[:, 0] - c[:, 0]) * (y - c[:, 1])) / d
+                inside = (u >= -1e-9) & (v >= -1e-9) & (u + v <= 1 + 1e-9)
+                row, t = np.arange(len(x)), inside.argmax(axis=1)
+                holder[start : start + 256] = np.where(inside[row, t], t, -1)
+                weights[start : start + 256] = np.stack([u[row, t], v[row, t], 1 - u[row, t] - v[row, t]], axis=1)
+            lost.append(who[holder < 0])
+            who, holder, weights = who[holder >= 0], holder[holder >= 0], weights[holder >= 0]
+            held, back = np.unique(holder, return_inverse=True)
+            circles = [_circle(at[t]) for t in tri[held]]
+            if not circles:
+                break
+            middle, radius = np.array([m for m, _ in circles]), np.array([r for _, r in circles])
+            intruder, apart = self.packed.nearest(middle)
+            empty = (apart >= radius * (1 - 1e-9)) | np.isin(intruder, own)
+            within = empty if self.box is None else empty & (middle - radius[:, None] >= self.box[:2]).all(axis=1) & (middle + radius[:, None] <= self.box[2:]).all(axis=1)
+            sure = within[back]
+            out[who[sure]] = (weights[sure] * self.z[own[tri[holder[sure]]]]).sum(axis=1)
+            done[who[sure]] = True
+            who, own = who[~empty[back]], np.union1d(own, intruder[~empty])
+        return np.concatenate([*lost, who])
+
     def at(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(values, settled): NaN where a target isn't settled, which happens only with a box."""
+        """(values, settled): NaN where a target isn't settled, which happens only with a box.
+
+        Targets that are neighbours on the curve share a triangulation; the few that it leaves open are settled one by one."""
         out, settled = np.full(len(targets), np.nan), np.zeros(len(targets), bool)
         if not len(self.xy) or not len(targets):
             return out, settled | (self.box is None)
         first, _ = self.packed.nearest(targets)
-        for i, p in enumerate(targets):
-            if self._outside(p):
-                if self.box is None:
-                    out[i], settled[i] = self.z[first[i]], True
-                continue
-            at, own, found = self.place[first[i]], {int(first[i])}, None
-            reach = self.near
-            while found is None:
-                own |= set(self.packed.order[max(0, at - reach) : at + reach].tolist())
-                found = self._triangle(p, sorted(own)) if len(own) >= 3 else None
-                if found is None and (reach >= len(self.xy) or len(own) > 500):
-                    own |= set(self.packed.nearest(self.corners)[0].tolist())  # these hold p between them
-                    found = self._triangle(p, sorted(own))
-                    break
-                reach *= 2
-            while found is not None:
-                middle, radius = _circle(self.xy[found[0]])
-                beyond = self.box is not None and not (self.box[0] <= middle[0] - radius and middle[0] + radius <= self.box[2] and self.box[1] <= middle[1] - radius and middle[1] + radius <= self.box[3])
-                inside, apart = self.packed.nearest(middle[None, :])
-                if apart[0] >= radius * (1 - 1e-9) or int(inside[0]) in own:
-                    if not beyond:
-                        out[i], settled[i] = sum(w * self.z[k] for w, k in zip(found[1], found[0], strict=True)), True
-                    break
-                own.add(int(inside[0]))
-                found = self._triangle(p, sorted(own))
-            if found is None and self.box is None:  # on a border, by rounding
-                out[i], settled[i] = self.z[first[i]], True
+        outside = self._outside(targets)
+        if self.box is None:
+            out[outside], settled[outside] = self.z[first[outside]], True
+        left = np.flatnonzero(~outside)
+        left = left[np.argsort(self.place[first[left]], kind="stable")]
+        alone, parts = [left[:0]], [left]
+        while parts:
+            who = parts.pop()
+            own = np.arange(len(self.xy)) if len(self.xy) <= SHARED else self._around(targets[who]) if 8 < len(who) <= SHARED else None
+            if own is not None and len(own) <= SHARED:
+                alone.append(self._together(own, targets, who, out, settled))
+            elif len(who) > 8:
+                parts += np.array_split(who, 2)
+            else:
+                alone.append(who)
+        for i in np.concatenate(alone):
+            out[i], settled[i] = self._one(targets[i], int(first[i]))
         return out, settled
 
+    def _one(self, p: np.ndarray, first: int) -> tuple[float, bool]:
+        """Value of a target inside the border, and whether it is settled."""
+        apart = ((self.xy - p) ** 2).sum(axis=1)
+        own, found, reach = {first}, None, 2 * self.near
+        while found is None:
+            own |= set(np.argpartition(apart, reach)[:reach].tolist() if reach < len(apart) else range(len(apart)))
+            found = self._triangle(p, sorted(own)) if len(own) >= 3 else None
+            if found is None and (reach >= len(self.xy) or len(own) > 500):
+                own |= set(self.packed.nearest(self.corners)[0].tolist())  # these hold p between them
+                found = self._triangle(p, sorted(own))
+                break
+            reach *= 2
+        while found is not None:
+            middle, radius = _circle(self.xy[found[0]])
+            beyond = self.box is not None and not (self.box[0] <= middle[0] - radius and middle[0] + radius <= self.box[2] and self.box[1] <= middle[1] - radius and middle[1] + radius <= self.box[3])
+            inside, apart = self.packed.nearest(middle[None, :])
+            if apart[0] >= radius * (1 - 1e-9) or int(inside[0]) in own:
+                return (np.nan, False) if beyond else (sum(w * self.z[k] for w, k in zip(found[1], found[0], strict=True)), True)
+            own.add(int(inside[0]))
+            found = self._triangle(p, sorted(own))
+        return (np.nan, False) if self.box is not None else (self.z[first], True)  # on a border, by rounding
+
+
+#: Most points and targets that share a triangulation.
+SHARED = 1024
 
 #: Points of a tile on average, the part of a tile around it that it also knows, and targets of a task.
 TILE, HALO, TARGETS = 20_000, 0.25, 20_000
@@ -178,18 +242,17 @@ def scattered(points: DataFrame, targets: DataFrame, key: str, tile: int = TILE)
 
     Linear in the Delaunay triangle that holds a target, and that of the nearest point outside all of them. Points are dealt to
     tiles and those around; a tile settles the targets whose triangle's circle lies within what it knows. Those that are left,
-    near or beyond the border of the points, are settled with all points of their key, TARGETS in a task. Targets of
-    keys without points, or without coordinates, get null.
+    near or beyond the border of the points, are settled with all points of their key, TARGETS in a task. Targets at one place
+    are settled once. Targets of keys without points, or without coordinates, get null.
     """
     whole = [c for c in targets.columns if c != "z"]
-    kept = targets.select(*whole).withColumn("__t", F.monotonically_increasing_id())
-    kept = settled(kept)  # numbers stay as they are
+    kept = settled(targets.select(*whole))  # read for the places, and for the rows at them
     known = points.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("z").cast("double").alias("z")).where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND NOT isnan(z)")
     known = settled(known.groupBy(key, "x", "y").agg(F.avg("z").alias("z")))
     size = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
     ends = known.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.min("x").alias("__x0"), F.min("y").alias("__y0"), size.alias("__size"))
     ends = settled(ends.withColumn("__side", F.when((F.col("__n") > 2 * tile) & (F.col("__size") > 0), F.col("__size") / F.ceil(F.sqrt(F.col("__n") / tile)))))
-    asked = kept.select("__t", key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    asked = kept.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").distinct()
     tiled = ends.where("__side IS NOT NULL")
     at = lambda c, by=0.0: F.floor((F.col(c) - F.col(f"__{c}0")) / F.col("__side") + by).cast("bigint")
     near = known.join(tiled, key)
@@ -197,7 +260,7 @@ def scattered(points: DataFrame, targets: DataFrame, key: str, tile: int = TILE)
         near = near.withColumn(f"t{c}", F.explode(F.sequence(at(c, -HALO), at(c, HALO))))
     own = asked.join(tiled, key).withColumns({"tx": at("x"), "ty": at("y")})
     kind = targets.schema[key].dataType.simpleString()
-    schema = f"__t bigint, `{key}` {kind}, x double, y double, z double, done boolean"
+    schema = f"`{key}` {kind}, x double, y double, z double, done boolean"
 
     def one(group: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         box = None
@@ -206,19 +269,19 @@ def scattered(points: DataFrame, targets: DataFrame, key: str, tile: int = TILE)
             tx, ty = int(group[1]), int(group[2])
             box = (x0 + (tx - HALO) * side, y0 + (ty - HALO) * side, x0 + (tx + 1 + HALO) * side, y0 + (ty + 1 + HALO) * side)
         if not len(right):
-            return pd.DataFrame(columns=["__t", key, "x", "y", "z", "done"])
+            return pd.DataFrame(columns=[key, "x", "y", "z", "done"])
         local = Local(left[["x", "y"]].to_numpy(float), left["z"].to_numpy(float), box) if len(left) else None
         z, done = local.at(right[["x", "y"]].to_numpy(float)) if local else (np.full(len(right), np.nan), np.zeros(len(right), bool))
-        return right[["__t", key, "x", "y"]].assign(z=z, done=done)
+        return right[[key, "x", "y"]].assign(z=z, done=done)
 
     tiles = [key, "tx", "ty"]
-    found = settled(near.select(*tiles, "x", "y", "z").groupBy(*tiles).cogroup(own.select("__t", *tiles, "x", "y", "__x0", "__y0", "__side").groupBy(*tiles)).applyInPandas(one, schema))
-    rest = asked.join(ends.where("__side IS NULL").select(key), key, "left_semi").select("__t", key, "x", "y").unionByName(found.where("NOT done").select("__t", key, "x", "y"))
+    found = settled(near.select(*tiles, "x", "y", "z").groupBy(*tiles).cogroup(own.select(*tiles, "x", "y", "__x0", "__y0", "__side").groupBy(*tiles)).applyInPandas(one, schema))
+    rest = asked.join(ends.where("__side IS NULL").select(key), key, "left_semi").select(key, "x", "y").unionByName(found.where("NOT done").select(key, "x", "y"))
     shards = rest.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / TARGETS).alias("__k"))
     parts = [key, "__part"]
     spread = known.join(shards, key).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__k") - 1))).select(*parts, "x", "y", "z")
-    dealt = rest.join(shards, key).withColumn("__part", F.pmod(F.xxhash64("__t"), F.col("__k"))).select("__t", *parts, "x", "y")
+    dealt = rest.join(shards, key).withColumn("__part", F.pmod(F.xxhash64("x", "y"), F.col("__k"))).select(*parts, "x", "y")
     last = spread.groupBy(*parts).cogroup(dealt.groupBy(*parts)).applyInPandas(one, schema)
-    both = found.where("done").select("__t", "z").unionByName(last.select("__t", "z"))
-    out = kept.join(both, "__t", "left")
+    both = found.where("done").unionByName(last).select(key, F.col("x").alias("__x"), F.col("y").alias("__y"), "z")
+    out = kept.withColumns({"__x": F.col("x").cast("double"), "__y": F.col("y").cast("double")}).join(both, [key, "__x", "__y"], "left")
     return out.select(*whole, F.when(~F.isnan("z"), F.col("z")).alias("z"))

@@ -113,3 +113,31 @@ def test_a_survey_of_a_million_points_is_interpolated(spark):
     began = time.time()
     off = scattered.scattered(points, targets, "scan").selectExpr("max(abs(z - (2 * x - 3 * y))) AS off", "count(z) AS n").first()
     assert off.n == 2000 and off.off < 0.02 and time.time() - began < 300
+
+
+def test_targets_share_triangulations():
+    rng = np.random.default_rng(11)
+    xy = rng.normal(size=(200, 2))
+    z, at = np.sin(xy[:, 0] * 3) + xy[:, 1], rng.normal(size=(5000, 2))
+    began = time.time()
+    got, settled = scattered.Local(xy, z).at(at)
+    assert time.time() - began < 15 and settled.all()  # one by one, 33 ms each before
+    assert got[:200] == pytest.approx(scattered.interpolate(xy, z, at[:200]), rel=1e-9)
+
+
+def test_targets_at_one_place_are_settled_once(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    points = spark.createDataFrame([(k, *map(float, p)) for k in (1, 2) for p in rng.random((50, 3))], "scan int, x double, y double, z double")
+    targets = spark.range(6000).selectExpr("cast(1 + id % 2 AS int) AS scan", "id", "cast(id % 7 AS float) / 8 AS x", "id % 5 / 8D AS y", "0 AS z")
+    monkeypatch.setattr(scattered, "TARGETS", 100)
+    asked = spark.sparkContext.accumulator(0)
+
+    class Counted(scattered.Local):
+        def at(self, targets):
+            asked.add(len(targets))
+            return super().at(targets)
+
+    monkeypatch.setattr(scattered, "Local", Counted)
+    got = scattered.scattered(points, targets, "scan").collect()
+    assert len({r.id for r in got}) == len(got) == 6000 and all(r.z is not None for r in got)
+    assert len({(r.scan, r.x, r.y, r.z) for r in got}) == 70 and asked.value == 70
