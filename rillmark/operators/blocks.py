@@ -28,13 +28,18 @@ def _across(key: list[str]):
     return W.partitionBy(*key).orderBy("__block")
 
 
+def matched(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+    """df with the columns of the other table's row of equal `on`, which may be null."""
+    named = other.select(*(F.col(c).alias(f"__key{i}") for i, c in enumerate(on)), *(c for c in other.columns if c not in on))
+    same = F.lit(True)
+    for i, c in enumerate(on):
+        same = same & df[c].eqNullSafe(named[f"__key{i}"])
+    return df.join(named, same).drop(*(f"__key{i}" for i in range(len(on))))
+
+
 def _bordered(df: DataFrame, border: DataFrame, key: list[str]) -> DataFrame:
     """df with the border table's columns of its block; keys may be null."""
-    named = border.select(*(F.col(c).alias(f"__key{i}") for i, c in enumerate(_own(key))), *(c for c in border.columns if c not in _own(key)))
-    on = F.lit(True)
-    for i, c in enumerate(_own(key)):
-        on = on & df[c].eqNullSafe(named[f"__key{i}"])
-    return df.join(named, on).drop(*(f"__key{i}" for i in range(len(key) + 1)))
+    return matched(df, border, _own(key))
 
 
 def carried(df: DataFrame, key: list[str], at: str, value: Column, before: str | None = None, after: str | None = None, width: int = WIDTH, inclusive: bool = True) -> DataFrame:
@@ -55,6 +60,14 @@ def carried(df: DataFrame, key: list[str], at: str, value: Column, before: str |
     return out.drop("__block", "__v", "__first", "__last", "__from", "__to")
 
 
+def following(df: DataFrame, key: list[str], at: str, name: str, width: int = WIDTH) -> DataFrame:
+    """df with the next row's place, which is the row's own where several share it; null behind a key's last."""
+    rows = df.withColumn("__block", block(at, width)).withColumn("__lead", F.lead(at).over(W.partitionBy(*_own(key)).orderBy(at)))
+    border = rows.groupBy(*_own(key)).agg(F.min(at).alias("__low"))
+    border = border.select(*_own(key), F.lead("__low").over(_across(key)).alias("__to"))
+    return _bordered(rows, border, key).withColumn(name, F.coalesce("__lead", "__to")).drop("__block", "__lead", "__to")
+
+
 def islands(df: DataFrame, key: list[str], at: str, gap: float, width: int = WIDTH) -> DataFrame:
     """df with `island`: the first place of its island. Neighbours at most `gap` apart share one; places of a key are different."""
     seen = carried(df, key, at, F.col(at), before="__before", width=width, inclusive=False)

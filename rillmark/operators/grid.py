@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,15 +26,24 @@ def upsampled(df: DataFrame, key: list[str], ts: str, values: list[str], step: i
     """Rows at every step from each key's first to last time; without step, its own modal cadence.
 
     Times off the grid vanish, steps without a reading have null values, and other columns take the key's first
-    value. A key with one row stays as it is.
+    value. A key with one row stays as it is; rows without a time vanish, and readings whose key is null have no values.
+    Only readings are shuffled: each brings the steps up to the next one with it.
     """
     others = [c for c in df.columns if c not in (*key, ts, *values)]
     spans = df.groupBy(*key).agg(F.min(ts).alias("__a"), F.max(ts).alias("__b"), F.count(F.lit(1)).alias("__n"), *(F.first(c, ignorenulls=True).alias(c) for c in others))
     spans = spans.withColumn("cadence_s", F.lit(step).cast("bigint")) if step else spans.join(modal_cadence(df, key, ts), key, "left")
-    steps = F.sequence(F.lit(0).cast("bigint"), F.floor(S.seconds_between(F.col("__a"), F.col("__b")) / F.greatest(F.coalesce("cadence_s", F.lit(1)), F.lit(1))).cast("bigint"))
-    grid = spans.withColumn("__i", F.explode(F.when((F.col("__n") > 1) & (F.col("cadence_s") > 0), steps).otherwise(F.array(F.lit(0).cast("bigint")))))
-    grid = grid.withColumn(ts, F.timestamp_add("SECOND", F.col("__i") * F.coalesce("cadence_s", F.lit(0)), F.col("__a")))
-    return grid.select(*key, ts, *others).join(df.select(*key, ts, *values), [*key, ts], "left").select(*df.columns)
+    spans = spans.withColumn("cadence_s", F.when((F.col("__n") > 1) & (F.col("cadence_s") > 0), F.col("cadence_s")).otherwise(0))
+    place = lambda end: F.when(F.col("cadence_s") > 0, F.floor(S.seconds_between(F.col("__a"), F.col(end)) / F.col("cadence_s"))).otherwise(0).cast("bigint")
+    time = lambda i: F.timestamp_add("SECOND", F.col(i) * F.col("cadence_s"), F.col("__a"))
+    rows = blocks.matched(df.select(*key, ts, *values), spans.withColumn("__last", place("__b")), key).withColumn("__i", place(ts)).where(time("__i") == F.col(ts))
+    rows = blocks.following(rows, key, "__i", "__next").withColumn("__end", F.coalesce(F.col("__next") - 1, F.col("__last")))
+    known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in key))
+    rows = rows.where(known | (F.col("__end") >= F.col("__i"))).withColumn("__end", F.greatest("__end", "__i"))
+    # a gap in pieces, so that no array is as long as it
+    rows = rows.withColumn("__piece", F.explode(F.sequence("__i", "__end", F.lit(blocks.WIDTH).cast("bigint"))))
+    grid = rows.withColumn("__j", F.explode(F.sequence("__piece", F.least(F.col("__piece") + (blocks.WIDTH - 1), F.col("__end")))))
+    read = {c: F.when((F.col("__j") == F.col("__i")) & known, F.col(c)) for c in values}
+    return grid.withColumns({ts: time("__j"), **read}).select(*df.columns)
 
 
 def gap_filled(df: DataFrame, key: list[str], slot: str, value: str, max_gap: int, into: str | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillmark.functions import climate, scalars
-from rillmark.operators import arrays, clean, events, fits, grid, health, reports, scattered, spatial, spectral, survey
+from rillmark.operators import arrays, blocks, clean, events, fits, grid, health, reports, scattered, spatial, spectral, survey
 from rillmark.streaming import online
 
 T0 = datetime(2024, 1, 1)
@@ -82,6 +82,28 @@ def test_upsample_by_modal_cadence(spark):
     assert grid.upsampled(rows.limit(1), ["k"], "ts", ["value"]).count() == 1
 
 
+def test_only_readings_are_shuffled_for_a_grid(spark):
+    rows = [("a", 1, T0 + timedelta(minutes=15 * m), float(m)) for m in (0, 3, 3, 9000)] + [("a", None, T0 + timedelta(minutes=15 * m), 1.0) for m in (0, 2, 2)]
+    rows += [("a", 1, T0 + timedelta(minutes=16), 5.0), ("a", 2, T0, 7.0), ("a", 3, None, 8.0)]
+    df = spark.createDataFrame(rows, "k string, port int, ts timestamp_ntz, value double").repartition(3)
+    out = grid.upsampled(df, ["k", "port"], "ts", ["value"], 900)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("== Initial Plan ==")[-1].split("Generate")[0]
+    assert "Generate" in plan and "Exchange" not in above and "Join" not in above
+    got = sorted((r.port or 0, (r.ts - T0).total_seconds() / 900, r.value) for r in out.collect() if r.ts is not None and r.value is not None)
+    assert got == [(1, 0.0, 0.0), (1, 3.0, 3.0), (1, 3.0, 3.0), (1, 9000.0, 9000.0), (2, 0.0, 7.0)]
+    slots = sorted(((r.port or 0), (r.ts - T0).total_seconds() / 900) for r in out.collect())
+    assert slots == [(0, 0.0), (0, 1.0), (0, 2.0)] + sorted([(1, float(i)) for i in range(9001)] + [(1, 3.0)]) + [(2, 0.0)]
+
+
+@pytest.mark.parametrize("width", [1, 4, 4096])
+def test_following_places_cross_blocks(spark, width):
+    places = [0, 2, 2, 3, 9, 30]
+    rows = spark.createDataFrame([(k, p) for k in ("a", None) for p in places], "k string, at long").repartition(3)
+    got = sorted((r.k or "", r["at"], r["next"]) for r in blocks.following(rows, ["k"], "at", "next", width).collect() if r["next"] is not None)
+    assert got == sorted((k, a, b) for k in ("", "a") for a, b in zip(places, places[1:], strict=False))
+
+
 def test_alignment_covers_all_sensors(spark):
     a = trace(100)
     got = grid.aligned(frame(spark, {"A": a, "B": a[2:-2]}), "sensor_id", "ts", "value").collect()
