@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +16,11 @@ from rillmark.operators.quantiles import quantiles
 STEADY = 0.33
 
 
+def _before(part: float) -> Column:
+    """1 - part as a decimal, so that its product with a number of samples is exact."""
+    return F.lit(1 - Decimal(str(part)))
+
+
 def pulses(wf: DataFrame, key: list[str], time: str = "time", polarity: str = "polarity") -> DataFrame:
     """wf with pulse: number of the run of equal polarity, from 1, within a key in order of time."""
     own = W.partitionBy(*key).orderBy(time)
@@ -24,7 +31,7 @@ def pulses(wf: DataFrame, key: list[str], time: str = "time", polarity: str = "p
 def steady(wf: DataFrame, key: list[str], time: str = "time", part: float = STEADY) -> DataFrame:
     """wf (with pulse) with steady: whether a sample's rank in its pulse, from 1, is over (1 - part) of the samples."""
     own = W.partitionBy(*key, "pulse")
-    return wf.withColumn("steady", F.row_number().over(own.orderBy(time)) > F.count(F.lit(1)).over(own) * (1 - part))
+    return wf.withColumn("steady", F.row_number().over(own.orderBy(time)) > F.count(F.lit(1)).over(own) * _before(part))
 
 
 def survey_resistance(wf: DataFrame, key: list[str], time: str = "time") -> DataFrame:
@@ -83,7 +90,7 @@ def waveform_resistances(wf: DataFrame, key: list[str], window: float = STEADY,
         raise ValueError("digits must be a whole number from 0 on")
     rows = pulses(wf, key, time)
     own = W.partitionBy(*key, "pulse")
-    valid = (F.row_number().over(own.orderBy(time)) - 1 >= F.count(F.lit(1)).over(own) * (1 - window)) & (F.col("polarity") != 0)
+    valid = (F.row_number().over(own.orderBy(time)) - 1 >= F.count(F.lit(1)).over(own) * _before(window)) & (F.col("polarity") != 0)
     off = F.avg(F.when(F.col("polarity") == 0, F.col("voltage"))).over(own)
     rows = rows.withColumns({"valid": valid, "__off": off})
     before = W.partitionBy(*key).orderBy("pulse").rangeBetween(W.unboundedPreceding, -1)

@@ -109,7 +109,8 @@ def pulse_segments(spark, d):
 
 @query(f"WITH {WAVE}, p AS (SELECT quad, pulse, avg(voltage * polarity) AS v, avg(current * polarity) AS i FROM ss WHERE polarity <> 0 GROUP BY 1, 2) SELECT quad, round(sum(v) / nullif(sum(i), 0), 6) AS \"R\", count(*) AS n_pulse FROM p GROUP BY 1")
 def signflip_R(spark, d):
-    return survey.survey_resistance(waves(spark, d), ["quad"]).withColumns(r6("R"))
+    # a half-way case, such as 251/128, goes up whatever the order of its sums
+    return survey.survey_resistance(waves(spark, d), ["quad"]).withColumns({"R": F.round(F.round("R", 12), 6)})
 
 
 @query(f"WITH {PT} SELECT quad, pulse, polarity, round(mv, 6) AS mv, round(ma, 6) AS ma, round(sp_off, 6) AS sp_off, round((mv - sp_off) / nullif(ma, 0), 6) AS \"R_off\", round(mv * polarity, 6) AS signed_mv FROM pt")

@@ -6,6 +6,7 @@ import sys
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -123,3 +124,15 @@ def test_enumeration_has_sixty_electrodes(spark):
     out = catalog.QUERIES["abmn_enumerate"](spark, "/root/testdata/sf0.01")  # whose suppliers stand for all sixty
     assert out.distinct().count() == out.count() == 3 * math.comb(60, 4)
     assert out.where("NOT (a < b AND m < n AND a < m)").count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_equal_surveys_have_equal_resistances(spark, tmp_path):
+    from rillmark.plans import catalog
+
+    # the exact resistance of this user's readings is 251/128, half-way between two rounded ones
+    own = spark.read.parquet("/root/testdata/sf0.1/events.parquet").where("user_id = 393")
+    copies = own.crossJoin(spark.range(400).withColumnRenamed("id", "k")).withColumns({"user_id": F.col("user_id") + F.col("k") * 1500, "event_id": F.col("event_id") + F.col("k") * 100000}).drop("k")
+    copies.repartition(8).write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES["signflip_R"](spark, str(tmp_path)).collect()
+    assert len(got) == 400 and {(r.R, r.n_pulse) for r in got} == {(1.960938, 42)}

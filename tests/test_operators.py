@@ -197,6 +197,14 @@ def test_spectra_find_the_period():
     assert abs(p.sum() * (f[1] - f[0]) - noise.var()) < 0.05
 
 
+def test_the_steady_part_of_a_hundred_samples(spark):
+    wf = spark.range(300).selectExpr("1 AS quad", "id AS time", "1 AS polarity", "1D AS current", "2D AS voltage")
+    count = lambda n, **part: survey.steady(survey.pulses(wf.where(f"time < {n}"), ["quad"]), ["quad"], **part).where("steady").count()
+    assert count(100) == 33 and count(300) == 99 and count(10) == 4
+    ten = survey.waveform_resistances(wf.limit(10).selectExpr("quad", "time", "polarity", "current", "1D * time AS voltage"), ["quad"], 0.7).first()
+    assert ten.mean_voltage == 6.0  # samples 3 to 9
+
+
 def test_resistor_on_a_square_wave(spark):
     rows = []
     for pulse, sign in enumerate([0, 1, 0, -1, 0, 1, 0, -1]):
